@@ -6,12 +6,17 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jisfold.llm import bpe
+from jisfold.llm import bpe, simhash
 from jisfold.llm.common import table
 
 VOCABULARY = "byte_bpe_50k.json"
 
 
+def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of 4-word shingles, linked at 4 or fewer differing bits."""
+    return simhash.near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"), shingle=4, radius=4)
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every document's whole text, and the text decoded from them."""
     path = public_tokenizers.path(VOCABULARY)
@@ -25,5 +30,5 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op3_bpe": op3_bpe}
+QUERIES = {"op1_simhash": op1_simhash, "op3_bpe": op3_bpe}
 ORACLES: dict[str, str] = {}
