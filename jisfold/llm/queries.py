@@ -5,9 +5,10 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from jisfold.llm import bpe, simhash
-from jisfold.llm.common import table
+from jisfold.llm import bpe, simhash, token_files
+from jisfold.llm.common import new_path, table
 
 VOCABULARY = "byte_bpe_50k.json"
 
@@ -30,5 +31,12 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op1_simhash": op1_simhash, "op3_bpe": op3_bpe}
+def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Writes every document's ids as Simple-8b files and reads them back."""
+    docs, folder = table(spark, sf_dir, "documents", "doc_id", "text"), new_path(spark, "token-files")
+    files = token_files.write_texts(docs, folder, public_tokenizers.path(VOCABULARY))
+    return token_files.read(spark, folder, files, token_files.crc32, T.StructType([T.StructField("ids_crc32", T.LongType())]))
+
+
+QUERIES = {"op1_simhash": op1_simhash, "op3_bpe": op3_bpe, "op9_token_files": op9_token_files}
 ORACLES: dict[str, str] = {}
