@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from jisfold.llm import bpe, simhash, token_files
+from jisfold.llm import bpe, simhash, token_files, topk
 from jisfold.llm.common import new_path, table
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -31,6 +31,31 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best candidates of every hundredth vector, by integer inner product."""
+    vectors = table(spark, sf_dir, "embeddings", "vec_id", "embedding")
+    return topk.top_k(vectors, F.col("vec_id") % 100 == 0, k=10, scale=1024)
+
+
+OP7_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS e
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id,
+         list_sum(list_transform(list_zip(q.e, c.e), lambda p: p[1] * p[2]))::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.e) = len(c.e)
+  WHERE q.vec_id % 100 = 0
+), r AS (
+  SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score
+  FROM s
+)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
+"""
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Writes every document's ids as Simple-8b files and reads them back."""
     docs, folder = table(spark, sf_dir, "documents", "doc_id", "text"), new_path(spark, "token-files")
@@ -38,5 +63,5 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read(spark, folder, files, token_files.crc32, T.StructType([T.StructField("ids_crc32", T.LongType())]))
 
 
-QUERIES = {"op1_simhash": op1_simhash, "op3_bpe": op3_bpe, "op9_token_files": op9_token_files}
-ORACLES: dict[str, str] = {}
+QUERIES = {"op1_simhash": op1_simhash, "op3_bpe": op3_bpe, "op7_top_k": op7_top_k, "op9_token_files": op9_token_files}
+ORACLES: dict[str, str] = {"op7_top_k": OP7_SQL}
