@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from jisfold.llm import bpe, simhash, token_files, topk
+from jisfold.llm import bpe, media, simhash, token_files, topk
 from jisfold.llm.common import new_path, table
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -63,5 +63,16 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read(spark, folder, files, token_files.crc32, T.StructType([T.StructField("ids_crc32", T.LongType())]))
 
 
-QUERIES = {"op1_simhash": op1_simhash, "op3_bpe": op3_bpe, "op7_top_k": op7_top_k, "op9_token_files": op9_token_files}
+def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stores every document as a picture that a page about it refers to, and
+    resolves the pages' references to what the stored bytes hold."""
+    store = media.write_media(table(spark, sf_dir, "documents", "doc_id", "text"))
+    name = F.coalesce(F.col("doc_id").cast("string"), F.lit("without id"))
+    html = F.concat(F.lit("<article><p>Document "), name, F.lit("</p><figure><img src='media:"), "digest", F.lit("' alt='payload'><figcaption>Payload of "), name, F.lit("</figcaption></figure></article>"))
+    pages = media.sequences(store.select("doc_id", "n_bytes", html.alias("html")))
+    found = media.resolve(pages, media.facts(store), ["doc_id", "n_bytes"])
+    return found.select("doc_id", "n_bytes", *[f.name for f in media.FACTS.fields], "position", "caption")
+
+
+QUERIES = {"op1_simhash": op1_simhash, "op3_bpe": op3_bpe, "op7_top_k": op7_top_k, "op9_token_files": op9_token_files, "op10_media": op10_media}
 ORACLES: dict[str, str] = {"op7_top_k": OP7_SQL}
