@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from jisfold.llm import bpe, media, simhash, token_files, topk
+from jisfold.llm import bpe, media, mixing, simhash, token_files, topk
 from jisfold.llm.common import new_path, table
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -18,6 +18,60 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"), shingle=4, radius=4)
 
 
+def op2_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sources weigh 5, 2, 1 in turn; no document is taken more than three times."""
+    docs = table(spark, sf_dir, "documents", "doc_id", "text", "source")
+    taken, plan = mixing.mix(docs, F.array("source"), (5, 2, 1), 1.0, 3)
+    sources = spark.createDataFrame([(n, x["size"], x["target"]) for n, x in plan["sources"].items()], "name string, source_size long, target double")
+    found = taken.join(sources, F.col("pattern")[0] == F.col("name"))
+    return found.select("doc_id", "size", "source_size", "target", "taken")
+
+
+OP2_SQL = r"""
+WITH d AS (
+  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
+         md5('mix:' || coalesce(doc_id::VARCHAR, '')) AS o
+  FROM documents
+), s AS (
+  SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source
+), w AS (
+  SELECT *, [5, 2, 1][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INTEGER]::DOUBLE AS weight,
+         row_number() OVER (ORDER BY source NULLS LAST) AS n
+  FROM s
+), a AS (
+  SELECT *, row_number() OVER (ORDER BY 3.0 * source_size / weight, n) AS k FROM w
+), c AS (
+  SELECT *, (SELECT sum(source_size) FROM s)::DOUBLE - 3.0 * coalesce(sum(source_size) OVER (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE AS left_words,
+         (SELECT sum(weight) FROM w) - coalesce(sum(weight) OVER (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS left_weight
+  FROM a
+), f AS (
+  SELECT min(k) AS k FROM c WHERE 3.0 * source_size * left_weight > left_words * weight
+), t AS (
+  SELECT source, source_size,
+         CASE WHEN f.k IS NULL OR c.k < f.k THEN 3.0::DOUBLE * source_size
+              ELSE (SELECT left_words FROM c WHERE c.k = f.k) * weight / (SELECT left_weight FROM c WHERE c.k = f.k) END::DOUBLE AS target
+  FROM c CROSS JOIN f
+), q AS (
+  SELECT *, CASE WHEN source_size > 0 THEN floor(target + 0.5)::BIGINT // source_size ELSE 0 END AS whole,
+         CASE WHEN source_size > 0 THEN floor(target + 0.5)::BIGINT % source_size ELSE 0 END AS rest
+  FROM t
+), p AS (
+  SELECT d.*, q.source_size, q.target, q.whole, q.rest,
+         size > 0 AND sum(size) OVER (PARTITION BY d.source ORDER BY o) <= rest AS more
+  FROM d JOIN q ON d.source IS NOT DISTINCT FROM q.source
+), g AS (
+  SELECT source, max(rest) - sum(CASE WHEN more THEN size ELSE 0 END) AS gap FROM p GROUP BY source
+), l AS (
+  SELECT p.source, o, row_number() OVER (PARTITION BY p.source ORDER BY size DESC, o) AS n
+  FROM p JOIN g ON p.source IS NOT DISTINCT FROM g.source
+  WHERE NOT more AND size > 0 AND size <= gap
+)
+SELECT doc_id, size, source_size, target,
+       (CASE WHEN size > 0 THEN (whole + more::BIGINT + (l.o IS NOT NULL)::BIGINT) * size ELSE 0 END)::BIGINT AS taken
+FROM p LEFT JOIN l ON p.source IS NOT DISTINCT FROM l.source AND p.o = l.o AND l.n = 1
+"""
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every document's whole text, and the text decoded from them."""
     path = public_tokenizers.path(VOCABULARY)
@@ -74,5 +128,5 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", *[f.name for f in media.FACTS.fields], "position", "caption")
 
 
-QUERIES = {"op1_simhash": op1_simhash, "op3_bpe": op3_bpe, "op7_top_k": op7_top_k, "op9_token_files": op9_token_files, "op10_media": op10_media}
-ORACLES: dict[str, str] = {"op7_top_k": OP7_SQL}
+QUERIES = {"op1_simhash": op1_simhash, "op2_mix": op2_mix, "op3_bpe": op3_bpe, "op7_top_k": op7_top_k, "op9_token_files": op9_token_files, "op10_media": op10_media}
+ORACLES: dict[str, str] = {"op2_mix": OP2_SQL, "op7_top_k": OP7_SQL}
