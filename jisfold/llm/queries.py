@@ -7,8 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from jisfold.llm import bpe, media, mixing, simhash, token_files, topk
-from jisfold.llm.common import new_path, table
+from jisfold.llm import bpe, media, mixing, quality, simhash, token_files, topk, toxicity
+from jisfold.llm.common import fold_of, new_path, table
 
 VOCABULARY = "byte_bpe_50k.json"
 
@@ -85,6 +85,24 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document, learnt from the ids outside fold 2 of 4."""
+    docs, labels = table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "labels", "doc_id", "quality")
+    machine = quality.fit(docs, labels, fold_of("doc_id", 4) != 2)
+    found = quality.scores(docs, machine)
+    predicted = (F.col("score") >= quality.THRESHOLD).cast("int")
+    return found.select("doc_id", (fold_of("doc_id", 4) == 2).alias("held_out"), "score", predicted.alias("predicted"))
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, learnt from the ids outside fold 0 of 5."""
+    docs, labels = table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "labels", "doc_id", "toxic")
+    detector = toxicity.fit(docs, labels, fold_of("doc_id", 5) != 0)
+    found = toxicity.detect(docs, detector)
+    predicted = (F.col("score") >= 0.5).cast("int")
+    return found.select("doc_id", (fold_of("doc_id", 5) == 0).alias("held_out"), "score", predicted.alias("predicted"), "passages")
+
+
 def op7_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten best candidates of every hundredth vector, by integer inner product."""
     vectors = table(spark, sf_dir, "embeddings", "vec_id", "embedding")
@@ -128,5 +146,5 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", *[f.name for f in media.FACTS.fields], "position", "caption")
 
 
-QUERIES = {"op1_simhash": op1_simhash, "op2_mix": op2_mix, "op3_bpe": op3_bpe, "op7_top_k": op7_top_k, "op9_token_files": op9_token_files, "op10_media": op10_media}
+QUERIES = {"op1_simhash": op1_simhash, "op2_mix": op2_mix, "op3_bpe": op3_bpe, "op4_quality": op4_quality, "op7_top_k": op7_top_k, "op8_toxicity": op8_toxicity, "op9_token_files": op9_token_files, "op10_media": op10_media}
 ORACLES: dict[str, str] = {"op2_mix": OP2_SQL, "op7_top_k": OP7_SQL}
