@@ -26,6 +26,17 @@ def chunks(text: str) -> list[str]:
     return _SAFE_CUT.split(text)
 
 
+_RARE = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+
+
+def spaced(text: str) -> list[str] | None:
+    """The parts between single spaces, where each space is a safe cut; None
+    where some space stands beside other white space."""
+    if "  " in text or " \n" in text or "\n " in text or _RARE.search(text):
+        return None
+    return text.split(" ")
+
+
 class Remembered(dict):
     """Results by chunk, forgotten all at once when there are too many."""
 

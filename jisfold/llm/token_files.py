@@ -44,7 +44,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from jisfold.llm import common
-from jisfold.llm.pretokens import chunks
+from jisfold.llm.pretokens import chunks, spaced
 
 MAGIC, VERSION = b"JFS8", 1
 HEADER = struct.Struct("<4sHxxIxxxxQQQQQ")
@@ -55,6 +55,9 @@ BLOCK = 4096
 #: Ids packed at once, which bounds the memory of a writer.
 SEGMENT = 64 * BLOCK
 IDS_PER_FILE = 1 << 22
+#: Rows of a list of files (about 100 bytes each) that are sent to all tasks; a
+#: longer list is joined by a shuffle.
+SENT_FILES = 50_000
 _COUNTS = np.array([c for c, _ in SELECTORS], np.int64)
 
 
@@ -191,31 +194,95 @@ class TokenFile:
 
 
 class LibraryIds:
-    """Ids by the tokenizers library, asked once for each distinct chunk."""
+    """Ids by the tokenizers library, asked once for each distinct piece.
 
-    LIMIT = 400_000
+    Texts are cut where the library surely cuts them; what it gave for a part
+    is remembered in two generations, of which the older is dropped when the
+    younger is full, so that frequent parts stay.
+    """
+
+    LIMIT = 700_000
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        import regex
         from tokenizers import Tokenizer
 
+        from jisfold.llm.bpe import PATTERN
+
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.known: dict[str, bytes] = {}
+        self.special = list(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
+        self.find = regex.compile(PATTERN).findall
+        # by part: those that follow a space (kept without it), and all others
+        self.young: tuple[dict[str, bytes], dict[str, bytes]] = ({}, {})
+        self.old: tuple[dict[str, bytes], dict[str, bytes]] = ({}, {})
+
+    def _ask(self, parts: list[str]) -> list[bytes]:
+        found = []
+        for at in range(0, len(parts), 10_000):
+            found += [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(parts[at : at + 10_000], add_special_tokens=False)]
+        return found
+
+    def _learn(self, missing: tuple[set[str], set[str]]) -> None:
+        """Puts what is missing into the younger generation."""
+        asked: tuple[list[str], list[str]] = ([], [])
+        made: list[tuple[int, str, list[str]]] = []
+        for after, parts in enumerate(missing):
+            young, old = self.young[after], self.old[after]
+            for part in parts:
+                ids = old.get(part)
+                if ids is not None:
+                    young[part] = ids
+                elif part.isalpha() or any(x in part for x in self.special):
+                    asked[after].append(part)
+                else:
+                    made.append((after, part, self.find(" " + part if after else part)))
+        new: tuple[dict[str, None], dict[str, None]] = (dict.fromkeys(asked[0]), dict.fromkeys(asked[1]))
+        for _, _, pieces in made:
+            for piece in pieces:
+                after = len(piece) > 1 and piece[0] == " "
+                piece = piece[1:] if after else piece
+                if piece not in self.young[after] and piece not in new[after]:
+                    ids = self.old[after].get(piece)
+                    if ids is not None:
+                        self.young[after][piece] = ids
+                    else:
+                        new[after][piece] = None
+        for after, parts in enumerate(new):
+            self.young[after].update(zip(parts, self._ask([" " + x for x in parts] if after else list(parts)), strict=True))
+        for after, part, pieces in made:
+            self.young[after][part] = b"".join([self.young[1][x[1:]] if len(x) > 1 and x[0] == " " else self.young[0][x] for x in pieces])
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [chunks(x) for x in texts]
-        known = self.known
-        new = list({c for part in cut for c in part if c not in known})
-        if len(known) + len(new) > self.LIMIT:
-            known.clear()
-            new = list({c for part in cut for c in part})
-        for at in range(0, len(new), 10_000):
-            some = new[at : at + 10_000]
-            for c, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                known[c] = np.array(e.ids, "<u4").tobytes()
-        return [b"".join(map(known.__getitem__, part)) for part in cut]
+        if sum(map(len, self.young)) > self.LIMIT:
+            self.old, self.young = self.young, ({}, {})
+        plain, after = self.young
+        cut = []
+        missing: tuple[set[str], set[str]] = (set(), set())
+        for text in texts:
+            parts = spaced(text)
+            if parts is None:
+                parts = chunks(text)
+                cut.append((parts, None, None))
+                missing[0].update(x for x in parts if x not in plain)
+                continue
+            first = parts.pop(0)
+            ids = list(map(after.get, parts))
+            if first not in plain:
+                missing[0].add(first)
+            if None in ids:
+                missing[1].update([x for x, y in zip(parts, ids, strict=True) if y is None])
+            cut.append((parts, first, ids))
+        self._learn(missing)
+        out = []
+        for parts, first, ids in cut:
+            if ids is None:
+                out.append(b"".join(map(plain.__getitem__, parts)))
+            else:
+                out.append(plain[first] + b"".join(map(after.__getitem__, parts) if None in ids else ids))
+        return out
 
 
 @lru_cache(maxsize=2)
@@ -288,6 +355,8 @@ def read(spark: SparkSession, folder: str, files: list[dict], row: Callable[[np.
     if not files:
         return spark.createDataFrame([], schema)
     listed = spark.createDataFrame([(f["name"], f["start"]) for f in files], "name string, file_start long")
+    if len(files) <= SENT_FILES:
+        listed = F.broadcast(listed)
     found = spark.read.format("binaryFile").option("pathGlobFilter", "ids-*.s8b").load(_qualified(spark, folder))
     found = found.select(F.element_at(F.split("path", "/"), -1).alias("name"), "content").join(listed, "name").select("content", "file_start")
 
