@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from jisfold.llm import bpe, langid, media, mixing, quality, simhash, token_files, topk, toxicity
+from jisfold.llm import bpe, langid, lm, media, mixing, quality, simhash, token_files, topk, toxicity
 from jisfold.llm.common import fold_of, new_path, table
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -102,6 +102,11 @@ def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (fold_of("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score", "lang_shares")
 
 
+def op6_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Maximum-entropy scores of every document, learnt from the ids outside fold 2 of 7."""
+    return lm.scores(table(spark, sf_dir, "documents", "doc_id", "text"), fold_of("doc_id", 7) == 2)
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every document, learnt from the ids outside fold 0 of 5."""
     docs, labels = table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "labels", "doc_id", "toxic")
@@ -154,5 +159,5 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", *[f.name for f in media.FACTS.fields], "position", "caption")
 
 
-QUERIES = {"op1_simhash": op1_simhash, "op2_mix": op2_mix, "op3_bpe": op3_bpe, "op4_quality": op4_quality, "op5_langid": op5_langid, "op7_top_k": op7_top_k, "op8_toxicity": op8_toxicity, "op9_token_files": op9_token_files, "op10_media": op10_media}
+QUERIES = {"op1_simhash": op1_simhash, "op2_mix": op2_mix, "op3_bpe": op3_bpe, "op4_quality": op4_quality, "op5_langid": op5_langid, "op6_lm": op6_lm, "op7_top_k": op7_top_k, "op8_toxicity": op8_toxicity, "op9_token_files": op9_token_files, "op10_media": op10_media}
 ORACLES: dict[str, str] = {"op2_mix": OP2_SQL, "op7_top_k": OP7_SQL}
