@@ -1 +1,236 @@
-"""Part of jisfold."""
+"""Public column functions.
+
+Each takes a column and gives a column.  NULL gives NULL.  The plain forms
+fail the job at a text that can't be converted, the ``try_`` forms give NULL
+there, and the ``_with_error`` forms a struct of value, reason, start and end
+(positions in characters, or bytes when decoding).
+
+Tables are literals of the expression or captured by the UDF; they hold tens
+of thousands of entries at most, whatever the data's size.
+"""
+
+from __future__ import annotations
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from jisfold.constants import ConversionMode, TransliterationError
+from jisfold.functions import candidates, kernels, machine
+from jisfold.refdata.tables import JisTable, MjTable
+
+RESULT = T.StructType([T.StructField("value", T.BinaryType()), T.StructField("reason", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])
+DECODED = T.StructType([T.StructField("value", T.StringType()), *RESULT.fields[1:]])
+
+
+def _column(c: Column | str) -> Column:
+    return F.col(c) if isinstance(c, str) else c
+
+
+def _encode_udf(mode: int, table: JisTable | None, bug_compat: bool):
+    @F.pandas_udf(RESULT)
+    def run(texts: pd.Series) -> pd.DataFrame:
+        rows = []
+        for text in texts:
+            if text is None:
+                rows.append((None, None, None, None))
+                continue
+            try:
+                rows.append((machine.encode("jis", text, mode, table, bug_compat), None, None, None))
+            except UnicodeEncodeError as e:
+                rows.append((None, e.reason, e.start, e.end))
+        found = pd.DataFrame(rows, columns=RESULT.names)
+        return found.astype({"start": "Int32", "end": "Int32"})
+
+    return run
+
+
+def jnta_encode_with_error(c: Column | str, conv_mode: int, table: JisTable | None = None, bug_compat: bool = False) -> Column:
+    """struct<value, reason, start, end>: the bytes, or what is wrong where."""
+    mode, c = ConversionMode(conv_mode), _column(c)
+    if mode == ConversionMode.SISO or bug_compat:
+        return F.when(c.isNotNull(), _encode_udf(mode, table, bug_compat)(c))
+    table = kernels.default_table(table)
+    error = kernels.encode_error(c, mode, table)
+    value = F.when(error.isNull(), kernels.encode(c, mode, table))
+    return F.when(c.isNotNull(), F.struct(value.alias("value"), error["reason"].alias("reason"), error["start"].alias("start"), error["end"].alias("end")))
+
+
+def _failing(found: Column) -> Column:
+    message = F.concat(found["reason"], F.lit(" at position "), found["start"].cast("string"))
+    return F.when(found["reason"].isNotNull(), F.raise_error(message).cast(T.BinaryType())).otherwise(found["value"])
+
+
+def jnta_encode(c: Column | str, conv_mode: int, table: JisTable | None = None, bug_compat: bool = False) -> Column:
+    """The text's bytes; a text that can't be written fails the job."""
+    return _failing(jnta_encode_with_error(c, conv_mode, table, bug_compat))
+
+
+def try_jnta_encode(c: Column | str, conv_mode: int, table: JisTable | None = None, bug_compat: bool = False) -> Column:
+    """The text's bytes, NULL where it can't be written."""
+    mode, c = ConversionMode(conv_mode), _column(c)
+    if mode == ConversionMode.SISO or bug_compat:
+        return jnta_encode_with_error(c, mode, table, bug_compat)["value"]
+    table = kernels.default_table(table)
+    return F.when(kernels.good_prefix(c, mode, table)[1], kernels.encode(c, mode, table))
+
+
+def jnta_decode_with_error(c: Column | str, table: JisTable | None = None) -> Column:
+    """struct<value, reason, start, end> of plane-1 bytes."""
+    c, table = _column(c), kernels.default_table(table)
+    text, good, whole = kernels.decoded(c, table)
+    hexed = F.hex(F.substring(c, good * 2 + 1, F.lit(2)))
+    first, second = F.lower(F.substring(hexed, 1, 2)), F.lower(F.substring(hexed, 3, 2))
+    inside = lambda x: (x >= "21") & (x <= "7e")
+    number = lambda x: F.conv(x, 16, 10).cast("int") - 32
+    start = good * 2
+    cases = [
+        (~inside(first), F.concat(F.lit("unexpected byte \\x"), first), 0, 1),
+        (second == "", F.lit("incomplete multibyte character"), 0, 1),
+        (~inside(second), F.concat(F.lit("unexpected byte \\x"), second, F.lit(" after \\x"), first), 1, 2),
+    ]
+    reason = F.concat(F.lit("no character at row "), number(first).cast("string"), F.lit(", cell "), number(second).cast("string"))
+    begin, end = start, start + 2
+    for test, text_of, a, b in reversed(cases):
+        reason, begin, end = F.when(test, text_of).otherwise(reason), F.when(test, start + a).otherwise(begin), F.when(test, start + b).otherwise(end)
+    return F.when(c.isNotNull(), F.struct(F.when(whole, text).alias("value"), F.when(~whole, reason).alias("reason"), F.when(~whole, begin).alias("start"), F.when(~whole, end).alias("end")))
+
+
+def jnta_decode(c: Column | str, table: JisTable | None = None) -> Column:
+    """The text of plane-1 bytes; bad bytes fail the job."""
+    found = jnta_decode_with_error(c, table)
+    return F.when(found["reason"].isNotNull(), F.raise_error(F.concat(found["reason"], F.lit(" at position "), found["start"].cast("string"))).cast("string")).otherwise(found["value"])
+
+
+def try_jnta_decode(c: Column | str, table: JisTable | None = None) -> Column:
+    """The text of plane-1 bytes, NULL where some are bad."""
+    text, _, whole = kernels.decoded(_column(c), kernels.default_table(table))
+    return F.when(whole, text)
+
+
+def jnta_shrink_translit(c: Column | str, replacement: str = "�", passthrough: bool = False, table: JisTable | None = None, bug_compat: bool = False) -> Column:
+    """The text with rare characters replaced by their shrunken forms.
+
+    Characters outside the table stay (``passthrough``), or become the
+    replacement; an empty replacement fails the job there.
+    """
+    c = _column(c)
+    if bug_compat:
+
+        @F.pandas_udf("string")
+        def run(texts: pd.Series) -> pd.Series:
+            return texts.map(lambda x: None if x is None else machine.shrink_translit(x, replacement, passthrough, table, True))
+
+        return run(c)
+    text, first = kernels.shrink(c, kernels.default_table(table), replacement, passthrough)
+    if passthrough or replacement:
+        return text
+    message = F.concat(F.lit("transliteration failed at position "), first.cast("string"))
+    return F.when(first.isNotNull(), F.raise_error(message).cast("string")).otherwise(text)
+
+
+def try_jnta_shrink_translit(c: Column | str, table: JisTable | None = None) -> Column:
+    """The shrunken text, NULL where a character has no form."""
+    text, first = kernels.shrink(_column(c), kernels.default_table(table), _ANY, False)
+    return F.when(first.isNull(), text)
+
+
+_ANY = "?"
+
+
+def mj_shrink_candidates(c: Column | str, combo: int, limit: int = 100, table: MjTable | None = None) -> Column:
+    """array<string>: the text's forms under a set of schemes, in order.
+
+    A negative limit gives all combinations, whose number is the product of
+    the characters' forms and may exhaust memory.
+    """
+
+    @F.pandas_udf(T.ArrayType(T.StringType()))
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda x: None if x is None else candidates.mj_shrink_candidates(x, combo, limit, table))
+
+    return run(_column(c))
+
+
+def explode_candidates(df: DataFrame, text: str, combo: int, limit: int = 100, table: MjTable | None = None, position: str = "ord", out: str = "candidate") -> DataFrame:
+    """A row for each candidate, with its position (from 0)."""
+    columns = [x for x in df.columns if x not in (position, out)]
+    return df.withColumn("__c", mj_shrink_candidates(text, combo, limit, table)).select(*columns, F.posexplode("__c").alias(position, out))
+
+
+def jis_class(c: Column | str, table: JisTable | None = None) -> Column:
+    """The class of a text's first character (or pair), 0 outside the table.
+
+    One ``translate`` to a private letter for each class, no lookup by row.
+    """
+    table = kernels.default_table(table)
+    c = _column(c)
+    pair = F.coalesce(F.regexp_extract(c, "^" + kernels.pair_pattern(table), 1), F.lit(""))
+    first = F.substring(c, 1, 1)
+    singles = table.singles()
+    letters = {k: chr(0xF0100 + k) for k in sorted({r.cls for r in singles})}
+    own = F.translate(first, "".join(r.us for r in singles) + "".join(letters.values()), "".join(letters[r.cls] for r in singles))
+    found = F.lit(0)
+    for k, letter in letters.items():
+        found = F.when(own == letter, F.lit(k)).otherwise(found)
+    for r in table.pairs:
+        found = F.when(pair == r.us, F.lit(r.cls)).otherwise(found)
+    return F.when(c.isNotNull(), found)
+
+
+def parse_men_ku_ten(c: Column | str) -> Column:
+    """The packed number of "men-ku-ten", NULL for other texts or out of range."""
+    c = _column(c)
+    part = lambda i: F.regexp_extract(c, r"^([0-9]+)-([0-9]+)-([0-9]+)$", i).try_cast("int")
+    men, ku, ten = part(1), part(2), part(3)
+    return F.when(men.between(1, 2) & ku.between(1, 94) & ten.between(1, 94), (men - 1) * 8836 + (ku - 1) * 94 + ten - 1)
+
+
+def men_ku_ten(jis: Column | str) -> Column:
+    """The inverse of parse_men_ku_ten."""
+    jis = _column(jis)
+    return F.concat_ws("-", (F.floor(jis / 8836) + 1).cast("string"), (F.floor(jis / 94) % 94 + 1).cast("string"), (jis % 94 + 1).cast("string"))
+
+
+def parse_code_point(c: Column | str) -> Column:
+    """The number of "U+XXXX", NULL for other texts or above U+10FFFF."""
+    found = F.conv(F.regexp_extract(_column(c), "^[uU]\\+([0-9A-Fa-f]{1,8})$", 1), 16, 10).try_cast("int")
+    return F.when(found <= 0x10FFFF, found)
+
+
+def parse_code_points(c: Column | str) -> Column:
+    """array<int> of a sequence of "U+XXXX" parted by white space."""
+    return F.transform(F.split(F.trim(_column(c)), r"\s+"), parse_code_point)
+
+
+def parse_hex_list(c: Column | str) -> Column:
+    """array<int> of hexadecimal numbers joined by underscores."""
+    return F.transform(F.split(_column(c), "_"), lambda x: F.conv(x, 16, 10).cast("int"))
+
+
+def parse_mj(c: Column | str) -> Column:
+    """The number of an MJ code."""
+    return F.regexp_extract(_column(c), "^MJ([0-9]+)$", 1).try_cast("int")
+
+
+def selector_number(code_point: Column | str) -> Column:
+    """The number of a variation selector, NULL for other code points."""
+    u = _column(code_point)
+    return F.when(u.between(0xFE00, 0xFE0F), u - 0xFE00).when(u.between(0xE0100, 0xE01EF), u - 0xE0100 + 16)
+
+
+def selector_code_point(number: Column | str) -> Column:
+    """The inverse of selector_number."""
+    n = _column(number)
+    return F.when(n.between(0, 15), n + 0xFE00).when(n.between(16, 255), n - 16 + 0xE0100)
+
+
+def take_until_empty(array: Column | str) -> Column:
+    """An array's elements before the first that is null or empty."""
+    a = F.transform(_column(array), lambda x: F.coalesce(x, F.lit("")))
+    at = F.array_position(a, "")
+    return F.when(at > 0, F.slice(a, F.lit(1), (at - 1).cast("int"))).otherwise(a)
+
+
+__all__ = ["ConversionMode", "TransliterationError", *(n for n in dir() if n.startswith(("jnta_", "try_", "mj_", "parse_", "jis_class", "explode_", "men_ku", "selector_", "take_")))]
