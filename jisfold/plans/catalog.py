@@ -1,6 +1,542 @@
-"""The registered queries and their DuckDB equivalents."""
+"""The registered queries and their DuckDB equivalents.
+
+The SQL has the few table entries that the example texts need as literals and
+computes the rest by itself, token by token.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+import io
+import json
+import zipfile
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from jisfold import functions as J
+from jisfold.constants import ConversionMode, MJShrinkSchemeCombo
+from jisfold.functions import candidates, kernels
+from jisfold.operators import relational
+from jisfold.plans import corpus
+from jisfold.refdata import ingest
+from jisfold.refdata.tables import seed_jis, seed_mj
+
+C = MJShrinkSchemeCombo
+FAMILY_REGISTER = C.MOJ_FAMILY_REGISTER_ACT_RELATED_NOTICE
+UNIFICATION = C.JIS_INCORPORATION_UCS_UNIFICATION_RULE
+TABLE = seed_jis()
+q = corpus.quoted
+
+#: Tokens as SQL finds them: pairs, else single characters.
+_PAIRS = "|".join(r.us for r in TABLE.pairs)
+_TOKENS = f"regexp_extract_all(s, '({_PAIRS}|(?s:.))')"
+
+
+def _map(found: dict[str, str]) -> str:
+    return "MAP {" + ", ".join(f"{q(k)}: {q(v)}" for k, v in found.items()) + "}"
+
+
+def _used() -> list[str]:
+    """Tokens of the example texts that the table has."""
+    tokens = dict.fromkeys(c for t in corpus.TEXTS for c in [*t, *(t[i : i + 2] for i in range(len(t)))])
+    return [t for t in tokens if t in TABLE.by_text]
+
+
+def _codes(mode: int) -> dict[str, str]:
+    known = kernels._codes(mode, TABLE)
+    return {t: known[t].encode("utf-16-be").hex().upper() for t in _used() if t in known}
+
+
+def _sql_encode(mode: int) -> str:
+    return f"""
+SELECT c_custkey, s, CASE WHEN len(list_filter(t, lambda x: m[x] IS NULL)) = 0 THEN coalesce(array_to_string(list_transform(t, lambda x: m[x]), ''), '') END AS jis_hex
+FROM (SELECT c_custkey, s, {_TOKENS} AS t, {_map(_codes(mode))} AS m FROM {corpus.CUSTOMERS})
+"""
+
+
+def _encode(mode: int):
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return corpus.customers(spark, sf_dir).select("c_custkey", "s", F.hex(J.try_jnta_encode("s", mode)).alias("jis_hex"))
+
+    return query
+
+
+def encode_siso(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus.customers(spark, sf_dir).select("c_custkey", "s", F.hex(J.try_jnta_encode("s", ConversionMode.SISO)).alias("jis_hex"))
+
+
+_PLANES = {t: f"{TABLE.by_text[t].plane}{TABLE.by_text[t].code.hex().upper()}" for t in _used()}
+SISO_SQL = f"""
+WITH t AS (SELECT i, s, {_TOKENS} AS t, {_map(_PLANES)} AS m FROM (VALUES {corpus.values()}) v(i, s)),
+p AS (SELECT i, unnest(t) AS x, unnest(range(len(t))) AS n, m FROM t),
+c AS (SELECT i, n, m[x] AS c, lag(m[x][1], 1, '1') OVER (PARTITION BY i ORDER BY n) AS was FROM p),
+o AS (SELECT i, count(*) FILTER (c IS NULL) AS bad, string_agg((CASE WHEN c[1] = was THEN '' WHEN c[1] = '1' THEN '0E' ELSE '0F' END) || c[2:], '' ORDER BY n)
+        || CASE WHEN last(c[1] ORDER BY n) = '2' THEN '0E' ELSE '' END AS h FROM c GROUP BY i)
+SELECT c_custkey, s, CASE WHEN s = '' THEN '' WHEN bad = 0 THEN h END AS jis_hex FROM {corpus.CUSTOMERS} k LEFT JOIN o ON k.i = o.i
+"""
+
+
+def encode_error_position(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts that JIS X 0208 can't write: why and where."""
+    error = J.jnta_encode_with_error("s", ConversionMode.JISX0208)
+    return corpus.customers(spark, sf_dir).withColumn("e", error).where("e.reason is not null").select("c_custkey", "s", "e.reason", F.col("e.start").cast("long").alias("start_pos"), F.col("e.end").cast("long").alias("end_pos"))
+
+
+ERROR_SQL = f"""
+WITH t AS (SELECT c_custkey, s, {_TOKENS} AS t, {_map(_codes(ConversionMode.JISX0208))} AS m FROM {corpus.CUSTOMERS}),
+b AS (SELECT *, list_position(list_transform(t, lambda x: m[x] IS NULL), true) AS p FROM t)
+SELECT c_custkey, s, 'not convertible to JISX0208' AS reason, (len(array_to_string(t[1:p - 1], '')))::BIGINT AS start_pos, (len(array_to_string(t[1:p - 1], '')) + 1)::BIGINT AS end_pos
+FROM b WHERE p > 0
+"""
+
+
+def try_encode_unmapped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers by whether JIS X 0208, plane 1 and shrinking can write them."""
+    modes = {"men1": ConversionMode.MEN1, "jisx0208": ConversionMode.JISX0208, "translit": ConversionMode.JISX0208_TRANSLIT}
+    found = corpus.customers(spark, sf_dir).select(*[J.try_jnta_encode("s", m).isNotNull().cast("long").alias(n) for n, m in modes.items()])
+    return found.groupBy(*modes).agg(F.count("*").alias("n"))
+
+
+def _sql_can(mode: int) -> str:
+    return f"(len(list_filter(t, lambda x: {_map(_codes(mode))}[x] IS NULL)) = 0)::BIGINT"
+
+
+UNMAPPED_SQL = f"""
+SELECT {_sql_can(ConversionMode.MEN1)} AS men1, {_sql_can(ConversionMode.JISX0208)} AS jisx0208, {_sql_can(ConversionMode.JISX0208_TRANSLIT)} AS translit, count(*) AS n
+FROM (SELECT {_TOKENS} AS t FROM {corpus.CUSTOMERS}) GROUP BY ALL
+"""
+
+
+def fullwidth_part_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Part names in full-width form, as JIS bytes and back."""
+    part = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", "p_name")
+    wide = part.withColumn("wide", F.translate("p_name", corpus.ASCII, corpus.FULL_WIDTH))
+    coded = wide.withColumn("jis", J.try_jnta_encode("wide", ConversionMode.JISX0208))
+    return coded.select("p_partkey", "wide", F.hex("jis").alias("jis_hex"), (J.try_jnta_decode("jis") == F.col("wide")).cast("long").alias("same"))
+
+
+_WIDE = {a: TABLE.by_text[w].code.hex().upper() for a, w in zip(corpus.ASCII, corpus.FULL_WIDTH, strict=True) if w in TABLE.by_text and TABLE.is_0208(TABLE.by_text[w])}
+FULLWIDTH_SQL = f"""
+SELECT p_partkey, translate(p_name, {q(corpus.ASCII)}, {q(corpus.FULL_WIDTH)}) AS wide,
+       array_to_string(list_transform(string_split(p_name, ''), lambda c: {_map(_WIDE)}[c]), '') AS jis_hex, 1::BIGINT AS same
+FROM part
+"""
+
+
+def fullwidth_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents in full-width form: bytes of those that plane 1 can write."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.translate("text", corpus.ASCII, corpus.FULL_WIDTH).alias("wide"))
+    coded = docs.select("doc_id", F.octet_length(J.try_jnta_encode(F.replace("wide", F.lit("\n"), F.lit("")), ConversionMode.MEN1)).cast("long").alias("jis_bytes"))
+    return coded
+
+
+_LATIN = "".join(u for u, r in TABLE.by_text.items() if len(u) == 1 and ord(u) < 0x250 and r.plane == 1)
+_MISSING = "".join(c for c in map(chr, range(0x80, 0x250)) if c not in _LATIN)
+FULLWIDTH_DOCS_SQL = f"""
+SELECT doc_id, CASE WHEN regexp_matches(t, '[\\x00-\\x20]') OR len(translate(t, {q(_MISSING)}, '')) < len(t) THEN NULL ELSE 2 * len(t) END::BIGINT AS jis_bytes
+FROM (SELECT doc_id, replace(translate(text, ' ', '　'), chr(10), '') AS t FROM documents)
+"""
+
+
+def decode_plane1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts from their plane-1 bytes."""
+    own = corpus.customers(spark, sf_dir).withColumn("jis", J.try_jnta_encode("s", ConversionMode.MEN1)).where("jis is not null")
+    return own.select("c_custkey", F.hex("jis").alias("jis_hex"), J.try_jnta_decode("jis").alias("s"))
+
+
+DECODE_SQL = f"SELECT c_custkey, jis_hex, s FROM ({_sql_encode(ConversionMode.MEN1)}) WHERE jis_hex IS NOT NULL"
+
+BAD_BYTES = [
+    ("2124", None, None, None), ("0F2121", "unexpected byte \\x0f", 0, 1), ("21", "incomplete multibyte character", 0, 1), ("2120", "unexpected byte \\x20 after \\x21", 1, 2),
+    ("242B2477", None, None, None), ("21247F21", "unexpected byte \\x7f", 2, 3), ("", None, None, None), ("2F7E", None, None, None), ("21242477217F", "unexpected byte \\x7f after \\x21", 5, 6),
+]
+
+
+def decode_invalid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nations by good and bad byte sequences: why and where."""
+    nation = spark.read.parquet(f"{sf_dir}/nation.parquet").select("n_nationkey")
+    data = spark.createDataFrame([(i, h) for i, (h, *_) in enumerate(BAD_BYTES)], "i int, jis_hex string")
+    own = nation.join(F.broadcast(data), F.col("n_nationkey") % len(BAD_BYTES) == F.col("i"))
+    own = own.withColumn("e", J.jnta_decode_with_error(F.unhex("jis_hex")))
+    return own.select(F.col("n_nationkey").cast("long").alias("n_nationkey"), "jis_hex", "e.reason", F.col("e.start").cast("long").alias("start_pos"), F.col("e.end").cast("long").alias("end_pos"))
+
+
+DECODE_INVALID_SQL = (
+    "SELECT n_nationkey::BIGINT AS n_nationkey, jis_hex, reason::VARCHAR AS reason, start_pos::BIGINT AS start_pos, end_pos::BIGINT AS end_pos FROM nation JOIN (VALUES "
+    + ", ".join(f"({i}, {q(h)}, {q(r) if r else 'NULL'}, {a if a is not None else 'NULL'}, {b if b is not None else 'NULL'})" for i, (h, r, a, b) in enumerate(BAD_BYTES))
+    + f") v(i, jis_hex, reason, start_pos, end_pos) ON n_nationkey % {len(BAD_BYTES)} = i"
+)
+
+
+def roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per nation: customers' texts that come back from plane-1 bytes."""
+    own = corpus.customers(spark, sf_dir).withColumn("back", J.try_jnta_decode(J.try_jnta_encode("s", ConversionMode.MEN1)))
+    return own.groupBy("c_nationkey").agg(F.count("*").alias("n"), F.sum((F.col("back") == F.col("s")).cast("long")).alias("n_same"))
+
+
+ROUNDTRIP_SQL = f"SELECT c_nationkey, count(*) AS n, sum(CASE WHEN jis_hex IS NOT NULL THEN 1 END)::BIGINT AS n_same FROM (SELECT c.c_nationkey, e.jis_hex FROM customer c JOIN ({_sql_encode(ConversionMode.MEN1)}) e USING (c_custkey)) GROUP BY c_nationkey"
+
+
+def _translit(**options):
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return corpus.customers(spark, sf_dir).select("c_custkey", "s", J.jnta_shrink_translit("s", **options).alias("shrunk"))
+
+    return query
+
+
+_SHRUNK = {t: TABLE.shrunk(TABLE.by_text[t]) for t in _used()}
+
+
+def _sql_translit(otherwise: str) -> str:
+    return f"SELECT c_custkey, s, coalesce(array_to_string(list_transform({_TOKENS}, lambda x: coalesce({_map(_SHRUNK)}[x], {otherwise})), ''), '') AS shrunk FROM {corpus.CUSTOMERS}"
+
+
+def canonical_customer_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts that meet when shrunk, with the customers of each spelling."""
+    own = corpus.customers(spark, sf_dir).groupBy("s").agg(F.count("*").alias("n"))
+    own = own.withColumn("canonical", J.jnta_shrink_translit("s", passthrough=True))
+    other = own.select("canonical", F.col("s").alias("other"), F.col("n").alias("n_other"))
+    return own.join(other, "canonical").where("s < other").select("canonical", "s", "other", "n", "n_other")
+
+
+CANONICAL_SQL = f"""
+WITH g AS (SELECT s, shrunk AS canonical, count(*) AS n FROM ({_sql_translit('x')}) GROUP BY ALL)
+SELECT a.canonical, a.s, b.s AS other, a.n, b.n AS n_other FROM g a JOIN g b ON a.canonical = b.canonical AND encode(a.s) < encode(b.s)
+"""
+
+
+def dedupe_by_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per shrunken text: customers, spellings, first customer."""
+    own = corpus.customers(spark, sf_dir).withColumn("canonical", J.jnta_shrink_translit("s", passthrough=True))
+    return own.groupBy("canonical").agg(F.count("*").alias("n"), F.countDistinct("s").alias("spellings"), F.min("c_custkey").alias("first_custkey"))
+
+
+DEDUPE_SQL = f"SELECT shrunk AS canonical, count(*) AS n, count(DISTINCT s) AS spellings, min(c_custkey) AS first_custkey FROM ({_sql_translit('x')}) GROUP BY shrunk"
+
+
+def _candidates(combo: int, limit: int = 100):
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        own = corpus.customers(spark, sf_dir).select("c_custkey", "s")
+        found = J.explode_candidates(own, "s", int(combo), limit)
+        return found.select("c_custkey", "s", F.col("ord").cast("long").alias("ord"), "candidate")
+
+    return query
+
+
+def _sql_candidates(combo: int, limit: int = 100) -> str:
+    """By cross products of the tokens' forms, numbered with the first fastest."""
+    forms = {t: candidates.of_token(t, s, int(combo), seed_mj()) for text in corpus.TEXTS for t, s in candidates.tokens(text)}
+    known = "MAP {" + ", ".join(f"{q(k)}: [{', '.join(map(q, v))}]" for k, v in forms.items() if v != [k]) + "}"
+    return f"""
+WITH RECURSIVE t AS (
+  SELECT i, s, list_transform(regexp_extract_all(s, '(?s:.)[\\x{{FE00}}-\\x{{FE0F}}\\x{{E0100}}-\\x{{E01EF}}]?'), lambda x: coalesce({known}[x], [x])) AS f FROM (VALUES {corpus.values()}) v(i, s)
+), r AS (
+  SELECT i, f, 0 AS n, '' AS candidate, 0::BIGINT AS ord, 1::BIGINT AS step FROM t
+  UNION ALL
+  SELECT r.i, r.f, r.n + 1, r.candidate || r.f[r.n + 1][k.k], r.ord + r.step * (k.k - 1), r.step * len(r.f[r.n + 1])
+  FROM r, LATERAL (SELECT unnest(range(1, len(r.f[r.n + 1]) + 1)) AS k) k WHERE r.n < len(r.f)
+)
+SELECT c_custkey, s, ord, candidate FROM {corpus.CUSTOMERS} c JOIN r ON c.i = r.i AND r.n = len(r.f) WHERE ord < {limit}
+"""
+
+
+def candidate_count_by_nation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per nation: customers and all their candidates."""
+    own = corpus.customers(spark, sf_dir).withColumn("k", F.size(J.mj_shrink_candidates("s", int(UNIFICATION | FAMILY_REGISTER))))
+    found = own.groupBy("c_nationkey").agg(F.count("*").alias("n"), F.sum("k").alias("candidates"))
+    nation = spark.read.parquet(f"{sf_dir}/nation.parquet").select("n_nationkey", "n_name")
+    return found.join(nation, found.c_nationkey == nation.n_nationkey).select("n_name", "n", "candidates")
+
+
+CANDIDATE_COUNT_SQL = f"""
+WITH k AS ({_sql_candidates(UNIFICATION | FAMILY_REGISTER)})
+SELECT n_name, count(DISTINCT c_custkey) AS n, count(*) AS candidates FROM k JOIN customer USING (c_custkey) JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name
+"""
+
+
+def jis_class_histogram_by_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per language: characters of all documents by JIS class.
+
+    A class's characters are counted as what ``translate`` takes away, so no
+    row is made for a character.
+    """
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("lang", "text")
+    by_class: dict[int, str] = {}
+    for r in TABLE.singles():
+        by_class[r.cls] = by_class.get(r.cls, "") + r.us
+    counts = [F.sum(F.length("text") - F.length(F.translate("text", chars, ""))).alias(f"class_{cls}") for cls, chars in sorted(by_class.items())]
+    return docs.groupBy("lang").agg(F.sum(F.length("text")).alias("chars"), *counts)
+
+
+_IN_DOCS = {cls: "".join(r.us for r in TABLE.singles() if r.cls == cls and ord(r.us) < 0x2000) for cls in sorted({r.cls for r in TABLE.singles()})}
+HISTOGRAM_SQL = (
+    "SELECT lang, sum(len(text))::BIGINT AS chars, "
+    + ", ".join(f"sum(len(text) - len(translate(text, {q(chars)}, '')))::BIGINT AS class_{cls}" if chars else f"0::BIGINT AS class_{cls}" for cls, chars in _IN_DOCS.items())
+    + " FROM documents GROUP BY lang"
+)
+
+
+def men_ku_ten_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Packed numbers of men-ku-ten texts made of the orders' keys, and back."""
+    key = F.col("o_orderkey")
+    text = F.concat_ws("-", (key % 3 + 1).cast("string"), (key % 97).cast("string"), (key % 95).cast("string"))
+    own = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", text.alias("t"))
+    own = own.withColumn("jis", J.parse_men_ku_ten("t"))
+    return own.select("o_orderkey", "t", F.col("jis").cast("long").alias("jis"), F.when(F.col("jis").isNotNull(), J.men_ku_ten("jis")).alias("back"))
+
+
+MEN_KU_TEN_SQL = """
+WITH p AS (SELECT o_orderkey, o_orderkey % 3 + 1 AS m, o_orderkey % 97 AS k, o_orderkey % 95 AS t FROM orders)
+SELECT o_orderkey, concat_ws('-', m, k, t) AS t,
+       CASE WHEN m <= 2 AND k BETWEEN 1 AND 94 AND t BETWEEN 1 AND 94 THEN (m - 1) * 8836 + (k - 1) * 94 + t - 1 END::BIGINT AS jis,
+       CASE WHEN m <= 2 AND k BETWEEN 1 AND 94 AND t BETWEEN 1 AND 94 THEN concat_ws('-', m, k, t) END AS back
+FROM p
+"""
+
+
+def uni_seq_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Code points of sequences written as U+XXXX, and variation selectors among them."""
+    own = spark.read.parquet(f"{sf_dir}/supplier.parquet").select("s_suppkey")
+    u = F.col("s_suppkey") * 977 % 917999
+    own = own.withColumn("t", F.concat(F.lit("U+"), F.hex(u), F.lit("  u+"), F.lower(F.hex(u + 240))))
+    found = own.withColumn("a", J.parse_code_points("t"))
+    vs = J.selector_number(F.col("a")[0])
+    return found.select("s_suppkey", "t", F.col("a")[0].cast("long").alias("first"), F.col("a")[1].cast("long").alias("second"), vs.cast("long").alias("selector"), J.selector_code_point(vs).cast("long").alias("back"))
+
+
+UNI_SEQ_SQL = """
+WITH s AS (SELECT s_suppkey, s_suppkey * 977 % 917999 AS u FROM supplier),
+v AS (SELECT *, CASE WHEN u BETWEEN 65024 AND 65039 THEN u - 65024 WHEN u BETWEEN 917760 AND 917999 THEN u - 917760 + 16 END AS n FROM s)
+SELECT s_suppkey, 'U+' || upper(to_hex(u)) || '  u+' || lower(to_hex(u + 240)) AS t, u::BIGINT AS first, (u + 240)::BIGINT AS second,
+       n::BIGINT AS selector, (CASE WHEN n IS NOT NULL THEN u END)::BIGINT AS back
+FROM v
+"""
+
+
+def jis_map(spark: SparkSession) -> DataFrame:
+    """T1 of the table in use."""
+    rows = [(r.jis, list(map(ord, r.us)), list(map(ord, r.sus)), r.cls, list(r.tx_jis), list(map(ord, r.tx_us))) for r in TABLE.rows.values()]
+    return spark.createDataFrame(rows, "jis int, us array<int>, sus array<int>, class int, tx_jis array<int>, tx_us array<int>")
+
+
+def mj_map(spark: SparkSession) -> DataFrame:
+    """T4 of the table in use."""
+    return spark.createDataFrame([(mj, i, v) for i, (mj, v) in enumerate(seed_mj().variants.items())], "mj int, ord int, v array<struct<u:int,s:smallint>>")
+
+
+def refdata_densify(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All slots of the JIS table with their classes; free ones are reserved."""
+    return relational.densify(jis_map(spark).select("jis", "class"), "jis", {"class": 0}).select(F.col("jis").cast("long").alias("jis"), F.col("class").cast("long").alias("class"))
+
+
+def _runs() -> list[tuple[int, int, int]]:
+    out: list[list[int]] = []
+    for jis in sorted(TABLE.rows):
+        cls = TABLE.rows[jis].cls
+        if out and out[-1][1] == jis - 1 and out[-1][2] == cls:
+            out[-1][1] = jis
+        else:
+            out.append([jis, jis, cls])
+    return [tuple(x) for x in out]
+
+
+DENSIFY_SQL = "SELECT r.i AS jis, coalesce(c, 0)::BIGINT AS class FROM range(17672) r(i) LEFT JOIN (VALUES " + ", ".join(map(str, _runs())) + ") v(a, b, c) ON r.i BETWEEN a AND b"
+
+
+def refdata_gaps_islands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ranges of code points in the table, joined over gaps below 256."""
+    found = relational.islands(relational.singles(jis_map(spark)), "u", 256)
+    return found.select(F.col("first").cast("long").alias("first_u"), F.col("last").cast("long").alias("last_u"), F.col("n").alias("n"))
+
+
+def _points() -> str:
+    """The table's code points as ranges without gaps."""
+    out: list[list[int]] = []
+    for u in sorted(ord(r.us) for r in TABLE.singles()):
+        if out and out[-1][1] == u - 1:
+            out[-1][1] = u
+        else:
+            out.append([u, u])
+    return ", ".join(f"({a}, {b})" for a, b in out)
+
+
+ISLANDS_SQL = f"""
+WITH p AS (SELECT unnest(range(a, b + 1)) AS u FROM (VALUES {_points()}) v(a, b)),
+g AS (SELECT u, sum(CASE WHEN u - was < 256 THEN 0 ELSE 1 END) OVER (ORDER BY u) AS k FROM (SELECT u, lag(u) OVER (ORDER BY u) AS was FROM p))
+SELECT min(u) AS first_u, max(u) AS last_u, count(*) AS n FROM g GROUP BY k
+"""
+
+
+def refdata_reverse_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pair leads with their second characters, in the table's order."""
+    found = relational.pairs_by_lead(jis_map(spark))
+    listed = F.array_join(F.transform("seconds", lambda x: F.concat_ws(":", x["u1"].cast("string"), x["jis"].cast("string"))), ",")
+    return found.select(F.col("u0").cast("long").alias("u0"), listed.alias("seconds"))
+
+
+REVERSE_SQL = (
+    "SELECT a::BIGINT AS u0, string_agg(b || ':' || j, ',' ORDER BY j) AS seconds FROM (VALUES "
+    + ", ".join(f"({ord(r.us[0])}, {ord(r.us[1])}, {r.jis})" for r in TABLE.pairs)
+    + ") v(a, b, j) GROUP BY a"
+)
+
+
+def refdata_u_to_mj(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """MJ codes of each code point, each once, in order."""
+    found = relational.by_code_point(mj_map(spark)).groupBy("u").agg(F.array_sort(F.collect_list(F.struct("ord", "mj"))).alias("l"))
+    return found.select(F.col("u").cast("long").alias("u"), F.array_join(F.transform("l", lambda x: x["mj"].cast("string")), ",").alias("mjs"))
+
+
+U_TO_MJ_SQL = (
+    "SELECT u::BIGINT AS u, string_agg(mj, ',' ORDER BY o) AS mjs FROM (SELECT DISTINCT u, o, mj FROM (VALUES "
+    + ", ".join(f"({u}, {i}, {mj})" for i, (mj, v) in enumerate(seed_mj().variants.items()) for u, _ in v)
+    + ") v(u, o, mj)) GROUP BY u"
+)
+
+
+def _write(spark: SparkSession, name: str, data: bytes) -> str:
+    """Puts a small file into the folder that all executors share."""
+    import uuid
+
+    from pyarrow import fs
+
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not folder:
+        import tempfile
+
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        folder = tempfile.mkdtemp()
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/{uuid.uuid4().hex}/{name}")
+    uri = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    system, base = fs.FileSystem.from_uri(uri)
+    system.create_dir(base.rpartition("/")[0], recursive=True)
+    with system.open_output_stream(base) as f:
+        f.write(data)
+    return uri
+
+
+def workbook(rows: list[list[str | None]]) -> bytes:
+    """A small XLSX workbook with shared strings, for examples and tests."""
+    from xml.sax.saxutils import escape
+
+    strings = list(dict.fromkeys(c for row in rows for c in row if c is not None))
+    at = {s: i for i, s in enumerate(strings)}
+    ns = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+
+    def name(i: int) -> str:
+        return (chr(64 + i // 26) if i >= 26 else "") + chr(65 + i % 26)
+
+    body = "".join(f'<row r="{r}">' + "".join(f'<c r="{name(i)}{r}" t="s"><v>{at[c]}</v></c>' for i, c in enumerate(row) if c is not None) + "</row>" for r, row in enumerate(rows, 1))
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr("xl/sharedStrings.xml", f"<sst {ns}>" + "".join(f"<si><t>{escape(s)}</t></si>" for s in strings) + "</sst>")
+        z.writestr("xl/worksheets/sheet1.xml", f"<worksheet {ns}><sheetData>{body}</sheetData></worksheet>")
+    return out.getvalue()
+
+
+SHEET = [["head", None, "x"], ["1-4-84", "U+3094", None, "追加非漢字"], [None, "B3"], ["1-8-33", "U+3251", "㉑", "追加非漢字"]]
+
+
+def xlsx_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of a workbook."""
+    rows = ingest.sheet(spark, _write(spark, "book.xlsx", workbook(SHEET)))
+    return rows.select(F.col("row_no").cast("long").alias("row_no"), F.array_join(F.transform("cells", lambda c: F.coalesce(c, F.lit("-"))), "|").alias("cells"))
+
+
+XLSX_SQL = "SELECT i::BIGINT AS row_no, c AS cells FROM (VALUES " + ", ".join(f"({i}, {q('|'.join('-' if c is None else c for c in r))})" for i, r in enumerate(SHEET, 1)) + ") v(i, c)"
+
+SHRINK_JSON = [("MJ028902", {0: ["U+9AD8"]}), ("MJ900002", {3: ["U+8FBA", "U+908A"]}), ("MJ900001", {})]
+
+
+def mj_json_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shrink targets of a JSON file."""
+    content = [{ingest.MJ_NAME: mj} | {ingest.SCHEME_LABELS[k]: [{"UCS": u} for u in us] for k, us in s.items()} for mj, s in SHRINK_JSON]
+    path = _write(spark, "shrink.json", json.dumps({"content": content}, ensure_ascii=False).encode())
+    return ingest.mj_shrink_rows(spark, path).select(*[F.col(c).cast("long").alias(c) for c in ("mj", "scheme", "ord", "u")])
+
+
+MJ_JSON_SQL = "SELECT m::BIGINT AS mj, s::BIGINT AS scheme, o::BIGINT AS ord, u::BIGINT AS u FROM (VALUES " + ", ".join(f"({int(mj[2:])}, {k}, {o}, {int(u[2:], 16)})" for mj, s in SHRINK_JSON for k, us in s.items() for o, u in enumerate(us)) + ") v(m, s, o, u)"
+
+
+def stream_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The example texts as a stream of single characters, by customer nation;
+    what the parts give, joined, is the bytes of the whole."""
+    from jisfold.streaming.encoder import encode_stream
+
+    texts = [t for t in corpus.TEXTS if t and all(u in TABLE.by_text for u in t if u not in TABLE.seconds)]
+    rows = [(str(i), n, c, n == len(t) - 1) for i, t in enumerate(texts) for n, c in enumerate(t)]
+    folder = _write(spark, "parts.json", "\n".join(json.dumps(dict(zip(("stream_id", "seq", "text", "final"), r, strict=True))) for r in rows).encode()).rpartition("/")[0]
+    parts = spark.readStream.schema("stream_id string, seq long, text string, final boolean").json(folder)
+    name = "stream_" + folder.rpartition("/")[2]
+    run = encode_stream(parts, ConversionMode.SISO).writeStream.outputMode("append").format("memory").queryName(name).option("checkpointLocation", folder + "-state").trigger(availableNow=True).start()
+    run.awaitTermination()
+    found = spark.table(name)
+    hexes = F.transform(F.array_sort(F.collect_list(F.struct("seq", F.hex("bytes").alias("h")))), lambda x: x["h"])
+    return found.groupBy(F.col("stream_id").cast("long").alias("stream_id")).agg(F.array_join(hexes, "").alias("jis_hex"), F.count("reason").alias("errors"))
+
+
+QUERIES = {
+    "encode_men1": _encode(ConversionMode.MEN1),
+    "encode_jisx0208": _encode(ConversionMode.JISX0208),
+    "encode_jisx0208_translit": _encode(ConversionMode.JISX0208_TRANSLIT),
+    "encode_siso": encode_siso,
+    "try_encode_unmapped": try_encode_unmapped,
+    "encode_error_position": encode_error_position,
+    "fullwidth_part_names": fullwidth_part_names,
+    "fullwidth_documents": fullwidth_documents,
+    "decode_plane1": decode_plane1,
+    "decode_invalid": decode_invalid,
+    "roundtrip": roundtrip,
+    "translit_default": _translit(),
+    "translit_passthrough": _translit(passthrough=True),
+    "translit_replacement": _translit(replacement="[?]"),
+    "canonical_customer_join": canonical_customer_join,
+    "dedupe_by_canonical": dedupe_by_canonical,
+    "mj_candidates_exploded": _candidates(FAMILY_REGISTER),
+    "mj_candidates_limit": _candidates(UNIFICATION | FAMILY_REGISTER, 1),
+    "mj_combo_schemes": _candidates(C(15)),
+    "candidate_count_by_nation": candidate_count_by_nation,
+    "jis_class_histogram_by_lang": jis_class_histogram_by_lang,
+    "men_ku_ten_parse": men_ku_ten_parse,
+    "uni_seq_parse": uni_seq_parse,
+    "refdata_densify": refdata_densify,
+    "refdata_gaps_islands": refdata_gaps_islands,
+    "refdata_reverse_pairs": refdata_reverse_pairs,
+    "refdata_u_to_mj": refdata_u_to_mj,
+    "xlsx_scan": xlsx_scan,
+    "mj_json_scan": mj_json_scan,
+    "stream_encode": stream_encode,
+}
+
+ORACLES = {
+    "encode_men1": _sql_encode(ConversionMode.MEN1),
+    "encode_jisx0208": _sql_encode(ConversionMode.JISX0208),
+    "encode_jisx0208_translit": _sql_encode(ConversionMode.JISX0208_TRANSLIT),
+    "encode_siso": SISO_SQL,
+    "try_encode_unmapped": UNMAPPED_SQL,
+    "encode_error_position": ERROR_SQL,
+    "fullwidth_part_names": FULLWIDTH_SQL,
+    "fullwidth_documents": FULLWIDTH_DOCS_SQL,
+    "decode_plane1": DECODE_SQL,
+    "decode_invalid": DECODE_INVALID_SQL,
+    "roundtrip": ROUNDTRIP_SQL,
+    "translit_default": _sql_translit("'�'"),
+    "translit_passthrough": _sql_translit("x"),
+    "translit_replacement": _sql_translit("'[?]'"),
+    "canonical_customer_join": CANONICAL_SQL,
+    "dedupe_by_canonical": DEDUPE_SQL,
+    "mj_candidates_exploded": _sql_candidates(FAMILY_REGISTER),
+    "mj_candidates_limit": _sql_candidates(UNIFICATION | FAMILY_REGISTER, 1),
+    "mj_combo_schemes": _sql_candidates(C(15)),
+    "candidate_count_by_nation": CANDIDATE_COUNT_SQL,
+    "jis_class_histogram_by_lang": HISTOGRAM_SQL,
+    "men_ku_ten_parse": MEN_KU_TEN_SQL,
+    "uni_seq_parse": UNI_SEQ_SQL,
+    "refdata_densify": DENSIFY_SQL,
+    "refdata_gaps_islands": ISLANDS_SQL,
+    "refdata_reverse_pairs": REVERSE_SQL,
+    "refdata_u_to_mj": U_TO_MJ_SQL,
+    "xlsx_scan": XLSX_SQL,
+    "mj_json_scan": MJ_JSON_SQL,
+}
