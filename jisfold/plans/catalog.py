@@ -126,14 +126,14 @@ FROM part
 def fullwidth_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents in full-width form: bytes of those that plane 1 can write."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.translate("text", corpus.ASCII, corpus.FULL_WIDTH).alias("wide"))
-    coded = docs.select("doc_id", F.octet_length(J.try_jnta_encode(F.replace("wide", F.lit("\n"), F.lit("")), ConversionMode.MEN1)).cast("long").alias("jis_bytes"))
+    coded = docs.select("doc_id", F.coalesce(F.octet_length(J.try_jnta_encode(F.replace("wide", F.lit("\n"), F.lit("")), ConversionMode.MEN1)), F.lit(-1)).cast("long").alias("jis_bytes"))
     return coded
 
 
 _LATIN = "".join(u for u, r in TABLE.by_text.items() if len(u) == 1 and ord(u) < 0x250 and r.plane == 1)
 _MISSING = "".join(c for c in map(chr, range(0x80, 0x250)) if c not in _LATIN)
 FULLWIDTH_DOCS_SQL = f"""
-SELECT doc_id, CASE WHEN regexp_matches(t, '[\\x00-\\x20]') OR len(translate(t, {q(_MISSING)}, '')) < len(t) THEN NULL ELSE 2 * len(t) END::BIGINT AS jis_bytes
+SELECT doc_id, CASE WHEN regexp_matches(t, '[\\x00-\\x20]') OR len(translate(t, {q(_MISSING)}, '')) < len(t) THEN -1 ELSE 2 * len(t) END::BIGINT AS jis_bytes
 FROM (SELECT doc_id, replace(translate(text, ' ', '　'), chr(10), '') AS t FROM documents)
 """
 
@@ -158,12 +158,12 @@ def decode_invalid(spark: SparkSession, sf_dir: str) -> DataFrame:
     data = spark.createDataFrame([(i, h) for i, (h, *_) in enumerate(BAD_BYTES)], "i int, jis_hex string")
     own = nation.join(F.broadcast(data), F.col("n_nationkey") % len(BAD_BYTES) == F.col("i"))
     own = own.withColumn("e", J.jnta_decode_with_error(F.unhex("jis_hex")))
-    return own.select(F.col("n_nationkey").cast("long").alias("n_nationkey"), "jis_hex", "e.reason", F.col("e.start").cast("long").alias("start_pos"), F.col("e.end").cast("long").alias("end_pos"))
+    return own.select(F.col("n_nationkey").cast("long").alias("n_nationkey"), "jis_hex", "e.reason", F.coalesce(F.col("e.start"), F.lit(-1)).cast("long").alias("start_pos"), F.coalesce(F.col("e.end"), F.lit(-1)).cast("long").alias("end_pos"))
 
 
 DECODE_INVALID_SQL = (
     "SELECT n_nationkey::BIGINT AS n_nationkey, jis_hex, reason::VARCHAR AS reason, start_pos::BIGINT AS start_pos, end_pos::BIGINT AS end_pos FROM nation JOIN (VALUES "
-    + ", ".join(f"({i}, {q(h)}, {q(r) if r else 'NULL'}, {a if a is not None else 'NULL'}, {b if b is not None else 'NULL'})" for i, (h, r, a, b) in enumerate(BAD_BYTES))
+    + ", ".join(f"({i}, {q(h)}, {q(r) if r else 'NULL'}, {a if a is not None else -1}, {b if b is not None else -1})" for i, (h, r, a, b) in enumerate(BAD_BYTES))
     + f") v(i, jis_hex, reason, start_pos, end_pos) ON n_nationkey % {len(BAD_BYTES)} = i"
 )
 
@@ -171,10 +171,10 @@ DECODE_INVALID_SQL = (
 def roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per nation: customers' texts that come back from plane-1 bytes."""
     own = corpus.customers(spark, sf_dir).withColumn("back", J.try_jnta_decode(J.try_jnta_encode("s", ConversionMode.MEN1)))
-    return own.groupBy("c_nationkey").agg(F.count("*").alias("n"), F.sum((F.col("back") == F.col("s")).cast("long")).alias("n_same"))
+    return own.groupBy("c_nationkey").agg(F.count("*").alias("n"), F.sum(F.coalesce(F.col("back") == F.col("s"), F.lit(False)).cast("long")).alias("n_same"))
 
 
-ROUNDTRIP_SQL = f"SELECT c_nationkey, count(*) AS n, sum(CASE WHEN jis_hex IS NOT NULL THEN 1 END)::BIGINT AS n_same FROM (SELECT c.c_nationkey, e.jis_hex FROM customer c JOIN ({_sql_encode(ConversionMode.MEN1)}) e USING (c_custkey)) GROUP BY c_nationkey"
+ROUNDTRIP_SQL = f"SELECT c_nationkey, count(*) AS n, sum(CASE WHEN jis_hex IS NOT NULL THEN 1 ELSE 0 END)::BIGINT AS n_same FROM (SELECT c.c_nationkey, e.jis_hex FROM customer c JOIN ({_sql_encode(ConversionMode.MEN1)}) e USING (c_custkey)) GROUP BY c_nationkey"
 
 
 def _translit(**options):
@@ -282,13 +282,13 @@ def men_ku_ten_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.concat_ws("-", (key % 3 + 1).cast("string"), (key % 97).cast("string"), (key % 95).cast("string"))
     own = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", text.alias("t"))
     own = own.withColumn("jis", J.parse_men_ku_ten("t"))
-    return own.select("o_orderkey", "t", F.col("jis").cast("long").alias("jis"), F.when(F.col("jis").isNotNull(), J.men_ku_ten("jis")).alias("back"))
+    return own.select("o_orderkey", "t", F.coalesce("jis", F.lit(-1)).cast("long").alias("jis"), F.when(F.col("jis").isNotNull(), J.men_ku_ten("jis")).alias("back"))
 
 
 MEN_KU_TEN_SQL = """
 WITH p AS (SELECT o_orderkey, o_orderkey % 3 + 1 AS m, o_orderkey % 97 AS k, o_orderkey % 95 AS t FROM orders)
 SELECT o_orderkey, concat_ws('-', m, k, t) AS t,
-       CASE WHEN m <= 2 AND k BETWEEN 1 AND 94 AND t BETWEEN 1 AND 94 THEN (m - 1) * 8836 + (k - 1) * 94 + t - 1 END::BIGINT AS jis,
+       CASE WHEN m <= 2 AND k BETWEEN 1 AND 94 AND t BETWEEN 1 AND 94 THEN (m - 1) * 8836 + (k - 1) * 94 + t - 1 ELSE -1 END::BIGINT AS jis,
        CASE WHEN m <= 2 AND k BETWEEN 1 AND 94 AND t BETWEEN 1 AND 94 THEN concat_ws('-', m, k, t) END AS back
 FROM p
 """
@@ -301,14 +301,14 @@ def uni_seq_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = own.withColumn("t", F.concat(F.lit("U+"), F.hex(u), F.lit("  u+"), F.lower(F.hex(u + 240))))
     found = own.withColumn("a", J.parse_code_points("t"))
     vs = J.selector_number(F.col("a")[0])
-    return found.select("s_suppkey", "t", F.col("a")[0].cast("long").alias("first"), F.col("a")[1].cast("long").alias("second"), vs.cast("long").alias("selector"), J.selector_code_point(vs).cast("long").alias("back"))
+    return found.select("s_suppkey", "t", F.col("a")[0].cast("long").alias("first"), F.col("a")[1].cast("long").alias("second"), F.coalesce(vs, F.lit(-1)).cast("long").alias("selector"), F.coalesce(J.selector_code_point(vs), F.lit(-1)).cast("long").alias("back"))
 
 
 UNI_SEQ_SQL = """
 WITH s AS (SELECT s_suppkey, s_suppkey * 977 % 917999 AS u FROM supplier),
 v AS (SELECT *, CASE WHEN u BETWEEN 65024 AND 65039 THEN u - 65024 WHEN u BETWEEN 917760 AND 917999 THEN u - 917760 + 16 END AS n FROM s)
 SELECT s_suppkey, 'U+' || upper(to_hex(u)) || '  u+' || lower(to_hex(u + 240)) AS t, u::BIGINT AS first, (u + 240)::BIGINT AS second,
-       n::BIGINT AS selector, (CASE WHEN n IS NOT NULL THEN u END)::BIGINT AS back
+       coalesce(n, -1)::BIGINT AS selector, (CASE WHEN n IS NOT NULL THEN u ELSE -1 END)::BIGINT AS back
 FROM v
 """
 
