@@ -221,7 +221,9 @@ def select(rows: DataFrame, plan: dict, doc_id: str) -> DataFrame:
     cut = cut.where((F.col("before") <= F.col("rest")) & (F.col("before") + F.col("words") > F.col("rest")))
     cut = cut.groupBy("pattern").agg(F.max_by(F.struct("bucket", "before"), "bucket").alias("c")).select("pattern", F.col("c.bucket").alias("cut"), F.col("c.before").alias("before"))
     bounds = common.stash(quota.join(cut, "pattern", "left"), "mix-bounds")
-    marked = rows.join(bounds, "pattern")
+    # a row for each pattern, MAX_PATTERNS at most, goes to all tasks: a source with
+    # very many documents is not brought together in one
+    marked = rows.join(F.broadcast(bounds), "pattern")
     below = F.col("cut").isNull() | (F.col("bucket") < F.col("cut"))
     edge = marked.where(F.col("bucket") == F.col("cut"))
     up_to = F.sum("size").over(Window.partitionBy("pattern").orderBy("order", "tie", "size"))
@@ -231,9 +233,9 @@ def select(rows: DataFrame, plan: dict, doc_id: str) -> DataFrame:
     # then the largest document that fits into what is left, first in seeded order
     gap = chosen.groupBy("pattern").agg((F.max("rest") - F.sum(F.col("size") * F.col("more"))).alias("gap"))
     gap = common.stash(gap, "mix-gaps")
-    fits = chosen.where("more = 0 and size > 0").join(gap, "pattern").where(F.col("size") <= F.col("gap"))
+    fits = chosen.where("more = 0 and size > 0").join(F.broadcast(gap), "pattern").where(F.col("size") <= F.col("gap"))
     last = fits.groupBy("pattern").agg(F.min(F.struct((-F.col("size")).alias("neg"), "order", "tie")).alias("last"))
-    out = chosen.join(last, "pattern", "left")
+    out = chosen.join(F.broadcast(last), "pattern", "left")
     is_last = F.coalesce((F.col("more") == 0) & (F.struct((-F.col("size")).alias("neg"), "order", "tie") == F.col("last")), F.lit(False))
     copies = F.when(F.col("size") > 0, F.col("whole") + F.col("more") + is_last.cast("long")).otherwise(0)
     return out.select(doc_id, "size", "pattern", copies.alias("copies"), (copies * F.col("size")).alias("taken"), "order", "tie")

@@ -23,7 +23,7 @@ def op2_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text", "source")
     taken, plan = mixing.mix(docs, F.array("source"), (5, 2, 1), 1.0, 3)
     sources = spark.createDataFrame([(n, x["size"], x["target"]) for n, x in plan["sources"].items()], "name string, source_size long, target double")
-    found = taken.join(sources, F.col("pattern")[0] == F.col("name"))
+    found = taken.join(F.broadcast(sources), F.col("pattern")[0] == F.col("name"))
     return found.select("doc_id", "size", "source_size", "target", "taken")
 
 
