@@ -47,8 +47,8 @@ def _byte_letters() -> dict[str, int]:
     return {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(others)}
 
 
-class ByteBPE:
-    """Encoder and decoder of one vocabulary file (tokenizers' JSON format)."""
+class Vocabulary:
+    """The tokens of one vocabulary file (tokenizers' JSON format)."""
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
@@ -57,15 +57,35 @@ class ByteBPE:
         if model["type"] != "BPE" or spec["normalizer"] or spec["pre_tokenizer"]["type"] != "ByteLevel" or spec["pre_tokenizer"]["add_prefix_space"]:
             raise ValueError(f"{path} is no plain byte-level BPE")
         letters = _byte_letters()
-        ids = {bytes(letters[c] for c in word): i for word, i in model["vocab"].items()}
+        self.ids = {bytes(letters[c] for c in word): i for word, i in model["vocab"].items()}
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.bytes_of = {i: b for b, i in ids.items()} | {i: s.encode() for s, i in self.special.items()}
+        self.merges = []
+        for pair in model["merges"]:
+            left, right = pair.split(" ") if isinstance(pair, str) else pair
+            self.merges.append((bytes(letters[c] for c in left), bytes(letters[c] for c in right)))
+
+
+class Decoder:
+    """Texts of ids."""
+
+    def __init__(self, path: str):
+        own = Vocabulary(path)
+        self.bytes_of = {i: b for b, i in own.ids.items()} | {i: s.encode() for s, i in own.special.items()}
+
+    def decode(self, ids: bytes) -> str:
+        """The text of little-endian ids; bytes that are no UTF-8 become U+FFFD."""
+        return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace")
+
+
+class ByteBPE:
+    """Encoder of one vocabulary file."""
+
+    def __init__(self, path: str):
+        own = Vocabulary(path)
+        ids, self.special = own.ids, own.special
         # rank at which a token is formed (-1: a byte), and the halves it is formed from
         self.rank, self.halves, self.merged = {}, {}, {}
-        spell = lambda w: bytes(letters[c] for c in w)
-        for rank, pair in enumerate(model["merges"]):
-            left, right = pair.split(" ") if isinstance(pair, str) else pair
-            a, b = spell(left), spell(right)
+        for rank, (a, b) in enumerate(own.merges):
             made = ids[a + b]
             if made in self.halves:
                 raise ValueError(f"two merges form the token {made}")
@@ -155,10 +175,6 @@ class ByteBPE:
         """The ids of a text as little-endian unsigned 32-bit integers."""
         return b"".join(map(self.remembered.__getitem__, chunks(text)))
 
-    def decode(self, ids: bytes) -> str:
-        """The text of such ids; bytes that are no UTF-8 become U+FFFD."""
-        return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace")
-
 
 @lru_cache(maxsize=2)
 def loaded(path: str) -> ByteBPE:
@@ -166,6 +182,12 @@ def loaded(path: str) -> ByteBPE:
     return ByteBPE(path)
 
 
+@lru_cache(maxsize=2)
+def loaded_decoder(path: str) -> Decoder:
+    """One decoder for all tasks of a Python worker; far smaller than an encoder."""
+    return Decoder(path)
+
+
 def bpe_encode(df: DataFrame, path: str, text: str = "text", ids: str = "token_ids", count: str = "n_tokens") -> DataFrame:
     """Adds the ids (little-endian unsigned 32-bit integers) and their number.
 
@@ -188,7 +210,7 @@ def bpe_decode(df: DataFrame, path: str, ids: str = "token_ids", out: str = "dec
     """Adds the text of the ids that bpe_encode wrote; null ids decode as empty."""
 
     def make():
-        bpe = loaded(path)
+        bpe = loaded_decoder(path)
         return lambda batch: [[bpe.decode(x or b"") for x in batch.column(ids).to_pylist()]]
 
     return common.append_columns(df, T.StructType([T.StructField(out, T.StringType())]), make)
