@@ -27,7 +27,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 from itertools import combinations
-from math import comb
+from math import acos, comb, pi, sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -44,6 +44,8 @@ SEED = 42
 SHARD = 4096
 #: Below so many fingerprints a BK-tree's node keeps its subtree as a list.
 LEAF = 24
+#: Bytes of a sketch's band.
+BAND = 2
 #: Shingles hashed at once of a long text.
 BLOCK = 1 << 16
 
@@ -80,8 +82,46 @@ def fingerprints(df: DataFrame, shingle: int = 5, text: str = "text", out: str =
     return common.append_columns(df, T.StructType([T.StructField(out, T.LongType())]), make)
 
 
+def sketch(data: bytes, shingle: int, words: int, seed: int = SEED) -> bytes:
+    """A SimHash of ``words`` times 64 bits; its bits come from mixes of each
+    shingle's hash."""
+    own = data.lower().split()
+    n = len(own)
+    if not n:
+        return bytes(8 * words)
+    joined = b" ".join(own)
+    ends = np.cumsum(np.fromiter(map(len, own), np.int64, n) + 1) - 1
+    starts = np.concatenate(([0], ends[:-1] + 1))
+    first, last = starts[: max(1, n - shingle + 1)].tolist(), ends[min(n, shingle) - 1 :].tolist()
+    digest, ones = xxhash.xxh64_intdigest, np.zeros(64 * words, np.int64)
+    step = max(1, BLOCK // words)
+    for at in range(0, len(first), step):
+        h = np.array([digest(joined[a:b], seed) for a, b in zip(first[at : at + step], last[at : at + step], strict=True)], np.uint64)
+        h = h[:, None] + np.arange(1, words + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            h = (h ^ (h >> np.uint64(shift))) * np.uint64(factor)
+        h ^= h >> np.uint64(31)
+        bits = np.unpackbits(h.view(np.uint8).reshape(len(h), -1), axis=1)
+        # sums of up to 255 rows fit a byte
+        for part in range(0, len(bits), 255):
+            ones += np.add.reduce(bits[part : part + 255], axis=0, dtype=np.uint8)
+    return np.packbits(2 * ones > len(first)).tobytes()
+
+
+def sketches(df: DataFrame, words: int, shingle: int = 5, text: str = "text", out: str = "fp") -> DataFrame:
+    """Adds the sketch, a binary column.  No shuffle."""
+    return common.append_columns(df, T.StructType([T.StructField(out, T.BinaryType())]), lambda: lambda batch: [[sketch(x, shingle, words) for x in common.raw_texts(batch, text)]])
+
+
+def radius_of(similarity: float, bits: int) -> int:
+    """Differing bits of two texts whose sets of shingles have that Jaccard
+    similarity: the mean and one standard deviation."""
+    p = acos(2 * similarity / (1 + similarity)) / pi
+    return int(bits * p + sqrt(bits * p * (1 - p)))
+
+
 class BKTree:
-    """A BK-tree over distinct 64-bit values; searches go in batches.
+    """A BK-tree over distinct values of 64 bits or more; searches go in batches.
 
     A node is (value's index, {distance: child}); a child is a node or, when
     its subtree is small, an array of indexes.
@@ -91,6 +131,11 @@ class BKTree:
         self.values = values
         self.root = self._grown(np.arange(len(values)))
 
+    def _far(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Hamming distances; the words of longer values are the last axis."""
+        bits = np.bitwise_count(a ^ b)
+        return bits.astype(np.int16) if self.values.ndim == 1 else bits.sum(-1, dtype=np.int16)
+
     def _grown(self, members: np.ndarray):
         """Builds without recursion: a tree may be as deep as a chain."""
         top: dict[int, object] = {}
@@ -101,13 +146,13 @@ class BKTree:
                 parent[key] = own
                 continue
             head, rest = own[0], own[1:]
-            apart = np.bitwise_count(self.values[rest] ^ self.values[head])
+            far = self._far(self.values[rest], self.values[head])
             children: dict[int, object] = {}
             parent[key] = (head, children)
-            order = np.argsort(apart, kind="stable")
-            cuts = np.flatnonzero(np.diff(apart[order])) + 1
+            order = np.argsort(far, kind="stable")
+            cuts = np.flatnonzero(np.diff(far[order])) + 1
             for part in np.split(order, cuts):
-                todo.append((children, int(apart[part[0]]), rest[part]))
+                todo.append((children, int(far[part[0]]), rest[part]))
         return top[0]
 
     def search(self, queries: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -116,18 +161,18 @@ class BKTree:
         while todo:
             node, asked = todo.pop()
             if isinstance(node, np.ndarray):
-                near = np.bitwise_count(queries[asked][:, None] ^ self.values[node][None, :]) <= radius
+                near = self._far(queries[asked][:, None], self.values[node][None, :]) <= radius
                 q, v = np.nonzero(near)
                 if len(q):
                     yield asked[q], node[v]
                 continue
             head, children = node
-            apart = np.bitwise_count(queries[asked] ^ self.values[head]).astype(np.int16)
-            hit = asked[apart <= radius]
+            far = self._far(queries[asked], self.values[head])
+            hit = asked[far <= radius]
             if len(hit):
                 yield hit, np.full(len(hit), head)
             for key, child in children.items():
-                on = asked[np.abs(apart - key) <= radius]
+                on = asked[np.abs(far - key) <= radius]
                 if len(on):
                     todo.append((child, on))
 
@@ -192,13 +237,31 @@ def links(nodes: DataFrame, radius: int) -> DataFrame:
     masks = block_plan(nodes.count(), radius)
     keys = F.array(*[F.struct(F.lit(i).alias("band"), F.col("fp").bitwiseAND(F.lit(m).cast("long")).alias("key")) for i, m in enumerate(masks)])
     rows = nodes.select("fp", F.explode(keys).alias("k")).select("fp", "k.band", "k.key")
+    return _in_shards(rows, radius)
+
+
+def sketch_links(nodes: DataFrame, words: int, radius: int) -> DataFrame:
+    """Links (a, b) between distinct sketches that share a band of BAND bytes.
+
+    nodes: a binary column fp.  Two texts whose similarity is that of the
+    radius's mean share one of 40 bands of 16 bits with a chance of 95 %,
+    more similar ones almost surely (0.99 from 0.85 on).
+    """
+    bands = F.sequence(F.lit(0), F.lit(8 * words // BAND - 1))
+    rows = nodes.select("fp", F.posexplode(F.transform(bands, lambda i: F.conv(F.hex(F.substring(F.col("fp"), i * BAND + 1, F.lit(BAND))), 16, 10).cast("long"))).alias("band", "key"))
+    return _in_shards(rows, radius)
+
+
+def _in_shards(rows: DataFrame, radius: int) -> DataFrame:
+    """Brings the rows (band, key, fp) of each shard together and links them."""
     large = rows.groupBy("band", "key").count().where(F.col("count") > SHARD).select("band", "key", F.ceil(F.col("count") / SHARD).cast("int").alias("parts"))
     rows = rows.join(large, ["band", "key"], "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
     rows = rows.withColumn("part", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.expr("sequence(0, parts - 1)")))
     rows = rows.select("band", "key", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "part", "fp")
     shard = ["band", "key", "low", "high"]
     placed = rows.repartition(*shard).sortWithinPartitions(*shard, "fp")
-    schema = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
+    kind = rows.schema["fp"].dataType
+    schema = T.StructType([T.StructField("a", kind), T.StructField("b", kind)])
     return placed.mapInArrow(_shards(radius), schema)
 
 
@@ -224,15 +287,22 @@ def _shards(radius: int):
                         out_a.append(a)
                         out_b.append(b)
             kept = None if last else [c[edges[-2] :] for c in columns]
-            a = np.concatenate(out_a) if out_a else np.zeros(0, np.uint64)
-            b = np.concatenate(out_b) if out_b else np.zeros(0, np.uint64)
-            return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"]), kept
+            found = [np.concatenate(x) if x else fp[:0] for x in (out_a, out_b)]
+            if fp.ndim == 1:
+                found = [pa.array(x.view(np.int64)) for x in found]
+            else:
+                found = [pa.array([v.tobytes() for v in x], pa.binary()) for x in found]
+            return pa.RecordBatch.from_arrays(found, names=["a", "b"]), kept
 
         for batch in batches:
             if not batch.num_rows:
                 continue
-            columns = [batch.column(n).to_numpy(zero_copy_only=False) for n in names]
-            columns[-1] = columns[-1].view(np.uint64)
+            columns = [batch.column(n).to_numpy(zero_copy_only=False) for n in names[:-1]]
+            values = batch.column("fp")
+            if pa.types.is_int64(values.type):
+                columns.append(values.to_numpy(zero_copy_only=False).view(np.uint64))
+            else:
+                columns.append(np.frombuffer(b"".join(values.to_pylist()), np.uint64).reshape(batch.num_rows, -1))
             if held:
                 columns = [np.concatenate(x) for x in zip(held, columns, strict=True)]
             out, held = found(columns, False)
@@ -243,13 +313,14 @@ def _shards(radius: int):
     return run
 
 
-def classes(fps: DataFrame, radius: int, doc_id: str = "doc_id") -> DataFrame:
+def classes(fps: DataFrame, linking, doc_id: str = "doc_id") -> DataFrame:
     """(fp, class_fp, component_id) of every distinct fingerprint.
 
-    fps: the columns fp and the document id; it is read twice.
+    fps: the columns fp and the document id; linking: from distinct
+    fingerprints to links.
     """
     nodes = common.stash(fps.groupBy("fp").agg(F.min(doc_id).alias("least")), "fingerprints")
-    linked = components(links(nodes, radius)).withColumnRenamed("node", "fp")
+    linked = components(linking(nodes)).withColumnRenamed("node", "fp")
     own = nodes.join(linked, "fp", "left").withColumn("class_fp", F.coalesce("component", "fp"))
     least = own.where(F.col("component").isNotNull()).groupBy("component").agg(F.min("least").alias("class_least"))
     return own.join(least, "component", "left").select(
@@ -260,15 +331,20 @@ def classes(fps: DataFrame, radius: int, doc_id: str = "doc_id") -> DataFrame:
 def near_duplicates(docs: DataFrame, shingle: int = 5, radius: int = 4, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: doc_id, fingerprint (16 hex digits), component_id."""
     fps = common.stash(fingerprints(docs.select(doc_id, text), shingle, text).select(doc_id, "fp"), "simhash")
-    found = fps.join(classes(fps, radius, doc_id), "fp")
+    found = fps.join(classes(fps, lambda nodes: links(nodes, radius), doc_id), "fp")
     return found.select(doc_id, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def dedup(docs: DataFrame, shingle: int = 5, radius: int = 4, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def dedup(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, words: int = 10, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents with one of each group of near-duplicates: the one with
-    the smallest id (of repeated rows of that id, any one).  Columns stay."""
-    columns = docs.columns
-    held = common.stash(fingerprints(docs, shingle, text, "__fp"), "simhash")
-    found = classes(held.select(F.col("__fp").alias("fp"), doc_id), radius, doc_id)
+    the smallest id (of repeated rows of that id, any one).  Columns stay.
+
+    Texts are linked when the Jaccard similarity of their sets of shingles is
+    about ``similarity`` or more.  64 bits can't tell 0.8 from 0.6, so this
+    takes sketches of ``words`` times 64 bits.
+    """
+    columns, radius = docs.columns, radius_of(similarity, 64 * words)
+    held = common.stash(sketches(docs, words, shingle, text, "__fp"), "sketches")
+    found = classes(held.select(F.col("__fp").alias("fp"), doc_id), lambda nodes: sketch_links(nodes, words, radius), doc_id)
     kept = held.join(found.withColumnRenamed("fp", "__fp"), "__fp").where(F.col(doc_id).eqNullSafe(F.col("component_id")))
     return kept.dropDuplicates(["class_fp"]).select(*columns)
