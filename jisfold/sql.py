@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from jisfold.constants import TransliterationError  # noqa: F401
 from jisfold.functions import candidates, machine
 from jisfold.refdata.tables import JisTable, MjTable
 
@@ -19,9 +20,6 @@ def register(spark: SparkSession, jis: JisTable | None = None, mj: MjTable | Non
     options that are known when the query is written, the column functions of
     ``jisfold.functions`` stay in the JVM.
     """
-    import pandas as pd
-    from pyspark.sql import functions as F
-
     from jisfold.sources.xlsx import XlsxDataSource
 
     def vectorised(f, kind):
