@@ -58,6 +58,8 @@ IDS_PER_FILE = 1 << 22
 #: Rows of a list of files (about 100 bytes each) that are sent to all tasks; a
 #: longer list is joined by a shuffle.
 SENT_FILES = 50_000
+#: Bits of small ids.
+_WIDTHS = np.frexp(np.arange(1 << 17, dtype=np.float64))[1].astype(np.int8)
 _COUNTS = np.array([c for c, _ in SELECTORS], np.int64)
 
 
@@ -66,9 +68,10 @@ def pack(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     n = len(values)
     if not n:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    width = np.minimum(np.frexp(values.astype(np.float64))[1], 60).astype(np.int8)
-    left = (BLOCK - np.arange(n) % BLOCK).astype(np.int64)
-    left = np.minimum(left, n - np.arange(n))
+    width = _WIDTHS[values] if int(values.max()) < len(_WIDTHS) else np.minimum(np.frexp(values.astype(np.float64))[1], 60).astype(np.int8)
+    left = np.tile(np.arange(BLOCK, 0, -1, dtype=np.int16), -(-n // BLOCK))[:n]
+    tail = n % BLOCK or BLOCK
+    left[n - tail :] = np.arange(tail, 0, -1)
     selector = np.full(n, 15, np.int8)
     widest, span = width, 1
     for k in range(14, -1, -1):
@@ -80,12 +83,11 @@ def pack(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             step = min(span, count - span)
             widest = np.maximum(widest[:-step], widest[step:]) if len(widest) > step else widest[:0]
             span += step
-        fits = np.flatnonzero((widest <= bits) & (left[: len(widest)] >= count))
-        if not len(fits):
-            if not (widest <= bits).any():
-                break
-            continue
-        selector[fits] = k
+        fits = widest <= bits
+        if not fits.any():
+            break
+        fits &= left[: len(widest)] >= count
+        selector[: len(widest)][fits] = k
     take = _COUNTS[selector]
     # follow the words of all blocks side by side
     starts, at = [], np.arange(0, n, BLOCK)
@@ -201,7 +203,7 @@ class LibraryIds:
     younger is full, so that frequent parts stay.
     """
 
-    LIMIT = 700_000
+    LIMIT = 1_000_000
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
