@@ -132,13 +132,10 @@ def jnta_shrink_translit(c: Column | str, replacement: str = "�", passthrough:
 
 def try_jnta_shrink_translit(c: Column | str, table: JisTable | None = None) -> Column:
     """The shrunken text, NULL where a character has no form."""
-    text, first = kernels.shrink(_column(c), kernels.default_table(table), _ANY, False)
+    text, first = kernels.shrink(_column(c), kernels.default_table(table), "?", False)
     return F.when(first.isNull(), text)
 
 
-_ANY = "?"
-
-
 def mj_shrink_candidates(c: Column | str, combo: int, limit: int = 100, table: MjTable | None = None) -> Column:
     """array<string>: the text's forms under a set of schemes, in order.
 
@@ -233,4 +230,27 @@ def take_until_empty(array: Column | str) -> Column:
     return F.when(at > 0, F.slice(a, F.lit(1), (at - 1).cast("int"))).otherwise(a)
 
 
-__all__ = ["ConversionMode", "TransliterationError", *(n for n in dir() if n.startswith(("jnta_", "try_", "mj_", "parse_", "jis_class", "explode_", "men_ku", "selector_", "take_")))]
+__all__ = [
+    "ConversionMode",
+    "TransliterationError",
+    "explode_candidates",
+    "jis_class",
+    "jnta_decode",
+    "jnta_decode_with_error",
+    "jnta_encode",
+    "jnta_encode_with_error",
+    "jnta_shrink_translit",
+    "men_ku_ten",
+    "mj_shrink_candidates",
+    "parse_code_point",
+    "parse_code_points",
+    "parse_hex_list",
+    "parse_men_ku_ten",
+    "parse_mj",
+    "selector_code_point",
+    "selector_number",
+    "take_until_empty",
+    "try_jnta_decode",
+    "try_jnta_encode",
+    "try_jnta_shrink_translit",
+]

@@ -69,9 +69,6 @@ def _codes(mode: int, table: JisTable) -> dict[str, str]:
     return found
 
 
-JisTable.__hash__ = object.__hash__
-
-
 def good_prefix(text: Column, mode: int, table: JisTable) -> tuple[Column, Column]:
     """(characters before the first that the mode can't write, all can be written)."""
     codes = _codes(mode, table)

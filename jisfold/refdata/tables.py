@@ -82,7 +82,7 @@ class JisRow:
         return bytes((0x21 + self.jis // 94 % 94, 0x21 + self.jis % 94))
 
 
-@dataclass
+@dataclass(eq=False)  # tables are compared and hashed by identity
 class JisTable:
     """T1 and what is derived from it; checked when built."""
 
