@@ -15,6 +15,10 @@ above ``SHARD`` fingerprints is split, and every two of its parts meet once.
 Only distinct fingerprints are sharded, and a shard returns one link for each
 member of a local component, never all pairs.
 
+Similarities below about 0.95 need more bits than 64: ``dedup`` takes sketches
+of several words, whose shards are bands of equal bits; their BK-trees work
+alike.
+
 Defined results: null text counts as empty; a text without words has
 fingerprint zero, which links like any other; a text with fewer words than a
 shingle is one shingle; equal texts have equal fingerprints; a component's id
