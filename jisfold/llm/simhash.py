@@ -324,11 +324,13 @@ def classes(fps: DataFrame, linking, doc_id: str = "doc_id") -> DataFrame:
     fingerprints to links.
     """
     nodes = common.stash(fps.groupBy("fp").agg(F.min(doc_id).alias("least")), "fingerprints")
-    linked = components(linking(nodes)).withColumnRenamed("node", "fp")
-    own = nodes.join(linked, "fp", "left").withColumn("class_fp", F.coalesce("component", "fp"))
-    least = own.where(F.col("component").isNotNull()).groupBy("component").agg(F.min("least").alias("class_least"))
-    return own.join(least, "component", "left").select(
-        "fp", "class_fp", F.when(F.col("component").isNull(), F.col("least")).otherwise(F.col("class_least")).alias("component_id")
+    # only linked fingerprints are joined by component: the others, most of all, would
+    # meet in one task as nulls
+    linked = components(linking(nodes)).withColumnRenamed("node", "fp").join(nodes, "fp")
+    least = linked.groupBy("component").agg(F.min("least").alias("class_least"))
+    members = linked.join(least, "component").select("fp", "component", "class_least")
+    return nodes.join(members, "fp", "left").select(
+        "fp", F.coalesce("component", "fp").alias("class_fp"), F.when(F.col("component").isNull(), F.col("least")).otherwise(F.col("class_least")).alias("component_id")
     )
 
 
