@@ -203,7 +203,7 @@ class LibraryIds:
     younger is full, so that frequent parts stay.
     """
 
-    LIMIT = 1_000_000
+    LIMIT = 700_000
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
