@@ -17,7 +17,8 @@ member of a local component, never all pairs.
 
 Similarities below about 0.95 need more bits than 64: ``dedup`` takes sketches
 of several words, whose shards are bands of equal bits; their BK-trees work
-alike.
+alike.  There, sketches find candidates only, which the exact similarity of
+the sets of shingles decides.
 
 Defined results: null text counts as empty; a text without words has
 fingerprint zero, which links like any other; a text with fewer words than a
@@ -86,22 +87,27 @@ def fingerprints(df: DataFrame, shingle: int = 5, text: str = "text", out: str =
     return common.append_columns(df, T.StructType([T.StructField(out, T.LongType())]), make)
 
 
-def sketch(data: bytes, shingle: int, words: int, seed: int = SEED) -> bytes:
-    """A SimHash of ``words`` times 64 bits; its bits come from mixes of each
-    shingle's hash."""
+def shingle_hashes(data: bytes, shingle: int, seed: int = SEED) -> np.ndarray:
+    """The distinct hashes of a text's shingles, sorted; none without words."""
     own = data.lower().split()
     n = len(own)
     if not n:
-        return bytes(8 * words)
+        return np.zeros(0, np.uint64)
     joined = b" ".join(own)
     ends = np.cumsum(np.fromiter(map(len, own), np.int64, n) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
     first, last = starts[: max(1, n - shingle + 1)].tolist(), ends[min(n, shingle) - 1 :].tolist()
-    digest, ones = xxhash.xxh64_intdigest, np.zeros(64 * words, np.int64)
+    digest = xxhash.xxh64_intdigest
+    return np.unique(np.fromiter((digest(joined[a:b], seed) for a, b in zip(first, last, strict=True)), np.uint64, len(first)))
+
+
+def sketch(hashes: np.ndarray, words: int) -> bytes:
+    """A SimHash of ``words`` times 64 bits of a set of shingles' hashes; its
+    bits come from mixes of each hash."""
+    ones = np.zeros(64 * words, np.int64)
     step = max(1, BLOCK // words)
-    for at in range(0, len(first), step):
-        h = np.array([digest(joined[a:b], seed) for a, b in zip(first[at : at + step], last[at : at + step], strict=True)], np.uint64)
-        h = h[:, None] + np.arange(1, words + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    for at in range(0, len(hashes), step):
+        h = hashes[at : at + step, None] + np.arange(1, words + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
         for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
             h = (h ^ (h >> np.uint64(shift))) * np.uint64(factor)
         h ^= h >> np.uint64(31)
@@ -109,12 +115,18 @@ def sketch(data: bytes, shingle: int, words: int, seed: int = SEED) -> bytes:
         # sums of up to 255 rows fit a byte
         for part in range(0, len(bits), 255):
             ones += np.add.reduce(bits[part : part + 255], axis=0, dtype=np.uint8)
-    return np.packbits(2 * ones > len(first)).tobytes()
+    return np.packbits(2 * ones > len(hashes)).tobytes()
+
+
+def set_sketches(df: DataFrame, words: int, shingle: int = 5, text: str = "text") -> DataFrame:
+    """Adds __node, a digest of the set of shingles, and __fp, its sketch; both
+    binary.  No shuffle."""
 
+    def work(batch: pa.RecordBatch) -> list:
+        sets = [shingle_hashes(x, shingle) for x in common.raw_texts(batch, text)]
+        return [[xxhash.xxh3_128_digest(x.tobytes()) for x in sets], [sketch(x, words) for x in sets]]
 
-def sketches(df: DataFrame, words: int, shingle: int = 5, text: str = "text", out: str = "fp") -> DataFrame:
-    """Adds the sketch, a binary column.  No shuffle."""
-    return common.append_columns(df, T.StructType([T.StructField(out, T.BinaryType())]), lambda: lambda batch: [[sketch(x, shingle, words) for x in common.raw_texts(batch, text)]])
+    return common.append_columns(df, T.StructType([T.StructField("__node", T.BinaryType()), T.StructField("__fp", T.BinaryType())]), lambda: work)
 
 
 def radius_of(similarity: float, bits: int) -> int:
@@ -341,16 +353,118 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, radius: int = 4, doc_id:
     return found.select(doc_id, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def set_links(sets: list[np.ndarray], similarity: float) -> tuple[list[int], list[int]]:
+    """Links (i, j) that connect the sets, none of them empty, whose exact
+    Jaccard similarity is ``similarity`` or more, as all such pairs would.
+
+    From each set found, those not found yet are compared with it; so sets
+    near one another cost one comparison each, not one for each pair.
+    """
+    sizes = np.fromiter(map(len, sets), np.int64, len(sets))
+    kinds, flat = np.unique(np.concatenate(sets), return_inverse=True)
+    starts = np.cumsum(sizes) - sizes
+    out_a, out_b, todo = [], [], []
+    rest, codes, mark = np.arange(len(sets)), flat, np.zeros(len(kinds), bool)
+    while len(rest):
+        if not todo:
+            todo, codes, rest = [int(rest[0])], codes[sizes[rest[0]] :], rest[1:]
+            continue
+        head = todo.pop()
+        own = flat[starts[head] : starts[head] + sizes[head]]
+        mark[own] = True
+        common_to = np.add.reduceat(mark[codes], np.cumsum(sizes[rest]) - sizes[rest], dtype=np.int64)
+        mark[own] = False
+        near = common_to >= similarity * (sizes[rest] + sizes[head] - common_to) - 1e-9
+        if near.any():
+            found = rest[near].tolist()
+            out_a += found
+            out_b += [head] * len(found)
+            todo += found
+            codes, rest = codes[np.repeat(~near, sizes[rest])], rest[~near]
+    return out_a, out_b
+
+
+def exact_links(members: DataFrame, shingle: int, similarity: float, text: str = "text") -> DataFrame:
+    """Links (a, b) between nodes of one component of candidates, decided by
+    the exact Jaccard similarity of their sets.
+
+    members: component, node and a text of it, a row for each node.  A
+    component above ``SHARD`` nodes is split, and its parts meet.
+    """
+    large = members.groupBy("component").count().where(F.col("count") > SHARD).select("component", F.ceil(F.col("count") / SHARD).cast("int").alias("parts"))
+    rows = members.join(F.broadcast(large), "component", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    hashed = common.append_columns(rows, T.StructType([T.StructField("set", T.BinaryType())]), lambda: lambda batch: [[shingle_hashes(x, shingle).tobytes() for x in common.raw_texts(batch, text)]])
+    part = hashed.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.expr("sequence(0, parts - 1)")))
+    part = part.select("component", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "node", "set")
+    shard = ["component", "low", "high"]
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, nodes, sets, a, b = None, [], [], [], []
+
+        def close() -> None:
+            if len(nodes) > 1:
+                for i, j in zip(*set_links(sets, similarity), strict=True):
+                    a.append(nodes[i])
+                    b.append(nodes[j])
+            nodes.clear()
+            sets.clear()
+
+        def out() -> pa.RecordBatch:
+            found = pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
+            a.clear()
+            b.clear()
+            return found
+
+        for batch in batches:
+            for *own, node, data in zip(*(batch.column(n).to_pylist() for n in (*shard, "node", "set")), strict=True):
+                if own != key:
+                    close()
+                    key = own
+                if data:
+                    nodes.append(node)
+                    sets.append(np.frombuffer(data, np.uint64))
+            if len(a) > 10_000:
+                yield out()
+        close()
+        yield out()
+
+    schema = T.StructType([T.StructField("a", T.BinaryType()), T.StructField("b", T.BinaryType())])
+    return part.repartition(*shard).sortWithinPartitions(*shard).mapInArrow(run, schema)
+
+
+def candidate_links(nodes: DataFrame, words: int, radius: int) -> DataFrame:
+    """Links (a, b) that connect the nodes whose sketches are near or equal.
+
+    nodes: the columns node and fp.
+    """
+    heads = nodes.groupBy("fp").agg(F.min("node").alias("head"))
+    near = sketch_links(heads.select("fp"), words, radius)
+    for end in ("a", "b"):
+        near = near.join(heads.select(F.col("fp").alias(end), F.col("head").alias(f"{end}_head")), end)
+    equal = nodes.join(heads, "fp").where("node != head")
+    return near.select(F.col("a_head").alias("a"), F.col("b_head").alias("b")).unionByName(equal.select(F.col("node").alias("a"), F.col("head").alias("b")))
+
+
 def dedup(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, words: int = 10, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents with one of each group of near-duplicates: the one with
     the smallest id (of repeated rows of that id, any one).  Columns stay.
 
-    Texts are linked when the Jaccard similarity of their sets of shingles is
-    about ``similarity`` or more.  64 bits can't tell 0.8 from 0.6, so this
-    takes sketches of ``words`` times 64 bits.
+    Texts are linked when the Jaccard similarity of their sets of distinct
+    shingles is ``similarity`` or more.  Sketches of ``words`` times 64 bits
+    (64 bits can't tell 0.8 from 0.6) only find candidates; the exact
+    similarity decides, before components are formed.  Texts with equal sets
+    are one node, those without words too.
     """
     columns, radius = docs.columns, radius_of(similarity, 64 * words)
-    held = common.stash(sketches(docs, words, shingle, text, "__fp"), "sketches")
-    found = classes(held.select(F.col("__fp").alias("fp"), doc_id), lambda nodes: sketch_links(nodes, words, radius), doc_id)
-    kept = held.join(found.withColumnRenamed("fp", "__fp"), "__fp").where(F.col(doc_id).eqNullSafe(F.col("component_id")))
-    return kept.dropDuplicates(["class_fp"]).select(*columns)
+    held = common.stash(set_sketches(docs, words, shingle, text), "sketches")
+    nodes = common.stash(held.groupBy(F.col("__node").alias("node")).agg(F.first("__fp").alias("fp"), F.min(doc_id).alias("least")), "nodes")
+    near = components(candidate_links(nodes, words, radius)).join(nodes.select("node", "least"), "node")
+    # the id is a key too, so that copies are not brought together in one task
+    texts = held.select("__node", F.col(doc_id).alias("__id"), F.col(text).alias("text"))
+    members = texts.join(near, (F.col("__node") == F.col("node")) & F.col("__id").eqNullSafe(F.col("least"))).select("component", "node", "text")
+    linked = components(exact_links(members.dropDuplicates(["node"]), shingle, similarity)).join(nodes.select("node", "least"), "node")
+    least = linked.groupBy("component").agg(F.min("least").alias("class_least"))
+    found = nodes.select("node", "least").join(linked.join(least, "component").select("node", "component", "class_least"), "node", "left")
+    found = found.select("node", F.coalesce("component", "node").alias("class"), F.when(F.col("component").isNull(), F.col("least")).otherwise(F.col("class_least")).alias("kept"))
+    kept = held.join(found, (F.col("__node") == F.col("node")) & F.col(doc_id).eqNullSafe(F.col("kept")))
+    return kept.dropDuplicates(["class"]).select(*columns)

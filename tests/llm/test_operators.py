@@ -145,6 +145,31 @@ def test_dedup_keeps_one_of_each_group(spark):
     assert {r.doc_id for r in simhash.dedup(df).collect()} == {1, 3, 4}
 
 
+def test_dedup_counts_a_repeated_passage_once(spark):
+    rnd = random.Random(3)
+    line = " ".join(f"menu{i}" for i in range(10))
+    texts = [" ".join([line] * 20 + [f"w{rnd.randint(0, 10**9)}" for _ in range(200)]) for _ in range(6)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id for r in simhash.dedup(df).collect()} == set(range(6))
+
+
+def test_set_links_connect_as_all_pairs_do(spark):
+    rnd = random.Random(8)
+    for _ in range(50):
+        base = [rnd.sample(range(60), 20) for _ in range(3)]
+        sets = [np.unique(np.array(rnd.choice(base)[: rnd.randint(14, 20)] + rnd.sample(range(60), rnd.randint(0, 4)), np.uint64)) for _ in range(25)]
+
+        def groups(links, n=len(sets)):
+            label = list(range(n))
+            for a, b in links:
+                label = [label[a] if x == label[b] else x for x in label]
+            return {frozenset(i for i in range(n) if label[i] == x) for x in label}
+
+        own = [set(x.tolist()) for x in sets]
+        pairs = [(i, j) for i in range(25) for j in range(i) if 5 * len(own[i] & own[j]) >= 4 * len(own[i] | own[j])]
+        assert groups(zip(*simhash.set_links(sets, 0.8), strict=True)) == groups(pairs)
+
+
 # 2 mixing
 
 
