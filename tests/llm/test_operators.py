@@ -153,6 +153,19 @@ def test_dedup_counts_a_repeated_passage_once(spark):
     assert {r.doc_id for r in simhash.dedup(df).collect()} == set(range(6))
 
 
+def test_dedup_decides_at_the_similarity_itself(spark):
+    rnd = random.Random(9)
+    rows, kept = [], set()
+    for k in range(300):
+        # distinct words: n shingles, and m of them in the shorter text
+        n, m = rnd.choice([(5, 4), (10, 8), (100, 80), (4, 3), (9, 7), (100, 79)])
+        words = [f"w{rnd.randint(0, 10**12)}" for _ in range(n + 4)]
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(words[: m + 4]))]
+        kept |= {2 * k} if 5 * m >= 4 * n else {2 * k, 2 * k + 1}
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id for r in simhash.dedup(df).collect()} == kept
+
+
 def test_set_links_connect_as_all_pairs_do(spark):
     rnd = random.Random(8)
     for _ in range(50):
