@@ -9,7 +9,8 @@ target.  The cheapest largest flow says how many words each pattern gives to
 each source.  A pattern that gives F of its S words is taken F // S times
 whole; for the rest, documents in seeded order (MD5 of seed and id) are taken
 once more while they fit, and then the largest one that fits into what is
-left.
+left.  ``fill`` goes on from there: documents that do not fit are skipped and
+later ones taken, until none fits; ``mixed_documents`` does so.
 
 The network has a node for each pattern and source, not for each document; it
 is solved on the driver, and more than ``MAX_PATTERNS`` patterns are an error
@@ -157,14 +158,15 @@ def words_in(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(common.WORD)), F.lit(0)).cast("long")
 
 
-def mix(docs: DataFrame, sources: Column, weights: Sequence[float] = (5, 2, 1), share: float = 1.0, most_copies: int = 3, seed: str = SEED, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, dict]:
+def mix(docs: DataFrame, sources: Column, weights: Sequence[float] = (5, 2, 1), share: float = 1.0, most_copies: int = 3, seed: str = SEED, doc_id: str = "doc_id", text: str = "text", fill: bool = False) -> tuple[DataFrame, dict]:
     """One row per document: doc_id, size, pattern, copies, taken (words); and the plan.
 
     sources: an array of each document's sources (as strings, null for no
     name).  The sources by code point, null last, get the weights in turn,
     and share ``share`` times all words; a source's target is at most
     ``most_copies`` times its words.  The plan has the sources' sizes and
-    targets and the flow (see ``route``).
+    targets and the flow (see ``route``).  With ``fill``, no document that is
+    left fits into what its pattern still lacks.
     """
     named = F.array_sort(F.array_distinct(F.transform(sources, lambda s: F.coalesce(F.concat(F.lit("s"), s), F.lit("~")))))
     order = F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col(doc_id).cast("string"), F.lit(""))).cast("binary"))
@@ -175,7 +177,7 @@ def mix(docs: DataFrame, sources: Column, weights: Sequence[float] = (5, 2, 1),
     if len(totals) > MAX_PATTERNS:
         raise ValueError(f"more than {MAX_PATTERNS} sets of sources; merge rare sources first")
     plan = route([(tuple(t.pattern), t.words) for t in totals], weights, share, most_copies)
-    taken = select(rows, plan, doc_id)
+    taken = select(rows, plan, doc_id, fill)
     return taken, plan
 
 
@@ -204,7 +206,7 @@ def route(totals: list[tuple[tuple[str, ...], int]], weights: Sequence[float], s
     }
 
 
-def select(rows: DataFrame, plan: dict, doc_id: str) -> DataFrame:
+def select(rows: DataFrame, plan: dict, doc_id: str, fill: bool = False) -> DataFrame:
     """doc_id, size, pattern, copies, taken: the seeded choice of documents.
 
     rows: doc_id, size, pattern, order, tie, bucket.
@@ -237,14 +239,52 @@ def select(rows: DataFrame, plan: dict, doc_id: str) -> DataFrame:
     last = fits.groupBy("pattern").agg(F.min(F.struct((-F.col("size")).alias("neg"), "order", "tie")).alias("last"))
     out = chosen.join(F.broadcast(last), "pattern", "left")
     is_last = F.coalesce((F.col("more") == 0) & (F.struct((-F.col("size")).alias("neg"), "order", "tie") == F.col("last")), F.lit(False))
-    copies = F.when(F.col("size") > 0, F.col("whole") + F.col("more") + is_last.cast("long")).otherwise(0)
+    out = out.withColumn("more", F.col("more") + is_last.cast("long"))
+    if fill:
+        out = filled(out.select(doc_id, "size", "pattern", "order", "tie", "bucket", "whole", "rest", "more"))
+    copies = F.when(F.col("size") > 0, F.col("whole") + F.col("more")).otherwise(0)
     return out.select(doc_id, "size", "pattern", copies.alias("copies"), (copies * F.col("size")).alias("taken"), "order", "tie")
 
 
+def filled(chosen: DataFrame) -> DataFrame:
+    """The rows with more documents taken, in seeded order, each that still fits.
+
+    A round takes, of a pattern's documents that fit into its gap, those up to
+    the first that does not fit after them; rounds go on until no pattern has
+    one that fits.  That is the choice of one pass over the documents in
+    order.  Rows equal in order, tie and size are taken or left together.
+    """
+    place = F.struct("order", "tie", "size")
+    unit = F.sum("size").over(Window.partitionBy("pattern", "order", "tie", "size"))
+    now = common.stash(chosen.withColumn("unit", unit), "mix-fill")
+    left = (F.col("more") == 0) & (F.col("size") > 0)
+    while True:
+        gaps = now.groupBy("pattern").agg((F.max("rest") - F.sum(F.col("size") * F.col("more"))).alias("gap"), F.min(F.when(left, F.col("unit"))).alias("least"))
+        gaps = common.stash(gaps.where("least <= gap").select("pattern", "gap"), "mix-gaps")
+        if gaps.isEmpty():
+            return now.drop("unit")
+        fits = now.where(left).join(F.broadcast(gaps), "pattern").where("unit <= gap")
+        # as in select(): whole buckets by their sums, and an order in one bucket only
+        sums = fits.groupBy("pattern", "bucket").agg(F.sum("size").alias("words"), F.max("gap").alias("gap"))
+        before = F.coalesce(F.sum("words").over(Window.partitionBy("pattern").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        cut = sums.withColumn("before", before).where("before <= gap and before + words > gap")
+        cut = common.stash(cut.groupBy("pattern").agg(F.min_by(F.struct("bucket", "before"), "bucket").alias("c")).select("pattern", F.col("c.bucket").alias("cut"), F.col("c.before").alias("before")), "mix-cuts")
+        up_to = F.sum("size").over(Window.partitionBy("pattern").orderBy("order", "tie", "size"))
+        edge = fits.join(F.broadcast(cut), "pattern").where("bucket = cut").withColumn("up_to", F.col("before") + up_to).where("up_to <= gap")
+        last = edge.groupBy("pattern").agg(F.max(place).alias("last"))
+        bounds = common.stash(gaps.join(cut, "pattern", "left").join(last, "pattern", "left").select("pattern", "gap", "cut", "last"), "mix-bounds")
+        inside = F.col("cut").isNull() | (F.col("bucket") < F.col("cut")) | ((F.col("bucket") == F.col("cut")) & (place <= F.col("last")))
+        takes = F.coalesce(left & (F.col("unit") <= F.col("gap")) & inside, F.lit(False))
+        after = now.join(F.broadcast(bounds), "pattern", "left").withColumn("more", F.when(takes, 1).otherwise(F.col("more")).cast("long")).select(*now.columns)
+        after = common.stash(after, "mix-fill")
+        common.discard(now)
+        now = after
+
+
 def mixed_documents(docs: DataFrame, sources: Column, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """The documents of the mix, each as many times as it is taken; columns stay."""
+    """The documents of the mix, filled, each as many times as it is taken; columns stay."""
     columns = docs.columns
-    taken, _ = mix(docs, sources, doc_id=doc_id, text=text, **options)
+    taken, _ = mix(docs, sources, doc_id=doc_id, text=text, fill=True, **options)
     # rows that share id and text share their copies
     copies = taken.where("copies > 0").groupBy(doc_id, "tie").agg(F.max("copies").alias("__copies")).withColumnRenamed(doc_id, "__id").withColumnRenamed("tie", "__tie2")
     found = docs.withColumn("__tie", F.xxhash64(text)).join(copies, F.col(doc_id).eqNullSafe(F.col("__id")) & (F.col("__tie") == F.col("__tie2")))

@@ -239,6 +239,23 @@ def test_mix_of_odd_and_overlapping_documents(spark):
     assert mixing.mixed_documents(both, F.col("s"), weights=(1, 3)).columns == both.columns
 
 
+def test_mixed_documents_go_on_after_one_that_does_not_fit(spark):
+    rnd = random.Random(5)
+    rows = [(1000 * s + i, "w " * (900 if i % 20 == 0 else rnd.randint(5, 60)), f"s{s}") for s in range(8) for i in range(60)]
+    docs = spark.createDataFrame([*rows, *rows[:3]], "doc_id long, text string, source string")
+    _, plan = mixing.mix(docs, F.array("source"))
+    got = mixing.mixed_documents(docs, F.array("source")).groupBy("doc_id").count().collect()
+    copies = {r.doc_id: r["count"] for r in got}
+    for name, p in plan["patterns"].items():
+        own = [(i, len(t.split())) for i, t, s in [*rows, *rows[:3]] if name == (f"s{s}",)]
+        whole, once = p["take"] // p["words"], {i for i, _ in own}
+        repeated = {i: sum(i == j for j, _ in own) for i in once}
+        extra = {i for i in once if copies.get(i, 0) // repeated[i] > whole}
+        short = p["take"] % p["words"] - sum(n for i, n in own if i in extra)
+        left = [n * repeated[i] for i, n in own if i not in extra]
+        assert short >= 0 and (not left or short < min(left)), (name, short, min(left))
+
+
 # 3 BPE
 
 
