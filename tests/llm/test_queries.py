@@ -1,5 +1,6 @@
 """The registered queries on the smallest tables, and the pipeline's stages."""
 
+import hashlib
 import os
 
 import duckdb
@@ -68,3 +69,9 @@ def test_pipeline_stages_of_empty_and_odd_rows(spark):
     for some in (docs.where("false"), odd):
         for _, stage in corpus_pipeline.STAGES:
             assert stage(spark, some, SF).count() <= some.count()
+
+
+def test_pipeline_decodes_what_it_encodes(spark):
+    docs = spark.createDataFrame([(1, "One two  é 日本 😀\n", "en", "s1", 1), (2, "", "en", "s1", 0), (3, "a b c", "en", "s2", 5)], table(spark, SF, "documents").schema)
+    rows = corpus_pipeline.encode(spark, docs, SF).collect()
+    assert {r.doc_id: r.decoded_sha256 for r in rows} == {r.doc_id: hashlib.sha256(r.text.encode()).hexdigest() for r in docs.collect()}
