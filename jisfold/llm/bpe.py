@@ -12,7 +12,8 @@ Defined results: null text encodes as empty (no ids); empty text has no ids
 and decodes to the empty text; texts of any length are encoded whole; the
 special tokens' strings in a text become their ids, as the tokenizers library
 has it by default; ids that are not in the vocabulary are an error; repeated
-rows give repeated results.
+rows give repeated results; an empty table gives an empty result; extra
+columns stay, and one of the name of a result (in any letter case) is replaced.
 """
 
 from __future__ import annotations
@@ -28,15 +29,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from jisfold.llm import common
-from jisfold.llm.pretokens import Remembered, chunks
+from jisfold.llm.pretokens import PartIds, chunks
 
 #: The word pattern of byte-level BPE, with white space spelled
 #: out as Unicode has it.
 _SPACE = r"\t-\r \x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
 PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_SPACE}\p{{L}}\p{{N}}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+"
 
-#: Chunks whose ids a Python worker remembers (about 150 bytes each).
-REMEMBERED = 400_000
+#: Pairs of tokens whose compatibility a Python worker remembers (about 100 bytes each).
+PAIRS = 300_000
 
 
 def _byte_letters() -> dict[str, int]:
@@ -102,7 +103,7 @@ class ByteBPE:
         self.automaton.make_automaton()
         self.split_special = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
         self.find = regex.compile(PATTERN).findall
-        self.remembered = Remembered(self._chunk, REMEMBERED)
+        self.known = PartIds(self._parts, self._whole, list(self.special))
 
     def _pair(self, a: int, b: int, limit: float = float("inf")) -> bool:
         """Whether no merge joins a and b across their border.
@@ -142,7 +143,7 @@ class ByteBPE:
                 key = before << 32 | token
                 ok = compatible.get(key)
                 if ok is None:
-                    if len(compatible) > 2_000_000:
+                    if len(compatible) > PAIRS:
                         compatible.clear()
                     ok = compatible[key] = self._pair(before, token)
                 if not ok:
@@ -157,23 +158,34 @@ class ByteBPE:
         out.reverse()
         return out
 
-    def _chunk(self, chunk: str) -> bytes:
-        if chunk[1:].isalpha() and (chunk[0] == " " or chunk[0].isalpha()):
-            ids = self.piece(chunk.encode())
-        else:
-            ids = []
-            parts = self.split_special.split(chunk) if self.split_special and any(s in chunk for s in self.special) else [chunk]
-            for part in parts:
-                if part in self.special:
-                    ids.append(self.special[part])
-                else:
-                    for piece in self.find(part):
-                        ids += self.piece(piece.encode())
-        return np.array(ids, "<u4").tobytes()
-
-    def encode(self, text: str) -> bytes:
-        """The ids of a text as little-endian unsigned 32-bit integers."""
-        return b"".join(map(self.remembered.__getitem__, chunks(text)))
+    def _part(self, part: str) -> list[int]:
+        """The ids of a part without special tokens."""
+        if part[1:].isalpha() and (part[0] == " " or part[0].isalpha()):
+            return self.piece(part.encode())
+        ids: list[int] = []
+        for piece in self.find(part):
+            ids += self.piece(piece.encode())
+        return ids
+
+    def _parts(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        found = [self._part(x) for x in parts]
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        return np.fromiter((i for ids in found for i in ids), np.uint32, int(sizes.sum())), sizes
+
+    def _whole(self, text: str) -> list[int]:
+        """The ids of any text."""
+        ids: list[int] = []
+        for span in self.split_special.split(text) if self.split_special else [text]:
+            if span in self.special:
+                ids.append(self.special[span])
+            else:
+                for chunk in chunks(span):
+                    ids += self._part(chunk)
+        return ids
+
+    def encode(self, texts: pa.Array) -> list[bytes]:
+        """The ids of each text as little-endian unsigned 32-bit integers."""
+        return self.known.encode(texts)
 
 
 @lru_cache(maxsize=2)
@@ -198,7 +210,7 @@ def bpe_encode(df: DataFrame, path: str, text: str = "text", ids: str = "token_i
         bpe = loaded(path)
 
         def work(batch: pa.RecordBatch) -> list:
-            found = [bpe.encode(x) for x in common.texts(batch, text)]
+            found = bpe.encode(batch.column(text))
             return [found, [len(x) // 4 for x in found]]
 
         return work

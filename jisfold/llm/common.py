@@ -6,13 +6,17 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Words are runs of anything but space and the five ASCII control spaces.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Bytes of texts that a Python worker turns into objects at a time.
+SLICE_BYTES = 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
@@ -85,15 +89,31 @@ def _appender(make, keep: list[str], schema: T.StructType):
             if not batch.num_rows:
                 continue
             work = work or make()
-            added = work(batch)
-            arrays = [batch.column(n) for n in keep]
-            for field, values in zip(list(arrow)[len(keep) :], added, strict=True):
-                arrays.append(values.cast(field.type) if isinstance(values, pa.Array) else pa.array(values, field.type))
-            yield pa.RecordBatch.from_arrays(arrays, schema=pa.schema([pa.field(f.name, a.type) for f, a in zip(arrow, arrays, strict=True)]))
+            for some in slices(batch):
+                added = work(some)
+                arrays = [some.column(n) for n in keep]
+                for field, values in zip(list(arrow)[len(keep) :], added, strict=True):
+                    arrays.append(values.cast(field.type) if isinstance(values, pa.Array) else pa.array(values, field.type))
+                yield pa.RecordBatch.from_arrays(arrays, schema=pa.schema([pa.field(f.name, a.type) for f, a in zip(arrow, arrays, strict=True)]))
 
     return run
 
 
+def slices(batch: pa.RecordBatch, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of at most so many bytes (or of one longer row), so
+    that a worker's memory doesn't follow the rows' lengths."""
+    most = np.zeros(batch.num_rows, np.int64)
+    for column in batch.columns:
+        if pa.types.is_string(column.type) or pa.types.is_binary(column.type) or pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type):
+            most += pc.fill_null(pc.binary_length(column), 0).to_numpy().astype(np.int64)
+    ends, at = np.cumsum(most), 0
+    while at < batch.num_rows:
+        before = ends[at - 1] if at else 0
+        n = max(1, int(np.searchsorted(ends, before + limit, side="right")) - at)
+        yield batch.slice(at, n)
+        at += n
+
+
 def texts(batch: pa.RecordBatch, column: str) -> list[str]:
     """The column's texts; null counts as empty."""
     return [x or "" for x in batch.column(column).to_pylist()]
@@ -105,6 +125,20 @@ def raw_texts(batch: pa.RecordBatch, column: str) -> list[bytes]:
     return [x or b"" for x in batch.column(column).cast(kind).to_pylist()]
 
 
+class Remembered(dict):
+    """Results by key, forgotten all at once when there are too many."""
+
+    def __init__(self, compute: Callable, limit: int):
+        super().__init__()
+        self.compute, self.limit = compute, limit
+
+    def __missing__(self, key):
+        if len(self) >= self.limit:
+            self.clear()
+        found = self[key] = self.compute(key)
+        return found
+
+
 def fold_of(column: str, folds: int):
     """crc32 of the id as text, by remainder; null ids count as the text ''."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % folds

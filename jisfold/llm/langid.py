@@ -27,6 +27,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -39,7 +40,7 @@ BITS = 16
 EPOCHS = 3
 #: Documents of one step of the training, words of one batch of the passes,
 #: words whose scores a worker remembers.
-STEP, BATCH_WORDS, REMEMBERED = 32, 1_000_000, 400_000
+STEP, BATCH_WORDS, REMEMBERED = 32, 200_000, 400_000
 UNKNOWN = "und"
 _MASK = (1 << BITS) - 1
 _PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~0123456789"
@@ -68,33 +69,42 @@ class Words:
     """Numbers for words, with their features' scores kept by number."""
 
     def __init__(self, weights: np.ndarray):
-        self.weights, self.number = weights, {}
-        self.scores = np.zeros((1024, weights.shape[1]), np.float32)
-        self.letters = np.zeros(1024, bool)
-
-    def numbers(self, texts: list[list[str]]) -> np.ndarray:
-        known = self.number
-        new = list({w for words in texts for w in words if w not in known})
-        if len(known) + len(new) > REMEMBERED:
-            known.clear()
-            new = list({w for words in texts for w in words})
-        if new:
-            lists = [features(w) for w in new]
-            sizes = np.fromiter(map(len, lists), np.int64, len(lists))
-            first = len(known)
-            if first + len(new) > len(self.letters):
-                more = 2 * (first + len(new))
-                self.scores = np.concatenate([self.scores[:first], np.zeros((more - first, self.scores.shape[1]), np.float32)])
-                self.letters = np.concatenate([self.letters[:first], np.zeros(more - first, bool)])
-            some = np.flatnonzero(sizes)
-            self.scores[first : first + len(new)] = 0
-            self.letters[first : first + len(new)] = sizes > 0
-            if len(some):
-                flat = np.fromiter((x for one in lists for x in one), np.int64, int(sizes.sum()))
-                starts = (np.cumsum(sizes) - sizes)[some]
-                self.scores[first + some] = np.add.reduceat(self.weights[flat], starts, axis=0)
-            known.update(zip(new, range(first, first + len(new)), strict=True))
-        return np.fromiter((known[w] for words in texts for w in words), np.int64, sum(map(len, texts)))
+        self.weights, self.words = weights, pa.array([], pa.string())
+        self.scores, self.letters = np.zeros((0, weights.shape[1]), np.float32), np.zeros(0, bool)
+
+    def numbers(self, words: pa.Array) -> np.ndarray:
+        """Of each word; features are computed of words not met lately only."""
+        coded = words.cast(pa.string()).dictionary_encode()
+        if len(self.words) > REMEMBERED:
+            self.words, self.scores, self.letters = self.words[:0], self.scores[:0], self.letters[:0]
+        number = pc.fill_null(pc.index_in(coded.dictionary, value_set=self.words), -1).to_numpy().astype(np.int64)
+        new = np.flatnonzero(number < 0)
+        if len(new):
+            number[new] = np.arange(len(self.words), len(self.words) + len(new))
+            missing = coded.dictionary.take(pa.array(new))
+            scores, letters = [self.scores], [self.letters]
+            for at in range(0, len(missing), 50_000):
+                lists = [features(w) for w in missing[at : at + 50_000].to_pylist()]
+                sizes = np.fromiter(map(len, lists), np.int64, len(lists))
+                own, some = np.zeros((len(lists), self.weights.shape[1]), np.float32), np.flatnonzero(sizes)
+                if len(some):
+                    flat = np.fromiter((x for one in lists for x in one), np.int64, int(sizes.sum()))
+                    own[some] = np.add.reduceat(self.weights[flat], (np.cumsum(sizes) - sizes)[some], axis=0)
+                scores.append(own)
+                letters.append(sizes > 0)
+            self.words = pa.concat_arrays([self.words, missing])
+            self.scores, self.letters = np.concatenate(scores), np.concatenate(letters)
+        return number[coded.indices.to_numpy()]
+
+
+def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """All texts' words, one after the other, and how many each text has; null
+    has none."""
+    split = pc.utf8_split_whitespace(pc.fill_null(texts.cast(pa.large_string()), ""))
+    flat = split.flatten()
+    some = pc.not_equal(flat, "")  # white space at an end leaves an empty part
+    of = np.repeat(np.arange(len(texts)), np.diff(split.offsets.to_numpy()))
+    return flat.filter(some), np.bincount(of[some.to_numpy(zero_copy_only=False)], minlength=len(texts))
 
 
 def side_by_side(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -208,45 +218,41 @@ def fit(docs: DataFrame, learn: Column, lang: str = "lang", doc_id: str = "doc_i
     return pickle.loads(models[0].model) if models else Crf()
 
 
-def label_texts(model: Crf, words: Words, texts: list[str]) -> list[tuple[str, float, list[float]]]:
+def label_texts(model: Crf, words: Words, texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Per text: language, score and each language's share of its words."""
-    n = len(model.languages)
-    out: list[tuple[str, float, list[float]]] = []
-    at = 0
-    while at < len(texts):
-        some, held = [], 0
-        while at < len(texts) and (not some or held + len(texts[at]) // 6 <= BATCH_WORDS):
-            some.append(texts[at].split())
-            held += len(some[-1])
-            at += 1
-        if not n:
-            out += [(UNKNOWN, 0.0, [])] * len(some)
-            continue
-        numbers = words.numbers(some)
-        sizes = np.array([len(w) for w in some])
-        order, widths = side_by_side(sizes)
-        numbers = numbers[order]
-        p, _ = passes(words.scores[numbers], widths, model.transitions)
-        lettered = words.letters[numbers]
-        of = np.repeat(np.arange(len(some)), sizes)[order][lettered]
-        sums = np.stack([np.bincount(of, p[lettered, k], len(some)) for k in range(n)], 1)
-        for row in sums:
-            total = row.sum()
-            if total <= 0:
-                out.append((UNKNOWN, 0.0, [0.0] * n))
-            else:
-                best = int(row.argmax())
-                out.append((model.languages[best], min(1.0, float(row[best] / total)), (row / total).tolist()))
-    return out
+    n, rows = len(model.languages), len(texts)
+    shares = np.zeros((rows, n))
+    if n and rows:
+        flat, sizes = words_of(texts)
+        numbers = words.numbers(flat)
+        starts = np.cumsum(sizes) - sizes
+        # texts of like length side by side: few positions in all
+        by_size = np.argsort(-sizes, kind="stable")
+        before = np.cumsum(sizes[by_size]) - sizes[by_size]
+        for some in np.split(by_size, np.flatnonzero(np.diff(before // BATCH_WORDS)) + 1):
+            own = sizes[some]
+            at = np.repeat(starts[some] - (np.cumsum(own) - own), own) + np.arange(own.sum())
+            order, widths = side_by_side(own)
+            number = numbers[at[order]]
+            p, _ = passes(words.scores[number], widths, model.transitions)
+            lettered = words.letters[number]
+            of = np.repeat(np.arange(len(some)), own)[order][lettered]
+            shares[some] = np.stack([np.bincount(of, p[lettered, k], len(some)) for k in range(n)], 1)
+    totals = shares.sum(1)
+    shares /= np.maximum(totals, 1e-300)[:, None]
+    best = shares.argmax(1) if n else np.zeros(rows, np.int64)
+    found = [model.languages[k] if total > 0 else UNKNOWN for k, total in zip(best.tolist(), totals.tolist(), strict=True)]
+    return found, np.minimum(1.0, shares.max(1)) if n else np.zeros(rows), shares
 
 
 def label_words(model: Crf, text: str) -> list[tuple[str, str]]:
     """The words of one text with their likeliest languages."""
-    words = text.split()
+    flat, sizes = words_of(pa.array([text]))
+    words = flat.to_pylist()
     if not words or not model.languages:
         return [(w, UNKNOWN) for w in words]
     own = Words(model.weights)
-    numbers = own.numbers([words])
+    numbers = own.numbers(flat)
     p, _ = passes(own.scores[numbers], np.ones(len(words), np.int64), model.transitions)
     return [(w, model.languages[int(k)] if own.letters[i] else UNKNOWN) for w, k, i in zip(words, p.argmax(1), numbers, strict=True)]
 
@@ -261,8 +267,10 @@ def predict(docs: DataFrame, model: Crf, text: str = "text", lang_pred: str = "l
         words = Words(own.weights)
 
         def work(batch: pa.RecordBatch) -> list:
-            found = label_texts(own, words, common.texts(batch, text))
-            return [[x for x, _, _ in found], [x for _, x, _ in found], [list(zip(own.languages, x, strict=False)) for _, _, x in found]]
+            found, score, shares = label_texts(own, words, batch.column(text))
+            offsets = pa.array(np.arange(len(found) + 1) * len(own.languages), pa.int32())
+            named = pa.MapArray.from_arrays(offsets, pa.array(own.languages * len(found), pa.string()), pa.array(shares.ravel()))
+            return [pa.array(found, pa.string()), pa.array(score), named]
 
         return work
 

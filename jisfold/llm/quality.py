@@ -29,8 +29,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from jisfold.llm import common
+from jisfold.llm.common import Remembered
 from jisfold.llm.labelled import sample
-from jisfold.llm.pretokens import Remembered
 
 #: Labelled documents to train from, at most.
 TRAIN_ROWS = 6_000
@@ -53,7 +53,7 @@ class Features:
     """Sparse features of texts; one for a Python worker."""
 
     def __init__(self):
-        self.bucket = Remembered(_bucket, 300_000)
+        self.bucket = Remembered(_bucket, 100_000)
         kinds = np.zeros((256, 7))
         for b in range(256):
             c = chr(b)

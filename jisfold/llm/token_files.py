@@ -15,7 +15,8 @@ flag (1: the id is null) and its number of ids; per block the offset of its
 first word; per escape its place and value; the words.
 
 The files of a set follow one another in the order of document ids; a list
-of them, in the order of their names, has what comes before each.  A file is
+of them, in the order of partitions and of files in one, has what comes before
+each.  A file is
 written under another name and renamed, and only files that a finished task
 reported belong to the set, so lost executors and repeated attempts leave
 nothing in it.
@@ -23,7 +24,9 @@ nothing in it.
 Defined results: null text counts as empty and has the end id alone; rows with
 a null document id come first; rows that share an id follow by the hash of
 their text; an empty table makes no files and reads back as no rows; a
-document is never cut between files.
+document is never cut between files; texts of any length are encoded whole;
+extra columns are ignored; document ids that are no integers are an error of
+Arrow's conversion.
 """
 
 from __future__ import annotations
@@ -44,7 +47,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from jisfold.llm import common
-from jisfold.llm.pretokens import chunks, spaced
+from jisfold.llm.pretokens import PartIds
 
 MAGIC, VERSION = b"JFS8", 1
 HEADER = struct.Struct("<4sHxxIxxxxQQQQQ")
@@ -196,95 +199,45 @@ class TokenFile:
 
 
 class LibraryIds:
-    """Ids by the tokenizers library, asked once for each distinct piece.
+    """Ids by the tokenizers library, asked once for each distinct part.
 
-    Texts are cut where the library surely cuts them; what it gave for a part
-    is remembered in two generations, of which the older is dropped when the
-    younger is full, so that frequent parts stay.
+    Many parts are asked for in one text, with a tab between them: a tab that
+    other white space does not stand before is a token of its own, and so the
+    library's ids are cut at it.  A vocabulary for which that does not hold is
+    an error.  Texts that parts do not make up are encoded whole.
     """
 
-    LIMIT = 700_000
+    #: Parts in one text, and texts that the library gets at once.
+    PARTS, TEXTS = 1000, 32
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        import regex
         from tokenizers import Tokenizer
 
-        from jisfold.llm.bpe import PATTERN
-
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.special = list(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
-        self.find = regex.compile(PATTERN).findall
-        # by part: those that follow a space (kept without it), and all others
-        self.young: tuple[dict[str, bytes], dict[str, bytes]] = ({}, {})
-        self.old: tuple[dict[str, bytes], dict[str, bytes]] = ({}, {})
-
-    def _ask(self, parts: list[str]) -> list[bytes]:
-        found = []
-        for at in range(0, len(parts), 10_000):
-            found += [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(parts[at : at + 10_000], add_special_tokens=False)]
-        return found
-
-    def _learn(self, missing: tuple[set[str], set[str]]) -> None:
-        """Puts what is missing into the younger generation."""
-        asked: tuple[list[str], list[str]] = ([], [])
-        made: list[tuple[int, str, list[str]]] = []
-        for after, parts in enumerate(missing):
-            young, old = self.young[after], self.old[after]
-            for part in parts:
-                ids = old.get(part)
-                if ids is not None:
-                    young[part] = ids
-                elif part.isalpha() or any(x in part for x in self.special):
-                    asked[after].append(part)
-                else:
-                    made.append((after, part, self.find(" " + part if after else part)))
-        new: tuple[dict[str, None], dict[str, None]] = (dict.fromkeys(asked[0]), dict.fromkeys(asked[1]))
-        for _, _, pieces in made:
-            for piece in pieces:
-                after = len(piece) > 1 and piece[0] == " "
-                piece = piece[1:] if after else piece
-                if piece not in self.young[after] and piece not in new[after]:
-                    ids = self.old[after].get(piece)
-                    if ids is not None:
-                        self.young[after][piece] = ids
-                    else:
-                        new[after][piece] = None
-        for after, parts in enumerate(new):
-            self.young[after].update(zip(parts, self._ask([" " + x for x in parts] if after else list(parts)), strict=True))
-        for after, part, pieces in made:
-            self.young[after][part] = b"".join([self.young[1][x[1:]] if len(x) > 1 and x[0] == " " else self.young[0][x] for x in pieces])
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        if sum(map(len, self.young)) > self.LIMIT:
-            self.old, self.young = self.young, ({}, {})
-        plain, after = self.young
-        cut = []
-        missing: tuple[set[str], set[str]] = (set(), set())
-        for text in texts:
-            parts = spaced(text)
-            if parts is None:
-                parts = chunks(text)
-                cut.append((parts, None, None))
-                missing[0].update(x for x in parts if x not in plain)
-                continue
-            first = parts.pop(0)
-            ids = list(map(after.get, parts))
-            if first not in plain:
-                missing[0].add(first)
-            if None in ids:
-                missing[1].update([x for x, y in zip(parts, ids, strict=True) if y is None])
-            cut.append((parts, first, ids))
-        self._learn(missing)
-        out = []
-        for parts, first, ids in cut:
-            if ids is None:
-                out.append(b"".join(map(plain.__getitem__, parts)))
-            else:
-                out.append(plain[first] + b"".join(map(after.__getitem__, parts) if None in ids else ids))
-        return out
+        special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        tab = self._whole("\t")
+        if len(tab) != 1 or self._whole("a\t b\tc") != [*self._whole("a"), *tab, *self._whole(" b"), *tab, *self._whole("c")]:
+            raise ValueError(f"{path} does not keep tabs apart")
+        self.tab = tab[0]
+        self.known = PartIds(self._parts, self._whole, special)
+
+    def _whole(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
+
+    def _parts(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        joined = ["\t".join(parts[at : at + self.PARTS]) + "\t" for at in range(0, len(parts), self.PARTS)]
+        found = [np.array(e.ids, np.uint32) for at in range(0, len(joined), self.TEXTS) for e in self.tokenizer.encode_batch_fast(joined[at : at + self.TEXTS], add_special_tokens=False)]
+        ids = np.concatenate(found)
+        cuts = np.flatnonzero(ids == self.tab)
+        if len(cuts) != len(parts):
+            raise ValueError("the library did not keep the parts apart")
+        return np.delete(ids, cuts), np.diff(cuts, prepend=-1) - 1
+
+    def encode(self, texts: pa.Array) -> list[bytes]:
+        return self.known.encode(texts)
 
 
 @lru_cache(maxsize=2)
@@ -307,7 +260,7 @@ def write(df: DataFrame, folder: str, make_ids: Callable[[], Callable[[pa.Record
     row for each file, not for each document.
     """
     folder = _qualified(df.sparkSession, folder)
-    schema = T.StructType([T.StructField("name", T.StringType()), T.StructField("docs", T.LongType()), T.StructField("ids", T.LongType())])
+    schema = T.StructType([T.StructField("name", T.StringType()), T.StructField("part", T.LongType()), T.StructField("file", T.LongType()), T.StructField("docs", T.LongType()), T.StructField("ids", T.LongType())])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids_of, part, made = None, TaskContext.get().partitionId(), 0
@@ -324,7 +277,7 @@ def write(df: DataFrame, folder: str, make_ids: Callable[[], Callable[[pa.Record
             with out.open_output_stream(f"{base}/_{name}") as f:
                 f.write(dump(docs, [len(x) // 4 for x in coded], values))
             out.move(f"{base}/_{name}", f"{base}/{name}")
-            row = pa.RecordBatch.from_pydict({"name": [name], "docs": [len(docs)], "ids": [len(values)]})
+            row = pa.RecordBatch.from_pydict({"name": [name], "part": [part], "file": [made], "docs": [len(docs)], "ids": [len(values)]})
             made, held = made + 1, 0
             docs.clear()
             coded.clear()
@@ -332,8 +285,7 @@ def write(df: DataFrame, folder: str, make_ids: Callable[[], Callable[[pa.Record
 
         for batch in batches:
             ids_of = ids_of or make_ids()
-            for at in range(0, batch.num_rows, 256):
-                some = batch.slice(at, 256)
+            for some in common.slices(batch):
                 for doc, ids in zip(some.column(doc_id).to_pylist(), ids_of(some), strict=True):
                     docs.append(doc)
                     coded.append(ids)
@@ -344,7 +296,7 @@ def write(df: DataFrame, folder: str, make_ids: Callable[[], Callable[[pa.Record
             yield close()
 
     files, start = [], 0
-    for row in sorted(df.mapInArrow(run, schema).collect(), key=lambda r: r.name):
+    for row in sorted(df.mapInArrow(run, schema).collect(), key=lambda r: (r.part, r.file)):
         files.append({"name": row.name, "start": start, "docs": row.docs, "ids": row.ids})
         start += row.ids
     return files
@@ -395,6 +347,6 @@ def write_texts(df: DataFrame, folder: str, path: str, end_id: int | None = 0, d
 
     def make_ids():
         library = library_ids(path)
-        return lambda batch: [x + end for x in library.encode(common.texts(batch, text))]
+        return lambda batch: [x + end for x in library.encode(batch.column(text))]
 
     return write(in_order(df.select(doc_id, text), doc_id, text), folder, make_ids, doc_id, ids_per_file)

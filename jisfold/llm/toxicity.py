@@ -30,8 +30,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import types as T
 
 from jisfold.llm import common
+from jisfold.llm.common import Remembered
 from jisfold.llm.labelled import sample
-from jisfold.llm.pretokens import Remembered
 
 #: Labelled documents to train from, at most.
 TRAIN_ROWS = 8_000
@@ -135,7 +135,7 @@ def train(rows: list[tuple[bytes, int]]) -> Detector:
         if sure > 0:
             scores[word] = math.copysign(sure, odds) - DRIFT
     own = Detector(scores)
-    scored = Remembered(own.word, 300_000)
+    scored = Remembered(own.word, 100_000)
     # lambda: where the mean of exp(lambda * score) over clean words is 1
     clean = Counter()
     for words, y in texts:
@@ -204,7 +204,7 @@ def detect(docs: DataFrame, detector: Detector, text: str = "text", out: str = "
 
     def make():
         own = sent.value
-        scored = Remembered(own.word, 300_000)
+        scored = Remembered(own.word, 100_000)
 
         def work(batch: pa.RecordBatch) -> list:
             found = [own.passages(x.split(), scored) for x in common.raw_texts(batch, text)]
