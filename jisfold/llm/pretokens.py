@@ -3,7 +3,7 @@
 A single space between two characters that are no white space always begins a
 new token, so the parts between such places can be encoded one by one.
 ``PartIds`` does this for many texts at once: Arrow splits them and finds the
-distinct parts, only those not met lately are encoded, and the texts' ids are
+distinct parts, only their inner pieces not met lately are encoded, and the texts' ids are
 gathered by number.  No Python object is made for a word of a text, and what
 is remembered are two arrays, not a dictionary of objects.
 """
@@ -20,6 +20,8 @@ import pyarrow.compute as pc
 _SAFE_CUT = re.compile(r"(?<=\S)(?= (?=\S))")
 #: White space that is no single space or line feed between other characters.
 _IRREGULAR = r"  | \n|\n |^\n|\n$|^ | $|[\t\r\x0b\x0c\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+#: In such texts: a line feed and the characters around it; a letter and a mark.
+_FEED, _MARK = r"([^\s])(\n[^\s])", r"(\pL)([^\s\pL\pN])"
 
 
 def chunks(text: str) -> list[str]:
@@ -32,17 +34,17 @@ def chunks(text: str) -> list[str]:
 
 
 class PartIds:
-    """Ids of whole texts, encoded once for each distinct part.
+    """Ids of whole texts, encoded once for each distinct piece.
 
-    ``encode_parts`` gives (all ids, number of each part's ids) of parts
-    between single spaces, each with the space before it; none has a tab.
+    ``encode_parts`` gives (all ids, number of each part's ids) of pieces that
+    encode independently, each with the space before it; none has a tab.
     ``encode_whole`` gives the ids of one text, and is asked for texts in which
     some white space stands beside other white space or at an end, or that hold
-    one of the ``special`` strings.  At most ``limit`` parts are remembered, and
+    one of the ``special`` strings.  At most ``limit`` pieces are remembered, and
     those of the last call.
     """
 
-    def __init__(self, encode_parts: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], encode_whole: Callable[[str], Sequence[int]], special: Sequence[str] = (), limit: int = 800_000):
+    def __init__(self, encode_parts: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], encode_whole: Callable[[str], Sequence[int]], special: Sequence[str] = (), limit: int = 300_000):
         self.encode_parts, self.encode_whole, self.limit = encode_parts, encode_whole, limit
         self.irregular = "|".join([_IRREGULAR, *map(re.escape, special)])
         self.parts = pa.array([], pa.string())
@@ -62,17 +64,26 @@ class PartIds:
             split = pc.split_pattern(pc.replace_substring(texts.take(pa.array(rows)), " ", "\t "), "\t")
             per_text = np.diff(split.offsets.to_numpy())
             coded = split.flatten().dictionary_encode()
-            number = self._known(coded.dictionary.cast(pa.string()))[coded.indices.to_numpy()]
-            ids, sizes = _gathered(self.sizes, self.ids, number)
+            ids, sizes = self._ids_of(coded.dictionary)
+            ids, sizes = _gathered(sizes, ids, coded.indices.to_numpy())
             ends = np.cumsum(sizes)[np.cumsum(per_text) - 1] * 4
             data, start = ids.astype("<u4", copy=False).tobytes(), 0
             for i, end in zip(rows.tolist(), ends.tolist(), strict=True):
                 out[i], start = data[start:end], end
-            self._forget(number)
         return out
 
+    def _ids_of(self, parts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, number of each part's ids) of distinct parts."""
+        cut = pc.replace_substring_regex(pc.replace_substring_regex(parts, _FEED, "\\1\t\\2"), _MARK, "\\1\t\\2")
+        split = pc.split_pattern(cut, "\t")
+        coded = split.flatten().dictionary_encode()
+        number = self._known(coded.dictionary.cast(pa.string()))[coded.indices.to_numpy()]
+        ids, sizes = _gathered(self.sizes, self.ids, number)
+        self._forget(number)
+        return ids, np.add.reduceat(sizes, split.offsets.to_numpy()[:-1])
+
     def _known(self, parts: pa.Array) -> np.ndarray:
-        """The numbers of distinct parts; new ones are encoded."""
+        """The numbers of distinct pieces; new ones are encoded."""
         at = pc.index_in(parts, value_set=self.parts)
         number = pc.fill_null(at, -1).to_numpy().astype(np.int64)
         new = np.flatnonzero(number < 0)
@@ -85,7 +96,7 @@ class PartIds:
         return number
 
     def _forget(self, number: np.ndarray) -> None:
-        """Keeps the parts of the last call only, where there are too many."""
+        """Keeps the pieces of the last call only, where there are too many."""
         if len(self.parts) > self.limit:
             kept = np.unique(number)
             self.ids, self.sizes = _gathered(self.sizes, self.ids, kept)
