@@ -10,12 +10,15 @@ item, so the order of a sequence never depends on the join's.
 
 Payloads are not shuffled: the table is written where the texts are read, a
 payload that a task has stored before is not stored again, and only the small
-rows computed from the stored bytes are joined.
+rows computed from the stored bytes are joined, by digest and writing task, so
+that a payload of very many copies is not one key.
 
 Defined results: null text or HTML counts as empty (an empty payload is one
 row of 192 spaces; empty HTML has no items); repeated rows give repeated
 results; a reference without payload keeps its place with nulls; equal
-payloads have equal stored bytes; an empty table gives an empty result.
+payloads have equal stored bytes; texts of any length are one payload each; an
+empty table gives an empty result; extra columns are ignored by write_media and
+kept by sequences, where one of the name of the result is replaced.
 """
 
 from __future__ import annotations
@@ -23,11 +26,12 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 from html.parser import HTMLParser
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -37,6 +41,8 @@ from jisfold.llm import common
 #: Bytes of a row of samples: 64 pixels of 3 samples.
 ROW = 192
 PIXELS = 64
+#: Bytes of payloads that a worker holds as objects at a time.
+SLICE_BYTES = 4 << 20
 _SIGNATURE = b"\x89PNG\r\n\x1a\n"
 ITEM = T.StructType(
     [
@@ -193,17 +199,17 @@ def feature(samples: np.ndarray) -> str:
 
 def write_media(df: DataFrame, tag: str = "media", doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Stores the texts as media in the shared folder; returns the table:
-    the id, n_bytes (of the text), digest and media (null where this task has
-    stored the same payload before)."""
+    the id, n_bytes (of the text), digest, part (the writing task's number)
+    and media (null where that task has stored the same payload before)."""
     schema = T.StructType(
-        [df.schema[doc_id], T.StructField("n_bytes", T.LongType()), T.StructField("digest", T.StringType()), T.StructField("media", T.BinaryType())]
+        [df.schema[doc_id], T.StructField("n_bytes", T.LongType()), T.StructField("digest", T.StringType()), T.StructField("part", T.IntegerType()), T.StructField("media", T.BinaryType())]
     )
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         stored: set[bytes] = set()
+        part = TaskContext.get().partitionId()
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                some = batch.slice(at, 512)
+            for some in common.slices(batch, SLICE_BYTES):
                 sizes, digests, media = [], [], []
                 for data in common.raw_texts(some, text):
                     payload = padded(data)
@@ -213,7 +219,8 @@ def write_media(df: DataFrame, tag: str = "media", doc_id: str = "doc_id", text:
                     sizes.append(len(data))
                     digests.append(digest.hexdigest())
                     media.append(to_png(payload) if new else None)
-                yield pa.RecordBatch.from_arrays([some.column(doc_id), pa.array(sizes, pa.int64()), pa.array(digests, pa.string()), pa.array(media, pa.binary())], names=[doc_id, "n_bytes", "digest", "media"])
+                columns = [some.column(doc_id), pa.array(sizes, pa.int64()), pa.array(digests, pa.string()), pa.array([part] * len(sizes), pa.int32()), pa.array(media, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=[doc_id, "n_bytes", "digest", "part", "media"])
 
     path = common.new_path(df.sparkSession, tag)
     df.select(doc_id, text).mapInArrow(run, schema).write.option("compression", "uncompressed").parquet(path)
@@ -233,27 +240,39 @@ FACTS = T.StructType(
 
 
 def facts(store: DataFrame) -> DataFrame:
-    """One row per digest, computed from the stored bytes as read back."""
-    schema = T.StructType([T.StructField("digest", T.StringType()), *FACTS.fields])
+    """One row per stored payload (its digest and part), computed from the
+    stored bytes as read back.  No shuffle."""
+    schema = T.StructType([T.StructField("digest", T.StringType()), T.StructField("part", T.IntegerType()), *FACTS.fields])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for digest, media in zip(batch.column("digest").to_pylist(), batch.column("media").to_pylist(), strict=True):
-                payload = from_png(media)
-                rows.append((digest, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(media), hashlib.sha256(media).hexdigest(), feature(np.frombuffer(payload, np.uint8))))
-            if rows:
-                kinds = [pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=[f.name for f in schema.fields])
-
-    read_back = store.where(F.col("media").isNotNull()).select("digest", "media").mapInArrow(run, schema)
-    return read_back.groupBy("digest").agg(*[F.max(f.name).alias(f.name) for f in FACTS.fields])
-
-
-def resolve(pages: DataFrame, by_digest: DataFrame, page_columns: list[str], sequence: str = "items") -> DataFrame:
-    """One row per media item with what ``by_digest`` has of its payload:
-    page columns, position, source, digest, caption, then by_digest's columns
-    (null where no payload has the digest)."""
+            for some in common.slices(batch, SLICE_BYTES):
+                rows = []
+                for stored in some.column("media"):
+                    media = stored.as_py()
+                    payload = from_png(media)
+                    rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(media), hashlib.sha256(media).hexdigest(), feature(np.frombuffer(payload, np.uint8))))
+                kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+                found = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]
+                yield pa.RecordBatch.from_arrays([some.column("digest"), some.column("part"), *found], names=[f.name for f in schema.fields])
+
+    return store.where(F.col("media").isNotNull()).select("digest", "part", "media").mapInArrow(run, schema)
+
+
+def by_digest(found: DataFrame) -> DataFrame:
+    """facts() with one row per digest, for references that know no part."""
+    return found.groupBy("digest").agg(*[F.max(f.name).alias(f.name) for f in FACTS.fields])
+
+
+def resolve(pages: DataFrame, payloads: DataFrame, page_columns: list[str], sequence: str = "items", on: Sequence[str] = ("digest",)) -> DataFrame:
+    """One row per media item with what ``payloads`` has of its payload:
+    page columns, position, source, digest, caption, then the payloads' columns
+    (null where none has the digest).
+
+    ``on``: the digest, and page columns that name a payload with it.  With the
+    part of write_media among them, a payload that very many pages refer to is
+    not one key of the join.
+    """
     own = pages.select(*page_columns, F.explode(sequence).alias("item")).where(F.col("item.kind") == "media")
     own = own.select(*page_columns, "item.position", "item.source", "item.digest", "item.caption")
-    return own.join(by_digest, "digest", "left")
+    return own.join(payloads, list(on), "left")

@@ -149,14 +149,19 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Stores every document as a picture that a page about it refers to, and
-    resolves the pages' references to what the stored bytes hold."""
-    store = media.write_media(table(spark, sf_dir, "documents", "doc_id", "text"))
+    """Stores every document as a picture, makes a page that interleaves text
+    and two references (the picture as a figure, and one without payload), and
+    resolves the figure's reference to what the stored bytes hold."""
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    store = media.write_media(docs)
     name = F.coalesce(F.col("doc_id").cast("string"), F.lit("without id"))
-    html = F.concat(F.lit("<article><p>Document "), name, F.lit("</p><figure><img src='media:"), "digest", F.lit("' alt='payload'><figcaption>Payload of "), name, F.lit("</figcaption></figure></article>"))
-    pages = media.sequences(store.select("doc_id", "n_bytes", html.alias("html")))
-    found = media.resolve(pages, media.facts(store), ["doc_id", "n_bytes"])
-    return found.select("doc_id", "n_bytes", *[f.name for f in media.FACTS.fields], "position", "caption")
+    figure = F.concat(F.lit("<figure><img src='media:"), "digest", F.lit("' alt='payload'><figcaption>Payload of "), name, F.lit("</figcaption></figure>"))
+    head, tail = F.lit("<article><p>Document "), F.lit("<p>Source: <img src='media:' alt='none'></p></article>")
+    html = F.concat(head, name, F.lit("</p>"), figure, F.lit("<p>"), F.col("n_bytes").cast("string"), F.lit(" bytes</p>"), tail)
+    pages = media.sequences(store.select("doc_id", "n_bytes", "part", "digest", html.alias("html")))
+    items = F.filter("items", lambda x: x["digest"] == F.col("digest"))
+    found = media.resolve(pages.select("doc_id", "n_bytes", "part", F.size("items").alias("n_items"), items.alias("items")), media.facts(store), ["doc_id", "n_bytes", "part", "n_items"], on=("digest", "part"))
+    return found.select("doc_id", "n_bytes", *[f.name for f in media.FACTS.fields], "n_items", "position", "caption")
 
 
 QUERIES = {"op1_simhash": op1_simhash, "op2_mix": op2_mix, "op3_bpe": op3_bpe, "op4_quality": op4_quality, "op5_langid": op5_langid, "op6_lm": op6_lm, "op7_top_k": op7_top_k, "op8_toxicity": op8_toxicity, "op9_token_files": op9_token_files, "op10_media": op10_media}

@@ -552,7 +552,7 @@ def test_media_of_odd_documents(spark):
     store = media.write_media(odd_documents(spark))
     html = F.concat(F.lit("<p>x</p><img src='media:"), "digest", F.lit("' alt=c><img src='media:00'>"))
     pages = media.sequences(store.select("doc_id", "n_bytes", html.alias("html")))
-    rows = media.resolve(pages, media.facts(store), ["doc_id", "n_bytes"]).collect()
+    rows = media.resolve(pages, media.by_digest(media.facts(store)), ["doc_id", "n_bytes"]).collect()
     assert len(rows) == 2 * odd_documents(spark).count()
     for r in rows:
         if r.position == 1 and r.doc_id is not None:
