@@ -62,6 +62,20 @@ def discard(*frames: DataFrame) -> None:
             folder.getFileSystem(conf).delete(folder, True)
 
 
+def map_batches(df: DataFrame, run: Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType) -> DataFrame:
+    """df.mapInArrow, with batches of SLICE_BYTES at most (or of one longer row).
+
+    Spark's own limit, 64 MB, takes several times that of an executor's memory
+    outside the heap for each task.  The session's setting is lowered, unless
+    it is lower still.
+    """
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = str(conf.get(name, str(64 << 20))).rstrip("bB")
+    if not now.isdigit() or not 0 < int(now) <= SLICE_BYTES:
+        conf.set(name, str(SLICE_BYTES))
+    return df.mapInArrow(run, schema)
+
+
 def append_columns(
     df: DataFrame,
     outputs: T.StructType,
@@ -77,7 +91,7 @@ def append_columns(
     base = [f for f in df.schema.fields if f.name.lower() not in {o.name.lower() for o in outputs.fields}]
     keep = [f.name for f in base]
     schema = T.StructType(base + outputs.fields)
-    return df.mapInArrow(_appender(make, keep, schema), schema)
+    return map_batches(df, _appender(make, keep, schema), schema)
 
 
 def _appender(make, keep: list[str], schema: T.StructType):

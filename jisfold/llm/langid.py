@@ -214,7 +214,7 @@ def fit(docs: DataFrame, learn: Column, lang: str = "lang", doc_id: str = "doc_i
         rows.sort(key=lambda r: (r[0], r[2], r[1]))
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(train([(t, y) for _, t, y in rows]))], pa.binary())], names=["model"])
 
-    models = found.select("id", "text", "lang").mapInArrow(run, T.StructType([T.StructField("model", T.BinaryType())])).collect()
+    models = common.map_batches(found.select("id", "text", "lang"), run, T.StructType([T.StructField("model", T.BinaryType())])).collect()
     return pickle.loads(models[0].model) if models else Crf()
 
 

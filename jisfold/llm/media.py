@@ -223,7 +223,7 @@ def write_media(df: DataFrame, tag: str = "media", doc_id: str = "doc_id", text:
                 yield pa.RecordBatch.from_arrays(columns, names=[doc_id, "n_bytes", "digest", "part", "media"])
 
     path = common.new_path(df.sparkSession, tag)
-    df.select(doc_id, text).mapInArrow(run, schema).write.option("compression", "uncompressed").parquet(path)
+    common.map_batches(df.select(doc_id, text), run, schema).write.option("compression", "uncompressed").parquet(path)
     return df.sparkSession.read.schema(schema).parquet(path)
 
 
@@ -256,7 +256,7 @@ def facts(store: DataFrame) -> DataFrame:
                 found = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]
                 yield pa.RecordBatch.from_arrays([some.column("digest"), some.column("part"), *found], names=[f.name for f in schema.fields])
 
-    return store.where(F.col("media").isNotNull()).select("digest", "part", "media").mapInArrow(run, schema)
+    return common.map_batches(store.where(F.col("media").isNotNull()).select("digest", "part", "media"), run, schema)
 
 
 def by_digest(found: DataFrame) -> DataFrame:

@@ -303,7 +303,7 @@ def _in_shards(rows: DataFrame, radius: int) -> DataFrame:
     placed = rows.repartition(*shard).sortWithinPartitions(*shard, "fp")
     kind = rows.schema["fp"].dataType
     schema = T.StructType([T.StructField("a", kind), T.StructField("b", kind)])
-    return placed.mapInArrow(_shards(radius), schema)
+    return common.map_batches(placed, _shards(radius), schema)
 
 
 def _shards(radius: int):
@@ -454,7 +454,7 @@ def exact_links(members: DataFrame, shingle: int, similarity: float, text: str =
         yield out()
 
     schema = T.StructType([T.StructField("a", T.BinaryType()), T.StructField("b", T.BinaryType())])
-    return part.repartition(*shard).sortWithinPartitions(*shard).mapInArrow(run, schema)
+    return common.map_batches(part.repartition(*shard).sortWithinPartitions(*shard), run, schema)
 
 
 def candidate_links(nodes: DataFrame, words: int, radius: int) -> DataFrame:

@@ -296,7 +296,7 @@ def write(df: DataFrame, folder: str, make_ids: Callable[[], Callable[[pa.Record
             yield close()
 
     files, start = [], 0
-    for row in sorted(df.mapInArrow(run, schema).collect(), key=lambda r: (r.part, r.file)):
+    for row in sorted(common.map_batches(df, run, schema).collect(), key=lambda r: (r.part, r.file)):
         files.append({"name": row.name, "start": start, "docs": row.docs, "ids": row.ids})
         start += row.ids
     return files
@@ -327,7 +327,7 @@ def read(spark: SparkSession, folder: str, files: list[dict], row: Callable[[np.
                     start += len(ids)
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), arrow, strict=True)], names=arrow.names)
 
-    return found.mapInArrow(run, schema)
+    return common.map_batches(found, run, schema)
 
 
 def crc32(ids: np.ndarray) -> list[int]:

@@ -190,7 +190,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, label: str = "toxic",
 
     import pickle
 
-    found = chosen.mapInArrow(run, schema).collect()
+    found = common.map_batches(chosen, run, schema).collect()
     return pickle.loads(found[0].model) if found else Detector()
 
 
