@@ -1,28 +1,33 @@
 """Language-model scores by a hashed maximum-entropy model.
 
-The chance of a word given the words before it is the chance of its class
-given hashed features of those words (each of the last three words at its
-distance, which are n-gram and skip features, and the last two together),
-times the chance of the word in its class.  The classes' chances are a softmax
-over families of classes and one over the family's classes, of the features'
-weights; the most frequent words are classes of their own,
-and all others fall into classes by their endings.  In a class, words have
-their smoothed share of its training tokens, with room for one unknown word.
+A word's chance given the words before it is the chance of its leaf in a tree
+of classes, times its share of the leaf.  The tree has ``LEVELS`` levels with
+``WAYS`` branches at each node, so the model is a softmax over families, one
+over the family's classes and one over the class's leaves.  Each is a
+log-linear model of hashed features of the context (each of the last three
+words at its distance, which are n-gram and skip features, and the last two
+together), on top of the branches' shares of the training tokens.  The
+``SINGLES`` most frequent words are leaves of their own, so that context tells
+each of them from every other word; all others fall into leaves by their
+endings and have their smoothed share of the leaf's training tokens, with room
+for one unknown word in each leaf.
 
 Counts come from the whole corpus.  The texts are read once and written as
 packed chunks: the chunk's distinct words, and its documents as numbers of
-those words.  Each chunk asks for its distinct words' counts in one shuffle
-that has a row for a word and chunk, not for a token, and gets them back as an
-array, so no task holds the vocabulary.  Training goes over all chunks where
-they lie: each task makes gradient steps from the same weights, and the
-tasks' weights are averaged, row by row as often as each row was used, in a
-tree; weights have a fixed size.
+those words.  Words are summed over the chunks with partial sums in each task;
+the ``HEAD`` most frequent words (a bounded table) go to all tasks, and only
+the other words of a chunk are joined with their counts, by 96 bits of hashes,
+so that no word has a row for most chunks there.  Training goes over all
+training documents where they lie: each task makes gradient steps from the
+same weights, and the tasks' weights are averaged, row by row as often as each
+row was used, in a tree; weights have a fixed size.
 
 Defined results: null text counts as empty and has its end token alone; the
-end counts as a token; a null document id counts as the text '' for its fold;
-with nothing to learn from, the counts are zero and the classes are equally
-likely; repeated rows give repeated results; an empty table gives an empty
-result; texts of any length are scored whole, as one chunk if need be.
+end counts as a token; a null document id counts as the text '' for its fold,
+and document ids that are no integers come back null; with nothing to learn
+from, the counts are zero and the leaves by ending are equally likely; repeated rows
+give repeated results; an empty table gives an empty result; texts of any
+length are scored whole, as one chunk if need be; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,29 +37,29 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from jisfold.llm import common
 
-#: Classes of single words, and classes by ending.
-SINGLES, GROUPS = 48, 48
-CLASSES = SINGLES + GROUPS
-#: Families of classes: the softmax is over families, then over one family's classes.
-FAMILIES = 8
-#: Rows of the hashed table of weights; row 0 is in every context.
-ROWS = 1 << 14
-FEATURES = 5
-#: Tokens and distinct words at which a chunk is closed.
-CHUNK_TOKENS, CHUNK_WORDS = 1_000_000, 200_000
+LEVELS, WAYS = 3, 16
+LEAVES = WAYS**LEVELS
+#: Leaves of single words; the others hold words by their endings.
+SINGLES = LEAVES // 2
+GROUPS = LEAVES - SINGLES
+#: Most frequent words, whose counts go to all tasks.
+HEAD = 1 << 16
+#: Hashed rows of weights at each level (row numbers are 16 bits).
+ROWS = 1 << 16
+FEATURES = 4
 STEP = 16_384
-RATE = 0.15
+RATE = 0.3
 ROUNDS = 1
 #: Tasks' weights that one step of the averaging takes together.
 FAN = 32
-_PUNCTUATION = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 END = b""
 
 CHUNK = T.StructType(
@@ -62,7 +67,6 @@ CHUNK = T.StructType(
         T.StructField("chunk", T.LongType()),
         T.StructField("words", T.ArrayType(T.BinaryType())),
         T.StructField("train_counts", T.ArrayType(T.IntegerType())),
-        T.StructField("groups", T.ArrayType(T.IntegerType())),
         T.StructField("doc_ids", T.ArrayType(T.LongType())),
         T.StructField("held", T.ArrayType(T.BooleanType())),
         T.StructField("sizes", T.ArrayType(T.IntegerType())),
@@ -71,10 +75,19 @@ CHUNK = T.StructType(
 )
 
 
-def group(word: bytes) -> int:
-    """The class by ending: of the last two letters and what follows them."""
-    core = word.rstrip(_PUNCTUATION)
-    return zlib.crc32(core[-2:] + word[len(core) :][:1]) % GROUPS
+def endings(words: pa.Array) -> np.ndarray:
+    """The leaf by ending, counted from SINGLES, of each word: of its last three bytes."""
+    offsets = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words) + 1].astype(np.int64)
+    data = np.frombuffer(words.buffers()[2] or b"", np.uint8)
+    found = np.zeros(len(words), np.uint64)
+    for back in (1, 2, 3):
+        at = offsets[1:] - back
+        inside = at >= offsets[:-1]
+        own = np.zeros(len(words), np.uint64)
+        own[inside] = data[at[inside]].astype(np.uint64) + np.uint64(1)
+        found = (found * np.uint64(257) + own) * np.uint64(0x9E3779B97F4A7C15)
+        found ^= found >> np.uint64(29)
+    return (found % np.uint64(GROUPS)).astype(np.int64)
 
 
 def pack(docs: DataFrame, held_out: Column, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -82,100 +95,122 @@ def pack(docs: DataFrame, held_out: Column, doc_id: str = "doc_id", text: str =
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, made = TaskContext.get().partitionId(), 0
-        number: dict[bytes, int] = {END: 0}
-        ids: list = []
-        held: list[bool] = []
-        coded: list[np.ndarray] = []
-        tokens = 0
-
-        def close() -> pa.RecordBatch:
-            nonlocal made, tokens
-            flat = np.concatenate(coded)
-            sizes = np.fromiter(map(len, coded), np.int64, len(coded))
-            # frequent words get small numbers, whose upper bytes then compress well
-            counts = np.bincount(flat, minlength=len(number))
-            rank = np.argsort(-counts, kind="stable")
-            to = np.empty(len(rank), np.int64)
-            to[rank] = np.arange(len(rank))
-            flat = to[flat].astype("<u4")
-            learnt = np.bincount(flat[np.repeat(~np.array(held), sizes)], minlength=len(number))
-            names = list(number)
-            words = [names[i] for i in rank.tolist()]
-            row = [part << 32 | made, words, learnt.tolist(), [group(w) for w in words], list(ids), list(held), sizes.tolist(), flat.view(np.uint8).reshape(-1, 4).T.tobytes()]
-            made, tokens = made + 1, 0
-            number.clear()
-            number[END] = 0
-            for x in (ids, held, coded):
-                x.clear()
-            kinds = [pa.int64(), pa.list_(pa.binary()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int32()), pa.binary()]
-            return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, kinds, strict=True)], names=CHUNK.names)
-
         for batch in batches:
-            for doc, out, data in zip(batch.column("doc_id").to_pylist(), batch.column("held_out").to_pylist(), common.raw_texts(batch, "text"), strict=True):
-                words = data.lower().split()
-                words.append(END)
-                new = number.setdefault
-                coded.append(np.fromiter((new(w, len(number)) for w in words), np.int64, len(words)))
-                ids.append(doc)
-                held.append(out)
-                tokens += len(words)
-                if tokens >= CHUNK_TOKENS or len(number) >= CHUNK_WORDS:
-                    yield close()
-        if ids:
-            yield close()
+            for some in common.slices(batch):
+                yield packed(some, part << 32 | made)
+                made += 1
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), held_out.alias("held_out"), F.col(text).alias("text"))
     path = common.new_path(docs.sparkSession, "lm-chunks")
-    rows.mapInArrow(run, CHUNK).write.option("compression", "zstd").parquet(path)
+    common.map_batches(rows, run, CHUNK).write.option("compression", "zstd").parquet(path)
     return docs.sparkSession.read.schema(CHUNK).parquet(path)
 
 
-def counted(chunks: DataFrame) -> DataFrame:
-    """(chunk, i, group, c, first): the corpus count of each chunk's i-th word;
-    first marks one of a word's rows.  One shuffle, a row for a word and chunk."""
-    rows = chunks.select("chunk", F.explode(F.arrays_zip("words", "train_counts", "groups", F.sequence(F.lit(0), F.size("words") - 1).alias("i"))).alias("w"))
-    rows = rows.select("chunk", "w.words", "w.train_counts", "w.groups", "w.i")
-    same = Window.partitionBy("words")
-    found = rows.select("chunk", "i", F.col("groups").alias("group"), F.sum("train_counts").over(same).alias("c"), (F.min("chunk").over(same) == F.col("chunk")).alias("first"))
-    return common.stash(found, "lm-counts")
+def packed(batch: pa.RecordBatch, chunk: int) -> pa.RecordBatch:
+    """One chunk of the batch's documents; word 0 to n by falling frequency."""
+    texts = pc.ascii_lower(pc.fill_null(batch.column("text").cast(pa.large_string()), ""))
+    split = pc.ascii_split_whitespace(texts)
+    flat = split.flatten()
+    some = pc.not_equal(flat, "").to_numpy(zero_copy_only=False)  # white space at an end leaves an empty part
+    of = np.repeat(np.arange(len(texts)), np.diff(split.offsets.to_numpy()))[some]
+    sizes = np.bincount(of, minlength=len(texts)) + 1
+    coded = flat.filter(pa.array(some)).dictionary_encode()
+    ends = np.cumsum(sizes) - 1
+    numbers = np.zeros(int(sizes.sum()), np.int64)
+    inside = np.ones(len(numbers), bool)
+    inside[ends] = False
+    numbers[inside] = coded.indices.to_numpy() + 1
+    words = pa.concat_arrays([pa.array([END], pa.binary()), coded.dictionary.cast(pa.large_binary()).cast(pa.binary())])
+    # frequent words get small numbers, whose upper bytes then compress well
+    rank = np.argsort(-np.bincount(numbers, minlength=len(words)), kind="stable")
+    to = np.empty(len(rank), np.int64)
+    to[rank] = np.arange(len(rank))
+    tokens = to[numbers].astype("<u4")
+    held = pc.fill_null(batch.column("held_out"), False)
+    learnt = np.bincount(tokens[np.repeat(~held.to_numpy(zero_copy_only=False), sizes)], minlength=len(words))
+
+    def row(values: pa.Array) -> pa.Array:
+        return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+
+    data = tokens.view(np.uint8).reshape(-1, 4).T.tobytes()
+    columns = [row(words.take(pa.array(rank))), row(pa.array(learnt, pa.int32())), row(batch.column("doc_id")), row(held), row(pa.array(sizes, pa.int32()))]
+    return pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), *columns, pa.array([data], pa.binary())], names=CHUNK.names)
+
+
+def _key(word: Column) -> list[Column]:
+    """A word's 96 bits of hashes: two words share them once in 10**28 pairs."""
+    return [F.xxhash64(word).alias("h"), (F.crc32(word) - (1 << 31)).cast("int").alias("k")]
+
+
+def word_counts(chunks: DataFrame) -> DataFrame:
+    """(word, h, k, c): the training tokens of every word of the training
+    documents, written to the shared folder."""
+    rows = chunks.select(F.explode(F.arrays_zip("words", "train_counts")).alias("w")).where("w.train_counts > 0").select(F.col("w.words").alias("word"), F.col("w.train_counts").alias("n"))
+    return common.stash(rows.groupBy("word").agg(F.sum("n").alias("c")).select("word", *_key(F.col("word")), "c"), "lm-counts")
 
 
 class Statistics:
     """Totals of the corpus: bounded numbers of them, whatever its size."""
 
-    def __init__(self, chunks: DataFrame, counts: DataFrame):
-        known = counts.where(F.col("first") & (F.col("c") > 0))
-        top = known.orderBy(F.desc("c"), "chunk", "i").limit(SINGLES).select("chunk", "i", "c")
-        named = chunks.select("chunk", "words").join(F.broadcast(top), "chunk").select(F.element_at("words", F.col("i") + 1).alias("word"), "c")
-        singles = sorted(((bytes(r.word), r.c) for r in named.collect()), key=lambda x: (-x[1], x[0]))
-        self.single = {w: k for k, (w, _) in enumerate(singles)}
+    def __init__(self, counts: DataFrame):
+        top = [(bytes(r.word), r.c) for r in counts.orderBy(F.desc("c"), "word").select("word", "c").limit(HEAD).collect()]
+        self.head = pa.array([w for w, _ in top], pa.binary())
+        self.head_counts = np.array([c for _, c in top], np.int64)
+        self.singles = min(SINGLES, len(top))
         n, v = np.zeros(GROUPS, np.int64), np.zeros(GROUPS, np.int64)
-        for r in known.groupBy("group").agg(F.sum("c").alias("n"), F.count("*").alias("v")).collect():
-            n[r.group], v[r.group] = r.n, r.v
+        for leaf, words, tokens in _ending_totals(counts):
+            n[leaf], v[leaf] = tokens, words
         self.tokens, self.words = int(n.sum()), int(v.sum())
-        for w, c in singles:
-            n[group(w)] -= c
-            v[group(w)] -= 1
-        self.group_total = n + v + 1
+        own = endings(self.head[: self.singles])
+        np.subtract.at(n, own, self.head_counts[: self.singles])
+        np.subtract.at(v, own, 1)
+        #: Tokens of each leaf; of those by ending with one more for each word and for an unknown one.
+        self.leaf_totals = np.concatenate([np.pad(self.head_counts[: self.singles], (0, SINGLES - self.singles)), n + v + 1])
+
+    def place(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(place among the most frequent words or -1, leaf) of each word."""
+        at = pc.fill_null(pc.index_in(words, value_set=self.head), -1).to_numpy().astype(np.int64)
+        return at, np.where((at >= 0) & (at < self.singles), at, SINGLES + endings(words))
+
+    def biases(self) -> list[np.ndarray]:
+        """For each level, the logarithms of the branches' shares at each node.
+        A leaf of no word has no share."""
+        totals = self.leaf_totals.astype(np.float64)
+        out = []
+        for level in range(LEVELS):
+            sums = totals.reshape(WAYS**level, WAYS, -1).sum(-1)
+            out.append(np.log(np.maximum(sums, 1e-12) / np.maximum(sums.sum(1, keepdims=True), 1e-12)).astype(np.float32))
+        return out
+
+
+def _ending_totals(counts: DataFrame) -> list[tuple[int, int, int]]:
+    """(leaf by ending, words, tokens) of the corpus: GROUPS rows at most."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, v = np.zeros(GROUPS, np.int64), np.zeros(GROUPS, np.int64)
+        for batch in batches:
+            leaf = endings(batch.column("word"))
+            np.add.at(n, leaf, batch.column("c").to_numpy())
+            v += np.bincount(leaf, minlength=GROUPS)
+        some = np.flatnonzero(v)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(v[some]), pa.array(n[some])], names=["leaf", "words", "tokens"])
+
+    schema = T.StructType([T.StructField(c, T.LongType()) for c in ("leaf", "words", "tokens")])
+    found = common.map_batches(counts.select("word", "c"), run, schema).groupBy("leaf").agg(F.sum("words").alias("words"), F.sum("tokens").alias("tokens"))
+    return [(r.leaf, r.words, r.tokens) for r in found.collect()]
 
 
-def _unpacked(batch: pa.RecordBatch, i: int, single: dict[bytes, int]):
-    """(tokens, sizes, word hashes, word classes) of a chunk."""
-    raw = np.frombuffer(batch.column("tokens")[i].as_py(), np.uint8)
+def _unpacked(batch: pa.RecordBatch, i: int) -> tuple[np.ndarray, np.ndarray, pa.Array, np.ndarray]:
+    """(tokens, sizes, words, word hashes) of a chunk."""
+    raw = np.frombuffer(batch.column("tokens")[i].as_buffer(), np.uint8)
     tokens = np.ascontiguousarray(raw.reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
-    words = batch.column("words")[i].as_py()
-    hashes = np.fromiter(map(zlib.crc32, words), np.uint64, len(words))
-    classes = batch.column("groups")[i].values.to_numpy().astype(np.int64) + SINGLES
-    number = {w: i for i, w in enumerate(words)}
-    for w, k in single.items():
-        if w in number:
-            classes[number[w]] = k
-    sizes = batch.column("sizes")[i].values.to_numpy().astype(np.int64)
-    return tokens, sizes, hashes, classes
+    words = batch.column("words")[i].values
+    hashes = np.fromiter(map(zlib.crc32, words.to_pylist()), np.uint64, len(words))
+    return tokens, batch.column("sizes")[i].values.to_numpy().astype(np.int64), words, hashes
 
 
 def contexts(tokens: np.ndarray, sizes: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    """The rows of each token's features: (tokens, FEATURES)."""
+    """Hashes of each token's features: (FEATURES, tokens)."""
     n = len(tokens)
     at = np.arange(n) - np.repeat(np.cumsum(sizes) - sizes, sizes)
     start = np.uint64(0xFFFFFFFF + 1)  # before the document's beginning
@@ -185,61 +220,78 @@ def contexts(tokens: np.ndarray, sizes: np.ndarray, hashes: np.ndarray) -> np.nd
         before[d:] = hashes[tokens[:-d]] if d < n else start
         before[at < d] = start
         back.append(before)
-    out = np.zeros((n, FEATURES), np.int64)
-    mixed = [back[0], back[1], back[2], back[0] * np.uint64(31) + back[1]]
-    for f, x in enumerate(mixed, 1):
-        h = (x + np.uint64(f) * np.uint64(0x9E3779B9)) * np.uint64(0x9E3779B97F4A7C15)
-        out[:, f] = (h >> np.uint64(33)) % np.uint64(ROWS - 1) + np.uint64(1)
+    out = np.empty((FEATURES, n), np.uint64)
+    for f, x in enumerate([*back, back[0] * np.uint64(31) + back[1]]):
+        out[f] = (x + np.uint64(f + 1) * np.uint64(0x9E3779B9)) * np.uint64(0x9E3779B97F4A7C15)
     return out
 
 
-def _softmax(table: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """Of the sums of the table's rows (one column of ``rows`` a feature), float32."""
-    z = table[rows[:, 0]]
-    for f in range(1, FEATURES):
-        z += table[rows[:, f]]
-    z -= z.max(1, keepdims=True)
-    np.exp(z, out=z)
-    z /= z.sum(1, keepdims=True)
-    return z
+def _rows(context: np.ndarray, level: int, node: np.ndarray) -> np.ndarray:
+    """The hashed rows of a feature at a level's nodes, in 16 bits."""
+    if not level:
+        return (context >> np.uint64(48)).astype(np.uint16)
+    both = (context >> np.uint64(20)) + node.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+    return (both * np.uint64(0x9FB21C651E98DF25) >> np.uint64(48)).astype(np.uint16)
 
 
 class Weights:
-    """Two tables: of the classes' families, and of the classes in a family
-    (a row for each hashed row and family)."""
-
-    def __init__(self):
-        self.tables = [np.zeros((ROWS, FAMILIES), np.float32), np.zeros((ROWS * FAMILIES, CLASSES // FAMILIES), np.float32)]
-        self.used = [np.zeros(len(t), np.float32) for t in self.tables]
-
-    def chance(self, rows: np.ndarray, classes: np.ndarray) -> np.ndarray:
-        """The chance of each class in its context."""
-        at, size = np.arange(len(rows)), CLASSES // FAMILIES
-        family, inner = classes // size, classes % size
-        own = _softmax(self.tables[0], rows)[at, family]
-        return own * _softmax(self.tables[1], rows * FAMILIES + family[:, None])[at, inner]
-
-    def steps(self, seen: list[np.ndarray], rows: np.ndarray, classes: np.ndarray) -> None:
-        """Gradient steps of the likelihood over a chunk, in place."""
-        size = CLASSES // FAMILIES
-        for start in range(0, len(rows), STEP):
-            some, k = rows[start : start + STEP], classes[start : start + STEP]
-            at, family = np.arange(len(some)), k // size
-            both = some * FAMILIES + family[:, None]
-            g = [_softmax(self.tables[0], some), _softmax(self.tables[1], both)]
-            g[0][at, family] -= 1
-            g[1][at, k % size] -= 1
-            for f in range(FEATURES):
-                order = np.argsort(both[:, f])  # also in the order of the first table's rows
-                for t, key in ((0, some[order, f]), (1, both[order, f])):
-                    cuts = np.concatenate(([0], np.flatnonzero(np.diff(key)) + 1))
-                    sums = np.add.reduceat(g[t][order], cuts, axis=0)
-                    own, many = key[cuts], np.diff(np.append(cuts, len(key))).astype(np.float32)
-                    self.used[t][own] += many
-                    sums /= np.sqrt(many)[:, None]
-                    grown = seen[t][own] + sums * sums
-                    seen[t][own] = grown
-                    self.tables[t][own] -= RATE * sums / np.sqrt(grown)
+    """A table of hashed rows for each level, on top of fixed biases."""
+
+    def __init__(self, biases: list[np.ndarray]):
+        self.biases = biases
+        self.tables = [np.zeros((ROWS, WAYS), np.float32) for _ in range(LEVELS)]
+        self.used = [np.zeros(ROWS, np.float32) for _ in range(LEVELS)]
+        self._softmax_room = np.empty((2, STEP, WAYS), np.float32)
+
+    def _softmax(self, level: int, node: np.ndarray, rows: list[np.ndarray]) -> np.ndarray:
+        """The branches' chances at each token's node; the array is used again
+        by the next call."""
+        z, more = self._softmax_room[:, : len(node)]
+        np.take(self.biases[level], node, 0, out=z, mode="clip")
+        for own in rows:
+            np.take(self.tables[level], own, 0, out=more, mode="clip")
+            z += more
+        z -= z.max(1, keepdims=True)
+        np.exp(z, out=z)
+        z *= (1 / (z @ np.ones(WAYS, np.float32)))[:, None]
+        return z
+
+    def _levels(self, some: np.ndarray, leaf: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, list[np.ndarray]]]:
+        for level in range(LEVELS):
+            node = leaf // WAYS ** (LEVELS - level)
+            yield level, node, leaf // WAYS ** (LEVELS - level - 1) % WAYS, [_rows(x, level, node) for x in some]
+
+    def log_chance(self, context: np.ndarray, leaves: np.ndarray) -> np.ndarray:
+        """log10 of the chance of each token's leaf in its context."""
+        out = np.zeros(len(leaves))
+        for start in range(0, len(leaves), STEP):
+            leaf = leaves[start : start + STEP]
+            for level, node, branch, rows in self._levels(context[:, start : start + STEP], leaf):
+                out[start : start + STEP] += np.log10(np.maximum(self._softmax(level, node, rows)[np.arange(len(leaf)), branch], 1e-30))
+        return out
+
+    def steps(self, seen: list[np.ndarray], context: np.ndarray, leaves: np.ndarray) -> None:
+        """Gradient steps of the likelihood over a chunk, in place; ``seen`` has
+        each row's sum of squared gradients."""
+        turned, summed = np.empty((STEP, WAYS), np.float32), np.empty((STEP, WAYS), np.float32)
+        for start in range(0, len(leaves), STEP):
+            leaf = leaves[start : start + STEP]
+            for level, node, branch, rows in self._levels(context[:, start : start + STEP], leaf):
+                g = self._softmax(level, node, rows)
+                g[np.arange(len(leaf)), branch] -= 1
+                for own in rows:
+                    order = np.argsort(own, kind="stable")
+                    key = own[order]
+                    cuts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+                    row, many = key[cuts].astype(np.int64), np.diff(np.append(cuts, len(key))).astype(np.float32)
+                    np.take(g, order, 0, out=turned[: len(order)], mode="clip")
+                    sums = np.add.reduceat(turned[: len(order)], cuts, axis=0, out=summed[: len(cuts)])
+                    # a row's own tokens in a step count as their number's root
+                    squares = np.einsum("ij,ij->i", sums, sums) / many
+                    seen[level][row] += squares
+                    sums *= (RATE / np.sqrt(many * seen[level][row]))[:, None]
+                    self.tables[level][row] -= sums
+                    self.used[level][row] += many
 
     def row(self, part: int) -> pa.RecordBatch:
         """What a task hands on: how often rows were used, and the rows."""
@@ -249,12 +301,10 @@ class Weights:
 
     def add(self, used: bytes, tables: bytes) -> None:
         """Adds another task's rows, as often as it used them."""
-        u, w = np.frombuffer(used, np.float32), np.frombuffer(tables, np.float16)
-        for t, table in enumerate(self.tables):
-            own, u = u[: len(table)], u[len(table) :]
-            flat, w = w[: table.size], w[table.size :]
-            table += flat.reshape(table.shape) * own[:, None]
-            self.used[t] += own
+        u, w = np.frombuffer(used, np.float32).reshape(LEVELS, ROWS), np.frombuffer(tables, np.float16).reshape(LEVELS, ROWS, WAYS)
+        for level in range(LEVELS):
+            self.tables[level] += w[level] * u[level][:, None]
+            self.used[level] += u[level]
 
     def mean(self) -> Weights:
         """Makes sums of rows their averages."""
@@ -263,21 +313,23 @@ class Weights:
         return self
 
 
-def _average(parts: DataFrame, n: int) -> Weights:
+def _average(parts: DataFrame, n: int, biases: list[np.ndarray]) -> Weights:
     """Averages the tasks' weights in a tree."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, Weights] = {}
         for batch in batches:
-            for part, used, weights in zip(*(batch.column(c).to_pylist() for c in ("part", "used", "weights")), strict=True):
-                sums.setdefault(part // FAN, Weights()).add(used, weights)
-        for part, own in sums.items():
-            yield own.mean().row(part)
+            for i in range(batch.num_rows):
+                own = sums.setdefault(batch.column("part")[i].as_py() // FAN, Weights([]))
+                own.add(batch.column("used")[i].as_py(), batch.column("weights")[i].as_py())
+        for part in list(sums):
+            yield sums.pop(part).mean().row(part)
 
     while n > 1:
-        parts = parts.withColumn("to", F.floor(F.col("part") / FAN)).repartition(-(-n // FAN), "to").drop("to").mapInArrow(run, parts.schema)
+        placed = parts.withColumn("to", F.floor(F.col("part") / FAN)).repartition(-(-n // FAN), "to").drop("to")
+        parts = common.map_batches(placed, run, parts.schema)
         n = -(-n // FAN)
-    weights = Weights()
+    weights = Weights(biases)
     for row in parts.collect():  # one row
         weights.add(row.used, row.weights)
     return weights.mean()
@@ -287,29 +339,29 @@ def train(chunks: DataFrame, statistics: Statistics) -> Weights:
     """The weights, learnt from all training documents of the chunks."""
     spark = chunks.sparkSession
     schema = T.StructType([T.StructField("part", T.LongType()), T.StructField("used", T.BinaryType()), T.StructField("weights", T.BinaryType())])
-    weights = Weights()
+    weights = Weights(statistics.biases())
     for _ in range(ROUNDS):
-        sent = spark.sparkContext.broadcast((weights.tables, statistics.single))
+        sent = spark.sparkContext.broadcast((weights.biases, weights.tables, statistics))
 
         def run(batches: Iterable[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             own = None
             for batch in batches:
                 for i in range(batch.num_rows):
                     if own is None:
-                        own = Weights()
-                        own.tables = [t.copy() for t in sent.value[0]]
-                        seen = [np.full(t.shape, 1e-2, np.float32) for t in own.tables]
-                    tokens, sizes, hashes, classes = _unpacked(batch, i, sent.value[1])
-                    rows = contexts(tokens, sizes, hashes)
+                        own = Weights(sent.value[0])
+                        own.tables = [t.copy() for t in sent.value[1]]
+                        seen = [np.ones(ROWS, np.float32) for _ in range(LEVELS)]
+                    tokens, sizes, words, hashes = _unpacked(batch, i)
                     learn = np.repeat(~np.array(batch.column("held")[i].as_py(), bool), sizes)
-                    own.steps(seen, rows[learn], classes[tokens[learn]])
+                    leaves = sent.value[2].place(words)[1][tokens]
+                    own.steps(seen, contexts(tokens, sizes, hashes)[:, learn], leaves[learn])
             if own is not None:
                 yield own.row(TaskContext.get().partitionId())
 
         # written once: a retried average does not train again
-        parts = common.stash(chunks.select("words", "groups", "held", "sizes", "tokens").mapInArrow(run, schema), "lm-weights")
+        parts = common.stash(common.map_batches(chunks.select("words", "held", "sizes", "tokens"), run, schema), "lm-weights")
         last = parts.agg(F.max("part")).first()[0]
-        weights = _average(parts, (last or 0) + 1)
+        weights = _average(parts, (last or 0) + 1, weights.biases)
         common.discard(parts)
         sent.unpersist()
     return weights
@@ -328,44 +380,68 @@ SCORES = T.StructType(
 )
 
 
+def tail_counts(chunks: DataFrame, counts: DataFrame, statistics: Statistics) -> DataFrame:
+    """(chunk, at, c): for each chunk, the places among its words, and the
+    counts, of known words that are not among the most frequent ones."""
+    spark = chunks.sparkSession
+    sent = spark.sparkContext.broadcast(statistics.head)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                words = batch.column("words")[i].values
+                at = np.flatnonzero(pc.is_null(pc.index_in(words, value_set=sent.value)).to_numpy(zero_copy_only=False))
+                for a in range(0, len(at), 50_000):
+                    some = at[a : a + 50_000]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), batch.column("chunk")[i].as_py())), pa.array(some, pa.int32()), words.take(pa.array(some))], names=["chunk", "i", "word"])
+
+    schema = T.StructType([T.StructField("chunk", T.LongType()), T.StructField("i", T.IntegerType()), T.StructField("word", T.BinaryType())])
+    rows = common.map_batches(chunks.select("chunk", "words"), run, schema).select("chunk", "i", *_key(F.col("word")))
+    found = rows.join(counts.select("h", "k", "c"), ["h", "k"]).select("chunk", F.struct("i", "c").alias("x"))
+    found = found.groupBy("chunk").agg(F.collect_list("x").alias("x"))
+    return found.select("chunk", F.col("x.i").alias("at"), F.col("x.c").alias("c"))
+
+
 def score_chunks(chunks: DataFrame, counts: DataFrame, statistics: Statistics, weights: Weights) -> DataFrame:
     """One row per document of the chunks."""
-    spark = chunks.sparkSession
-    answers = counts.groupBy("chunk").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "c"))), lambda x: x["c"]).alias("c"))
-    sent = spark.sparkContext.broadcast((weights, statistics.single, statistics.group_total, statistics.tokens, statistics.words))
+    sent = chunks.sparkSession.sparkContext.broadcast((weights, statistics))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w, single, group_total, n, v = sent.value
-        in_class = np.concatenate([np.ones(SINGLES), group_total])
         for batch in batches:
             for i in range(batch.num_rows):
-                tokens, sizes, hashes, classes = _unpacked(batch, i, single)
-                c = batch.column("c")[i].values.to_numpy().astype(np.float64)
-                known = c > 0
-                own = np.log10(c + 1)
-                base = own - np.log10(n + v + 1)
-                inside = np.where(classes < SINGLES, 0.0, own - np.log10(in_class[classes]))
-                rows = contexts(tokens, sizes, hashes)
-                chance = np.empty(len(tokens))
-                for at in range(0, len(tokens), STEP):
-                    p = w.chance(rows[at : at + STEP], classes[tokens[at : at + STEP]])
-                    chance[at : at + STEP] = np.log10(np.maximum(p, 1e-30))
-                first = np.cumsum(sizes) - sizes
-                docs = len(sizes)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column("doc_ids")[i].values,
-                        batch.column("held")[i].values,
-                        pa.array(sizes),
-                        pa.array(np.add.reduceat(known[tokens].astype(np.int64), first)),
-                        pa.array(np.full(docs, n, np.int64)),
-                        pa.array(np.add.reduceat(base[tokens], first)),
-                        pa.array(np.add.reduceat(inside[tokens] + chance, first)),
-                    ],
-                    names=SCORES.names,
-                )
-
-    return chunks.join(answers, "chunk").mapInArrow(run, SCORES)
+                tokens, sizes, words, hashes = _unpacked(batch, i)
+                at = batch.column("at")[i].values
+                tail = None if at is None else (at.to_numpy(), batch.column("c")[i].values.to_numpy())
+                yield scored(*sent.value, tokens, sizes, words, hashes, tail, batch.column("doc_ids")[i].values, batch.column("held")[i].values)
+
+    return common.map_batches(chunks.drop("train_counts").join(tail_counts(chunks, counts, statistics), "chunk", "left"), run, SCORES)
+
+
+def scored(weights: Weights, statistics: Statistics, tokens, sizes, words, hashes, tail, doc_ids: pa.Array, held: pa.Array) -> pa.RecordBatch:
+    """The documents of one chunk.  tail: (places, counts) of its words beyond the head."""
+    place, leaves = statistics.place(words)
+    c = np.zeros(len(words))
+    c[place >= 0] = statistics.head_counts[place[place >= 0]]
+    if tail is not None:
+        c[tail[0]] = tail[1]
+    n, v = statistics.tokens, statistics.words
+    own = np.log10(c + 1)
+    base = own - np.log10(n + v + 1)
+    inside = np.where(leaves < SINGLES, 0.0, own - np.log10(np.maximum(statistics.leaf_totals, 1)[leaves]))
+    chance = weights.log_chance(contexts(tokens, sizes, hashes), leaves[tokens])
+    first = np.cumsum(sizes) - sizes
+    return pa.RecordBatch.from_arrays(
+        [
+            doc_ids,
+            held,
+            pa.array(sizes),
+            pa.array(np.add.reduceat((c > 0)[tokens].astype(np.int64), first)),
+            pa.array(np.full(len(sizes), n, np.int64)),
+            pa.array(np.add.reduceat(base[tokens], first)),
+            pa.array(np.add.reduceat(inside[tokens] + chance, first)),
+        ],
+        names=SCORES.names,
+    )
 
 
 def scores(docs: DataFrame, held_out: Column, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -373,6 +449,6 @@ def scores(docs: DataFrame, held_out: Column, doc_id: str = "doc_id", text: str
     (log10 of the model's chance) of every document; learns from those that
     are not held out."""
     chunks = pack(docs, held_out, doc_id, text)
-    counts = counted(chunks)
-    statistics = Statistics(chunks, counts)
+    counts = word_counts(chunks)
+    statistics = Statistics(counts)
     return score_chunks(chunks, counts, statistics, train(chunks, statistics))

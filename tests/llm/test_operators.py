@@ -424,19 +424,86 @@ def test_scores_equal_counting(spark):
     assert {(r.n_known, r.train_tokens, r.base_score) for r in nothing} == {(0, 0, 0.0)}
 
 
+@pytest.fixture(scope="module")
+def language_model(spark):
+    rnd = random.Random(2)
+    pool = [f"w{i}{e}" for i in range(60) for e in ("ing", "ed", "s")]
+    rows = [(i, " ".join(rnd.choices(pool, [1 / (k + 1) for k in range(len(pool))], k=rnd.randint(0, 80))).upper()) for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    old, lm.SINGLES, lm.GROUPS = (lm.SINGLES, lm.GROUPS), 40, lm.LEAVES - 40  # so that few words have their own leaves
+    chunks = lm.pack(docs, F.col("doc_id") % 5 == 0)
+    counts = lm.word_counts(chunks)
+    statistics = lm.Statistics(counts)
+    weights = lm.train(chunks, statistics)
+    yield rows, statistics, weights, lm.score_chunks(chunks, counts, statistics, weights).collect()
+    lm.SINGLES, lm.GROUPS = old
+
+
+def brute_leaf_chance(weights, before, leaf):
+    """The chance of a leaf after the three words ``before`` (None: no word)."""
+    x = [1 << 32 if w is None else zlib.crc32(w.encode()) for w in before]
+    mask = (1 << 64) - 1
+    hashes = [(v + f * 0x9E3779B9) * 0x9E3779B97F4A7C15 & mask for f, v in enumerate([*x, x[0] * 31 + x[1] & mask], 1)]
+    chance = 1.0
+    for level in range(3):
+        node, branch = leaf // 16 ** (3 - level), leaf // 16 ** (2 - level) % 16
+        z = weights.biases[level][node].astype(float)
+        for h in hashes:
+            row = h >> 48 if not level else (((h >> 20) + node * 0xD6E8FEB86659FD93 & mask) * 0x9FB21C651E98DF25 & mask) >> 48
+            z = z + weights.tables[level][row]
+        z = np.exp(z - z.max())
+        chance *= z[branch] / z.sum()
+    return chance
+
+
+def test_scores_equal_a_walk_through_the_tree(language_model):
+    rows, statistics, weights, found = language_model
+    counts = Counter(w for i, t in rows if i % 5 for w in words(t) + [""])
+    single = [w for w, _ in sorted(counts.items(), key=lambda x: (-x[1], x[0].encode()))[: lm.SINGLES]]
+    leaf = lambda w: single.index(w) if w in single else lm.SINGLES + int(lm.endings(pa.array([w.encode()]))[0])
+    totals = Counter()
+    for w, c in counts.items():
+        if w not in single:
+            totals[leaf(w)] += c + 1
+    by = {r.doc_id: r for r in found}
+    assert len(by) == len(rows) and any(t.any() for t in weights.tables)
+    for i, t in rows[:60]:
+        own, before, score = words(t) + [""], [None] * 3, 0.0
+        for w in own:
+            share = 1 if w in single else (counts[w] + 1) / (totals[leaf(w)] + 1)
+            score += math.log10(brute_leaf_chance(weights, before, leaf(w)) * share)
+            before = [w, *before[:2]]
+        assert math.isclose(by[i].score, score, rel_tol=1e-3), (i, by[i].score, score)
+
+
+def test_chances_of_all_words_sum_to_one(language_model):
+    rows, statistics, weights, _ = language_model
+    vocabulary = pa.array(sorted({w.encode() for i, t in rows if i % 5 for w in words(t)} | {b""}), pa.binary())
+    place, leaves = statistics.place(vocabulary)
+    counts = Counter(w.encode() for i, t in rows if i % 5 for w in words(t) + [""])
+    share = np.where(leaves < lm.SINGLES, 1.0, np.array([counts[w] + 1 for w in vocabulary.to_pylist()]) / statistics.leaf_totals[leaves])
+    rng = np.random.default_rng(0)
+    for _ in range(5):
+        context = np.repeat(rng.integers(1 << 63, size=(lm.FEATURES, 1), dtype=np.uint64), lm.LEAVES, 1)
+        chance = 10 ** weights.log_chance(context, np.arange(lm.LEAVES))
+        assert math.isclose(chance.sum(), 1, abs_tol=1e-3)
+        # one unknown word in each leaf by ending
+        unknown = (chance[lm.SINGLES :] / statistics.leaf_totals[lm.SINGLES :]).sum()
+        assert math.isclose((chance[leaves] * share).sum() + unknown, 1, abs_tol=1e-3)
+
+
 def test_gradient_steps_learn():
     rng = np.random.default_rng(0)
     tokens = np.tile(np.arange(6), 400)
-    sizes, hashes = np.array([len(tokens)]), rng.integers(0, 1 << 32, 6).astype(np.uint64)
-    rows, own = lm.contexts(tokens, sizes, hashes), lm.Weights()
-    seen = [np.full(t.shape, 1e-2, np.float32) for t in own.tables]
-    before = own.chance(rows, tokens * 13)
-    assert np.allclose(before, 1 / lm.CLASSES)
+    context = lm.contexts(tokens, np.array([len(tokens)]), rng.integers(0, 1 << 32, 6).astype(np.uint64))
+    uniform = [np.full((lm.WAYS**k, lm.WAYS), -math.log(lm.WAYS), np.float32) for k in range(lm.LEVELS)]
+    own, leaves = lm.Weights(uniform), tokens * 613
+    seen = [np.ones(lm.ROWS, np.float32) for _ in range(lm.LEVELS)]
+    assert np.allclose(own.log_chance(context, leaves), -math.log10(lm.LEAVES), atol=1e-4)
     for _ in range(60):
-        own.steps(seen, rows, tokens * 13)
-    assert own.chance(rows, tokens * 13).mean() > 0.5
-    assert np.allclose(np.exp(np.log(sum(own.chance(rows[:1], np.array([k])) for k in range(lm.CLASSES)))), 1, atol=1e-4)
-    total = lm.Weights()
+        own.steps(seen, context, leaves)
+    assert (10 ** own.log_chance(context, leaves)).mean() > 0.5
+    total = lm.Weights(uniform)
     for _ in range(3):
         r = own.row(0).to_pylist()[0]
         total.add(r["used"], r["weights"])
