@@ -56,10 +56,12 @@ HEAD = 1 << 16
 ROWS = 1 << 16
 FEATURES = 4
 STEP = 16_384
+#: Sums of weights count as so much at most, either way.
+LIMIT = 60
 RATE = 0.3
 ROUNDS = 1
 #: Tasks' weights that one step of the averaging takes together.
-FAN = 32
+FAN = 8
 END = b""
 
 CHUNK = T.StructType(
@@ -143,17 +145,18 @@ def _key(word: Column) -> list[Column]:
 
 
 def word_counts(chunks: DataFrame) -> DataFrame:
-    """(word, h, k, c): the training tokens of every word of the training
-    documents, written to the shared folder."""
+    """(word, c): the training tokens of every word of the training documents,
+    written to the shared folder."""
     rows = chunks.select(F.explode(F.arrays_zip("words", "train_counts")).alias("w")).where("w.train_counts > 0").select(F.col("w.words").alias("word"), F.col("w.train_counts").alias("n"))
-    return common.stash(rows.groupBy("word").agg(F.sum("n").alias("c")).select("word", *_key(F.col("word")), "c"), "lm-counts")
+    return common.stash(rows.groupBy("word").agg(F.sum("n").alias("c")), "lm-counts")
 
 
 class Statistics:
     """Totals of the corpus: bounded numbers of them, whatever its size."""
 
     def __init__(self, counts: DataFrame):
-        top = [(bytes(r.word), r.c) for r in counts.orderBy(F.desc("c"), "word").select("word", "c").limit(HEAD).collect()]
+        self.cutoff = _cutoff(counts)
+        top = sorted(((bytes(r.word), r.c) for r in counts.where(F.col("c") >= self.cutoff).select("word", "c").collect()), key=lambda x: (-x[1], x[0]))
         self.head = pa.array([w for w, _ in top], pa.binary())
         self.head_counts = np.array([c for _, c in top], np.int64)
         self.singles = min(SINGLES, len(top))
@@ -183,6 +186,22 @@ class Statistics:
         return out
 
 
+def _cutoff(counts: DataFrame) -> int:
+    """The least count such that at most HEAD words have it or more, from a
+    histogram of counts (exact below 128, then 64 steps from a power of two to
+    the next, so a few thousand rows)."""
+    exponent = F.floor(F.log2("c")).cast("int")
+    step = F.when(F.col("c") < 128, F.lit(1)).otherwise(F.pow(F.lit(2.0), exponent - 6)).cast("long")
+    found = counts.groupBy((F.col("c") - F.col("c") % step).alias("least")).count().collect()
+    cutoff, words = 1 << 62, 0
+    for row in sorted(found, key=lambda r: -r.least):
+        words += row["count"]
+        if words > HEAD:
+            return cutoff
+        cutoff = row.least
+    return 1
+
+
 def _ending_totals(counts: DataFrame) -> list[tuple[int, int, int]]:
     """(leaf by ending, words, tokens) of the corpus: GROUPS rows at most."""
 
@@ -251,7 +270,7 @@ class Weights:
         for own in rows:
             np.take(self.tables[level], own, 0, out=more, mode="clip")
             z += more
-        z -= z.max(1, keepdims=True)
+        np.clip(z, -LIMIT, LIMIT, out=z)
         np.exp(z, out=z)
         z *= (1 / (z @ np.ones(WAYS, np.float32)))[:, None]
         return z
@@ -281,16 +300,27 @@ class Weights:
                 g[np.arange(len(leaf)), branch] -= 1
                 for own in rows:
                     order = np.argsort(own, kind="stable")
-                    key = own[order]
-                    cuts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
-                    row, many = key[cuts].astype(np.int64), np.diff(np.append(cuts, len(key))).astype(np.float32)
-                    np.take(g, order, 0, out=turned[: len(order)], mode="clip")
-                    sums = np.add.reduceat(turned[: len(order)], cuts, axis=0, out=summed[: len(cuts)])
+                    key = own[order].astype(np.int64)
+                    changes = key[1:] != key[:-1]
+                    first, last = np.concatenate(([True], changes)), np.concatenate((changes, [True]))
+                    # rows with one token need no sum
+                    alone, several = first & last, ~(first & last)
+                    one, more = order[alone], order[several]
+                    cuts = np.flatnonzero(first[several])
+                    sums = summed[: len(one) + len(cuts)]
+                    np.take(g, one, 0, out=sums[: len(one)], mode="clip")
+                    if len(more):
+                        np.take(g, more, 0, out=turned[: len(more)], mode="clip")
+                        np.add.reduceat(turned[: len(more)], cuts, axis=0, out=sums[len(one) :])
+                    row = np.concatenate((key[alone], key[several][cuts]))
+                    many = np.concatenate((np.ones(len(one), np.float32), np.diff(np.append(cuts, len(more))).astype(np.float32)))
                     # a row's own tokens in a step count as their number's root
                     squares = np.einsum("ij,ij->i", sums, sums) / many
                     seen[level][row] += squares
                     sums *= (RATE / np.sqrt(many * seen[level][row]))[:, None]
-                    self.tables[level][row] -= sums
+                    now = np.take(self.tables[level], row, 0, out=turned[: len(row)], mode="clip")
+                    now -= sums
+                    self.tables[level][row] = now
                     self.used[level][row] += many
 
     def row(self, part: int) -> pa.RecordBatch:
@@ -397,7 +427,7 @@ def tail_counts(chunks: DataFrame, counts: DataFrame, statistics: Statistics) ->
 
     schema = T.StructType([T.StructField("chunk", T.LongType()), T.StructField("i", T.IntegerType()), T.StructField("word", T.BinaryType())])
     rows = common.map_batches(chunks.select("chunk", "words"), run, schema).select("chunk", "i", *_key(F.col("word")))
-    found = rows.join(counts.select("h", "k", "c"), ["h", "k"]).select("chunk", F.struct("i", "c").alias("x"))
+    found = rows.join(counts.where(F.col("c") < statistics.cutoff).select(*_key(F.col("word")), "c"), ["h", "k"]).select("chunk", F.struct("i", "c").alias("x"))
     found = found.groupBy("chunk").agg(F.collect_list("x").alias("x"))
     return found.select("chunk", F.col("x.i").alias("at"), F.col("x.c").alias("c"))
 

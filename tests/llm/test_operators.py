@@ -427,16 +427,13 @@ def test_scores_equal_counting(spark):
 @pytest.fixture(scope="module")
 def language_model(spark):
     rnd = random.Random(2)
-    pool = [f"w{i}{e}" for i in range(60) for e in ("ing", "ed", "s")]
-    rows = [(i, " ".join(rnd.choices(pool, [1 / (k + 1) for k in range(len(pool))], k=rnd.randint(0, 80))).upper()) for i in range(200)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
-    old, lm.SINGLES, lm.GROUPS = (lm.SINGLES, lm.GROUPS), 40, lm.LEAVES - 40  # so that few words have their own leaves
-    chunks = lm.pack(docs, F.col("doc_id") % 5 == 0)
+    pool = [f"w{i}{e}" for i in range(1500) for e in ("ing", "ed", "s")]  # more words than single leaves
+    rows = [(i, " ".join(rnd.choices(pool, [1 / (k + 1) ** 0.5 for k in range(len(pool))], k=rnd.randint(0, 120))).upper()) for i in range(400)]
+    chunks = lm.pack(spark.createDataFrame(rows, "doc_id long, text string"), F.col("doc_id") % 5 == 0)
     counts = lm.word_counts(chunks)
     statistics = lm.Statistics(counts)
     weights = lm.train(chunks, statistics)
-    yield rows, statistics, weights, lm.score_chunks(chunks, counts, statistics, weights).collect()
-    lm.SINGLES, lm.GROUPS = old
+    return rows, statistics, weights, lm.score_chunks(chunks, counts, statistics, weights).collect()
 
 
 def brute_leaf_chance(weights, before, leaf):
@@ -466,7 +463,7 @@ def test_scores_equal_a_walk_through_the_tree(language_model):
         if w not in single:
             totals[leaf(w)] += c + 1
     by = {r.doc_id: r for r in found}
-    assert len(by) == len(rows) and any(t.any() for t in weights.tables)
+    assert len(by) == len(rows) and all(t.any() for t in weights.tables) and len(totals) > 100
     for i, t in rows[:60]:
         own, before, score = words(t) + [""], [None] * 3, 0.0
         for w in own:
@@ -492,6 +489,22 @@ def test_chances_of_all_words_sum_to_one(language_model):
         assert math.isclose((chance[leaves] * share).sum() + unknown, 1, abs_tol=1e-3)
 
 
+def test_head_is_bounded_and_the_tail_is_joined(spark, monkeypatch):
+    rnd = random.Random(4)
+    rows = [(i, " ".join(rnd.choices([f"w{k}" for k in range(300)], [300 / (k + 1) for k in range(300)], k=60))) for i in range(80)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    counts = Counter(w for i, t in rows for w in words(t) + [""])
+    n, v = sum(counts.values()), len(counts)
+    for head in (0, 5, 40, 1000):
+        monkeypatch.setattr(lm, "HEAD", head)
+        statistics = lm.Statistics(lm.word_counts(lm.pack(docs, F.lit(False))))
+        assert len(statistics.head) <= head and all(counts[w.decode()] == c for w, c in zip(statistics.head.to_pylist(), statistics.head_counts, strict=True))
+        found = {r.doc_id: r for r in lm.scores(docs, F.lit(False)).collect()}
+        for i, t in rows:
+            assert math.isclose(found[i].base_score, sum(math.log10((counts[w] + 1) / (n + v + 1)) for w in words(t) + [""]), rel_tol=1e-9)
+            assert found[i].n_known == found[i].n_tokens
+
+
 def test_gradient_steps_learn():
     rng = np.random.default_rng(0)
     tokens = np.tile(np.arange(6), 400)
