@@ -226,3 +226,20 @@ def bpe_decode(df: DataFrame, path: str, ids: str = "token_ids", out: str = "dec
         return lambda batch: [[bpe.decode(x or b"") for x in batch.column(ids).to_pylist()]]
 
     return common.append_columns(df, T.StructType([T.StructField(out, T.StringType())]), make)
+
+
+def bpe_round_trip(df: DataFrame, path: str, text: str = "text", ids: str = "token_ids", count: str = "n_tokens", out: str = "decoded") -> DataFrame:
+    """bpe_encode and bpe_decode in one pass, by one Python worker a task; the
+    decoded text comes from the ids alone."""
+
+    def make():
+        coder, decoder = loaded(path), loaded_decoder(path)
+
+        def work(batch: pa.RecordBatch) -> list:
+            found = coder.encode(batch.column(text))
+            return [found, [len(x) // 4 for x in found], [decoder.decode(x) for x in found]]
+
+        return work
+
+    outputs = [T.StructField(ids, T.BinaryType()), T.StructField(count, T.LongType()), T.StructField(out, T.StringType())]
+    return common.append_columns(df, T.StructType(outputs), make)

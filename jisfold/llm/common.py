@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -73,7 +75,24 @@ def map_batches(df: DataFrame, run: Callable[[Iterable[pa.RecordBatch]], Iterato
     now = str(conf.get(name, str(64 << 20))).rstrip("bB")
     if not now.isdigit() or not 0 < int(now) <= SLICE_BYTES:
         conf.set(name, str(SLICE_BYTES))
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(_returning(run), schema)
+
+
+def _returning(run: Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """run, after which the worker gives memory back: it lives on for other
+    tasks, beside which what it has freed but kept would count."""
+
+    def wrapped(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+            if trim is not None:
+                trim(0)
+
+    return wrapped
 
 
 def append_columns(

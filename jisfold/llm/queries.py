@@ -76,7 +76,7 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every document's whole text, and the text decoded from them."""
     path = public_tokenizers.path(VOCABULARY)
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
-    coded = bpe.bpe_decode(bpe.bpe_encode(docs, path), path)
+    coded = bpe.bpe_round_trip(docs, path)
     return coded.select(
         "doc_id",
         "n_tokens",

@@ -276,6 +276,8 @@ def test_bpe_columns(spark):
     rows = bpe.bpe_decode(bpe.bpe_encode(odd_documents(spark), VOCABULARY), VOCABULARY)
     assert rows.schema["token_ids"].dataType == T.BinaryType()
     assert all(r.decoded == (r.text or "") and r.n_tokens == len(r.token_ids) // 4 for r in rows.collect())
+    again = bpe.bpe_round_trip(odd_documents(spark), VOCABULARY)
+    assert again.columns == rows.columns and sorted(map(repr, again.collect())) == sorted(map(repr, rows.collect()))
     assert bpe.bpe_encode(empty(spark), VOCABULARY).count() == 0
 
 
