@@ -48,7 +48,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each document of the mix, and a digest of the text decoded from them."""
     path = public_tokenizers.path("byte_bpe_50k.json")
-    coded = bpe.bpe_decode(bpe.bpe_encode(docs.select("doc_id", "source", "lang", "text"), path), path)
+    coded = bpe.bpe_round_trip(docs.select("doc_id", "source", "lang", "text"), path)
     decoded = F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256")
     return coded.select("doc_id", "source", "lang", "n_tokens", "token_ids", F.sha2("token_ids", 256).alias("ids_sha256"), decoded)
 
