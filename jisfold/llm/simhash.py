@@ -142,16 +142,21 @@ def least_keys(hashes: np.ndarray) -> np.ndarray:
     return keys.view(np.int64)
 
 
-def set_sketches(df: DataFrame, words: int, shingle: int = 5, text: str = "text") -> DataFrame:
-    """Adds __node, a digest of the set of shingles, __fp, its sketch, both
-    binary, and __keys, its keys of least values.  No shuffle."""
+def set_sketches(rows: DataFrame, words: int, shingle: int = 5, text: str = "text") -> DataFrame:
+    """Adds node, a digest of the set of shingles, fp, its sketch, both
+    binary, and keys, its keys of least values.  No shuffle.
+
+    rows: a struct doc with the text, and any other columns.
+    """
 
     def work(batch: pa.RecordBatch) -> list:
-        sets = [shingle_hashes(x, shingle) for x in common.raw_texts(batch, text)]
+        doc = batch.column("doc")
+        own = pa.RecordBatch.from_arrays([doc.field(doc.type.get_field_index(text))], names=["text"])
+        sets = [shingle_hashes(x, shingle) for x in common.raw_texts(own, "text")]
         return [[xxhash.xxh3_128_digest(x.tobytes()) for x in sets], [sketch(x, words) for x in sets], [least_keys(x) for x in sets]]
 
-    outputs = [T.StructField("__node", T.BinaryType()), T.StructField("__fp", T.BinaryType()), T.StructField("__keys", T.ArrayType(T.LongType()))]
-    return common.append_columns(df, T.StructType(outputs), lambda: work)
+    outputs = [T.StructField("node", T.BinaryType()), T.StructField("fp", T.BinaryType()), T.StructField("keys", T.ArrayType(T.LongType()))]
+    return common.append_columns(rows, T.StructType(outputs), lambda: work)
 
 
 def radius_of(similarity: float, bits: int) -> int:
@@ -480,19 +485,20 @@ def dedup(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, words: int
     Texts are linked when the Jaccard similarity of their sets of distinct
     shingles is ``similarity`` or more.  Sketches of ``words`` times 64 bits
     (64 bits can't tell 0.8 from 0.6) and keys of least values only find
-    candidates; the exact similarity decides, before components are formed.  Texts with equal sets
-    are one node, those without words too.
+    candidates; the exact similarity decides, before components are formed.
+    Texts with equal sets are one node, those without words too.  Columns of
+    any name stay, since they are kept in a struct meanwhile.
     """
-    columns, radius = docs.columns, radius_of(similarity, 64 * words)
-    held = common.stash(set_sketches(docs, words, shingle, text), "sketches")
-    nodes = common.stash(held.groupBy(F.col("__node").alias("node")).agg(F.first("__fp").alias("fp"), F.first("__keys").alias("keys"), F.min(doc_id).alias("least")), "nodes")
-    near = components(candidate_links(nodes, words, radius)).join(nodes.select("node", "least"), "node")
-    # the id is a key too, so that copies are not brought together in one task
-    texts = held.select("__node", F.col(doc_id).alias("__id"), F.col(text).alias("text"))
-    members = texts.join(near, (F.col("__node") == F.col("node")) & F.col("__id").eqNullSafe(F.col("least"))).select("component", "node", "text")
-    linked = components(exact_links(members.dropDuplicates(["node"]), shingle, similarity)).join(nodes.select("node", "least"), "node")
-    least = linked.groupBy("component").agg(F.min("least").alias("class_least"))
-    found = nodes.select("node", "least").join(linked.join(least, "component").select("node", "component", "class_least"), "node", "left")
-    found = found.select("node", F.coalesce("component", "node").alias("class"), F.when(F.col("component").isNull(), F.col("least")).otherwise(F.col("class_least")).alias("kept"))
-    kept = held.join(found, (F.col("__node") == F.col("node")) & F.col(doc_id).eqNullSafe(F.col("kept")))
-    return kept.dropDuplicates(["class"]).select(*columns)
+    radius = radius_of(similarity, 64 * words)
+    rows = docs.select(F.struct("*").alias("doc"), F.monotonically_increasing_id().alias("row"))
+    held = common.stash(set_sketches(rows, words, shingle, text), "sketches", "zstd")
+    # the first of equal sets: by id, null last, then by row, which no two share
+    first = F.struct(F.col("doc")[doc_id].isNull().alias("none"), F.col("doc")[doc_id].alias("id"), "row")
+    nodes = common.stash(held.groupBy("node").agg(F.first("fp").alias("fp"), F.first("keys").alias("keys"), F.min(first).alias("least")), "nodes")
+    near = components(candidate_links(nodes, words, radius)).join(nodes.select("node", F.col("least.row").alias("row")), "node")
+    members = held.select("row", F.col("doc")[text].alias("text")).join(near, "row").select("component", "node", "text")
+    linked = common.stash(components(exact_links(members, shingle, similarity)).join(nodes.select("node", "least"), "node"), "linked")
+    alone = nodes.join(linked, "node", "left_anti").select("least.row")
+    kept = alone.unionByName(linked.groupBy("component").agg(F.min("least").alias("least")).select("least.row"))
+    # the only other time that texts are shuffled; row numbers are no hot keys
+    return held.join(kept, "row", "left_semi").select("doc.*")

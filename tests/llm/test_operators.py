@@ -144,6 +144,9 @@ def test_dedup_keeps_one_of_each_group(spark):
     near = base[:150] + ["changed"] + base[151:]
     df = spark.createDataFrame([(1, " ".join(base)), (2, " ".join(near)), (3, " ".join(other)), (4, " ".join(base[:150] + other[:150]))], "doc_id long, text string")
     assert {r.doc_id for r in simhash.dedup(df).collect()} == {1, 3, 4}
+    clashing = df.selectExpr("doc_id", "text", "1 as row", "2 as node", "3 as fp", "4 as keys", "5 as component", "6 as doc", "7 as least")
+    kept = simhash.dedup(clashing)
+    assert kept.columns == clashing.columns and sorted(tuple(r)[2:] for r in kept.collect()) == [(1, 2, 3, 4, 5, 6, 7)] * 3
 
 
 def test_dedup_counts_a_repeated_passage_once(spark):
