@@ -533,25 +533,25 @@ def test_gradient_steps_learn():
 
 def test_top_k_against_all_pairs(spark, monkeypatch):
     rng = np.random.default_rng(2)
-    monkeypatch.setattr(topk, "WAVE_BYTES", 200)
-    monkeypatch.setattr(topk, "TILE", 7)
-    monkeypatch.setattr(topk, "FAN", 2)
+    for name, value in (("SHARD", 7), ("TILE", 2), ("GROUP", 9), ("QUERIES", 3), ("FAN", 2)):
+        monkeypatch.setattr(topk, name, value)
     rows = [(i, [float(x) for x in rng.integers(-2, 3, 4) / 3]) for i in range(60)]
-    rows += [(60, None), (61, [1.0, None, 0.0, 0.0]), (62, [float("nan")] * 4), (63, [float("inf")] * 4), (70, [1.0] * 3), (None, [1.0] * 4), (64, [1e300] * 4), (7, rows[7][1])]
+    rows += [(60, None), (61, [1.0, None, 0.0, 0.0]), (62, [float("nan")] * 4), (63, [float("inf")] * 4), (70, [1.0] * 3), (None, [1.0] * 4)]
+    # scores beyond 64 bits, and rows that share an id (of a candidate, of a query)
+    rows += [(64, [1e300] * 4), (65, [3e15, -1.0, 0.0, 1.0]), (80, [-1e300, 1e300, 1e300, 1e300]), (7, rows[7][1]), (20, [1.0, 0.0, 0.0, -1.0])]
     df = spark.createDataFrame([(i, v, 0) for i, v in rows], "vec_id long, embedding array<double>, rank int")
-    usable = {}
-    flat = []
-    for i, v in rows[:60] + [rows[-1]]:
-        e = [math.floor(1024 * x) for x in v]
-        flat.append((i, e))
-        usable.setdefault(i, e)
-    found = topk.top_k(df.where("vec_id is null or vec_id <> 64"), F.col("vec_id") % 10 == 0, k=5).collect()
-    for q in range(0, 60, 10):
-        expected = sorted((-sum(a * b for a, b in zip(usable[q], e, strict=True)), i) for i, e in flat if i != q)[:5]
+    low, high = -(1 << 63), (1 << 63) - 1
+    held = lambda x: min(max(x, low), high)
+    flat = [(i, [held(math.floor(1024 * x)) for x in v]) for i, v in rows if i is not None and v and len(v) == 4 and all(x is not None and math.isfinite(x) for x in v)]
+    found = topk.top_k(df, F.col("vec_id") % 10 == 0, k=5).collect()
+    asked = sorted({i for i, _ in flat if i % 10 == 0})
+    assert asked == [0, 10, 20, 30, 40, 50, 80]
+    for q in asked:
+        expected = sorted((-held(sum(a * b for a, b in zip(e, c, strict=True))), i) for j, e in flat if j == q for i, c in flat if i != q)[:5]
         got = sorted((r["rank"], -r.score, r.vec_id) for r in found if r.query_id == q)
         assert [(s, i) for _, s, i in got] == expected
         assert [r for r, _, _ in got] == [1, 2, 3, 4, 5]
-    assert not [r for r in found if r.query_id in (60, 61, 62, 63)]
+    assert {r.query_id for r in found} == set(asked)
     assert topk.top_k(df.where("false"), F.col("vec_id") % 10 == 0).count() == 0
     assert len(topk.top_k(df.where("vec_id < 3"), F.col("vec_id") == 0).collect()) == 2
 
