@@ -22,9 +22,9 @@ Defined results: null text has size 0; documents without words are never in
 want (taken 0) and count in no order; a null source is a source of its own,
 last by order; a document without any source (an empty set) is not taken; an
 empty table gives an empty result; rows that share an id and pattern are
-ordered by their text's hash, and rows equal in all of that are taken or left
-together with ties broken by size; extra columns are ignored, by
-``mixed_documents`` kept.
+ordered by their text's hash, and of rows equal in all of that as many are
+taken as fit (with ``fill``, all or none of them); extra columns are ignored,
+by ``mixed_documents`` kept, whatever their names.
 """
 
 from __future__ import annotations
@@ -170,7 +170,7 @@ def mix(docs: DataFrame, sources: Column, weights: Sequence[float] = (5, 2, 1),
     """
     named = F.array_sort(F.array_distinct(F.transform(sources, lambda s: F.coalesce(F.concat(F.lit("s"), s), F.lit("~")))))
     order = F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col(doc_id).cast("string"), F.lit(""))).cast("binary"))
-    sized = docs.select(doc_id, words_in(F.col(text)).alias("size"), named.alias("pattern"), order.alias("order"), F.xxhash64(text).alias("tie"))
+    sized = docs.select(doc_id, words_in(F.col(text)).alias("size"), named.alias("pattern"), order.alias("order"), F.xxhash64(text).alias("tie"), F.monotonically_increasing_id().alias("row"))
     # the only pass over the texts: what follows reads these narrow rows
     rows = common.stash(sized, "mix").withColumn("bucket", F.conv(F.substring("order", 1, BUCKET_DIGITS), 16, 10).cast("int"))
     totals = rows.groupBy("pattern").agg(F.sum("size").alias("words")).orderBy("pattern").take(MAX_PATTERNS + 1)
@@ -209,9 +209,14 @@ def route(totals: list[tuple[tuple[str, ...], int]], weights: Sequence[float], s
 def select(rows: DataFrame, plan: dict, doc_id: str, fill: bool = False) -> DataFrame:
     """doc_id, size, pattern, copies, taken: the seeded choice of documents.
 
-    rows: doc_id, size, pattern, order, tie, bucket.
+    rows: doc_id, size, pattern, order, tie, row, bucket.  Equal rows are
+    chosen one by one, in any order; with ``fill`` together (as one document of
+    all their words, which is their ``unit``).
     """
     spark = rows.sparkSession
+    place = ["order", "tie", "size"] if fill else ["order", "tie", "size", "row"]
+    unit = F.sum("size").over(Window.partitionBy("pattern", "order", "tie", "size")) if fill else F.col("size")
+    rows = rows.withColumn("unit", unit)
     quota = spark.createDataFrame(
         [(list(p), x["take"] // x["words"] if x["words"] else 0, x["take"] % x["words"] if x["words"] else 0) for p, x in plan["patterns"].items()],
         "pattern array<string>, whole long, rest long",
@@ -228,20 +233,21 @@ def select(rows: DataFrame, plan: dict, doc_id: str, fill: bool = False) -> Data
     marked = rows.join(F.broadcast(bounds), "pattern")
     below = F.col("cut").isNull() | (F.col("bucket") < F.col("cut"))
     edge = marked.where(F.col("bucket") == F.col("cut"))
-    up_to = F.sum("size").over(Window.partitionBy("pattern").orderBy("order", "tie", "size"))
+    up_to = F.sum("size").over(Window.partitionBy("pattern").orderBy(*place))
     edge = edge.withColumn("more", ((F.col("before") + up_to <= F.col("rest")) & (F.col("size") > 0)).cast("long"))
     rest = marked.where(F.col("cut").isNull() | (F.col("bucket") != F.col("cut"))).withColumn("more", (below & (F.col("rest") > 0) & (F.col("size") > 0)).cast("long"))
     chosen = rest.unionByName(edge)
     # then the largest document that fits into what is left, first in seeded order
     gap = chosen.groupBy("pattern").agg((F.max("rest") - F.sum(F.col("size") * F.col("more"))).alias("gap"))
     gap = common.stash(gap, "mix-gaps")
-    fits = chosen.where("more = 0 and size > 0").join(F.broadcast(gap), "pattern").where(F.col("size") <= F.col("gap"))
-    last = fits.groupBy("pattern").agg(F.min(F.struct((-F.col("size")).alias("neg"), "order", "tie")).alias("last"))
+    fits = chosen.where("more = 0 and size > 0").join(F.broadcast(gap), "pattern").where(F.col("unit") <= F.col("gap"))
+    largest = F.struct((-F.col("unit")).alias("neg"), *place)
+    last = fits.groupBy("pattern").agg(F.min(largest).alias("last"))
     out = chosen.join(F.broadcast(last), "pattern", "left")
-    is_last = F.coalesce((F.col("more") == 0) & (F.struct((-F.col("size")).alias("neg"), "order", "tie") == F.col("last")), F.lit(False))
+    is_last = F.coalesce((F.col("more") == 0) & (largest == F.col("last")), F.lit(False))
     out = out.withColumn("more", F.col("more") + is_last.cast("long"))
     if fill:
-        out = filled(out.select(doc_id, "size", "pattern", "order", "tie", "bucket", "whole", "rest", "more"))
+        out = filled(out.select(doc_id, "size", "pattern", "order", "tie", "bucket", "unit", "whole", "rest", "more"))
     copies = F.when(F.col("size") > 0, F.col("whole") + F.col("more")).otherwise(0)
     return out.select(doc_id, "size", "pattern", copies.alias("copies"), (copies * F.col("size")).alias("taken"), "order", "tie")
 
@@ -255,8 +261,7 @@ def filled(chosen: DataFrame) -> DataFrame:
     order.  Rows equal in order, tie and size are taken or left together.
     """
     place = F.struct("order", "tie", "size")
-    unit = F.sum("size").over(Window.partitionBy("pattern", "order", "tie", "size"))
-    now = common.stash(chosen.withColumn("unit", unit), "mix-fill")
+    now = common.stash(chosen, "mix-fill")
     left = (F.col("more") == 0) & (F.col("size") > 0)
     while True:
         gaps = now.groupBy("pattern").agg((F.max("rest") - F.sum(F.col("size") * F.col("more"))).alias("gap"), F.min(F.when(left, F.col("unit"))).alias("least"))
@@ -283,9 +288,9 @@ def filled(chosen: DataFrame) -> DataFrame:
 
 def mixed_documents(docs: DataFrame, sources: Column, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """The documents of the mix, filled, each as many times as it is taken; columns stay."""
-    columns = docs.columns
     taken, _ = mix(docs, sources, doc_id=doc_id, text=text, fill=True, **options)
     # rows that share id and text share their copies
-    copies = taken.where("copies > 0").groupBy(doc_id, "tie").agg(F.max("copies").alias("__copies")).withColumnRenamed(doc_id, "__id").withColumnRenamed("tie", "__tie2")
-    found = docs.withColumn("__tie", F.xxhash64(text)).join(copies, F.col(doc_id).eqNullSafe(F.col("__id")) & (F.col("__tie") == F.col("__tie2")))
-    return found.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies")))).select(*columns)
+    copies = taken.where("copies > 0").groupBy(F.col(doc_id).alias("id"), "tie").agg(F.max("copies").alias("copies"))
+    rows = docs.select(F.struct("*").alias("doc"), F.xxhash64(text).alias("doc_tie"))
+    found = rows.join(copies, F.col("doc")[doc_id].eqNullSafe(F.col("id")) & (F.col("doc_tie") == F.col("tie")))
+    return found.select("doc", F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("copy")).select("doc.*")

@@ -243,6 +243,18 @@ def test_mix_of_odd_and_overlapping_documents(spark):
     assert mixing.mixed_documents(both, F.col("s"), weights=(1, 3)).columns == both.columns
 
 
+def test_equal_rows_are_taken_one_by_one(spark):
+    rows = [(1, "a b c", "x")] * 6 + [(10 + i, "w " * 10, "y") for i in range(6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    taken, plan = mixing.mix(docs, F.array("source"), weights=(3, 1))
+    found = taken.groupBy("pattern").agg(F.sum("taken").alias("n"), F.count("*").alias("rows")).collect()
+    for r in found:
+        target = plan["sources"][r.pattern[0]]["target"]
+        assert r.rows == 6 and target - (3 if r.pattern[0] == "sx" else 10) < r.n <= target + 0.5
+    clashing = docs.selectExpr("doc_id", "text", "source", "1 as copies", "2 as tie", "3 as id", "4 as doc")
+    assert mixing.mixed_documents(clashing, F.array("source")).columns == clashing.columns
+
+
 def test_mixed_documents_go_on_after_one_that_does_not_fit(spark):
     rnd = random.Random(5)
     rows = [(1000 * s + i, "w " * (900 if i % 20 == 0 else rnd.randint(5, 60)), f"s{s}") for s in range(8) for i in range(60)]
