@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from jisfold.constants import ConversionMode, TransliterationError
+from jisfold.constants import NOT_CONVERTIBLE, ConversionMode, TransliterationError
 from jisfold.functions import candidates, kernels, machine
 from jisfold.refdata.tables import JisTable, MjTable
 
@@ -52,9 +52,16 @@ def jnta_encode_with_error(c: Column | str, conv_mode: int, table: JisTable | No
     if mode == ConversionMode.SISO or bug_compat:
         return F.when(c.isNotNull(), _encode_udf(mode, table, bug_compat)(c))
     table = kernels.default_table(table)
-    error = kernels.encode_error(c, mode, table)
-    value = F.when(error.isNull(), kernels.encode(c, mode, table))
-    return F.when(c.isNotNull(), F.struct(value.alias("value"), error["reason"].alias("reason"), error["start"].alias("start"), error["end"].alias("end")))
+
+    def found(text: Column) -> Column:
+        def of(value: Column) -> Column:
+            start = F.when(value.isNull(), kernels.good_prefix(text, mode, table))
+            reason = F.when(value.isNull(), F.lit(NOT_CONVERTIBLE))
+            return kernels.bound(start, lambda at: F.struct(value.alias("value"), reason.alias("reason"), at.alias("start"), (at + 1).alias("end")))
+
+        return kernels.bound(kernels.encode(text, mode, table), of)
+
+    return F.when(c.isNotNull(), kernels.bound(c, found))
 
 
 def _failing(found: Column) -> Column:
@@ -72,8 +79,7 @@ def try_jnta_encode(c: Column | str, conv_mode: int, table: JisTable | None = No
     mode, c = ConversionMode(conv_mode), _column(c)
     if mode == ConversionMode.SISO or bug_compat:
         return jnta_encode_with_error(c, mode, table, bug_compat)["value"]
-    table = kernels.default_table(table)
-    return F.when(kernels.good_prefix(c, mode, table)[1], kernels.encode(c, mode, table))
+    return kernels.bound(c, lambda text: kernels.encode(text, mode, kernels.default_table(table)))
 
 
 def jnta_decode_with_error(c: Column | str, table: JisTable | None = None) -> Column:
@@ -83,14 +89,14 @@ def jnta_decode_with_error(c: Column | str, table: JisTable | None = None) -> Co
     hexed = F.hex(F.substring(c, good * 2 + 1, F.lit(2)))
     first, second = F.lower(F.substring(hexed, 1, 2)), F.lower(F.substring(hexed, 3, 2))
     inside = lambda x: (x >= "21") & (x <= "7e")
-    number = lambda x: F.conv(x, 16, 10).cast("int") - 32
+    number = lambda x: F.conv(x, 16, 10).cast("int") + 1
     start = good * 2
     cases = [
         (~inside(first), F.concat(F.lit("unexpected byte \\x"), first), 0, 1),
         (second == "", F.lit("incomplete multibyte character"), 0, 1),
         (~inside(second), F.concat(F.lit("unexpected byte \\x"), second, F.lit(" after \\x"), first), 1, 2),
     ]
-    reason = F.concat(F.lit("no character at row "), number(first).cast("string"), F.lit(", cell "), number(second).cast("string"))
+    reason = F.concat(F.lit("JIS character 1-"), number(first).cast("string"), F.lit("-"), number(second).cast("string"), F.lit(" does not have a corresponding unicode codepoint"))
     begin, end = start, start + 2
     for test, text_of, a, b in reversed(cases):
         reason, begin, end = F.when(test, text_of).otherwise(reason), F.when(test, start + a).otherwise(begin), F.when(test, start + b).otherwise(end)
@@ -143,11 +149,17 @@ def mj_shrink_candidates(c: Column | str, combo: int, limit: int = 100, table: M
     the characters' forms and may exhaust memory.
     """
 
-    @F.pandas_udf(T.ArrayType(T.StringType()))
-    def run(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda x: None if x is None else candidates.mj_shrink_candidates(x, combo, limit, table))
+    @F.pandas_udf(T.ArrayType(T.ArrayType(T.StringType())))
+    def choices(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda x: None if x is None else candidates.choices(x, combo, table))
+
+    def longer(found: Column, own: Column) -> Column:
+        # a prefix's forms alternate fastest, so the first ones of the whole need its first ones only
+        every = F.flatten(F.transform(own, lambda last: F.transform(found, lambda first: F.concat(first, last))))
+        return every if limit < 0 else F.slice(every, 1, limit)
 
-    return run(_column(c))
+    start = F.array(F.lit("")) if limit else F.array().cast("array<string>")
+    return F.aggregate(choices(_column(c)), start, longer)
 
 
 def explode_candidates(df: DataFrame, text: str, combo: int, limit: int = 100, table: MjTable | None = None, position: str = "ord", out: str = "candidate") -> DataFrame:

@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from itertools import islice
+from itertools import islice, product
 
 from jisfold.refdata.tables import MjTable, seed_mj
 
@@ -50,26 +49,14 @@ def of_token(token: str, selector: int | None, combo: int, table: MjTable) -> li
     return list(found) or [token]
 
 
-def product(choices: list[list[str]]) -> Iterator[str]:
-    """All combinations; the first position varies fastest."""
-    if any(not c for c in choices):
-        return
-    at = [0] * len(choices)
-    while True:
-        yield "".join(c[i] for c, i in zip(choices, at, strict=True))
-        for p, c in enumerate(choices):
-            at[p] += 1
-            if at[p] < len(c):
-                break
-            at[p] = 0
-        else:
-            return
+def choices(text: str, combo: int, table: MjTable | None = None) -> list[list[str]]:
+    """Each character's candidates, in the text's order."""
+    table = table or seed_mj()
+    return [of_token(t, s, combo, table) for t, s in tokens(text)]
 
 
 def mj_shrink_candidates(text: str, combo: int, limit: int = 100, table: MjTable | None = None) -> list[str]:
-    """At most ``limit`` forms of a text (negative: all, which may be very many)."""
-    table = table or seed_mj()
-    if limit == 0:
-        return []
-    found = product([of_token(t, s, combo, table) for t, s in tokens(text)])
-    return list(found if limit < 0 else islice(found, limit))
+    """At most ``limit`` forms of a text (negative: all, which may be very many);
+    the first character's candidates alternate fastest."""
+    backwards = product(*reversed(choices(text, combo, table)))
+    return ["".join(reversed(x)) for x in islice(backwards, None if limit < 0 else limit)]

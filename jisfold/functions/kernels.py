@@ -10,16 +10,19 @@ private character first; rows without a pair's second character skip that.
 from __future__ import annotations
 
 import re
-from functools import lru_cache
+from collections.abc import Callable
+from functools import lru_cache, reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from jisfold.constants import NOT_CONVERTIBLE, ConversionMode
+from jisfold.constants import ConversionMode
 from jisfold.refdata.tables import JisRow, JisTable, seed_jis
 
 #: Private characters: a mark before a pair, and the pairs themselves.
 _MARK, _PAIR = "\U000f0000", 0xF0001
+#: How the UTF-8 of all of them begins.
+_PRIVATE_BYTES = b"\xf3\xb0\x80"
 #: ASCII letters, none of which any table encodes, for masks.
 _GOOD, _BAD = "P", "B"
 
@@ -29,11 +32,21 @@ def pair_pattern(table: JisTable) -> str:
     return "(" + "|".join(re.escape(r.us) for r in table.pairs) + ")"
 
 
+def bound(value: Column, make: Callable[[Column], Column]) -> Column:
+    """make(value), which evaluates value once however often it is used."""
+    return F.transform(F.array(value), make)[0]
+
+
+def _has_second(text: Column, table: JisTable) -> Column:
+    """Whether the text has some pair's second character: few, sought as bytes."""
+    return reduce(lambda a, b: a | b, [F.contains(text, F.lit(c)) for c in table.seconds])
+
+
 def _guarded(text: Column, table: JisTable, make) -> Column:
     """make(text), for rows that hold some pair's second character."""
     if not table.pairs:
         return text
-    return F.when(F.translate(text, table.seconds, "") != text, make(text)).otherwise(text)
+    return F.when(_has_second(text, table), make(text)).otherwise(text)
 
 
 def _pairs_to(text: Column, table: JisTable, to) -> Column:
@@ -69,28 +82,43 @@ def _codes(mode: int, table: JisTable) -> dict[str, str]:
     return found
 
 
-def good_prefix(text: Column, mode: int, table: JisTable) -> tuple[Column, Column]:
-    """(characters before the first that the mode can't write, all can be written)."""
+def good_prefix(text: Column, mode: int, table: JisTable) -> Column:
+    """The number of characters before the first that the mode can't write."""
     codes = _codes(mode, table)
     singles = "".join(u for u in codes if len(u) == 1)
     masked = _pairs_to(F.translate(text, _GOOD, _BAD), table, lambda r: 2 * (_GOOD if r.us in codes else _BAD))
-    masked = F.translate(masked, singles, _GOOD * len(singles))
-    start = F.length(F.regexp_extract(masked, f"^{_GOOD}*", 0))
-    return start, F.translate(masked, _GOOD, "") == ""
+    return F.length(F.regexp_extract(F.translate(masked, singles, _GOOD * len(singles)), f"^{_GOOD}*", 0))
 
 
 def encode(text: Column, mode: int, table: JisTable) -> Column:
-    """The bytes of a text that the mode can write (others: undefined)."""
+    """The bytes of a text, NULL where the mode can't write it.
+
+    ``text`` should be cheap to evaluate (see ``bound``).  Pairs become private
+    characters first; characters of several codes become the characters of
+    these.  Both are rare and done only for rows that have them.
+    """
     codes, private = _codes(mode, table), _private(table)
-    text = _pairs_to(text, table, lambda r: private[r.jis])
-    one = {u: c for u, c in codes.items() if len(c) == 1}
-    several = {u: c for u, c in codes.items() if len(c) > 1}
-    # several codes for one text: their characters first, which the table encodes again
-    back = {r.code.decode("utf-16-be"): r.us for r in table.rows.values() if table.is_0208(r) and len(r.us) == 1}
-    for u, c in several.items():
-        text = F.replace(text, F.lit(u if len(u) == 1 else private[table.by_text[u].jis]), F.lit("".join(back[x] for x in c)))
-    singles = {(u if len(u) == 1 else private[table.by_text[u].jis]): c for u, c in one.items()}
-    return F.encode(F.translate(text, "".join(singles), "".join(singles.values())), "UTF-16BE")
+    key = {u: (u if len(u) == 1 else private[table.by_text[u].jis]) for u in codes}
+    alphabet = "".join(key.values())
+    single = {key[u]: c for u, c in codes.items() if len(c) == 1}
+    # several codes for one text: their characters, which the table encodes again
+    back = {_as_code(r): r.us for r in table.rows.values() if table.is_0208(r) and len(r.us) == 1}
+    several = {key[u]: "".join(back[x] for x in c) for u, c in codes.items() if len(c) > 1}
+
+    def expanded(joined: Column) -> Column:
+        if not several:
+            return joined
+        forms = F.create_map(*[F.lit(x) for pair in several.items() for x in pair])
+        each = F.transform(F.split(joined, ""), lambda c: F.coalesce(F.try_element_at(forms, c), c))
+        return F.when(F.translate(joined, "".join(several), "") != joined, F.array_join(each, "")).otherwise(joined)
+
+    def written(joined: Column) -> Column:
+        value = F.encode(F.translate(expanded(joined), "".join(single), "".join(single.values())), "UTF-16BE")
+        return F.when(F.translate(joined, alphabet, "") == "", value)
+
+    found = bound(_pairs_to(text, table, lambda r: private[r.jis]), written)
+    # a private character of the text itself is none of the table's; their UTF-8 begins alike
+    return F.when(~F.contains(text.cast("binary"), F.lit(_PRIVATE_BYTES)), found)
 
 
 def decoded(data: Column, table: JisTable) -> tuple[Column, Column, Column]:
@@ -162,11 +190,5 @@ def shrink(text: Column, table: JisTable, replacement: str, passthrough: bool) -
     return F.when(strange, slow).otherwise(fast), first
 
 
-def encode_error(text: Column, mode: int, table: JisTable) -> Column:
-    """struct<reason, start, end>, null where the text can be written."""
-    start, good = good_prefix(text, mode, table)
-    return F.when(~good, F.struct(F.lit(NOT_CONVERTIBLE).alias("reason"), start.alias("start"), (start + 1).alias("end")))
-
-
 def default_table(table: JisTable | None) -> JisTable:
     return table or seed_jis()

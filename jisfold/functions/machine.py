@@ -110,7 +110,8 @@ def decode_problem(two: bytes, table: JisTable) -> tuple[str, int, int] | None:
     if not 0x21 <= two[1] <= 0x7E:
         return f"unexpected byte \\x{two[1]:02x} after \\x{two[0]:02x}", 1, 2
     if (two[0] - 0x21) * 94 + two[1] - 0x21 not in table.rows:
-        return f"no character at row {two[0] - 0x20}, cell {two[1] - 0x20}", 0, 2
+        # the reason's numbers are the bytes and one, as users of this codec know them
+        return f"JIS character 1-{two[0] + 1}-{two[1] + 1} does not have a corresponding unicode codepoint", 0, 2
     return None
 
 

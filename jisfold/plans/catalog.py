@@ -148,7 +148,7 @@ DECODE_SQL = f"SELECT c_custkey, jis_hex, s FROM ({_sql_encode(ConversionMode.ME
 
 BAD_BYTES = [
     ("2124", None, None, None), ("0F2121", "unexpected byte \\x0f", 0, 1), ("21", "incomplete multibyte character", 0, 1), ("2120", "unexpected byte \\x20 after \\x21", 1, 2),
-    ("242B2477", None, None, None), ("21247F21", "unexpected byte \\x7f", 2, 3), ("", None, None, None), ("2F7E", None, None, None), ("21242477217F", "unexpected byte \\x7f after \\x21", 5, 6),
+    ("242B2477", None, None, None), ("2124247C2121", "JIS character 1-37-125 does not have a corresponding unicode codepoint", 2, 4), ("21247F21", "unexpected byte \\x7f", 2, 3), ("", None, None, None), ("2F7E", None, None, None), ("21242477217F", "unexpected byte \\x7f after \\x21", 5, 6),
 ]
 
 
@@ -257,15 +257,16 @@ SELECT n_name, count(DISTINCT c_custkey) AS n, count(*) AS candidates FROM k JOI
 def jis_class_histogram_by_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per language: characters of all documents by JIS class.
 
-    A class's characters are counted as what ``translate`` takes away, so no
-    row is made for a character.
+    One ``translate`` makes each character a private letter of its class; a
+    class's characters are counted as what ``replace`` takes away.
     """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("lang", "text")
-    by_class: dict[int, str] = {}
-    for r in TABLE.singles():
-        by_class[r.cls] = by_class.get(r.cls, "") + r.us
-    counts = [F.sum(F.length("text") - F.length(F.translate("text", chars, ""))).alias(f"class_{cls}") for cls, chars in sorted(by_class.items())]
-    return docs.groupBy("lang").agg(F.sum(F.length("text")).alias("chars"), *counts)
+    letters = {cls: chr(0xE000 + cls) for cls in sorted({r.cls for r in TABLE.singles()})}
+    known = "".join(r.us for r in TABLE.singles())
+    classes = F.translate("text", "".join(letters.values()) + known, "x" * len(letters) + "".join(letters[r.cls] for r in TABLE.singles()))
+    own = F.transform(F.array(classes), lambda c: F.struct(*[(F.length(c) - F.length(F.replace(c, F.lit(x)))).alias(f"class_{cls}") for cls, x in letters.items()]))[0]
+    found = docs.select("lang", F.length("text").alias("chars"), own.alias("n"))
+    return found.groupBy("lang").agg(F.sum("chars").alias("chars"), *[F.sum(f"n.class_{cls}").alias(f"class_{cls}") for cls in letters])
 
 
 _IN_DOCS = {cls: "".join(r.us for r in TABLE.singles() if r.cls == cls and ord(r.us) < 0x2000) for cls in sorted({r.cls for r in TABLE.singles()})}
@@ -297,7 +298,7 @@ FROM p
 def uni_seq_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Code points of sequences written as U+XXXX, and variation selectors among them."""
     own = spark.read.parquet(f"{sf_dir}/supplier.parquet").select("s_suppkey")
-    u = F.col("s_suppkey") * 977 % 917999
+    u = F.when(F.col("s_suppkey") % 4 == 1, F.col("s_suppkey") % 24 + 65020).when(F.col("s_suppkey") % 4 == 2, F.col("s_suppkey") % 256 + 917752).otherwise(F.col("s_suppkey") * 977 % 917999)
     own = own.withColumn("t", F.concat(F.lit("U+"), F.hex(u), F.lit("  u+"), F.lower(F.hex(u + 240))))
     found = own.withColumn("a", J.parse_code_points("t"))
     vs = J.selector_number(F.col("a")[0])
@@ -305,7 +306,7 @@ def uni_seq_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 UNI_SEQ_SQL = """
-WITH s AS (SELECT s_suppkey, s_suppkey * 977 % 917999 AS u FROM supplier),
+WITH s AS (SELECT s_suppkey, CASE s_suppkey % 4 WHEN 1 THEN s_suppkey % 24 + 65020 WHEN 2 THEN s_suppkey % 256 + 917752 ELSE s_suppkey * 977 % 917999 END AS u FROM supplier),
 v AS (SELECT *, CASE WHEN u BETWEEN 65024 AND 65039 THEN u - 65024 WHEN u BETWEEN 917760 AND 917999 THEN u - 917760 + 16 END AS n FROM s)
 SELECT s_suppkey, 'U+' || upper(to_hex(u)) || '  u+' || lower(to_hex(u + 240)) AS t, u::BIGINT AS first, (u + 240)::BIGINT AS second,
        coalesce(n, -1)::BIGINT AS selector, (CASE WHEN n IS NOT NULL THEN u ELSE -1 END)::BIGINT AS back

@@ -7,30 +7,86 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from jisfold.functions import candidates, machine
+from jisfold.constants import ConversionMode, TransliterationError
+from jisfold.functions import DECODED, RESULT, candidates, machine
 from jisfold.refdata.tables import JisTable, MjTable
 
 
+def _arrow(f, kind):
+    """f by rows of Arrow batches; NULL in the first argument gives NULL."""
+
+    @F.pandas_udf(kind)
+    def run(*columns: pd.Series) -> pd.Series:
+        return pd.Series([None if x[0] is None else f(*x) for x in zip(*columns, strict=True)], dtype=object)
+
+    return run
+
+
+def _or_none(f):
+    """f, with None where a text can't be converted."""
+
+    def run(*args):
+        try:
+            return f(*args)
+        except (UnicodeError, TransliterationError):
+            return None
+
+    return run
+
+
+def _with_error(f, kind: T.StructType):
+    """f's value, or what is wrong where, as the struct ``kind``."""
+
+    @F.pandas_udf(kind)
+    def run(*columns: pd.Series) -> pd.DataFrame:
+        rows = []
+        for x in zip(*columns, strict=True):
+            try:
+                rows.append((None if x[0] is None else f(*x), None, None, None))
+            except UnicodeError as e:
+                rows.append((None, e.reason, e.start, e.end))
+        return pd.DataFrame(rows, columns=kind.names).astype({"start": "Int32", "end": "Int32"})
+
+    return run
+
+
 def register(spark: SparkSession, jis: JisTable | None = None, mj: MjTable | None = None) -> None:
-    """Registers jnta_encode(text, mode), jnta_decode(bytes),
-    jnta_shrink_translit(text, replacement, passthrough) and
-    mj_shrink_candidates(text, combo, limit) for SQL, and the xlsx source.
+    """Registers for SQL the xlsx source and the functions
+
+    - jnta_encode(text [, mode = 0]), try_jnta_encode and jnta_encode_with_error,
+    - jnta_decode(bytes), try_jnta_decode and jnta_decode_with_error,
+    - jnta_shrink_translit(text [, replacement = U+FFFD [, passthrough = false]])
+      and try_jnta_shrink_translit(text),
+    - mj_shrink_candidates(text, combo [, limit = 100]).
 
-    These take their options by row, and run in Python by Arrow batches; with
-    options that are known when the query is written, the column functions of
-    ``jisfold.functions`` stay in the JVM.
+    The plain forms fail the query at a text that can't be converted, the
+    ``try_`` forms give NULL there, the others a struct of value, reason, start
+    and end.  These take their options by row, and run in Python by Arrow
+    batches; with options that are known when the query is written, the column
+    functions of ``jisfold.functions`` stay in the JVM.
     """
     from jisfold.sources.xlsx import XlsxDataSource
 
-    def vectorised(f, kind):
-        @F.pandas_udf(kind)
-        def run(*columns: pd.Series) -> pd.Series:
-            return pd.Series([None if x[0] is None else f(*x) for x in zip(*columns, strict=True)], dtype=object)
+    def encode(text, mode=ConversionMode.SISO):
+        return machine.encode("jis", text, mode, jis)
+
+    def decode(data):
+        return machine.decode("jis", bytes(data), jis)
 
-        return run
+    def shrink(text, replacement="\ufffd", passthrough=False):
+        return machine.shrink_translit(text, replacement, bool(passthrough), jis)
 
-    spark.udf.register("jnta_encode", vectorised(lambda s, m: machine.encode("jis", s, m, jis), T.BinaryType()))
-    spark.udf.register("jnta_decode", vectorised(lambda b: machine.decode("jis", bytes(b), jis), T.StringType()))
-    spark.udf.register("jnta_shrink_translit", vectorised(lambda s, r, p: machine.shrink_translit(s, r, bool(p), jis), T.StringType()))
-    spark.udf.register("mj_shrink_candidates", vectorised(lambda s, c, n: candidates.mj_shrink_candidates(s, c, n, mj), T.ArrayType(T.StringType())))
+    functions = {
+        "jnta_encode": _arrow(encode, T.BinaryType()),
+        "try_jnta_encode": _arrow(_or_none(encode), T.BinaryType()),
+        "jnta_encode_with_error": _with_error(encode, RESULT),
+        "jnta_decode": _arrow(decode, T.StringType()),
+        "try_jnta_decode": _arrow(_or_none(decode), T.StringType()),
+        "jnta_decode_with_error": _with_error(decode, DECODED),
+        "jnta_shrink_translit": _arrow(shrink, T.StringType()),
+        "try_jnta_shrink_translit": _arrow(_or_none(lambda text: shrink(text, "")), T.StringType()),
+        "mj_shrink_candidates": _arrow(lambda text, combo, limit=100: candidates.mj_shrink_candidates(text, combo, limit, mj), T.ArrayType(T.StringType())),
+    }
+    for name, function in functions.items():
+        spark.udf.register(name, function)
     spark.dataSource.register(XlsxDataSource)

@@ -4,8 +4,9 @@ Parts of a text come as rows (key, seq, text, final).  State by key holds the
 characters that wait for their successor, the plane that was last written, and
 the last sequence number, so a query restarted from its checkpoint goes on
 exactly, and any split of a text gives the same bytes as the whole.  Within a
-micro-batch parts are put in the order of their numbers; a number that is not
-above the last one is an error.  After a final part the key begins anew.
+micro-batch parts are put in the order of their numbers; a part whose number
+is not above the last one's gives the reason "out of order" and no bytes.  With
+a final part the key's state goes, and the key begins anew with any number.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from jisfold.functions.machine import IncrementalEncoder
 
+OUT_OF_ORDER = "out of order"
 OUT = "stream_id string, seq long, bytes binary, reason string, start int"
 STATE = "held string, plane int, seq long"
 
@@ -38,14 +40,20 @@ def encode_stream(df: DataFrame, conv_mode: int, key: str = "stream_id", seq: st
         out = []
         for number, part, end in zip(rows[seq], rows[text], rows[final], strict=True):
             if last is not None and number <= last:
-                raise ValueError(f"{group[0]}: part {number} came after part {last}")
+                out.append((group[0], number, None, OUT_OF_ORDER, None))
+                continue
             last, plane = number, encoder.plane
             try:
                 out.append((group[0], number, encoder.encode(part or "", bool(end)), None, None))
             except UnicodeEncodeError as e:
                 encoder.held, encoder.plane = "", plane
                 out.append((group[0], number, None, e.reason, e.start))
-        state.update((encoder.held, encoder.plane, int(last)))
+            if end:
+                encoder, last = IncrementalEncoder("jis", conv_mode), None
+        if last is not None:
+            state.update((encoder.held, encoder.plane, int(last)))
+        elif state.exists:
+            state.remove()
         yield pd.DataFrame(out, columns=["stream_id", "seq", "bytes", "reason", "start"]).astype({"start": "Int32"})
 
     parts = df.select(F.col(key).cast("string").alias(key), seq, text, final)

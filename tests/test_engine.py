@@ -103,6 +103,29 @@ def test_sql_names(spark):
     sql.register(spark)
     row = spark.sql("SELECT hex(jnta_encode('か゚', 1)) a, jnta_decode(x'2477') b, jnta_shrink_translit('麴町', '?', false) c, mj_shrink_candidates('髙', 1, 100) d").first()
     assert tuple(row) == ("2477", "か゚", "麹町", ["高", "髙"])
+    row = spark.sql("SELECT hex(jnta_encode('か゚')) a, try_jnta_encode('✋', 1) b, jnta_encode_with_error('か✋', 1) c, try_jnta_decode(x'21') d, jnta_decode_with_error(x'2124247C') e, jnta_shrink_translit('✋') f, try_jnta_shrink_translit('✋') g, mj_shrink_candidates('髙', 1) h, try_jnta_encode(NULL, 1) i").first()
+    assert row.a == "2477" and row.b is None and tuple(row.c)[1:] == ("not convertible to JISX0208", 1, 2) and row.d is None
+    assert tuple(row.e) == (None, "JIS character 1-37-125 does not have a corresponding unicode codepoint", 2, 4)
+    assert (row.f, row.g, row.h, row.i) == ("\ufffd", None, ["高", "髙"], None)
+
+
+def test_stream_forgets_a_text_at_its_end(spark, tmp_path):
+    from jisfold.streaming.encoder import OUT_OF_ORDER, encode_stream
+
+    batches = [[("a", 0, "か", False), ("b", 5, "山", True)], [("a", 1, "゚", True), ("a", 0, "山", False), ("b", 0, "か", False)], [("a", 0, "か", False), ("a", 1, "か", True)]]
+    (tmp_path / "in").mkdir()
+    parts = spark.readStream.schema("stream_id string, seq long, text string, final boolean").option("maxFilesPerTrigger", 1).json(f"file://{tmp_path}/in")
+    run = encode_stream(parts, 1).writeStream.outputMode("append").format("memory").queryName("forgetful").option("checkpointLocation", f"{tmp_path}/state").start()
+    try:
+        for i, rows in enumerate(batches):
+            (tmp_path / "new").write_text("\n".join(json.dumps(dict(zip(("stream_id", "seq", "text", "final"), r, strict=True))) for r in rows))
+            (tmp_path / "new").rename(tmp_path / "in" / f"{i}.json")
+            run.processAllAvailable()
+    finally:
+        run.stop()
+    found = [(r.stream_id, r.seq, None if r.bytes is None else r.bytes.hex(), r.reason) for r in spark.table("forgetful").collect()]
+    # parts of a micro-batch go by number: a's 0 comes before its last part, and is late
+    assert sorted(found, key=repr) == sorted([("a", 0, "", None), ("b", 5, "3b33", None), ("a", 0, None, OUT_OF_ORDER), ("a", 1, "2477", None), ("b", 0, "", None), ("a", 0, "", None), ("a", 1, "242b242b", None)], key=repr)
 
 
 def test_stream_equals_the_whole(spark):
