@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 
 from jisfold import functions as J
 from jisfold.constants import ConversionMode, MJShrinkSchemeCombo
-from jisfold.functions import candidates, kernels
 from jisfold.operators import relational
 from jisfold.plans import corpus
 from jisfold.refdata import ingest
@@ -42,15 +41,42 @@ def _used() -> list[str]:
     return [t for t in tokens if t in TABLE.by_text]
 
 
-def _codes(mode: int) -> dict[str, str]:
-    known = kernels._codes(mode, TABLE)
-    return {t: known[t].encode("utf-16-be").hex().upper() for t in _used() if t in known}
+def _t1() -> str:
+    """The table's rows of those tokens: text, number, class, targets as numbers and as text."""
+    rows = [(t, TABLE.by_text[t]) for t in _used()]
+    return "(VALUES " + ", ".join(f"({q(t)}, {r.jis}, {r.cls}, {list(r.tx_jis)}::INTEGER[], {q(r.tx_us)})" for t, r in rows) + ") t1(x, jis, cls, tx, tx_us)"
+
+
+def _t4() -> str:
+    """The MJ rows: code, place in the table, place among its forms, code point, selector (-1: none)."""
+    return "(VALUES " + ", ".join(f"({mj}, {o}, {n}, {u}, {-1 if x is None else x})" for o, (mj, v) in enumerate(seed_mj().variants.items()) for n, (u, x) in enumerate(v)) + ") t4(mj, o, n, u, s)"
+
+
+def _t6() -> str:
+    """The MJ shrink targets: code, scheme, place, code point."""
+    return "(VALUES " + ", ".join(f"({mj}, {k}, {n}, {u})" for mj, schemes in seed_mj().shrink.items() for k, us in schemes.items() for n, u in enumerate(us)) + ") t6(mj, scheme, n, u)"
+
+
+#: The rules of the modes in SQL, over a row of T1.
+_SQL_CODE = "printf('%02X%02X', j % 8836 // 94 + 33, j % 94 + 33)"
+_SQL_OWN = _SQL_CODE.replace("j %", "jis %")
+_SQL_0208 = f"CASE WHEN cls IN (1, 2, 9) THEN {_SQL_OWN} END"
+_SQL_RULES = {
+    ConversionMode.MEN1: f"CASE WHEN jis < 8836 THEN {_SQL_OWN} END",
+    ConversionMode.JISX0208: _SQL_0208,
+    ConversionMode.JISX0208_TRANSLIT: f"coalesce({_SQL_0208}, CASE WHEN len(tx) > 0 THEN array_to_string(list_transform(tx, lambda j: {_SQL_CODE}), '') END)",
+}
+
+
+def _sql_map(value: str) -> str:
+    """A map from tokens to a value made of their rows of T1, where it is not null."""
+    return f"(SELECT map_from_entries(list((x, v))) FROM (SELECT x, {value} AS v FROM {_t1()}) WHERE v IS NOT NULL)"
 
 
 def _sql_encode(mode: int) -> str:
     return f"""
 SELECT c_custkey, s, CASE WHEN len(list_filter(t, lambda x: m[x] IS NULL)) = 0 THEN coalesce(array_to_string(list_transform(t, lambda x: m[x]), ''), '') END AS jis_hex
-FROM (SELECT c_custkey, s, {_TOKENS} AS t, {_map(_codes(mode))} AS m FROM {corpus.CUSTOMERS})
+FROM (SELECT c_custkey, s, {_TOKENS} AS t, {_sql_map(_SQL_RULES[mode])} AS m FROM {corpus.CUSTOMERS})
 """
 
 
@@ -65,15 +91,23 @@ def encode_siso(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.customers(spark, sf_dir).select("c_custkey", "s", F.hex(J.try_jnta_encode("s", ConversionMode.SISO)).alias("jis_hex"))
 
 
-_PLANES = {t: f"{TABLE.by_text[t].plane}{TABLE.by_text[t].code.hex().upper()}" for t in _used()}
-SISO_SQL = f"""
-WITH t AS (SELECT i, s, {_TOKENS} AS t, {_map(_PLANES)} AS m FROM (VALUES {corpus.values()}) v(i, s)),
+_SQL_SISO = f"""
+WITH t AS (SELECT i, s, {_TOKENS} AS t, {_sql_map(f"(jis // 8836 + 1)::VARCHAR || {_SQL_OWN}")} AS m FROM (VALUES {corpus.values()}) v(i, s)),
 p AS (SELECT i, unnest(t) AS x, unnest(range(len(t))) AS n, m FROM t),
 c AS (SELECT i, n, m[x] AS c, lag(m[x][1], 1, '1') OVER (PARTITION BY i ORDER BY n) AS was FROM p),
 o AS (SELECT i, count(*) FILTER (c IS NULL) AS bad, string_agg((CASE WHEN c[1] = was THEN '' WHEN c[1] = '1' THEN '0E' ELSE '0F' END) || c[2:], '' ORDER BY n)
         || CASE WHEN last(c[1] ORDER BY n) = '2' THEN '0E' ELSE '' END AS h FROM c GROUP BY i)
-SELECT c_custkey, s, CASE WHEN s = '' THEN '' WHEN bad = 0 THEN h END AS jis_hex FROM {corpus.CUSTOMERS} k LEFT JOIN o ON k.i = o.i
 """
+SISO_SQL = f"{_SQL_SISO} SELECT c_custkey, s, CASE WHEN s = '' THEN '' WHEN bad = 0 THEN h END AS jis_hex FROM {corpus.CUSTOMERS} k LEFT JOIN o ON k.i = o.i"
+
+
+def encode_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts with characters of two code points: bytes, and the text from them."""
+    own = corpus.customers(spark, sf_dir).where(F.translate("s", TABLE.seconds, "") != F.col("s")).withColumn("jis", J.try_jnta_encode("s", ConversionMode.MEN1))
+    return own.select("c_custkey", "s", F.hex("jis").alias("jis_hex"), J.try_jnta_decode("jis").alias("back"))
+
+
+PAIRS_SQL = f"SELECT c_custkey, s, jis_hex, CASE WHEN jis_hex IS NOT NULL THEN s END AS back FROM ({_sql_encode(ConversionMode.MEN1)}) WHERE len(translate(s, {q(TABLE.seconds)}, '')) < len(s)"
 
 
 def encode_error_position(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,7 +117,7 @@ def encode_error_position(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ERROR_SQL = f"""
-WITH t AS (SELECT c_custkey, s, {_TOKENS} AS t, {_map(_codes(ConversionMode.JISX0208))} AS m FROM {corpus.CUSTOMERS}),
+WITH t AS (SELECT c_custkey, s, {_TOKENS} AS t, {_sql_map(_SQL_RULES[ConversionMode.JISX0208])} AS m FROM {corpus.CUSTOMERS}),
 b AS (SELECT *, list_position(list_transform(t, lambda x: m[x] IS NULL), true) AS p FROM t)
 SELECT c_custkey, s, 'not convertible to JISX0208' AS reason, (len(array_to_string(t[1:p - 1], '')))::BIGINT AS start_pos, (len(array_to_string(t[1:p - 1], '')) + 1)::BIGINT AS end_pos
 FROM b WHERE p > 0
@@ -97,13 +131,14 @@ def try_encode_unmapped(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy(*modes).agg(F.count("*").alias("n"))
 
 
-def _sql_can(mode: int) -> str:
-    return f"(len(list_filter(t, lambda x: {_map(_codes(mode))}[x] IS NULL)) = 0)::BIGINT"
+def _sql_can(m: str) -> str:
+    return f"(len(list_filter(t, lambda x: {m}[x] IS NULL)) = 0)::BIGINT"
 
 
+_MAPS = ", ".join(f"{_sql_map(_SQL_RULES[mode])} AS m{int(mode)}" for mode in _SQL_RULES)
 UNMAPPED_SQL = f"""
-SELECT {_sql_can(ConversionMode.MEN1)} AS men1, {_sql_can(ConversionMode.JISX0208)} AS jisx0208, {_sql_can(ConversionMode.JISX0208_TRANSLIT)} AS translit, count(*) AS n
-FROM (SELECT {_TOKENS} AS t FROM {corpus.CUSTOMERS}) GROUP BY ALL
+SELECT {_sql_can("m1")} AS men1, {_sql_can("m2")} AS jisx0208, {_sql_can("m3")} AS translit, count(*) AS n
+FROM (SELECT {_TOKENS} AS t, {_MAPS} FROM {corpus.CUSTOMERS}) GROUP BY ALL
 """
 
 
@@ -184,11 +219,9 @@ def _translit(**options):
     return query
 
 
-_SHRUNK = {t: TABLE.shrunk(TABLE.by_text[t]) for t in _used()}
-
-
 def _sql_translit(otherwise: str) -> str:
-    return f"SELECT c_custkey, s, coalesce(array_to_string(list_transform({_TOKENS}, lambda x: coalesce({_map(_SHRUNK)}[x], {otherwise})), ''), '') AS shrunk FROM {corpus.CUSTOMERS}"
+    shrunk = "CASE WHEN cls IN (3, 4, 11) AND tx_us <> '' THEN tx_us ELSE x END"
+    return f"SELECT c_custkey, s, coalesce(array_to_string(list_transform({_TOKENS}, lambda x: coalesce(m[x], {otherwise})), ''), '') AS shrunk FROM (SELECT *, {_sql_map(shrunk)} AS m FROM {corpus.CUSTOMERS})"
 
 
 def canonical_customer_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -223,13 +256,38 @@ def _candidates(combo: int, limit: int = 100):
     return query
 
 
+def _sql_forms(combo: int) -> str:
+    """(x, forms) of the tokens k by the rules: the MJ rows that have the
+    form (with a selector, the first one only); their schemes' targets, which
+    end where one is the character itself without selector; then the rows' own
+    forms without selector; each form once, where it comes first."""
+    return f"""
+  SELECT x, list(c ORDER BY place) AS forms FROM (
+    SELECT x, c, min(place) AS place FROM (
+      SELECT k.x, chr(t6.u) AS c, (0, k.o, t6.scheme, t6.n) AS place FROM k JOIN {_t6()} USING (mj)
+      WHERE ({int(combo)} >> t6.scheme) & 1 = 1 AND NOT EXISTS (SELECT 1 FROM (SELECT * FROM {_t6()}) e WHERE k.s = -1 AND e.mj = k.mj AND e.scheme = t6.scheme AND e.n <= t6.n AND e.u = k.u)
+      UNION ALL SELECT k.x, chr(t4.u), (1, k.o, 0, t4.n) FROM k JOIN {_t4()} USING (mj) WHERE t4.s = -1
+    ) GROUP BY x, c) GROUP BY x"""
+
+
+def _sql_rows(tokens: str) -> str:
+    """k(x, u, s, mj, o): tokens with their MJ rows."""
+    rows = f"SELECT x, p.u AS u, p.s AS s, mj, min(o) AS o FROM ({tokens}) p JOIN {_t4()} ON t4.u = p.u AND t4.s = p.s GROUP BY x, p.u, p.s, mj"
+    return f"SELECT x, u, s, mj, o FROM (SELECT *, row_number() OVER (PARTITION BY x ORDER BY o) AS k FROM ({rows})) WHERE s = -1 OR k = 1"
+
+
+#: A token's code point and selector.
+_SQL_PARTS = "SELECT x, unicode(x[1]) AS u, CASE WHEN len(x) = 1 THEN -1 WHEN unicode(x[2]) < 917504 THEN unicode(x[2]) - 65024 ELSE unicode(x[2]) - 917744 END AS s"
+_SQL_TOKENS = "regexp_extract_all(s, '(?s:.)[\\x{FE00}-\\x{FE0F}\\x{E0100}-\\x{E01EF}]?')"
+
+
 def _sql_candidates(combo: int, limit: int = 100) -> str:
     """By cross products of the tokens' forms, numbered with the first fastest."""
-    forms = {t: candidates.of_token(t, s, int(combo), seed_mj()) for text in corpus.TEXTS for t, s in candidates.tokens(text)}
-    known = "MAP {" + ", ".join(f"{q(k)}: [{', '.join(map(q, v))}]" for k, v in forms.items() if v != [k]) + "}"
+    tokens = f"{_SQL_PARTS} FROM (SELECT DISTINCT unnest({_SQL_TOKENS}) AS x FROM (VALUES {corpus.values()}) v(i, s))"
     return f"""
-WITH RECURSIVE t AS (
-  SELECT i, s, list_transform(regexp_extract_all(s, '(?s:.)[\\x{{FE00}}-\\x{{FE0F}}\\x{{E0100}}-\\x{{E01EF}}]?'), lambda x: coalesce({known}[x], [x])) AS f FROM (VALUES {corpus.values()}) v(i, s)
+WITH RECURSIVE k AS ({_sql_rows(tokens)}), forms AS ({_sql_forms(combo)}),
+m AS (SELECT map_from_entries(list((x, forms))) AS m FROM forms), t AS (
+  SELECT i, s, list_transform({_SQL_TOKENS}, lambda x: coalesce(m[x], [x])) AS f FROM (VALUES {corpus.values()}) v(i, s), m
 ), r AS (
   SELECT i, f, 0 AS n, '' AS candidate, 0::BIGINT AS ord, 1::BIGINT AS step FROM t
   UNION ALL
@@ -240,6 +298,23 @@ SELECT c_custkey, s, ord, candidate FROM {corpus.CUSTOMERS} c JOIN r ON c.i = r.
 """
 
 
+def mj_candidates_ivs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates of characters with variation selectors 0 to 31, and with none."""
+    own = spark.read.parquet(f"{sf_dir}/supplier.parquet").select("s_suppkey")
+    code = F.when(F.col("s_suppkey") % 33 < 32, J.selector_code_point((F.col("s_suppkey") % 33).cast("int")))
+    selector = F.coalesce(F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32"), F.lit(""))
+    text = F.concat(F.when(F.col("s_suppkey") % 2 == 0, F.lit("邉")).otherwise(F.lit("邊")), selector)
+    found = own.select("s_suppkey", text.alias("s")).withColumn("c", J.mj_shrink_candidates("s", int(UNIFICATION | FAMILY_REGISTER)))
+    return found.select("s_suppkey", "s", F.array_join("c", "|").alias("candidates"))
+
+
+IVS_SQL = f"""
+WITH t AS (SELECT s_suppkey, CASE WHEN s_suppkey % 2 = 0 THEN '邉' ELSE '邊' END || CASE WHEN s_suppkey % 33 < 16 THEN chr((65024 + s_suppkey % 33)::INTEGER) WHEN s_suppkey % 33 < 32 THEN chr((917744 + s_suppkey % 33)::INTEGER) ELSE '' END AS x FROM supplier),
+k AS ({_sql_rows(_SQL_PARTS + " FROM (SELECT DISTINCT x FROM t)")}), forms AS ({_sql_forms(UNIFICATION | FAMILY_REGISTER)})
+SELECT s_suppkey, x AS s, coalesce(array_to_string(forms, '|'), x) AS candidates FROM t LEFT JOIN forms USING (x)
+"""
+
+
 def candidate_count_by_nation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per nation: customers and all their candidates."""
     own = corpus.customers(spark, sf_dir).withColumn("k", F.size(J.mj_shrink_candidates("s", int(UNIFICATION | FAMILY_REGISTER))))
@@ -447,6 +522,134 @@ def xlsx_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 XLSX_SQL = "SELECT i::BIGINT AS row_no, c AS cells FROM (VALUES " + ", ".join(f"({i}, {q('|'.join('-' if c is None else c for c in r))})" for i, r in enumerate(SHEET, 1)) + ") v(i, c)"
 
+def jis_book(rows: list[dict[int, str]]) -> list[list[str | None]]:
+    """The JIS workbook's layout: two rows of headers, then rows by column."""
+    return [[x.get(i) for i in range(17)] for x in (ingest.JIS_HEAD_1, ingest.JIS_HEAD_2, *rows)]
+
+
+JIS_ROWS: list[dict[int, str]] = [
+    {0: "1-4-84", 1: "U+3094", 3: "追加非漢字", 4: "1-5-84", 5: "U+30F4"},
+    {0: "1-8-33", 1: "U+3251", 3: "追加非漢字", 7: "1-3-18", 8: "1-3-17", 11: "U+FF12", 12: "U+FF11", 16: "類似字形U+2460は本文字に変換する。"},
+    {0: "1-4-87", 1: "U+304B U+309A", 3: "追加非漢字"},
+    {0: "2-1-1", 1: "U+20089", 3: "JIS4水", 7: "1-16-1", 9: "1-16-2", 11: "U+4E9C"},
+    {},
+    {0: "1-3-19", 1: "U+FF13", 3: "非漢字"},
+]
+
+
+def ingest_jis_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The JIS table's rows of a workbook, and once more by their secondary
+    code points, with targets in four places."""
+    rows = ingest.jis_rows(ingest.sheet(spark, _write(spark, "jis.xlsx", workbook(jis_book(JIS_ROWS)))))
+    rows = relational.with_secondary(rows)
+    text = lambda a: F.array_join(F.transform(a, lambda x: x.cast("string")), ",")
+    four = relational.padded("tx_jis", 4, -1)
+    return rows.select(F.col("jis").cast("long").alias("jis"), text("us").alias("us"), F.col("class").cast("long").alias("class"), text("tx_us").alias("tx_us"), text(four).alias("tx_jis"))
+
+
+def _sql_point(x: str) -> str:
+    return f"('0x' || {x}[3:])::INTEGER"
+
+
+def _sql_number(x: str) -> str:
+    return f"((split_part({x}, '-', 1)::INTEGER - 1) * 8836 + (split_part({x}, '-', 2)::INTEGER - 1) * 94 + split_part({x}, '-', 3)::INTEGER - 1)"
+
+
+def _sql_listed(cells: list[str]) -> str:
+    """The cells before the first empty one."""
+    return f"(SELECT coalesce(list(c ORDER BY n), []) FROM (SELECT c, n, sum(CASE WHEN c = '' THEN 1 ELSE 0 END) OVER (ORDER BY n) AS ended FROM (SELECT unnest([{', '.join(cells)}]) AS c, unnest(range({len(cells)})) AS n)) WHERE ended = 0)"
+
+
+INGEST_JIS_SQL = f"""
+WITH c AS (SELECT * FROM (VALUES {", ".join("(" + ", ".join([str(n), *(q(r.get(i, "")) for i in range(17))]) + ")" for n, r in enumerate(JIS_ROWS))}) c(n, {", ".join(f"c{i}" for i in range(17))})),
+k AS (SELECT * FROM c WHERE n < coalesce((SELECT min(n) FROM c WHERE c0 = ''), 1000)),
+p AS (
+  SELECT {_sql_number("c0")}::BIGINT AS jis, list_transform(string_split(c1, ' '), lambda x: {_sql_point("x")}) AS us, c16,
+         CASE c3 {" ".join(f"WHEN {q(k)} THEN {int(v)}" for k, v in ingest.CLASS_LABELS.items())} END::BIGINT AS class,
+         CASE WHEN c4 <> '' THEN [c4] ELSE {_sql_listed(["c7", "c8", "c9", "c10"])} END AS t, CASE WHEN c4 <> '' THEN [c5] WHEN c7 <> '' THEN {_sql_listed(["c11", "c12", "c13", "c14"])} ELSE [] END AS u
+  FROM k
+), b AS (
+  SELECT jis, us, class, u, t FROM p
+  UNION ALL SELECT jis, [('0x' || regexp_extract(c16, '^類似字形U\+([0-9A-F]+)は', 1))::INTEGER], class, u, t FROM p WHERE c16 <> ''
+)
+SELECT jis, array_to_string(us, ',') AS us, class, array_to_string(list_transform(u, lambda x: {_sql_point("x")}), ',') AS tx_us,
+       array_to_string(list_concat(list_transform(t, lambda x: {_sql_number("x")}), list_transform(range(4 - len(t)), lambda x: -1)), ',') AS tx_jis
+FROM b
+"""
+
+#: Rows of a workbook, and what is wrong with them.
+BAD_JIS_ROWS: list[tuple[dict[int, str], str | None]] = [
+    ({0: "1-3-17", 1: "U+FF11", 3: "漢字"}, "the class is unknown"),
+    ({0: "1-95-1", 1: "U+FF11", 3: "非漢字"}, "the men-ku-ten number cannot be read"),
+    ({0: "1-3-17", 1: "FF11", 3: "非漢字"}, "the code points cannot be read, or are more than two"),
+    ({0: "1-3-17", 1: "U+1 U+2 U+3", 3: "非漢字"}, "the code points cannot be read, or are more than two"),
+    ({0: "1-3-17", 1: "U+FF11", 3: "非漢字", 4: "1-3-18"}, "a target has a number but no code point"),
+    ({0: "1-3-17", 1: "U+FF11", 3: "非漢字", 4: "1-3", 5: "U+FF12"}, "the target's number cannot be read"),
+    ({0: "1-3-17", 1: "U+FF11", 3: "非漢字", 4: "1-3-18", 5: "U+110000"}, "the target's code point cannot be read"),
+    ({0: "1-3-17", 1: "U+FF11", 3: "非漢字", 7: "1-3-18"}, "targets have numbers but no code points"),
+    ({0: "1-3-17", 1: "U+FF11", 3: "非漢字", 7: "1-3-18", 8: "1-3-19", 11: "U+FF12"}, "targets have more numbers than code points, or fewer"),
+    ({0: "1-3-17", 1: "U+FF11", 3: "非漢字", 16: "類似字形U2460は本文字に変換する。"}, "the memo's code point cannot be read"),
+    ({0: "1-3-17", 1: "U+FF11", 3: "非漢字", 16: "U2460"}, None),
+]
+
+
+def ingest_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is wrong in a workbook with bad rows and a bad header."""
+    book = jis_book([r for r, _ in BAD_JIS_ROWS])
+    book[1][3] = "区分"
+    found = ingest.jis_problems(ingest.sheet(spark, _write(spark, "bad.xlsx", workbook(book))))
+    return found.select(F.col("row_no").cast("long").alias("row_no"), "problem")
+
+
+INGEST_PROBLEMS_SQL = "SELECT n::BIGINT AS row_no, p AS problem FROM (VALUES (2, 'column 4 is not headed JIS区分'), " + ", ".join(f"({n}, {q(p)})" for n, (_, p) in enumerate(BAD_JIS_ROWS, 3) if p) + ") v(n, p)"
+
+MJ_ROWS: list[list[str | None]] = [
+    [None, None, "MJ000002", "U+9089", "U+9089", "9089_E010F", ""],
+    [None, None, "MJ000001", "U+908A", None, "908A_E0108;908A_E0109", "908A_FE00"],
+    [None, None, None, "U+1"],
+    [None, None, "MJ000003", None],
+]
+
+
+def ingest_mj_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The MJ table's variants of a workbook, one a row, with the size of the longest list."""
+    rows = ingest.mj_rows(ingest.sheet(spark, _write(spark, "mj.xlsx", workbook([list(ingest.MJ_HEAD), *MJ_ROWS]))))
+    longest = relational.longest(rows, "v")  # one row
+    found = rows.select("mj", F.posexplode("v").alias("place", "x")).join(F.broadcast(longest))
+    return found.select(F.col("mj").cast("long").alias("mj"), F.col("place").cast("long").alias("place"), F.col("x.u").cast("long").alias("u"), F.coalesce(F.col("x.s"), F.lit(-1)).cast("long").alias("s"), F.col("longest").cast("long").alias("longest"))
+
+
+INGEST_MJ_SQL = f"""
+WITH c AS (SELECT * FROM (VALUES {", ".join("(" + ", ".join(q((r + [None] * 7)[i] or "") for i in range(2, 7)) + ")" for r in MJ_ROWS)}) c(m, a, b, i, s) WHERE m <> '' AND a <> ''),
+v AS (
+  SELECT m, a[3:] AS u, '' AS s FROM c UNION SELECT m, b[3:], '' FROM c WHERE b <> ''
+  UNION SELECT m, split_part(x, '_', 1), split_part(x, '_', 2) FROM (SELECT m, unnest(string_split(i || ';' || s, ';')) AS x FROM c) WHERE x <> ''
+), n AS (SELECT m[3:]::BIGINT AS mj, ('0x' || u)::BIGINT AS u, CASE WHEN s = '' THEN -1 WHEN s < 'F' THEN ('0x' || s)::BIGINT - 917744 ELSE ('0x' || s)::BIGINT - 65024 END AS s FROM v)
+SELECT mj, row_number() OVER (PARTITION BY mj ORDER BY u, s) - 1 AS place, u, s, (SELECT max(k) FROM (SELECT count(*) AS k FROM n GROUP BY mj)) AS longest FROM n
+"""
+
+
+def refdata_mj_islands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ranges of the MJ table's code points, joined over gaps below 64."""
+    found = relational.islands(relational.by_code_point(mj_map(spark)), "u", 64)
+    return found.select(F.col("first").cast("long").alias("first_u"), F.col("last").cast("long").alias("last_u"), F.col("n").alias("n"))
+
+
+MJ_ISLANDS_SQL = f"""
+SELECT min(u) AS first_u, max(u) AS last_u, count(*) AS n FROM (
+  SELECT u, sum(CASE WHEN u - was < 64 THEN 0 ELSE 1 END) OVER (ORDER BY u) AS k FROM (SELECT u, lag(u) OVER (ORDER BY u) AS was FROM (SELECT DISTINCT u::BIGINT AS u FROM {_t4()}))) GROUP BY k
+"""
+
+
+def refdata_shrinkable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All MJ codes up to a number, and whether some scheme shrinks them."""
+    rows = [(mj, k, n, u) for mj, schemes in seed_mj().shrink.items() for k, us in schemes.items() for n, u in enumerate(us)]
+    some = relational.shrinkable(spark.createDataFrame(rows, "mj int, scheme int, ord int, u int")).withColumn("valid", F.lit(1))
+    return relational.densify(some, "mj", {"valid": 0}, 30_000).select(F.col("mj").cast("long").alias("mj"), F.col("valid").cast("long").alias("valid"))
+
+
+SHRINKABLE_SQL = f"SELECT i AS mj, (i IN (SELECT mj FROM {_t6()}))::BIGINT AS valid FROM range(30000) r(i)"
+
 SHRINK_JSON = [("MJ028902", {0: ["U+9AD8"]}), ("MJ900002", {3: ["U+8FBA", "U+908A"]}), ("MJ900001", {})]
 
 
@@ -477,7 +680,20 @@ def stream_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy(F.col("stream_id").cast("long").alias("stream_id")).agg(F.array_join(hexes, "").alias("jis_hex"), F.count("reason").alias("errors"))
 
 
+_STREAMED = [t for t in corpus.TEXTS if t and all(u in TABLE.by_text for u in t if u not in TABLE.seconds)]
+STREAM_SQL = f"""
+{_SQL_SISO.replace(corpus.values(), corpus.values(_STREAMED))}
+SELECT i::BIGINT AS stream_id, coalesce(h, '') AS jis_hex, bad AS errors FROM o
+"""
+
 QUERIES = {
+    "encode_pairs": encode_pairs,
+    "ingest_jis_rows": ingest_jis_rows,
+    "ingest_mj_rows": ingest_mj_rows,
+    "ingest_problems": ingest_problems,
+    "refdata_mj_islands": refdata_mj_islands,
+    "refdata_shrinkable": refdata_shrinkable,
+    "mj_candidates_ivs": mj_candidates_ivs,
     "encode_men1": _encode(ConversionMode.MEN1),
     "encode_jisx0208": _encode(ConversionMode.JISX0208),
     "encode_jisx0208_translit": _encode(ConversionMode.JISX0208_TRANSLIT),
@@ -511,6 +727,14 @@ QUERIES = {
 }
 
 ORACLES = {
+    "encode_pairs": PAIRS_SQL,
+    "ingest_jis_rows": INGEST_JIS_SQL,
+    "ingest_mj_rows": INGEST_MJ_SQL,
+    "ingest_problems": INGEST_PROBLEMS_SQL,
+    "refdata_mj_islands": MJ_ISLANDS_SQL,
+    "refdata_shrinkable": SHRINKABLE_SQL,
+    "mj_candidates_ivs": IVS_SQL,
+    "stream_encode": STREAM_SQL,
     "encode_men1": _sql_encode(ConversionMode.MEN1),
     "encode_jisx0208": _sql_encode(ConversionMode.JISX0208),
     "encode_jisx0208_translit": _sql_encode(ConversionMode.JISX0208_TRANSLIT),

@@ -30,9 +30,9 @@ def quoted(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
-def values() -> str:
+def values(texts: list[str] = TEXTS) -> str:
     """The texts as DuckDB's VALUES."""
-    return ", ".join(f"({i}, {quoted(t)})" for i, t in enumerate(TEXTS))
+    return ", ".join(f"({i}, {quoted(t)})" for i, t in enumerate(texts))
 
 
 CUSTOMERS = f"(SELECT c_custkey, c_nationkey, i, s FROM customer JOIN (VALUES {values()}) v(i, s) ON c_custkey % {len(TEXTS)} = i)"

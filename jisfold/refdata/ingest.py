@@ -8,12 +8,12 @@ rows) and are written as Parquet by ``build``.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from jisfold.constants import JisClass
-from jisfold.functions import parse_code_point, parse_code_points, parse_hex_list, parse_men_ku_ten, parse_mj, selector_number
+from jisfold.functions import parse_code_point, parse_code_points, parse_hex_list, parse_men_ku_ten, parse_mj, selector_number, take_until_empty
 from jisfold.operators import relational
 from jisfold.refdata.tables import JisRow, JisTable, MjTable
 from jisfold.sources.xlsx import XlsxDataSource
@@ -30,6 +30,11 @@ CLASS_LABELS = {
 # The keys of the MJ shrink file's schemes, in the order of their numbers.
 SCHEME_LABELS = ("JIS包摂規準・UCS統合規則", "読み・字形による類推", "法務省告示582号別表第四", "法務省戸籍法関連通達・通知")
 MJ_NAME = "MJ文字図形名"
+# Headers of the JIS workbook by column, its memo's form, and the MJ workbook's headers.
+JIS_HEAD_1 = {0: "変換元の文字（JISX0213：1-4水）", 4: "コード変換（1対1変換）", 7: "文字列変換（追加非漢字や、1対ｎの文字変換を行う）", 16: "備考"}
+JIS_HEAD_2 = dict(enumerate("面区点コード Unicode 字形 JIS区分 面区点コード Unicode 字形 面区点コード① 面区点コード② 面区点コード③ 面区点コード④ Unicode① Unicode② Unicode③ Unicode④ 字形".split()))
+MEMO = "^類似字形([uU][+]?[0-9a-fA-F]+)は本文字に変換する。"
+MJ_HEAD = ("図形", "font", MJ_NAME, "対応するUCS", "実装したUCS", "実装したMoji_JohoコレクションIVS", "実装したSVS")
 
 
 class InvalidFormatError(ValueError):
@@ -45,25 +50,102 @@ def cell(i: int):
     return F.coalesce(F.get("cells", F.lit(i)), F.lit(""))
 
 
+def _text_cells(first: int, last: int) -> Column:
+    """An array of the cells, up to the first empty one."""
+    return take_until_empty(F.array(*[cell(i) for i in range(first, last)]))
+
+
+def _body(rows: DataFrame) -> DataFrame:
+    """The JIS workbook's rows below two rows of headers, up to the first without a number."""
+    end = rows.where((F.col("row_no") > 2) & (cell(0) == "")).agg(F.min("row_no").alias("end"))  # one row
+    return rows.join(F.broadcast(end)).where((F.col("row_no") > 2) & (F.col("end").isNull() | (F.col("row_no") < F.col("end"))))
+
+
+def _memo() -> Column:
+    return F.regexp_extract(cell(16), MEMO, 1)
+
+
 def jis_rows(rows: DataFrame, labels: dict[str, int] = CLASS_LABELS) -> DataFrame:
-    """T1 from the JIS workbook's rows: below two rows of headers, up to the
-    first row without a number.  A single target is preferred to several."""
-    end = rows.where((F.col("row_no") > 2) & (cell(0) == "")).agg(F.min("row_no").alias("end"))
-    rows = rows.join(F.broadcast(end)).where((F.col("row_no") > 2) & (F.col("end").isNull() | (F.col("row_no") < F.col("end"))))
-    several = lambda cells, parse: F.filter(F.transform(F.array(*map(cell, cells)), parse), lambda x: x.isNotNull())
+    """T1 from the JIS workbook's rows.  A single target is preferred to several.
+
+    Rows that jis_problems names come out with nulls; ``build`` refuses them.
+    """
     names = F.create_map(*[F.lit(x) for k, v in labels.items() for x in (k, int(v))])
-    memo = F.regexp_extract(cell(16), r"(U\+[0-9A-Fa-f]+(?:\s+U\+[0-9A-Fa-f]+)*)", 1)
-    found = rows.select(
+    found = _body(rows).select(
         parse_men_ku_ten(cell(0)).alias("jis"),
-        F.filter(parse_code_points(cell(1)), lambda x: x.isNotNull()).alias("us"),
-        F.filter(parse_code_points(memo), lambda x: x.isNotNull()).alias("sus"),
-        F.coalesce(F.element_at(names, cell(3)), F.lit(0)).alias("class"),
-        F.when(cell(4) != "", several([4], parse_men_ku_ten)).otherwise(several(range(7, 11), parse_men_ku_ten)).alias("tx_jis"),
-        F.when(cell(5) != "", several([5], parse_code_point)).otherwise(several(range(11, 15), parse_code_point)).alias("tx_us"),
+        parse_code_points(cell(1)).alias("us"),
+        F.when(_memo() != "", F.array(parse_code_point(_memo()))).otherwise(F.array().cast("array<int>")).alias("sus"),
+        F.try_element_at(names, cell(3)).alias("class"),
+        F.transform(F.when(cell(4) != "", F.array(cell(4))).otherwise(_text_cells(7, 11)), parse_men_ku_ten).alias("tx_jis"),
+        F.transform(F.when(cell(4) != "", F.array(cell(5))).otherwise(F.when(cell(7) != "", _text_cells(11, 15)).otherwise(F.array().cast("array<string>"))), parse_code_point).alias("tx_us"),
     )
     return found.where(F.col("jis").isNotNull())
 
 
+def _first_problem(rows: DataFrame, tests: list[tuple[Column, str]]) -> DataFrame:
+    """(row_no, problem) of the rows that fail a test, by the first one failed."""
+    found = F.coalesce(*[F.when(bad, F.lit(text)) for bad, text in tests])
+    return rows.select("row_no", found.alias("problem")).where("problem is not null")
+
+
+def _header_problems(rows: DataFrame, heads: list[dict[int, str]]) -> DataFrame:
+    """Rows of headers that are missing or unlike what is expected."""
+    expected = rows.sparkSession.range(1, len(heads) + 1).select(F.col("id").cast("int").alias("row_no"))
+    missing = expected.join(rows.select(F.col("row_no").cast("int")).where(F.col("row_no") <= len(heads)), "row_no", "left_anti").select("row_no", F.lit("the row is missing").alias("problem"))
+    tests = [((F.col("row_no") == n) & (cell(i) != text), f"column {i + 1} is not headed {text}") for n, head in enumerate(heads, 1) for i, text in head.items()]
+    return missing.unionByName(_first_problem(rows.where(F.col("row_no") <= len(heads)), tests).select(F.col("row_no").cast("int").alias("row_no"), "problem"))
+
+
+def _some_null(array: Column) -> Column:
+    return F.exists(array, lambda x: x.isNull())
+
+
+def jis_problems(rows: DataFrame, labels: dict[str, int] = CLASS_LABELS) -> DataFrame:
+    """(row_no, problem) of what in the JIS workbook is not as it must be."""
+    us, one, several = parse_code_points(cell(1)), cell(4) != "", (cell(4) == "") & (cell(7) != "")
+    codes, points = _text_cells(7, 11), _text_cells(11, 15)
+    tests = [
+        (~cell(3).isin(*labels), "the class is unknown"),
+        (parse_men_ku_ten(cell(0)).isNull(), "the men-ku-ten number cannot be read"),
+        (_some_null(us) | (F.size(us) > 2), "the code points cannot be read, or are more than two"),
+        (one & (cell(5) == ""), "a target has a number but no code point"),
+        (one & parse_men_ku_ten(cell(4)).isNull(), "the target's number cannot be read"),
+        (one & parse_code_point(cell(5)).isNull(), "the target's code point cannot be read"),
+        (several & (cell(11) == ""), "targets have numbers but no code points"),
+        (several & _some_null(F.transform(codes, parse_men_ku_ten)), "a target's number cannot be read"),
+        (several & _some_null(F.transform(points, parse_code_point)), "a target's code point cannot be read"),
+        (several & (F.size(codes) != F.size(points)), "targets have more numbers than code points, or fewer"),
+        ((_memo() != "") & parse_code_point(_memo()).isNull(), "the memo's code point cannot be read"),
+    ]
+    return _header_problems(rows, [JIS_HEAD_1, JIS_HEAD_2]).unionByName(_first_problem(_body(rows), tests).select(F.col("row_no").cast("int").alias("row_no"), "problem"))
+
+
+def mj_problems(rows: DataFrame) -> DataFrame:
+    """(row_no, problem) of what in the MJ workbook is not as it must be."""
+
+    def bad(c: Column) -> Column:
+        parts = F.transform(F.split(c, ";"), lambda x: parse_hex_list(F.trim(x)))
+        return (c != "") & F.exists(parts, lambda x: (F.size(x) != 2) | x[0].isNull() | selector_number(F.get(x, F.lit(1))).isNull())
+
+    named, used = cell(2) != "", (cell(2) != "") & (cell(3) != "")
+    tests = [
+        (named & parse_mj(cell(2)).isNull(), "the MJ code cannot be read"),
+        (used & parse_code_point(cell(3)).isNull(), "the code point cannot be read"),
+        (used & (cell(4) != "") & parse_code_point(cell(4)).isNull(), "the implemented code point cannot be read"),
+        (used & bad(cell(5)), "an ideographic variation sequence cannot be read"),
+        (used & bad(cell(6)), "a standardised variation sequence cannot be read"),
+    ]
+    return _header_problems(rows, [dict(enumerate(MJ_HEAD))]).unionByName(_first_problem(rows.where(F.col("row_no") > 1), tests).select(F.col("row_no").cast("int").alias("row_no"), "problem"))
+
+
+def refuse(problems: DataFrame, name: str) -> None:
+    """Raises InvalidFormatError with the first ten problems, if there are any."""
+    found = problems.orderBy("row_no").take(11)
+    if found:
+        listed = "; ".join(f"row {r.row_no}: {r.problem}" for r in found[:10])
+        raise InvalidFormatError(f"{name}: {listed}{'; and more' if len(found) > 10 else ''}")
+
+
 def mj_rows(rows: DataFrame) -> DataFrame:
     """T4 from the MJ workbook's rows: (mj, ord, v) with v the sorted variants."""
 
@@ -113,8 +195,12 @@ def mj_table(mj: DataFrame, shrink: DataFrame) -> MjTable:
 
 
 def build(spark: SparkSession, jis_xlsx: str, mj_xlsx: str, mj_shrink_json: str, dest: str) -> None:
-    """Writes T1 to T6 as Parquet tables under dest."""
-    t1, t4 = jis_rows(sheet(spark, jis_xlsx)), mj_rows(sheet(spark, mj_xlsx))
+    """Writes T1 to T6 as Parquet tables under dest.  A workbook that is not
+    laid out as expected is an InvalidFormatError."""
+    jis, mj = sheet(spark, jis_xlsx), sheet(spark, mj_xlsx)
+    refuse(jis_problems(jis), jis_xlsx)
+    refuse(mj_problems(mj), mj_xlsx)
+    t1, t4 = jis_rows(jis), mj_rows(mj)
     jis_table(t1)  # fails if a code point stands for two numbers
     out = {
         "jis_map": t1,

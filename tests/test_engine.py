@@ -46,14 +46,14 @@ def test_xlsx_kinds_of_cells(tmp_path, spark):
 
 
 def test_ingest_builds_all_tables(tmp_path, spark):
-    head = [["h"] * 17, ["h"] * 17]
+    head = catalog.jis_book([])
 
     def row(**cells):
         return [cells.get(f"c{i}") for i in range(17)]
 
     jis = [
         row(c0="1-4-84", c1="U+3094", c3="追加非漢字", c4="1-5-84", c5="U+30F4"),
-        row(c0="1-8-33", c1="U+3251", c3="追加非漢字", c7="1-3-18", c8="1-3-17", c11="U+FF12", c12="U+FF11", c16="U+2460"),
+        row(c0="1-8-33", c1="U+3251", c3="追加非漢字", c7="1-3-18", c8="1-3-17", c11="U+FF12", c12="U+FF11", c16="類似字形U+2460は本文字に変換する。"),
         row(c0="1-4-87", c1="U+304B U+309A", c3="追加非漢字"),
         row(c0="1-5-84", c1="U+30F4", c3="非漢字"),
         row(c0="1-3-17", c1="U+FF11", c3="非漢字"),
@@ -61,12 +61,14 @@ def test_ingest_builds_all_tables(tmp_path, spark):
         row(),
         row(c0="1-3-19", c1="U+FF13", c3="非漢字"),
     ]
-    mj = [["h"] * 7, [None, None, "MJ000002", "U+9089", "U+9089", "9089_E010F", ""], [None, None, "MJ000001", "U+908A", None, "908A_E0108;908A_E0109", "908A_FE00"], [None, None, None, "U+1"]]
+    mj = [list(ingest.MJ_HEAD), [None, None, "MJ000002", "U+9089", "U+9089", "9089_E010F", ""], [None, None, "MJ000001", "U+908A", None, "908A_E0108;908A_E0109", "908A_FE00"], [None, None, None, "U+1"]]
     (tmp_path / "j.xlsx").write_bytes(catalog.workbook(head + jis))
     (tmp_path / "m.xlsx").write_bytes(catalog.workbook(mj))
     content = [{ingest.MJ_NAME: "MJ000002", ingest.SCHEME_LABELS[3]: [{"UCS": "U+8FBA"}, {"UCS": "U+908A"}]}]
     (tmp_path / "s.json").write_text(json.dumps({"content": content}, ensure_ascii=False))
-    ingest.build(spark, *(f"file://{tmp_path / n}" for n in ("j.xlsx", "m.xlsx", "s.json")), f"file://{tmp_path}/out")
+    from jisfold.refdata.__main__ import main
+
+    main([*(f"file://{tmp_path / n}" for n in ("j.xlsx", "m.xlsx", "s.json")), f"file://{tmp_path}/out"])
     table, mjs = ingest.load(spark, f"file://{tmp_path}/out")
     assert len(table.rows) == 6
     assert machine.encode("jis", "ゔ㉑", 3, table).hex() == "257423322331"
@@ -77,6 +79,21 @@ def test_ingest_builds_all_tables(tmp_path, spark):
     assert got == ["辺", "邊", "邉"]
 
 
+def test_ingest_refuses_other_layouts(tmp_path, spark):
+    def refused(name, rows, problems):
+        (tmp_path / name).write_bytes(catalog.workbook(rows))
+        with pytest.raises(ingest.InvalidFormatError) as e:
+            ingest.refuse(problems(ingest.sheet(spark, f"file://{tmp_path / name}")), name)
+        return str(e.value)
+
+    assert "row 2: the row is missing" in refused("short.xlsx", catalog.jis_book([])[:1], ingest.jis_problems)
+    assert refused("bad.xlsx", catalog.jis_book([r for r, _ in catalog.BAD_JIS_ROWS]), ingest.jis_problems).count("row ") == 10
+    found = refused("mj.xlsx", [["h"] * 7, [None, None, "M1", "U+1"], [None, None, "MJ000001", "1"], [None, None, "MJ000001", "U+1", None, "1_1"], [None, None, "MJ000001", "U+1", None, "", "1"]], ingest.mj_problems)
+    assert [found.count(f"row {n}:") for n in range(1, 6)] == [1] * 5
+    with pytest.raises(ingest.InvalidFormatError):
+        ingest.build(spark, f"file://{tmp_path}/bad.xlsx", f"file://{tmp_path}/mj.xlsx", "none.json", f"file://{tmp_path}/out")
+
+
 def test_duplicate_code_points_are_an_error():
     from jisfold.refdata.tables import JisRow, JisTable
 
