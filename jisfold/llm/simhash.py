@@ -9,9 +9,10 @@ a BK-tree: children are keyed by their integer Hamming distance to the parent,
 and a search follows only the edges within the radius of its own distance.
 
 Shards instead of one tree that all fingerprints search: that tree would grow
-with the data (so it could not be broadcast), and for random 64-bit values a
-search would visit most of it.  A shard's tree is bounded instead: a shard
-above ``SHARD`` fingerprints is split, and every two of its parts meet once.
+with the data, so it could not be broadcast.  (A search with radius 4 visits
+17 % of the nodes over 1,000 random values, 7 % over 10,000 and 2.6 % over
+100,000, which is far more than a shard has.)  Shards go to tasks by shuffle,
+and a shard's tree is bounded: a shard above ``SHARD`` fingerprints is split, and every two of its parts meet once.
 Only distinct fingerprints are sharded, and a shard returns one link for each
 member of a local component, never all pairs.
 
@@ -48,7 +49,8 @@ from jisfold.llm.components import components
 SEED = 42
 #: Fingerprints of one part of a shard; a task holds two parts at most.
 SHARD = 4096
-#: Below so many fingerprints a BK-tree's node keeps its subtree as a list.
+#: Up to so many sketches of several words a BK-tree's node keeps its subtree as
+#: a list: their radius is so wide that all edges would be followed.
 LEAF = 24
 #: Bytes of a sketch's band.
 BAND = 2
@@ -173,8 +175,9 @@ class BKTree:
     its subtree is small, an array of indexes.
     """
 
-    def __init__(self, values: np.ndarray):
-        self.values = values
+    def __init__(self, values: np.ndarray, leaf: int | None = None):
+        self.values, self.leaf = values, leaf or (1 if values.ndim == 1 else LEAF)
+        self.visits = 0  # of nodes, by all queries
         self.root = self._grown(np.arange(len(values)))
 
     def _far(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -188,7 +191,7 @@ class BKTree:
         todo = [(top, 0, members)]
         while todo:
             parent, key, own = todo.pop()
-            if len(own) <= LEAF:
+            if len(own) <= self.leaf:
                 parent[key] = own
                 continue
             head, rest = own[0], own[1:]
@@ -206,6 +209,7 @@ class BKTree:
         todo = [(self.root, np.arange(len(queries)))]
         while todo:
             node, asked = todo.pop()
+            self.visits += len(asked)
             if isinstance(node, np.ndarray):
                 near = self._far(queries[asked][:, None], self.values[node][None, :]) <= radius
                 q, v = np.nonzero(near)

@@ -119,6 +119,15 @@ def test_tree_search():
         assert found == expected
 
 
+def test_tree_follows_few_edges():
+    rng = np.random.default_rng(4)
+    values = np.unique(rng.integers(0, 1 << 63, 4000, dtype=np.uint64) * np.uint64(2))
+    tree = simhash.BKTree(values)
+    found = {(a, b) for q, v in tree.search(values[:300], 4) for a, b in zip(q.tolist(), v.tolist(), strict=True)}
+    assert {(i, i) for i in range(300)} <= found
+    assert tree.visits < 0.25 * 300 * len(values)
+
+
 def test_near_duplicates_of_odd_documents(spark):
     rows = simhash.near_duplicates(odd_documents(spark), 4, 4).collect()
     assert len(rows) == odd_documents(spark).count()
