@@ -37,7 +37,7 @@ _SPACE = r"\t-\r \x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
 PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_SPACE}\p{{L}}\p{{N}}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+"
 
 #: Pairs of tokens whose compatibility a Python worker remembers (about 100 bytes each).
-PAIRS = 300_000
+PAIRS = 150_000
 
 
 def _byte_letters() -> dict[str, int]:

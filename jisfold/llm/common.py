@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 #: Words are runs of anything but space and the five ASCII control spaces.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Bytes of texts that a Python worker turns into objects at a time.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
@@ -54,6 +54,14 @@ def stash(df: DataFrame, tag: str, compression: str = "snappy") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets go of the shuffle files of jobs that have ended.  Spark removes them
+    when the driver happens to collect what refers to them, which may be long
+    after; until then they take executors' disks."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def discard(*frames: DataFrame) -> None:
     """Deletes tables made by stash() that nothing reads any more."""
     for df in frames:
@@ -64,17 +72,14 @@ def discard(*frames: DataFrame) -> None:
             folder.getFileSystem(conf).delete(folder, True)
 
 
-def map_batches(df: DataFrame, run: Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType) -> DataFrame:
-    """df.mapInArrow, with batches of SLICE_BYTES at most (or of one longer row).
+def map_batches(df: DataFrame, run: Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType, limit: int = SLICE_BYTES) -> DataFrame:
+    """df.mapInArrow, with batches of about ``limit`` bytes (or of one longer row).
 
     Spark's own limit, 64 MB, takes several times that of an executor's memory
-    outside the heap for each task.  The session's setting is lowered, unless
-    it is lower still.
+    outside the heap for each task.  The setting is the session's: an operator
+    that needs another limit than the rest runs its job at once.
     """
-    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
-    now = str(conf.get(name, str(64 << 20))).rstrip("bB")
-    if not now.isdigit() or not 0 < int(now) <= SLICE_BYTES:
-        conf.set(name, str(SLICE_BYTES))
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(limit))
     return df.mapInArrow(_returning(run), schema)
 
 

@@ -55,6 +55,8 @@ HEAD = 1 << 16
 #: Hashed rows of weights at each level (row numbers are 16 bits).
 ROWS = 1 << 16
 FEATURES = 4
+#: Bytes of the texts of a chunk.
+CHUNK_BYTES = 8 << 20
 STEP = 16_384
 #: Sums of weights count as so much at most, either way.
 LIMIT = 60
@@ -98,13 +100,13 @@ def pack(docs: DataFrame, held_out: Column, doc_id: str = "doc_id", text: str =
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, made = TaskContext.get().partitionId(), 0
         for batch in batches:
-            for some in common.slices(batch):
+            for some in common.slices(batch, CHUNK_BYTES):
                 yield packed(some, part << 32 | made)
                 made += 1
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), held_out.alias("held_out"), F.col(text).alias("text"))
     path = common.new_path(docs.sparkSession, "lm-chunks")
-    common.map_batches(rows, run, CHUNK).write.option("compression", "zstd").parquet(path)
+    common.map_batches(rows, run, CHUNK, CHUNK_BYTES).write.option("compression", "zstd").parquet(path)
     return docs.sparkSession.read.schema(CHUNK).parquet(path)
 
 

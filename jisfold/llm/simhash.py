@@ -42,6 +42,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from jisfold.llm import common
 from jisfold.llm.components import components
@@ -422,15 +423,16 @@ def exact_links(members: DataFrame, shingle: int, similarity: float, text: str =
     """Links (a, b) between nodes of one component of candidates, decided by
     the exact Jaccard similarity of their sets.
 
-    members: component, node and a text of it, a row for each node.  A
+    members: component, node and a text of it, a row for each node.  Texts are
+    sent, which are shorter than their sets, and become sets where they meet.  A
     component above ``SHARD`` nodes is split, and its parts meet.
     """
     large = members.groupBy("component").count().where(F.col("count") > SHARD).select("component", F.ceil(F.col("count") / SHARD).cast("int").alias("parts"))
     rows = members.join(F.broadcast(large), "component", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
-    hashed = common.append_columns(rows, T.StructType([T.StructField("set", T.BinaryType())]), lambda: lambda batch: [[shingle_hashes(x, shingle).tobytes() for x in common.raw_texts(batch, text)]])
-    part = hashed.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.expr("sequence(0, parts - 1)")))
-    part = part.select("component", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "node", "set")
+    part = rows.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.expr("sequence(0, parts - 1)")))
+    part = part.select("component", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "node", F.col(text).alias("text"))
     shard = ["component", "low", "high"]
+    node_type, arrow_type = members.schema["node"].dataType, to_arrow_type(members.schema["node"].dataType)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, nodes, sets, a, b = None, [], [], [], []
@@ -444,25 +446,26 @@ def exact_links(members: DataFrame, shingle: int, similarity: float, text: str =
             sets.clear()
 
         def out() -> pa.RecordBatch:
-            found = pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
+            found = pa.RecordBatch.from_arrays([pa.array(a, arrow_type), pa.array(b, arrow_type)], names=["a", "b"])
             a.clear()
             b.clear()
             return found
 
         for batch in batches:
-            for *own, node, data in zip(*(batch.column(n).to_pylist() for n in (*shard, "node", "set")), strict=True):
+            for *own, node, data in zip(*(batch.column(n).to_pylist() for n in (*shard, "node")), common.raw_texts(batch, "text"), strict=True):
                 if own != key:
                     close()
                     key = own
-                if data:
+                found = shingle_hashes(data, shingle)
+                if len(found):
                     nodes.append(node)
-                    sets.append(np.frombuffer(data, np.uint64))
+                    sets.append(found)
             if len(a) > 10_000:
                 yield out()
         close()
         yield out()
 
-    schema = T.StructType([T.StructField("a", T.BinaryType()), T.StructField("b", T.BinaryType())])
+    schema = T.StructType([T.StructField("a", node_type), T.StructField("b", node_type)])
     return common.map_batches(part.repartition(*shard).sortWithinPartitions(*shard), run, schema)
 
 
@@ -498,10 +501,14 @@ def dedup(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, words: int
     held = common.stash(set_sketches(rows, words, shingle, text), "sketches", "zstd")
     # the first of equal sets: by id, null last, then by row, which no two share
     first = F.struct(F.col("doc")[doc_id].isNull().alias("none"), F.col("doc")[doc_id].alias("id"), "row")
-    nodes = common.stash(held.groupBy("node").agg(F.first("fp").alias("fp"), F.first("keys").alias("keys"), F.min(first).alias("least")), "nodes")
-    near = components(candidate_links(nodes, words, radius)).join(nodes.select("node", F.col("least.row").alias("row")), "node")
-    members = held.select("row", F.col("doc")[text].alias("text")).join(near, "row").select("component", "node", "text")
+    nodes = held.groupBy("node").agg(F.first("fp").alias("fp"), F.first("keys").alias("keys"), F.min(first).alias("least"))
+    # from here on, a set goes by its first row's number: shorter than a digest
+    nodes = common.stash(nodes.select(F.col("least.row").alias("node"), "fp", "keys", "least"), "nodes", "zstd")
+    near = components(candidate_links(nodes, words, radius)).withColumnRenamed("node", "row")
+    common.release(docs.sparkSession)
+    members = held.select("row", F.col("doc")[text].alias("text")).join(near, "row").select("component", F.col("row").alias("node"), "text")
     linked = common.stash(components(exact_links(members, shingle, similarity)).join(nodes.select("node", "least"), "node"), "linked")
+    common.release(docs.sparkSession)
     alone = nodes.join(linked, "node", "left_anti").select("least.row")
     kept = alone.unionByName(linked.groupBy("component").agg(F.min("least").alias("least")).select("least.row"))
     # the only other time that texts are shuffled; row numbers are no hot keys
