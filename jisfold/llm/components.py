@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from jisfold.llm.common import discard, stash
+from jisfold.llm.common import discard, release, stash
 
 
 def _point_to_minimum(links: DataFrame, larger_only: bool) -> DataFrame:
@@ -43,6 +43,7 @@ def components(links: DataFrame) -> DataFrame:
         .distinct()
     )
     now, before = stash(links, "links"), None
+    release(now.sparkSession)  # of what found the links
     while True:
         step = _point_to_minimum(now, True).where("a != b").distinct()
         step = _point_to_minimum(step, False).where("a != b").distinct()
