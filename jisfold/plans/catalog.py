@@ -570,7 +570,7 @@ p AS (
   FROM k
 ), b AS (
   SELECT jis, us, class, u, t FROM p
-  UNION ALL SELECT jis, [('0x' || regexp_extract(c16, '^類似字形U\+([0-9A-F]+)は', 1))::INTEGER], class, u, t FROM p WHERE c16 <> ''
+  UNION ALL SELECT jis, [('0x' || regexp_extract(c16, '^類似字形U[+]([0-9A-F]+)は', 1))::INTEGER], class, u, t FROM p WHERE c16 <> ''
 )
 SELECT jis, array_to_string(us, ',') AS us, class, array_to_string(list_transform(u, lambda x: {_sql_point("x")}), ',') AS tx_us,
        array_to_string(list_concat(list_transform(t, lambda x: {_sql_number("x")}), list_transform(range(4 - len(t)), lambda x: -1)), ',') AS tx_jis
