@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from jisfold.llm import bpe, langid, lm, media, mixing, quality, simhash, token_files, topk, toxicity
+from jisfold.llm import alignment, bpe, langid, lm, media, mixing, quality, resample, simhash, token_files, topk, toxicity, warc
 from jisfold.llm.common import fold_of, new_path, table
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -164,5 +164,71 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", *[f.name for f in media.FACTS.fields], "n_items", "position", "caption")
 
 
-QUERIES = {"op1_simhash": op1_simhash, "op2_mix": op2_mix, "op3_bpe": op3_bpe, "op4_quality": op4_quality, "op5_langid": op5_langid, "op6_lm": op6_lm, "op7_top_k": op7_top_k, "op8_toxicity": op8_toxicity, "op9_token_files": op9_token_files, "op10_media": op10_media}
-ORACLES: dict[str, str] = {"op2_mix": OP2_SQL, "op7_top_k": OP7_SQL}
+def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Writes every page as a record of a content-addressed archive, and reads
+    the archive back."""
+    folder = new_path(spark, "warc")
+    warc.write(table(spark, sf_dir, "pages", "page_id", "url", "html"), folder)
+    found = warc.read(spark, folder)
+    size = F.octet_length("payload").cast("long").alias("payload_bytes")
+    return found.select(F.col("page_id").cast("long").alias("page_id"), size, "payload_digest", "record_type", F.col("refers_to").cast("long").alias("refers_to"))
+
+
+OP11_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+g AS (SELECT page_id, strlen(h) AS n, sha1(h) AS d, min(page_id) OVER (PARTITION BY h) AS keeper FROM p)
+SELECT page_id, n::BIGINT AS payload_bytes,
+       array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+           ((('0x' || substr(d, (i // 8 * 10 + 1)::INTEGER, 10))::BIGINT >> (35 - 5 * (i % 8))::BIGINT) & 31)::INTEGER + 1, 1)), '') AS payload_digest,
+       CASE WHEN page_id = keeper OR keeper IS NULL THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id = keeper OR keeper IS NULL THEN NULL ELSE keeper END AS refers_to
+FROM g
+"""
+
+
+def op12_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten in a hundred documents, drawn by their likeness to the benchmark's words."""
+    docs, target = table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "benchmark", "text")
+    return resample.resample(docs, target, share=(10, 100), least_words=20, most=1, n_buckets=10_000, seed="2024")
+
+
+#: crc32 by its table, which the rule makes; words are counted before it is applied.
+OP12_SQL = r"""
+WITH t AS (
+  SELECT list_transform(range(256), lambda i: list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i)) AS t
+), docs AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+), dw AS (
+  SELECT r, x, count(*) AS n FROM (SELECT r, unnest(w) AS x FROM docs) GROUP BY ALL
+), bw AS (
+  SELECT x, count(*) AS n FROM (SELECT unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS x FROM benchmark) GROUP BY x
+), h AS (
+  SELECT x, hex(encode(x)) AS h FROM (SELECT x FROM dw UNION SELECT x FROM bw)
+), b AS (
+  SELECT x, xor(list_reduce(range(strlen(x)), lambda c, i: xor(c >> 8, t[(xor(c & 255, ('0x' || substr(h, (2 * i + 1)::INTEGER, 2))::BIGINT))::INTEGER + 1]), 4294967295::BIGINT), 4294967295) % 10000 AS bucket FROM h, t
+), c AS (
+  SELECT bucket, sum(s)::DOUBLE AS s, sum(t)::DOUBLE AS t FROM (
+    SELECT bucket, n AS s, 0 AS t FROM dw JOIN b USING (x) UNION ALL SELECT bucket, 0, n FROM bw JOIN b USING (x)) GROUP BY bucket
+), g AS (
+  SELECT bucket, floor(1000.0::DOUBLE * ln((t + 1) * (sum(s) OVER () + 10000) / ((s + 1) * (sum(t) OVER () + 10000)))) AS gain FROM c
+), m AS (
+  SELECT r, floor(sum(gain * n) / sum(n))::BIGINT AS weight FROM dw JOIN b USING (x) JOIN g USING (bucket) GROUP BY r
+), s AS (
+  SELECT doc_id, len(w)::BIGINT AS n_features, coalesce(weight, 0) AS weight,
+         coalesce(weight, 0) + floor(-1000.0::DOUBLE * ln(-ln((('0x' || substr(sha256('2024:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296.0::DOUBLE)))::BIGINT AS score
+  FROM docs LEFT JOIN m USING (r)
+), k AS (
+  SELECT *, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id NULLS LAST, n_features) AS k, count(*) FILTER (n_features >= 20) OVER () AS n FROM s
+)
+SELECT doc_id, n_features, weight, score, CASE WHEN n_features >= 20 AND k <= 10 * n // 100 THEN k END AS rank FROM k
+"""
+
+
+def op13_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of two public vocabularies over every document, aligned by bytes."""
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    return alignment.align(docs, public_tokenizers.path(VOCABULARY), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+QUERIES = {"op1_simhash": op1_simhash, "op2_mix": op2_mix, "op3_bpe": op3_bpe, "op4_quality": op4_quality, "op5_langid": op5_langid, "op6_lm": op6_lm, "op7_top_k": op7_top_k, "op8_toxicity": op8_toxicity, "op9_token_files": op9_token_files, "op10_media": op10_media, "op11_warc": op11_warc, "op12_resample": op12_resample, "op13_align": op13_align}
+ORACLES: dict[str, str] = {"op2_mix": OP2_SQL, "op7_top_k": OP7_SQL, "op11_warc": OP11_SQL, "op12_resample": OP12_SQL}
