@@ -6,10 +6,9 @@ are linked where their byte ranges overlap.  There are two forms:
 - ``align_relational`` makes a row of every token (posexplode), lengths summed
   in a window, an equi-join on document and end for the cuts, running counts
   of cuts as group ids and a join by group for the links.
-- ``align`` has the same results by less: groups never cross the place where a
-  word meets the space after it, so each distinct segment between such places
-  is aligned once in a task, and what goes on are, for each chunk of a few
-  megabytes of text, its distinct pairs of ids with their counts.  The corpus'
+- ``align`` takes the same steps on arrays of a few megabytes of texts at a
+  time, in which a token is a few bytes and not a row; what goes on are, for
+  each such chunk, its distinct pairs of ids with their counts.  The corpus'
   counts of pairs are relational from there: pairs are exploded, summed,
   compared by id and joined back to the chunks that have them.
 """
@@ -17,58 +16,58 @@ are linked where their byte ranges overlap.  There are two forms:
 from __future__ import annotations
 
 import hashlib
-import re
 from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from jisfold.llm.common import map_batches, slices, stash, texts
+from jisfold.llm.token_files import LibraryIds
 
-#: White space and what follows it; joined, the segments are the text.
-_SEGMENT = re.compile(r"\s*\S+|\s+")
-#: White space to Python, but not to the tokenizers' word pattern.
-_ODD = re.compile(r"[\x1c-\x1f]")
-#: Segments that a task remembers.
-KNOWN = 200_000
 SPACE = "▁"
 
 
 class Pair:
-    """The two tokenizers: ids of texts, and the bytes of each id."""
+    """The two tokenizers: ids of texts, and the bytes of each id.
+
+    The first one's ids come from the distinct parts of texts; a letter before
+    the space before a text makes that space like any other, and its own token
+    is taken away again.
+    """
 
     def __init__(self, path_a: str, path_b: str):
         import sentencepiece
-        from tokenizers import Tokenizer
 
-        self.a, self.b = Tokenizer.from_file(path_a), sentencepiece.SentencePieceProcessor(model_file=path_b)
-        self.a.encode_special_tokens = True
-        self.a.no_truncation()
-        self.a.no_padding()
+        self.known = LibraryIds(path_a, plain=True)
+        self.a, self.b = self.known.tokenizer, sentencepiece.SentencePieceProcessor(model_file=path_b)
+        ids = [self.a.encode(x, add_special_tokens=False).ids for x in ("x a", "x", " a")]
+        if len(ids[1]) != 1 or ids[0] != ids[1] + ids[2]:
+            raise ValueError(f"{path_a} does not keep a letter and a space apart")
         letters, self.bytes_a = _byte_letters(), [b""] * self.a.get_vocab_size()
         for piece, i in self.a.get_vocab().items():
             self.bytes_a[i] = bytes(letters[c] for c in piece) if all(c in letters for c in piece) else piece.encode()
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.bytes_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace(SPACE, " ").encode() for i, p in enumerate(pieces)]
-        #: whether the second one's pieces end where a word meets white space
-        self.parts = not any(re.search(r"[^\s▁][\s▁]", p) for p in pieces) and not any(re.search(r"\s", p) and len(p) > 1 for p in pieces)
-        self.space = self.b.encode("x ")[len(self.b.encode("x")) :]
-
-    def ids_a(self, segments: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.a.encode_batch_fast(segments, add_special_tokens=False)]
-
-    def ids_b(self, segments: list[str]) -> list[list[int]]:
-        """Ids of segments as they stand in a text: the space that the tokenizer
-        puts before a text is the segment's own first, or is taken away."""
-        out = self.b.encode([s.removeprefix(" ") for s in segments], num_threads=1)
-        return [self.space if s == " " else ids if s[0] == " " else ids[1:] for s, ids in zip(segments, out, strict=True)]
-
-    def segments(self, text: str) -> list[str]:
-        whole = " " + text
-        return _SEGMENT.findall(whole) if self.parts and not _ODD.search(text) else [whole]
+        self.sizes_a, self.sizes_b = (np.array([len(x) for x in of], np.int64) for of in (self.bytes_a, self.bytes_b))
+        # ids as they stand in a list of groups: before a comma or at the end of their part
+        self.written = [f"{i}{end}" for of, ends in ((self.bytes_a, ",|"), (self.bytes_b, ",;")) for end in ends for i in range(len(of))]
+
+    def encode(self, texts: list[str]) -> list[tuple[list[int], list[int]]]:
+        """Both ids of each text; none where either's bytes are not a space and the text."""
+        of_a, of_b, some = self.bytes_a.__getitem__, self.bytes_b.__getitem__, [t for t in texts if t]
+        ids_a = [np.frombuffer(x, "<u4", offset=4).tolist() for x in self.known.encode(pa.array(["x " + t for t in some], pa.large_string()))]
+        ids_b = self.b.encode(some, num_threads=1) if some else []
+        found = iter(zip(some, ids_a, ids_b, strict=True))
+        out = []
+        for text in texts:
+            _, a, b = next(found) if text else ("", [], [])
+            whole = b" " + text.encode()
+            out.append((a, b) if b"".join(map(of_a, a)) == whole == b"".join(map(of_b, b)) else ([], []))
+        return out
 
 
 def _byte_letters() -> dict[str, int]:
@@ -79,57 +78,6 @@ def _byte_letters() -> dict[str, int]:
     return {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
-class Segments:
-    """Alignments of distinct segments, by number."""
-
-    def __init__(self, pair: Pair):
-        self.pair, self.base = pair, len(pair.bytes_a)
-        self.clear()
-
-    def clear(self) -> None:
-        self.number: dict[str, int] = {}
-        #: of each: 1 if both tokenizers give its bytes, tokens of a and b, groups, links
-        self.facts: list[tuple[int, int, int, int, int]] = []
-        self.groups: list[str] = []
-        self.keys: list[list[int]] = []
-
-    def learn(self, segments: list[str]) -> None:
-        """Aligns those not met yet."""
-        new = [s for s in dict.fromkeys(segments) if s not in self.number]
-        for i in range(0, len(new), 1000):
-            some = new[i : i + 1000]
-            for s, a, b in zip(some, self.pair.ids_a(some), self.pair.ids_b(some), strict=True):
-                self.number[s] = len(self.facts)
-                self._add(s.encode(), a, b)
-
-    def _add(self, text: bytes, a: list[int], b: list[int]) -> None:
-        of_a, of_b = self.pair.bytes_a, self.pair.bytes_b
-        if b"".join([of_a[x] for x in a]) != text or b"".join([of_b[x] for x in b]) != text:
-            self.facts.append((0, 0, 0, 0, 0))
-            self.groups.append("")
-            self.keys.append([])
-            return
-        keys, cuts, i, j = [], [], 0, 0
-        end_a, end_b, last = len(of_a[a[0]]), len(of_b[b[0]]), (0, 0)
-        while True:
-            keys.append(b[j] * self.base + a[i])
-            if end_a == end_b:
-                cuts.append(f"{','.join(map(str, a[last[0] : i + 1]))}|{','.join(map(str, b[last[1] : j + 1]))}")
-                i, j = last = i + 1, j + 1
-                if i == len(a):
-                    break
-                end_a, end_b = end_a + len(of_a[a[i]]), end_b + len(of_b[b[j]])
-            elif end_a < end_b:
-                i += 1
-                end_a += len(of_a[a[i]])
-            else:
-                j += 1
-                end_b += len(of_b[b[j]])
-        self.facts.append((1, len(a), len(b), len(cuts), len(keys)))
-        self.groups.append(";".join(cuts))
-        self.keys.append(keys)
-
-
 _DOC = "struct<doc_id:string,n_a:bigint,n_b:bigint,n_groups:bigint,n_links:bigint,groups_sha256:string>"
 CHUNK = f"chunk long, docs array<{_DOC}>, sizes binary, local binary, counts binary, pairs array<long>, totals array<long>"
 
@@ -137,58 +85,67 @@ CHUNK = f"chunk long, docs array<{_DOC}>, sizes binary, local binary, counts bin
 def _chunks(path_a: str, path_b: str):
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    schema = to_arrow_schema(T._parse_datatype_string(CHUNK))
+    schema = to_arrow_schema(T.StructType.fromDDL(CHUNK))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = None
+        pair = None
         for batch in batches:
-            known = known or Segments(Pair(path_a, path_b))
+            pair = pair or Pair(path_a, path_b)
             for some in slices(batch):
-                yield _chunk(some, known, schema)
-                if len(known.facts) > KNOWN:
-                    known.clear()
+                yield _chunk(some, pair, schema)
 
     return run
 
 
-def _chunk(some: pa.RecordBatch, known: Segments, schema: pa.Schema) -> pa.RecordBatch:
+def _chunk(some: pa.RecordBatch, pair: Pair, schema: pa.Schema) -> pa.RecordBatch:
     """A row with the slice's documents, and their pairs by place among the slice's distinct pairs."""
-    own = [known.pair.segments(t) if t else [] for t in texts(some, "text")]
-    per_doc = np.array([len(x) for x in own], np.int64)
-    flat = [s for x in own for s in x]
-    known.learn(flat)
-    number = np.fromiter(map(known.number.__getitem__, flat), np.int64, len(flat))
-    distinct, number = np.unique(number, return_inverse=True)
-    listed = distinct.tolist()
-    facts = np.array([known.facts[i] for i in listed], np.int64).reshape(-1, 5)
-    starts = np.cumsum(per_doc) - per_doc
-    doc = np.repeat(np.arange(len(own)), per_doc)
-    sums = np.zeros((len(own), 5), np.int64)
-    np.add.at(sums, doc, facts[number])
-    good = (per_doc > 0) & (sums[:, 0] == per_doc)
-    sums[~good] = 0
-    digests = []
-    for k, (start, n) in enumerate(zip(starts.tolist(), per_doc.tolist(), strict=True)):
-        text = ";".join([known.groups[listed[i]] for i in number[start : start + n].tolist()]) if good[k] else None
-        digests.append("" if text is None else hashlib.sha256(text.encode()).hexdigest())
-
-    # every link's pair: the segments' lists, one after the other
-    sizes = facts[:, 4]
-    keys = np.array([x for i in listed for x in known.keys[i]], np.int64)
-    pairs, place = np.unique(keys, return_inverse=True)
-    kept = good[doc]
-    from_, times = (np.cumsum(sizes) - sizes)[number[kept]], sizes[number[kept]]
-    at = np.repeat(from_ - (np.cumsum(times) - times), times) + np.arange(times.sum())
-    code, counts = np.unique(np.repeat(doc[kept], times) * max(1, len(pairs)) + place[at], return_counts=True)
-    doc_of, local = np.divmod(code, max(1, len(pairs)))
-    totals = np.bincount(local, weights=counts, minlength=len(pairs)).astype(np.int64)
-    ids = some.column("id").to_pylist()
-    rows = [dict(zip(("doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256"), (i, *s[1:], d), strict=True)) for i, s, d in zip(ids, sums.tolist(), digests, strict=True)]
-    packed = np.bincount(doc_of, minlength=len(own)).astype("<u4"), local.astype("<u4"), counts.astype("<u4")
+    coded = pair.encode(texts(some, "text"))
+    n_a, n_b = (np.array([len(x[k]) for x in coded], np.int64) for k in (0, 1))
+    a, b = (np.fromiter((i for x in coded for i in x[k]), np.int64, n.sum()) for k, n in ((0, n_a), (1, n_b)))
+    # both sides of a text have as many bytes, so ends count on from text to text
+    ends_a, ends_b = np.cumsum(pair.sizes_a[a]), np.cumsum(pair.sizes_b[b])
+    last = np.searchsorted(ends_b, ends_a)  # the token of b in which a token of a ends
+    cut_a = ends_b[last] == ends_a
+    cut_b = np.zeros(len(b), bool)
+    cut_b[last[cut_a]] = True
+    group_a, group_b = np.cumsum(cut_a) - cut_a, np.cumsum(cut_b) - cut_b
+    doc_a = np.repeat(np.arange(len(coded)), n_a)
+    n_groups = np.bincount(doc_a[cut_a], minlength=len(coded))
+    digests = _digests(pair, (a, cut_a, group_a), (b, cut_b, group_b), n_a + n_b)
+
+    first = np.concatenate([[0], (last + cut_a)[:-1]])[: len(a)]
+    times = last - first + 1
+    of_a = np.repeat(np.arange(len(a)), times)
+    of_b = np.arange(len(of_a)) - np.repeat(np.cumsum(times) - times - first, times)
+    place, pairs = pd.factorize(b[of_b] * len(pair.bytes_a) + a[of_a])
+    n_links = np.bincount(doc_a, weights=times, minlength=len(coded)).astype(np.int64)
+    number, code = pd.factorize(doc_a[of_a] * max(1, len(pairs)) + place)  # in order of documents
+    counts = np.bincount(number, minlength=len(code))
+    doc, local = np.divmod(code, max(1, len(pairs)))
+    totals = np.bincount(place, minlength=len(pairs))
+    rows = [dict(zip(("doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256"), x, strict=True)) for x in zip(some.column("id").to_pylist(), n_a.tolist(), n_b.tolist(), n_groups.tolist(), n_links.tolist(), digests, strict=True)]
+    packed = np.bincount(doc, minlength=len(coded)).astype("<u4"), local.astype("<u4"), counts.astype("<u4")
     cells = [some.column("row")[0].as_py(), rows, *[x.tobytes() for x in packed], pairs.tolist(), totals.tolist()]
     return pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(cells, schema, strict=True)], schema=schema)
 
 
+def _digests(pair: Pair, a: tuple, b: tuple, sizes: np.ndarray) -> list[str]:
+    """SHA-256 of each text's groups as ``a1,a2|b1;a3|b2,b3``, '' for texts without tokens."""
+    (ids_a, cut_a, group_a), (ids_b, cut_b, group_b) = a, b
+    # a group's tokens of a, then those of b: each stands after what other groups have before it
+    order = np.zeros(len(ids_a) + len(ids_b), np.int64)
+    before_b, upto_a = np.searchsorted(group_b, group_a, side="left"), np.searchsorted(group_a, group_b, side="right")
+    base = len(pair.bytes_a)
+    order[np.arange(len(ids_a)) + before_b] = ids_a + base * cut_a
+    order[np.arange(len(ids_b)) + upto_a] = 2 * base + ids_b + len(pair.bytes_b) * cut_b
+    out, start, written, places = [], 0, pair.written.__getitem__, order.tolist()
+    for n in sizes.tolist():
+        text = "".join(map(written, places[start : start + n]))
+        out.append(hashlib.sha256(text[:-1].encode()).hexdigest() if n else "")
+        start += n
+    return out
+
+
 def pair_counts(links: DataFrame, base: int) -> DataFrame:
     """(pair, n, best): the corpus' links of each pair, and whether no pair of
     the same second id has more.  links: pair, total."""
@@ -214,13 +171,13 @@ def align(docs: DataFrame, path_a: str, path_b: str, doc_id: str = "doc_id", tex
     """
     kind = docs.schema[doc_id].dataType
     own = docs.select(F.monotonically_increasing_id().alias("row"), F.col(doc_id).cast("string").alias("id"), F.col(text).cast("string").alias("text"))
-    chunks = stash(map_batches(own, _chunks(path_a, path_b), T._parse_datatype_string(CHUNK)), "aligned", "zstd")
+    chunks = stash(map_batches(own, _chunks(path_a, path_b), T.StructType.fromDDL(CHUNK)), "aligned", "zstd")
     links = chunks.select("chunk", F.posexplode(F.arrays_zip("pairs", "totals")).alias("at", "x")).select("chunk", "at", F.col("x.pairs").alias("pair"), F.col("x.totals").alias("total"))
     facts = stash(pair_counts(links.where("total > 0"), _size(path_a)), "pairs", "zstd")
     found = links.where("total > 0").join(facts, "pair").groupBy("chunk").agg(F.collect_list(F.struct("at", "n", "best")).alias("known"))
     whole = chunks.select("chunk", "docs", "sizes", "local", "counts").join(found, "chunk", "left")
     placed = whole.select("docs", "sizes", "local", "counts", F.col("known.at").alias("at"), F.col("known.n").alias("n"), F.col("known.best").alias("best"))
-    out = T._parse_datatype_string(f"docs array<{_DOC}>, n_best array<long>, count_sum array<long>")
+    out = T.StructType.fromDDL(f"docs array<{_DOC}>, n_best array<long>, count_sum array<long>")
     rows = map_batches(placed, _summed, out).select(F.explode(F.arrays_zip("docs", "n_best", "count_sum")).alias("x")).select("x.docs.*", "x.n_best", "x.count_sum")
     return rows.withColumn("doc_id", F.col("doc_id").cast(kind)).select(*_RESULT)
 
@@ -251,7 +208,7 @@ def _summed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _tokens(path_a: str, path_b: str):
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    schema = to_arrow_schema(T._parse_datatype_string(_TOKENS))
+    schema = to_arrow_schema(T.StructType.fromDDL(_TOKENS))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pair = None
@@ -259,11 +216,7 @@ def _tokens(path_a: str, path_b: str):
             pair = pair or Pair(path_a, path_b)
             for some in slices(batch):
                 cells: dict[str, list] = {f.name: [] for f in schema}
-                for row, i, text in zip(some.column("row").to_pylist(), some.column("id").to_pylist(), texts(some, "text"), strict=True):
-                    a, b = pair.a.encode(" " + text, add_special_tokens=False).ids if text else [], pair.b.encode(text)
-                    whole = (" " + text).encode()
-                    if b"".join(pair.bytes_a[x] for x in a) != whole or b"".join(pair.bytes_b[x] for x in b) != whole:
-                        a = b = []
+                for row, i, (a, b) in zip(some.column("row").to_pylist(), some.column("id").to_pylist(), pair.encode(texts(some, "text")), strict=True):
                     for name, value in zip(cells, (row, i, a, [len(pair.bytes_a[x]) for x in a], b, [len(pair.bytes_b[x]) for x in b]), strict=True):
                         cells[name].append(value)
                 yield pa.RecordBatch.from_arrays([pa.array(cells[f.name], f.type) for f in schema], schema=schema)
@@ -278,7 +231,7 @@ def align_relational(docs: DataFrame, path_a: str, path_b: str, doc_id: str = "d
     """The same as ``align``, with a row for every token of every document."""
     kind = docs.schema[doc_id].dataType
     own = docs.select(F.monotonically_increasing_id().alias("row"), F.col(doc_id).cast("string").alias("id"), F.col(text).cast("string").alias("text"))
-    coded = stash(map_batches(own, _tokens(path_a, path_b), T._parse_datatype_string(_TOKENS)), "tokens", "zstd")
+    coded = stash(map_batches(own, _tokens(path_a, path_b), T.StructType.fromDDL(_TOKENS)), "tokens", "zstd")
 
     def ends(side: str) -> DataFrame:
         rows = coded.select("row", F.posexplode(F.arrays_zip(side, f"{side}_len")).alias(f"pos_{side}", "x")).select("row", f"pos_{side}", F.col(f"x.{side}").alias(side), F.col(f"x.{side}_len").alias("len"))

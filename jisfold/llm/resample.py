@@ -95,7 +95,7 @@ def postings(docs: DataFrame, text: str, most: int, n_buckets: int, doc_id: str
     """Rows of postings (by block and slice), and a row for each document with
     its id as text, words and features, where block is null."""
     own = docs.select(F.monotonically_increasing_id().alias("row"), (F.col(doc_id).cast("string") if doc_id else F.lit(None).cast("string")).alias("id"), F.col(text).cast("string").alias("text"))
-    return map_batches(own, _postings(most, n_buckets), T._parse_datatype_string(POSTINGS))
+    return map_batches(own, _postings(most, n_buckets), T.StructType.fromDDL(POSTINGS))
 
 
 def bucket_counts(found: DataFrame, n_buckets: int) -> DataFrame:
@@ -110,7 +110,7 @@ def bucket_counts(found: DataFrame, n_buckets: int) -> DataFrame:
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["bucket", "n"])
 
-    own = map_batches(found.where("block is not null").select("block", "docs", "sizes", "buckets", "counts"), run, T._parse_datatype_string("bucket int, n long"))
+    own = map_batches(found.where("block is not null").select("block", "docs", "sizes", "buckets", "counts"), run, T.StructType.fromDDL("bucket int, n long"))
     return own.groupBy("bucket").agg(F.sum("n").alias("n"))
 
 
@@ -139,7 +139,7 @@ def contributions(found: DataFrame, gain: np.ndarray, n_buckets: int) -> DataFra
                 sums = np.add.reduceat(gain[buckets] * counts, np.cumsum(sizes) - sizes)
                 yield pa.RecordBatch.from_arrays([pa.array(docs), pa.array(sums)], names=["row", "gain"])
 
-    own = map_batches(found.where("block is not null").select("block", "docs", "sizes", "buckets", "counts"), run, T._parse_datatype_string("row long, gain long"))
+    own = map_batches(found.where("block is not null").select("block", "docs", "sizes", "buckets", "counts"), run, T.StructType.fromDDL("row long, gain long"))
     return own.groupBy("row").agg(F.sum("gain").alias("gain"))
 
 

@@ -204,20 +204,22 @@ class LibraryIds:
     Many parts are asked for in one text, with a tab between them: a tab that
     other white space does not stand before is a token of its own, and so the
     library's ids are cut at it.  A vocabulary for which that does not hold is
-    an error.  Texts that parts do not make up are encoded whole.
+    an error.  Texts that parts do not make up are encoded whole.  ``plain``:
+    special tokens' strings in a text are ordinary text.
     """
 
     #: Parts in one text, and texts that the library gets at once.
     PARTS, TEXTS = 1000, 32
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, plain: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = plain
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        special = [] if plain else [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         tab = self._whole("\t")
         if len(tab) != 1 or self._whole("a\t b\tc") != [*self._whole("a"), *tab, *self._whole(" b"), *tab, *self._whole("c")]:
             raise ValueError(f"{path} does not keep tabs apart")

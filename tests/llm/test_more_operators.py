@@ -193,13 +193,5 @@ def test_forms_of_the_alignment_agree_on_documents(spark):
     assert one.count() == docs.count() and one.exceptAll(other).count() == 0
 
 
-def test_segments_that_are_forgotten_are_aligned_anew(spark, monkeypatch):
-    known = alignment.Segments(alignment.Pair(A, B))
-    known.learn([" one", " two"])
-    known.clear()
-    known.learn([" two"])
-    assert known.number == {" two": 0} and len(known.facts) == 1
-
-
 def test_alignment_of_an_empty_table(spark):
     assert alignment.align(table(spark, SF, "documents", "doc_id", "text").where("false"), A, B).count() == 0
