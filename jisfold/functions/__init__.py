@@ -49,7 +49,7 @@ def _encode_udf(mode: int, table: JisTable | None, bug_compat: bool):
 def jnta_encode_with_error(c: Column | str, conv_mode: int, table: JisTable | None = None, bug_compat: bool = False) -> Column:
     """struct<value, reason, start, end>: the bytes, or what is wrong where."""
     mode, c = ConversionMode(conv_mode), _column(c)
-    if mode == ConversionMode.SISO or bug_compat:
+    if bug_compat:
         return F.when(c.isNotNull(), _encode_udf(mode, table, bug_compat)(c))
     table = kernels.default_table(table)
 
@@ -77,7 +77,7 @@ def jnta_encode(c: Column | str, conv_mode: int, table: JisTable | None = None,
 def try_jnta_encode(c: Column | str, conv_mode: int, table: JisTable | None = None, bug_compat: bool = False) -> Column:
     """The text's bytes, NULL where it can't be written."""
     mode, c = ConversionMode(conv_mode), _column(c)
-    if mode == ConversionMode.SISO or bug_compat:
+    if bug_compat:
         return jnta_encode_with_error(c, mode, table, bug_compat)["value"]
     return kernels.bound(c, lambda text: kernels.encode(text, mode, kernels.default_table(table)))
 
@@ -142,30 +142,62 @@ def try_jnta_shrink_translit(c: Column | str, table: JisTable | None = None) ->
     return F.when(first.isNull(), text)
 
 
-def mj_shrink_candidates(c: Column | str, combo: int, limit: int = 100, table: MjTable | None = None) -> Column:
+def mj_shrink_candidates(c: Column | str, combo: Column | int, limit: int = 100, table: MjTable | None = None) -> Column:
     """array<string>: the text's forms under a set of schemes, in order.
 
-    A negative limit gives all combinations, whose number is the product of
-    the characters' forms and may exhaust memory.
+    The schemes may be a column.  A negative limit gives all combinations, whose
+    number is the product of the characters' forms and may exhaust memory;
+    ``candidates_between`` makes rows of them instead.
     """
 
-    @F.pandas_udf(T.ArrayType(T.ArrayType(T.StringType())))
-    def choices(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda x: None if x is None else candidates.choices(x, combo, table))
-
     def longer(found: Column, own: Column) -> Column:
         # a prefix's forms alternate fastest, so the first ones of the whole need its first ones only
         every = F.flatten(F.transform(own, lambda last: F.transform(found, lambda first: F.concat(first, last))))
         return every if limit < 0 else F.slice(every, 1, limit)
 
     start = F.array(F.lit("")) if limit else F.array().cast("array<string>")
-    return F.aggregate(choices(_column(c)), start, longer)
+    return F.aggregate(candidates.choices_column(_column(c), combo, table), start, longer)
+
+
+def mj_candidate_count(c: Column | str, combo: Column | int, table: MjTable | None = None) -> Column:
+    """How many candidates a text has, at most 2**63 - 1, without making any."""
+    return candidates.count_column(candidates.choices_column(_column(c), combo, table))
+
+
+def mj_candidate_at(c: Column | str, combo: Column | int, number: Column | int, table: MjTable | None = None) -> Column:
+    """The candidate of a number (from 0), without making those before it; NULL
+    where there is none."""
+    number = number if isinstance(number, Column) else F.lit(number)
+    return candidates.at_column(candidates.choices_column(_column(c), combo, table), number)
+
 
+#: Numbers in an array that is exploded; more are exploded in several levels.
+_STEP = 4096
 
-def explode_candidates(df: DataFrame, text: str, combo: int, limit: int = 100, table: MjTable | None = None, position: str = "ord", out: str = "candidate") -> DataFrame:
-    """A row for each candidate, with its position (from 0)."""
-    columns = [x for x in df.columns if x not in (position, out)]
-    return df.withColumn("__c", mj_shrink_candidates(text, combo, limit, table)).select(*columns, F.posexplode("__c").alias(position, out))
+
+def candidates_between(df: DataFrame, text: str, combo: Column | int, first: int = 0, stop: int | None = None, table: MjTable | None = None, position: str = "ord", out: str = "candidate") -> DataFrame:
+    """A row for each candidate numbered from ``first`` to before ``stop`` (none:
+    all), however many these are: no array has more than 4,096 numbers.
+
+    Input columns named like the new ones (in any letter case) are replaced;
+    rows whose text is NULL or which has no such candidates give none.
+    """
+    kept = [x for x in df.columns if x.lower() not in (position.lower(), out.lower())]
+    own = df.select(F.struct(*kept).alias("row"), candidates.choices_column(F.col(text), combo, table).alias("choices"))
+    count = candidates.count_column(F.col("choices"))
+    end = count if stop is None else F.least(count, F.lit(stop).cast("long"))
+    own = own.select("row", "choices", F.lit(first).cast("long").alias("base"), (end - first).alias("left")).where("choices is not null and left > 0")
+    for unit in (_STEP**k for k in (5, 4, 3, 2, 1, 0)):
+        blocks = F.call_function("div", F.col("left") - 1, F.lit(unit))
+        own = own.select("row", "choices", "base", "left", F.explode(F.sequence(F.lit(0).cast("long"), blocks)).alias("i"))
+        own = own.select("row", "choices", (F.col("base") + F.col("i") * unit).alias("base"), F.least(F.lit(unit), F.col("left") - F.col("i") * unit).alias("left"))
+    return own.select("row.*", F.col("base").alias(position), candidates.at_column(F.col("choices"), F.col("base")).alias(out))
+
+
+def explode_candidates(df: DataFrame, text: str, combo: Column | int, limit: int = 100, table: MjTable | None = None, position: str = "ord", out: str = "candidate") -> DataFrame:
+    """A row for each candidate, with its position (from 0).  A negative limit
+    gives all.  Input columns named like the new ones are replaced."""
+    return candidates_between(df, text, combo, 0, None if limit < 0 else limit, table, position, out)
 
 
 def jis_class(c: Column | str, table: JisTable | None = None) -> Column:
@@ -214,8 +246,14 @@ def parse_code_points(c: Column | str) -> Column:
 
 
 def parse_hex_list(c: Column | str) -> Column:
-    """array<int> of hexadecimal numbers joined by underscores."""
-    return F.transform(F.split(_column(c), "_"), lambda x: F.conv(x, 16, 10).cast("int"))
+    """array<int> of hexadecimal numbers joined by underscores, NULL in the place
+    of one that is something else or above 10FFFF."""
+
+    def number(x: Column) -> Column:
+        found = F.conv(F.when(F.regexp_like(x, F.lit("^[0-9A-Fa-f]{1,6}$")), x), 16, 10).cast("int")
+        return F.when(found <= 0x10FFFF, found)
+
+    return F.transform(F.split(_column(c), "_"), number)
 
 
 def parse_mj(c: Column | str) -> Column:
@@ -245,6 +283,7 @@ def take_until_empty(array: Column | str) -> Column:
 __all__ = [
     "ConversionMode",
     "TransliterationError",
+    "candidates_between",
     "explode_candidates",
     "jis_class",
     "jnta_decode",
@@ -253,6 +292,8 @@ __all__ = [
     "jnta_encode_with_error",
     "jnta_shrink_translit",
     "men_ku_ten",
+    "mj_candidate_at",
+    "mj_candidate_count",
     "mj_shrink_candidates",
     "parse_code_point",
     "parse_code_points",

@@ -23,6 +23,10 @@ from jisfold.refdata.tables import JisRow, JisTable, seed_jis
 _MARK, _PAIR = "\U000f0000", 0xF0001
 #: How the UTF-8 of all of them begins.
 _PRIVATE_BYTES = b"\xf3\xb0\x80"
+#: Codes of plane 2, as long as the text is no bytes yet, and how the UTF-8 of all of them begins.
+_PLANE_2, _PLANE_2_BYTE = 0x100000, b"\xf4"
+#: Characters whose two bytes are a shift code twice.
+_SHIFT_2, _SHIFT_1 = "\u0f0f", "\u0e0e"
 #: ASCII letters, none of which any table encodes, for masks.
 _GOOD, _BAD = "P", "B"
 
@@ -71,7 +75,10 @@ def _as_code(row: JisRow) -> str:
 
 @lru_cache(maxsize=16)
 def _codes(mode: int, table: JisTable) -> dict[str, str]:
-    """Texts (one or two characters) to the codes that a mode writes, as UTF-16 units."""
+    """Texts (one or two characters) to the codes that a mode writes, as UTF-16
+    units; with shift codes, those of plane 2 as private characters."""
+    if mode == ConversionMode.SISO:
+        return {u: _as_code(r) if r.plane == 1 else chr(_PLANE_2 + ord(_as_code(r))) for u, r in table.by_text.items()}
     if mode == ConversionMode.MEN1:
         return {u: _as_code(r) for u, r in table.by_text.items() if r.plane == 1}
     found = {u: _as_code(r) for u, r in table.by_text.items() if table.is_0208(r)}
@@ -112,8 +119,19 @@ def encode(text: Column, mode: int, table: JisTable) -> Column:
         each = F.transform(F.split(joined, ""), lambda c: F.coalesce(F.try_element_at(forms, c), c))
         return F.when(F.translate(joined, "".join(several), "") != joined, F.array_join(each, "")).otherwise(joined)
 
+    def shifted(units: Column) -> Column:
+        """Each run of plane-2 codes between the shifts to plane 2 and back.  All
+        bytes but the shifts are 0x21 to 0x7E, so what is a shift twice is one."""
+        if mode != ConversionMode.SISO:
+            return F.encode(units, "UTF-16BE")
+        second = [chr(_PLANE_2 + ord(_as_code(r))) for r in table.rows.values() if r.plane == 2]
+        marked = F.regexp_replace(units, f"[{chr(_PLANE_2)}-{chr(_PLANE_2 + 0xFFFF)}]+", f"{_SHIFT_2}$0{_SHIFT_1}")
+        data = F.encode(F.translate(marked, "".join(second), "".join(chr(ord(c) - _PLANE_2) for c in second)), "UTF-16BE").cast("string")
+        data = F.replace(F.replace(data, F.lit("\x0f\x0f"), F.lit("\x0f")), F.lit("\x0e\x0e"), F.lit("\x0e"))
+        return F.when(F.contains(units.cast("binary"), F.lit(_PLANE_2_BYTE)), data.cast("binary")).otherwise(F.encode(units, "UTF-16BE"))
+
     def written(joined: Column) -> Column:
-        value = F.encode(F.translate(expanded(joined), "".join(single), "".join(single.values())), "UTF-16BE")
+        value = bound(F.translate(expanded(joined), "".join(single), "".join(single.values())), shifted)
         return F.when(F.translate(joined, alphabet, "") == "", value)
 
     found = bound(_pairs_to(text, table, lambda r: private[r.jis]), written)

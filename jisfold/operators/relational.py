@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from jisfold.functions.candidates import TOKENS
 from jisfold.refdata.tables import SLOTS
 
 
@@ -34,21 +35,122 @@ def pairs_by_lead(jis_map: DataFrame) -> DataFrame:
     return pairs(jis_map).groupBy("u0").agg(F.transform(F.array_sort(F.collect_list(F.struct("jis", "u1"))), lambda x: F.struct(x["u1"].alias("u1"), x["jis"].alias("jis"))).alias("seconds"))
 
 
-def islands(df: DataFrame, key: str, gap: int, block: int = 1 << 16) -> DataFrame:
+#: Bits of a key that one level of a scan takes: a window holds 2**16 keys at most.
+_LEVEL = 16
+
+
+def last_before(df: DataFrame, key: str, value: Column, out: str, inclusive: bool = False) -> DataFrame:
+    """df with ``out``: the last non-null value among the rows with smaller keys,
+    over the whole table (``inclusive``: or of the row itself).
+
+    A scan in parallel: rows look in their own block of keys; each block makes
+    a row of the next level, which is scanned in blocks of blocks, and so on.
+    Keys are distinct whole numbers; a row whose key is null finds nothing.
+    Input columns named like ``out``, in any letter case, are replaced.
+    """
+    kept = [c for c in df.columns if c.lower() != out.lower()]
+    rows = df.select(F.struct(*kept).alias("row"), F.col(key).cast("long").alias("k"), value.alias("value"))
+    return _scanned(rows, 64 - _LEVEL, inclusive).select("row.*", F.col("found").alias(out))
+
+
+def _scanned(rows: DataFrame, bits: int, inclusive: bool) -> DataFrame:
+    """rows (k, value) with what is found; ``bits`` of a key lie above those of this level."""
+    rows = rows.withColumn("block", F.shiftright("k", _LEVEL))
+    own = Window.partitionBy("block").orderBy("k").rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
+    blocks = rows.where("block is not null").groupBy(F.col("block").alias("k")).agg(F.max_by("value", F.when(F.col("value").isNotNull(), F.col("k"))).alias("value"))
+    if bits > 0:
+        above = _scanned(blocks, bits - _LEVEL, False).select(F.col("k").alias("block"), F.col("found").alias("carried"))
+    else:  # the signs: what is below zero comes before the rest
+        above = blocks.where("k < 0").select((F.col("k") + 1).alias("block"), F.col("value").alias("carried"))
+    found = rows.withColumn("near", F.when(F.col("k").isNotNull(), F.last("value", ignorenulls=True).over(own)))
+    return found.join(above, "block", "left").withColumn("found", F.coalesce("near", "carried")).drop("block", "near", "carried")
+
+
+def islands(df: DataFrame, key: str, gap: int) -> DataFrame:
     """Runs of numbers with gaps below ``gap``: (first, last, n).
 
-    Works by blocks of numbers, so that no window holds the whole table: runs
-    are found in each block, and only the blocks' runs meet in one order.
+    n counts distinct numbers; nulls are left out; an empty table has no runs.
+    No window holds more than a block of 65,536 numbers.
+    """
+    rows = df.select(F.col(key).cast("long").alias("u")).where("u is not null").distinct()
+    rows = last_before(rows, "u", F.col("u"), "before")
+    first = F.when(F.col("before").isNull() | (F.col("u") - F.col("before") >= gap), F.col("u"))
+    runs = last_before(rows, "u", first, "first", inclusive=True)
+    return runs.groupBy("first").agg(F.max("u").alias("last"), F.count("*").alias("n"))
+
+
+def range_join(df: DataFrame, point: str, ranges: DataFrame, first: str, last: str, width: int, how: str = "inner") -> DataFrame:
+    """df joined with the ranges that hold its points (``first`` to ``last``, both included).
+
+    An equi-join on blocks of ``width`` numbers, in which a range stands once
+    for each block that it touches, so only pairs of one block are looked at.
+    Ranges may overlap, then a point has a row for each.  Null points and
+    ranges with a null or crossed end match nothing.  The two tables' columns
+    must have different names.  ``how``: inner, left, left_semi or left_anti.
+    """
+
+    def block(c: str) -> Column:
+        number = F.col(c).cast("long")
+        return F.call_function("div", number - F.pmod(number, F.lit(width).cast("long")), F.lit(width).cast("long"))
+
+    own = ranges.where(F.col(first) <= F.col(last)).withColumn("__block", F.explode(F.sequence(block(first), block(last))))
+    found = df.withColumn("__at", block(point)).join(own, (F.col("__at") == F.col("__block")) & F.col(point).between(F.col(first), F.col(last)), how)
+    return found.drop("__at", "__block")
+
+
+def character(code_point: Column) -> Column:
+    """The character of a code point."""
+    return F.decode(F.unhex(F.lpad(F.hex(code_point), 8, "0")), "UTF-32")
+
+
+def token_forms(tokens: DataFrame, mj_map: DataFrame, mj_shrink: DataFrame, combo: int) -> DataFrame:
+    """(token, forms): the candidates of each distinct token (a character, with
+    the selector after it if there is one) under a set of schemes.
+
+    mj_map: (mj, ord, v); mj_shrink: (mj, scheme, ord, u).  Rows of the
+    character and selector are found by an equi-join; with a selector only the
+    first counts.  Their schemes' targets, up to the character itself where
+    there is no selector, come before the rows' own forms; each form counts
+    where it comes first.  A token without forms is its own.
+    """
+    code = lambda i: F.ascii(F.substring("token", i, 1))
+    number = F.when(code(2).between(0xFE00, 0xFE0F), code(2) - 0xFE00).when(code(2) >= 0xE0100, code(2) - 0xE0100 + 16)
+    own = tokens.select("token").where("token is not null").distinct().select("token", code(1).alias("u"), F.coalesce(number, F.lit(-1)).alias("s"))
+    variants = mj_map.select("mj", F.col("ord").alias("o"), F.posexplode("v").alias("n", "x"))
+    variants = variants.select("mj", "o", "n", F.col("x.u").alias("u"), F.coalesce(F.col("x.s").cast("int"), F.lit(-1)).alias("s"))
+    rows = own.join(variants, ["u", "s"]).groupBy("token", "u", "s", "mj").agg(F.min("o").alias("o"))
+    first = rows.where("s >= 0").groupBy("token", "u", "s").agg(F.min_by("mj", "o").alias("mj"), F.min("o").alias("o"))
+    rows = rows.where("s < 0").unionByName(first)
+
+    some = mj_shrink.where(F.lit(int(combo)).bitwiseAND(F.call_function("shiftleft", F.lit(1), F.col("scheme"))) != 0)
+    some = some.select("mj", "scheme", F.col("ord").alias("n"), F.col("u").alias("to"))
+    itself = F.when((F.col("s") < 0) & (F.col("to") == F.col("u")), F.col("n"))
+    targets = rows.join(some, "mj").withColumn("end", F.min(itself).over(Window.partitionBy("token", "mj", "scheme")))
+    place = lambda k, scheme: F.struct(F.lit(k).alias("k"), "o", scheme.cast("int").alias("scheme"), F.col("n").cast("int").alias("n")).alias("place")
+    targets = targets.where("end is null or n < end").select("token", "to", place(0, F.col("scheme")))
+    kept = rows.select("token", "mj", "o").join(variants.where("s < 0").select("mj", "n", F.col("u").alias("to")), "mj").select("token", "to", place(1, F.lit(0)))
+    places = targets.unionByName(kept).groupBy("token", "to").agg(F.min("place").alias("place"))
+    forms = places.groupBy("token").agg(F.array_sort(F.collect_list(F.struct("place", "to"))).alias("l"))
+    forms = forms.select("token", F.transform("l", lambda x: character(x["to"])).alias("forms"))
+    return own.select("token").join(forms, "token", "left").select("token", F.coalesce("forms", F.array("token")).alias("forms"))
+
+
+def with_choices(df: DataFrame, text: str, mj_map: DataFrame, mj_shrink: DataFrame, combo: int, out: str = "choices") -> DataFrame:
+    """df with ``out``: each token's candidates in the text's order, by joins,
+    for tables too large to be a literal of the plan.
+
+    Distinct texts are cut into tokens, the distinct tokens looked up once, and
+    the texts put together again; Spark broadcasts the forms where they are
+    few.  A null text has null, an empty one no tokens.  An input column named
+    like ``out`` is replaced.
     """
-    own = Window.partitionBy("__b").orderBy(key)
-    rows = df.select(key).distinct().withColumn("__b", F.floor(F.col(key) / block))
-    new = (F.col(key) - F.lag(key).over(own) >= gap).cast("int")
-    runs = rows.withColumn("__new", F.coalesce(new, F.lit(1))).withColumn("__run", F.sum("__new").over(own))
-    runs = runs.groupBy("__b", "__run").agg(F.min(key).alias("first"), F.max(key).alias("last"), F.count("*").alias("n"))
-    whole = Window.orderBy("first")
-    joins = (F.col("first") - F.lag("last").over(whole) >= gap).cast("int")
-    runs = runs.withColumn("__new", F.coalesce(joins, F.lit(1))).withColumn("__all", F.sum("__new").over(whole))
-    return runs.groupBy("__all").agg(F.min("first").alias("first"), F.max("last").alias("last"), F.sum("n").alias("n")).drop("__all")
+    texts = df.select(F.col(text).alias("__text")).where("__text is not null").distinct()
+    cut = texts.select("__text", F.posexplode(F.regexp_extract_all("__text", F.lit(TOKENS), F.lit(0))).alias("at", "token"))
+    found = cut.join(token_forms(cut, mj_map, mj_shrink, combo), "token")
+    listed = found.groupBy("__text").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "forms"))), lambda x: x["forms"]).alias(out))
+    kept = [c for c in df.columns if c.lower() != out.lower()]
+    joined = df.select(*kept).join(listed, F.col(text) == F.col("__text"), "left").drop("__text")
+    return joined.withColumn(out, F.when(F.col(text).isNotNull(), F.coalesce(out, F.array().cast("array<array<string>>"))))
 
 
 def by_code_point(mj_map: DataFrame) -> DataFrame:

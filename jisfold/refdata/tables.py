@@ -132,7 +132,7 @@ class JisTable:
         return row.tx_us if row.cls in CLASSES_SHRUNK and row.tx_us else row.us
 
 
-@dataclass
+@dataclass(eq=False)
 class MjTable:
     """T4 to T6: variants and shrink targets by MJ code."""
 
