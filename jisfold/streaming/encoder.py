@@ -5,7 +5,9 @@ characters that wait for their successor, the plane that was last written, and
 the last sequence number, so a query restarted from its checkpoint goes on
 exactly, and any split of a text gives the same bytes as the whole.  Within a
 micro-batch parts are put in the order of their numbers; a part whose number
-is not above the last one's gives the reason "out of order" and no bytes.  With
+is not above the last one's gives the reason "out of order" and no bytes, one
+without a number "no number" (``ordered`` has an operator that waits for the
+parts before instead).  With
 a final part the key's state goes, and the key begins anew with any number.
 """
 
@@ -20,7 +22,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from jisfold.functions.machine import IncrementalEncoder
 
-OUT_OF_ORDER = "out of order"
+OUT_OF_ORDER, NO_NUMBER = "out of order", "no number"
 OUT = "stream_id string, seq long, bytes binary, reason string, start int"
 STATE = "held string, plane int, seq long"
 
@@ -36,9 +38,12 @@ def encode_stream(df: DataFrame, conv_mode: int, key: str = "stream_id", seq: st
         encoder, last = IncrementalEncoder("jis", conv_mode), None
         if state.exists:
             encoder.held, encoder.plane, last = state.get
-        rows = pd.concat(list(parts)).sort_values(seq, kind="stable")
+        rows = pd.concat(list(parts)).sort_values("seq", kind="stable")
         out = []
-        for number, part, end in zip(rows[seq], rows[text], rows[final], strict=True):
+        for number, numbered, part, end in zip(rows["seq"].tolist(), rows["numbered"], rows["text"], rows["final"], strict=True):
+            if not numbered:
+                out.append((group[0], None, None, NO_NUMBER, None))
+                continue
             if last is not None and number <= last:
                 out.append((group[0], number, None, OUT_OF_ORDER, None))
                 continue
@@ -54,7 +59,9 @@ def encode_stream(df: DataFrame, conv_mode: int, key: str = "stream_id", seq: st
             state.update((encoder.held, encoder.plane, int(last)))
         elif state.exists:
             state.remove()
-        yield pd.DataFrame(out, columns=["stream_id", "seq", "bytes", "reason", "start"]).astype({"start": "Int32"})
+        yield pd.DataFrame(out, columns=["stream_id", "seq", "bytes", "reason", "start"], dtype=object).astype({"seq": "Int64", "start": "Int32"})
 
-    parts = df.select(F.col(key).cast("string").alias(key), seq, text, final)
-    return parts.groupBy(key).applyInPandasWithState(run, OUT, STATE, "append", GroupStateTimeout.NoTimeout)
+    # numbers without nulls, so that they stay whole numbers on their way
+    number = F.col(seq).cast("long")
+    parts = df.select(F.col(key).cast("string").alias("key"), F.coalesce(number, F.lit(0)).alias("seq"), number.isNotNull().alias("numbered"), F.col(text).alias("text"), F.coalesce(final, F.lit(False)).alias("final"))
+    return parts.groupBy("key").applyInPandasWithState(run, OUT, STATE, "append", GroupStateTimeout.NoTimeout)
