@@ -84,23 +84,34 @@ def try_jnta_encode(c: Column | str, conv_mode: int, table: JisTable | None = No
 
 def jnta_decode_with_error(c: Column | str, table: JisTable | None = None) -> Column:
     """struct<value, reason, start, end> of plane-1 bytes."""
-    c, table = _column(c), kernels.default_table(table)
-    text, good, whole = kernels.decoded(c, table)
-    hexed = F.hex(F.substring(c, good * 2 + 1, F.lit(2)))
-    first, second = F.lower(F.substring(hexed, 1, 2)), F.lower(F.substring(hexed, 3, 2))
-    inside = lambda x: (x >= "21") & (x <= "7e")
-    number = lambda x: F.conv(x, 16, 10).cast("int") + 1
-    start = good * 2
-    cases = [
-        (~inside(first), F.concat(F.lit("unexpected byte \\x"), first), 0, 1),
-        (second == "", F.lit("incomplete multibyte character"), 0, 1),
-        (~inside(second), F.concat(F.lit("unexpected byte \\x"), second, F.lit(" after \\x"), first), 1, 2),
-    ]
-    reason = F.concat(F.lit("JIS character 1-"), number(first).cast("string"), F.lit("-"), number(second).cast("string"), F.lit(" does not have a corresponding unicode codepoint"))
-    begin, end = start, start + 2
-    for test, text_of, a, b in reversed(cases):
-        reason, begin, end = F.when(test, text_of).otherwise(reason), F.when(test, start + a).otherwise(begin), F.when(test, start + b).otherwise(end)
-    return F.when(c.isNotNull(), F.struct(F.when(whole, text).alias("value"), F.when(~whole, reason).alias("reason"), F.when(~whole, begin).alias("start"), F.when(~whole, end).alias("end")))
+    table = kernels.default_table(table)
+
+    def error(c: Column, good: Column) -> tuple[Column, Column, Column]:
+        """(reason, start, end) of what comes after so many good codes."""
+        start = good * 2
+        hexed = F.hex(F.substring(c, start + 1, F.lit(2)))
+        first, second = F.lower(F.substring(hexed, 1, 2)), F.lower(F.substring(hexed, 3, 2))
+        inside = lambda x: (x >= "21") & (x <= "7e")
+        number = lambda x: F.conv(x, 16, 10).cast("int") + 1
+        cases = [
+            (~inside(first), F.concat(F.lit("unexpected byte \\x"), first), 0, 1),
+            (second == "", F.lit("incomplete multibyte character"), 0, 1),
+            (~inside(second), F.concat(F.lit("unexpected byte \\x"), second, F.lit(" after \\x"), first), 1, 2),
+        ]
+        reason = F.concat(F.lit("JIS character 1-"), number(first).cast("string"), F.lit("-"), number(second).cast("string"), F.lit(" does not have a corresponding unicode codepoint"))
+        begin, end = start, start + 2
+        for test, text_of, a, b in reversed(cases):
+            reason, begin, end = F.when(test, text_of).otherwise(reason), F.when(test, start + a).otherwise(begin), F.when(test, start + b).otherwise(end)
+        return reason, begin, end
+
+    def found(c: Column) -> Column:
+        bad = lambda good: F.struct(F.lit(None).cast("string").alias("value"), *[x.alias(n) for x, n in zip(error(c, good), DECODED.names[1:], strict=True)])
+        none = [F.lit(None).cast(f.dataType).alias(f.name) for f in DECODED.fields[1:]]
+        whole = lambda text: F.when(text.isNotNull(), F.struct(text.alias("value"), *none)).otherwise(kernels.bound(kernels.good_codes(c, table), bad))
+        return kernels.bound(kernels.decode(c, table), whole)
+
+    c = _column(c)
+    return F.when(c.isNotNull(), kernels.bound(c, found))
 
 
 def jnta_decode(c: Column | str, table: JisTable | None = None) -> Column:
@@ -111,8 +122,7 @@ def jnta_decode(c: Column | str, table: JisTable | None = None) -> Column:
 
 def try_jnta_decode(c: Column | str, table: JisTable | None = None) -> Column:
     """The text of plane-1 bytes, NULL where some are bad."""
-    text, _, whole = kernels.decoded(_column(c), kernels.default_table(table))
-    return F.when(whole, text)
+    return kernels.decode(_column(c), kernels.default_table(table))
 
 
 def jnta_shrink_translit(c: Column | str, replacement: str = "�", passthrough: bool = False, table: JisTable | None = None, bug_compat: bool = False) -> Column:
@@ -129,17 +139,22 @@ def jnta_shrink_translit(c: Column | str, replacement: str = "�", passthrough:
             return texts.map(lambda x: None if x is None else machine.shrink_translit(x, replacement, passthrough, table, True))
 
         return run(c)
-    text, first = kernels.shrink(c, kernels.default_table(table), replacement, passthrough)
+    table = kernels.default_table(table)
     if passthrough or replacement:
-        return text
-    message = F.concat(F.lit("transliteration failed at position "), first.cast("string"))
-    return F.when(first.isNotNull(), F.raise_error(message).cast("string")).otherwise(text)
+        return kernels.shrink(c, table, replacement, passthrough)
+
+    def failing(text: Column) -> Column:
+        message = lambda at: F.concat(F.lit("transliteration failed at position "), at.cast("string"))
+        shrunk = kernels.shrink(text, table, "?", False)
+        return kernels.bound(kernels.good_texts(text, table), lambda at: F.when(at.isNotNull(), F.raise_error(message(at)).cast("string")).otherwise(shrunk))
+
+    return kernels.bound(c, failing)
 
 
 def try_jnta_shrink_translit(c: Column | str, table: JisTable | None = None) -> Column:
     """The shrunken text, NULL where a character has no form."""
-    text, first = kernels.shrink(_column(c), kernels.default_table(table), "?", False)
-    return F.when(first.isNull(), text)
+    table = kernels.default_table(table)
+    return kernels.bound(_column(c), lambda text: F.when(kernels.good_texts(text, table).isNull(), kernels.shrink(text, table, "?", False)))
 
 
 def mj_shrink_candidates(c: Column | str, combo: Column | int, limit: int = 100, table: MjTable | None = None) -> Column:

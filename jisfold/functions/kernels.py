@@ -9,6 +9,7 @@ private character first; rows without a pair's second character skip that.
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Callable
 from functools import lru_cache, reduce
@@ -21,8 +22,8 @@ from jisfold.refdata.tables import JisRow, JisTable, seed_jis
 
 #: Private characters: a mark before a pair, and the pairs themselves.
 _MARK, _PAIR = "\U000f0000", 0xF0001
-#: How the UTF-8 of all of them begins.
-_PRIVATE_BYTES = b"\xf3\xb0\x80"
+#: How the UTF-8 of all of them begins, and how many there are.
+_PRIVATE_BYTES, _MOST_PRIVATE = b"\xf3\xb0", 0xFFF
 #: Codes of plane 2, as long as the text is no bytes yet, and how the UTF-8 of all of them begins.
 _PLANE_2, _PLANE_2_BYTE = 0x100000, b"\xf4"
 #: Characters whose two bytes are a shift code twice.
@@ -54,17 +55,36 @@ def _guarded(text: Column, table: JisTable, make) -> Column:
 
 
 def _pairs_to(text: Column, table: JisTable, to) -> Column:
-    """Pairs, from left to right, replaced by to(row)."""
+    """Pairs, from left to right, replaced by to(row).  All are marked at once;
+    then only those that the text has are replaced."""
 
     def make(own: Column) -> Column:
-        own = F.regexp_replace(own, pair_pattern(table), _MARK + "$1")
-        for row in table.pairs:
-            own = F.replace(own, F.lit(_MARK + row.us), F.lit(to(row)))
-        return own
+        names = F.create_map(*[F.lit(x) for row in table.pairs for x in (row.us, to(row))])
+        found = F.array_distinct(F.regexp_extract_all(own, F.lit(pair_pattern(table)), F.lit(1)))
+        marked = F.regexp_replace(own, pair_pattern(table), _MARK + "$1")
+        return F.aggregate(found, marked, lambda joined, pair: F.replace(joined, F.concat(F.lit(_MARK), pair), F.element_at(names, pair)))
 
     return _guarded(text, table, make)
 
 
+def _expanded(text: Column, forms: list[str]) -> Column:
+    """Private characters from _PAIR on, replaced by their forms; only those that
+    the text has are looked at, and rows without any not at all."""
+    if not forms:
+        return text
+    if len(forms) > _MOST_PRIVATE:
+        raise ValueError(f"more than {_MOST_PRIVATE} texts of several characters")
+    listed = F.from_json(F.lit(json.dumps(forms)), "array<string>")
+    range_of = f"[{chr(_PAIR)}-{chr(_PAIR + len(forms) - 1)}]"
+
+    def of(own: Column) -> Column:
+        found = F.array_distinct(F.regexp_extract_all(own, F.lit(range_of), F.lit(0)))
+        whole = F.aggregate(found, own, lambda now, x: F.replace(now, x, F.get(listed, F.ascii(x) - _PAIR)))
+        return F.when(F.contains(own.cast("binary"), F.lit(_PRIVATE_BYTES)), whole).otherwise(own)
+
+    return bound(text, of)
+
+
 def _private(table: JisTable) -> dict[int, str]:
     return {r.jis: chr(_PAIR + i) for i, r in enumerate(table.pairs)}
 
@@ -139,73 +159,102 @@ def encode(text: Column, mode: int, table: JisTable) -> Column:
     return F.when(~F.contains(text.cast("binary"), F.lit(_PRIVATE_BYTES)), found)
 
 
-def decoded(data: Column, table: JisTable) -> tuple[Column, Column, Column]:
-    """(text, number of good codes at the beginning, whether all is good)."""
-    # a letter for each byte; two-byte codes have bytes 0x21 to 0x7E only
-    byte_mask = F.translate(F.decode(data, "ISO-8859-1"), "".join(map(chr, range(256))), "".join(_GOOD if 0x21 <= b <= 0x7E else _BAD for b in range(256)))
-    formed = F.floor(F.length(F.regexp_extract(byte_mask, f"^{_GOOD}*", 0)) / 2).cast("int") * 2
-    units = F.decode(F.substring(data, F.lit(1), formed), "UTF-16BE")
-    rows = [r for r in table.rows.values() if r.plane == 1]
-    private = _private(table)
-    alphabet = "".join(map(_as_code, rows))
-    to = "".join(private[r.jis] if len(r.us) == 2 else r.us for r in rows)
+@lru_cache(maxsize=16)
+def _decoding(table: JisTable) -> tuple[str, str]:
+    """The codes of plane 1 as UTF-16 units, and the characters (private ones for pairs) in their order."""
+    rows, private = [r for r in table.rows.values() if r.plane == 1], _private(table)
+    return "".join(map(_as_code, rows)), "".join(private[r.jis] if len(r.us) == 2 else r.us for r in rows)
+
+
+#: The bytes that codes are made of, as Latin-1.
+_BYTES = "".join(map(chr, range(0x21, 0x7F)))
+
+
+def decode(data: Column, table: JisTable) -> Column:
+    """The text of plane-1 bytes, NULL where some are bad."""
+    alphabet, to = _decoding(table)
+
+    def text(units: Column) -> Column:
+        return F.when(F.translate(units, alphabet, "") == "", _expanded(F.translate(units, alphabet, to), [r.us for r in table.pairs]))
+
+    def of(data: Column) -> Column:
+        # two-byte codes have bytes 0x21 to 0x7E only, so an even number of them is good UTF-16
+        formed = (F.octet_length(data) % 2 == 0) & (F.translate(F.decode(data, "ISO-8859-1"), _BYTES, "") == "")
+        return F.when(formed, bound(F.decode(data, "UTF-16BE"), text))
+
+    return bound(data, of)
+
+
+def good_codes(data: Column, table: JisTable) -> Column:
+    """The number of good codes at the beginning."""
+    mask = F.translate(F.decode(data, "ISO-8859-1"), _BYTES, _GOOD * len(_BYTES))  # bad bytes stay, and are no letters
+    formed = F.floor(F.length(F.regexp_extract(mask, f"^{_GOOD}*", 0)) / 2).cast("int")
+    alphabet, _ = _decoding(table)
+    units = F.decode(F.substring(data, F.lit(1), formed * 2), "UTF-16BE")
     # an ASCII letter in the units would be a byte pair 00 xx, which no code is
-    masked = F.translate(F.translate(units, _GOOD, _BAD), alphabet, _GOOD * len(alphabet))
-    good = F.length(F.regexp_extract(masked, f"^{_GOOD}*", 0))
-    whole = (F.octet_length(data) == formed) & (F.translate(masked, _GOOD, "") == "")
-    text = F.translate(units, alphabet, to)
-    expanded = text
-    for r in table.pairs:
-        if r.plane == 1:
-            expanded = F.replace(expanded, F.lit(private[r.jis]), F.lit(r.us))
-    has_pair = F.translate(text, "".join(private.values()), "") != text
-    return F.when(has_pair, expanded).otherwise(text), good, whole
-
-
-def shrink(text: Column, table: JisTable, replacement: str, passthrough: bool) -> tuple[Column, Column]:
-    """(shrunken text, position of the first character without a form or null)."""
+    return F.length(F.regexp_extract(F.translate(units, alphabet, _GOOD * len(alphabet)), f"^{_GOOD}*", 0))
+
+
+@lru_cache(maxsize=16)
+def _shrinking(table: JisTable) -> tuple[str, str, list[str]]:
+    """(characters that change, what they become, forms of the private ones among these)."""
+    forms = [table.shrunk(r) for r in table.pairs]
+    singles = {u: table.shrunk(r) for u, r in table.by_text.items() if len(u) == 1}
+    changed = {u: s for u, s in singles.items() if s != u}
+    out = []
+    for s in changed.values():
+        if len(s) == 1:
+            out.append(s)
+        else:
+            out.append(chr(_PAIR + len(forms)))
+            forms.append(s)
+    return "".join(changed), "".join(out), forms
+
+
+def shrink(text: Column, table: JisTable, replacement: str, passthrough: bool) -> Column:
+    """The shrunken text; characters outside the table stay, or are replaced."""
     private = _private(table)
-    known = {u: table.shrunk(r) for u, r in table.by_text.items()}
-    joined = _pairs_to(text, table, lambda r: private[r.jis])
-    key = {u: (u if len(u) == 1 else private[table.by_text[u].jis]) for u in known}
-    alphabet, singles = "".join(key.values()), "".join(u for u in known if len(u) == 1)
-    one = {key[u]: s for u, s in known.items() if len(s) == 1 and s != key[u]}
-    several = {u: s for u, s in known.items() if len(s) != 1 and len(u) == 1}
+    known = [u for u in table.by_text if len(u) == 1]
+    alphabet = "".join([*known, *private.values()])
+    changed, to, several = _shrinking(table)
 
     def forms(c: Column) -> Column:
-        c = F.translate(c, "".join(one), "".join(one.values())) if one else c
-        for u, s in several.items():
-            c = F.replace(c, F.lit(u), F.lit(s))
-        return c
-
-    def back(c: Column) -> Column:
-        expanded = c
-        for r in table.pairs:
-            expanded = F.replace(expanded, F.lit(private[r.jis]), F.lit(table.shrunk(r)))
-        return F.when(F.translate(c, "".join(private.values()), "") != c, expanded).otherwise(c)
+        return _expanded(F.translate(c, changed, to) if changed else c, several)
 
-    def unknown(c: Column) -> Column:
-        return c if passthrough else F.lit(replacement)
+    def replaced(joined: Column) -> Column:
+        if passthrough:
+            return forms(joined)
+        # the row's own unknown characters are the list to translate
+        mark = lambda strange: F.call_function("translate", joined, strange, F.repeat(F.lit(_MARK), F.length(strange)))
+        marked = lambda strange: F.when(strange == "", forms(joined)).otherwise(F.replace(forms(mark(strange)), F.lit(_MARK), F.lit(replacement)))
+        return bound(F.translate(joined, alphabet, ""), marked)
 
     def token(c: Column) -> Column:
         """The form of one character or pair."""
-        found = F.when(F.translate(c, singles, "") == "", forms(c)).otherwise(unknown(c))
-        for r in table.pairs:
-            found = F.when(c == r.us, F.lit(table.shrunk(r))).otherwise(found)
-        return found
-
-    masked = _pairs_to(F.translate(text, _GOOD, _BAD), table, lambda r: _GOOD * 2)
-    masked = F.translate(masked, singles, _GOOD * len(singles))
-    first = F.when(F.translate(masked, _GOOD, "") != "", F.length(F.regexp_extract(masked, f"^{_GOOD}*", 0)))
-    fast = back(forms(joined))
-    if not passthrough:
-        each = F.transform(F.split(joined, ""), lambda c: F.when(F.translate(c, alphabet, "") != "", F.lit(replacement)).otherwise(forms(c)))
-        fast = F.when(first.isNull(), fast).otherwise(back(F.array_join(each, "")))
-    # a private character of the text itself would look like a pair: go by tokens
-    pattern = pair_pattern(table)[:-1] + "|(?s:.))" if table.pairs else "((?s:.))"
-    slow = F.array_join(F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)), token), "")
-    strange = F.translate(text, _MARK + "".join(private.values()), "") != text
-    return F.when(strange, slow).otherwise(fast), first
+        pairs = F.create_map(*[F.lit(x) for r in table.pairs for x in (r.us, table.shrunk(r))]) if table.pairs else None
+        own = F.when(F.translate(c, "".join(known), "") == "", forms(c)).otherwise(c if passthrough else F.lit(replacement))
+        return own if pairs is None else F.coalesce(F.try_element_at(pairs, c), own)
+
+    def of(own: Column) -> Column:
+        # a private character of the text itself would look like a pair: go by tokens
+        pattern = pair_pattern(table)[:-1] + "|(?s:.))" if table.pairs else "((?s:.))"
+        slow = F.array_join(F.transform(F.regexp_extract_all(own, F.lit(pattern), F.lit(1)), token), "")
+        fast = bound(_pairs_to(own, table, lambda r: private[r.jis]), replaced)
+        return F.when(F.contains(own.cast("binary"), F.lit(_PRIVATE_BYTES)), slow).otherwise(fast)
+
+    return bound(text, of)
+
+
+def good_texts(text: Column, table: JisTable) -> Column:
+    """The number of characters before the first that is outside the table, NULL
+    where all are in it."""
+    singles = "".join(u for u in table.by_text if len(u) == 1)
+
+    def of(own: Column) -> Column:
+        masked = _pairs_to(F.translate(own, _GOOD, _BAD), table, lambda r: _GOOD * 2)
+        return bound(F.translate(masked, singles, _GOOD * len(singles)), lambda m: F.when(F.translate(m, _GOOD, "") != "", F.length(F.regexp_extract(m, f"^{_GOOD}*", 0))))
+
+    return bound(text, of)
 
 
 def default_table(table: JisTable | None) -> JisTable:

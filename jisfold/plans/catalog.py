@@ -160,16 +160,100 @@ FROM part
 
 def fullwidth_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents in full-width form: bytes of those that plane 1 can write."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.translate("text", corpus.ASCII, corpus.FULL_WIDTH).alias("wide"))
-    coded = docs.select("doc_id", F.coalesce(F.octet_length(J.try_jnta_encode(F.replace("wide", F.lit("\n"), F.lit("")), ConversionMode.MEN1)), F.lit(-1)).cast("long").alias("jis_bytes"))
-    return coded
+    wide = F.replace(F.translate("text", corpus.ASCII, corpus.FULL_WIDTH), F.lit("\n"), F.lit(""))
+    coded = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", J.try_jnta_encode(wide, ConversionMode.MEN1).alias("jis"))
+    return coded.select("doc_id", F.coalesce(F.octet_length("jis"), F.lit(-1)).cast("long").alias("jis_bytes"), F.md5("jis").alias("jis_md5"))
 
 
 _LATIN = "".join(u for u, r in TABLE.by_text.items() if len(u) == 1 and ord(u) < 0x250 and r.plane == 1)
-_MISSING = "".join(c for c in map(chr, range(0x80, 0x250)) if c not in _LATIN)
+
+
+def _sql_bytes(text: str) -> str:
+    """(hex of the text's codes, NULL where some token has none) of a text without
+    surrogates: distinct characters are looked up, then put in their places."""
+    return f"CASE WHEN len(list_filter(list_distinct(string_split({text}, '')), lambda c: c <> '' AND m[c] IS NULL)) = 0 THEN array_to_string(list_transform(string_split({text}, ''), lambda c: coalesce(m[c], '')), '') END"
+
+
+_WIDE_ALL = {w: TABLE.by_text[w].code.hex().upper() for w in [*corpus.FULL_WIDTH, *_LATIN] if w in TABLE.by_text and TABLE.by_text[w].plane == 1}
 FULLWIDTH_DOCS_SQL = f"""
-SELECT doc_id, CASE WHEN regexp_matches(t, '[\\x00-\\x20]') OR len(translate(t, {q(_MISSING)}, '')) < len(t) THEN -1 ELSE 2 * len(t) END::BIGINT AS jis_bytes
-FROM (SELECT doc_id, replace(translate(text, ' ', '　'), chr(10), '') AS t FROM documents)
+WITH t AS (SELECT doc_id, replace(translate(text, {q(corpus.ASCII)}, {q(corpus.FULL_WIDTH)}), chr(10), '') AS t, {_map(_WIDE_ALL)} AS m FROM documents),
+h AS (SELECT doc_id, {_sql_bytes("t")} AS h FROM t)
+SELECT doc_id, coalesce(len(h) // 2, -1)::BIGINT AS jis_bytes, md5(unhex(h)) AS jis_md5 FROM h
+"""
+
+
+def _kanji_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every second document without the letters that become characters outside the table."""
+    text = F.when(F.col("doc_id") % 2 == 0, F.translate("text", "ez", "xx")).otherwise(F.col("text"))
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", corpus.kanji(text).alias("s"))
+
+
+def siso_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents in full-width form and kanji, with shifts between the planes."""
+    coded = _kanji_documents(spark, sf_dir).select("doc_id", J.jnta_encode_with_error("s", ConversionMode.SISO).alias("e"))
+    return coded.select("doc_id", F.md5("e.value").alias("jis_md5"), F.octet_length("e.value").cast("long").alias("n_bytes"), F.col("e.start").cast("long").alias("error_at"))
+
+
+#: What may stand in the documents' kanji forms: tokens with their codes; shifts stand around runs of plane 2.
+_KANJI = [*corpus.FULL_WIDTH, *_LATIN, *(c for c in corpus.LETTERS.values() if len(c) == 1)]
+_KANJI_CODES = {c: TABLE.by_text[c].code.hex().upper() for c in _KANJI if c in TABLE.by_text}
+_SQL_KANJI_DOCS = f"(SELECT doc_id, {corpus.sql_kanji('text')} AS s FROM (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN translate(text, 'ez', 'xx') ELSE text END AS text FROM documents))"
+#: Letters whose characters lie in plane 2, and those outside plane 1.
+_SECOND = "".join(c for c in corpus.LETTERS.values() if len(c) == 1 and c in TABLE.by_text and TABLE.by_text[c].plane == 2)
+_NOT_FIRST = _SECOND + "".join(c for c in corpus.LETTERS.values() if len(c) == 1 and c not in TABLE.by_text)
+#: The pair as one private character.
+_JOINED = f"replace(s, {q(corpus.LETTERS['r'])}, chr(983041))"
+_PAIR_CODE = TABLE.by_text[corpus.LETTERS["r"]].code.hex().upper()
+SISO_DOCS_SQL = f"""
+WITH t AS (SELECT doc_id, s, {_JOINED} AS j, {_map(_KANJI_CODES | {chr(983041): _PAIR_CODE, chr(1): "0F", chr(2): "0E"})} AS m FROM {_SQL_KANJI_DOCS}),
+b AS (SELECT doc_id, s, m, regexp_replace(j, '([{_SECOND}]+)', chr(1) || '\\1' || chr(2), 'g') AS b,
+             list_position(list_transform(string_split(j, ''), lambda c: c <> '' AND m[c] IS NULL), true) AS p, j FROM t),
+h AS (SELECT doc_id, CASE WHEN coalesce(p, 0) = 0 THEN array_to_string(list_transform(string_split(b, ''), lambda c: coalesce(m[c], '')), '') END AS h,
+             CASE WHEN p > 0 THEN len(replace(j[1:p - 1], chr(983041), 'xx')) END AS error_at FROM b)
+SELECT doc_id, md5(unhex(h)) AS jis_md5, (len(h) // 2)::BIGINT AS n_bytes, error_at::BIGINT AS error_at FROM h
+"""
+
+
+def shrink_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents in full-width form and kanji: shrunken, with characters outside
+    the table replaced and kept."""
+    own = _kanji_documents(spark, sf_dir)
+    return own.select("doc_id", F.md5(J.jnta_shrink_translit("s")).alias("shrunk_md5"), F.md5(J.jnta_shrink_translit("s", passthrough=True)).alias("kept_md5"))
+
+
+_SHRUNK = {c: TABLE.shrunk(TABLE.by_text[c]) for c in _KANJI if c in TABLE.by_text}
+_SHRUNK_ONE = {c: x for c, x in _SHRUNK.items() if len(x) == 1 and c != x}
+_SHRUNK_MORE = {c: x for c, x in _SHRUNK.items() if len(x) > 1}
+
+
+def _sql_shrunk(text: str) -> str:
+    out = f"translate({text}, {q(''.join(_SHRUNK_ONE))}, {q(''.join(_SHRUNK_ONE.values()))})"
+    for c, x in _SHRUNK_MORE.items():
+        out = f"replace({out}, {q(c)}, {q(x)})"
+    return out
+
+
+SHRINK_DOCS_SQL = f"""
+WITH t AS (SELECT doc_id, s, {_JOINED} AS j, {q("".join(sorted(_SHRUNK)))} || chr(983041) AS known FROM {_SQL_KANJI_DOCS}),
+u AS (SELECT doc_id, s, array_to_string(list_transform(string_split(j, ''), lambda c: CASE WHEN c = '' OR contains(known, c) THEN c ELSE '�' END), '') AS r FROM t)
+SELECT doc_id, md5({_sql_shrunk(f"replace(r, chr(983041), {q(corpus.LETTERS['r'])})")}) AS shrunk_md5, md5({_sql_shrunk("s")}) AS kept_md5 FROM u
+"""
+
+
+def decode_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents from the bytes of those that plane 1 can write: as text, and cut
+    after an odd number of bytes, where and why that fails."""
+    own = _kanji_documents(spark, sf_dir).select("doc_id", F.translate("s", _NOT_FIRST, "").alias("s"))
+    own = own.withColumn("jis", J.try_jnta_encode("s", ConversionMode.MEN1)).where("octet_length(jis) > 1")
+    cut = J.jnta_decode_with_error(F.substring("jis", F.lit(1), F.octet_length("jis") - 1))
+    return own.select("doc_id", F.md5(J.try_jnta_decode("jis")).alias("text_md5"), cut.alias("e")).select("doc_id", "text_md5", F.col("e.reason").alias("reason"), F.col("e.start").cast("long").alias("start_pos"))
+
+
+DECODE_DOCS_SQL = f"""
+WITH t AS (SELECT doc_id, translate(s, {q(_NOT_FIRST)}, '') AS s FROM {_SQL_KANJI_DOCS}),
+k AS (SELECT doc_id, s, {_JOINED} AS j FROM t)
+SELECT doc_id, md5(s) AS text_md5, 'incomplete multibyte character' AS reason, (2 * len(j) - 2)::BIGINT AS start_pos
+FROM k WHERE len(j) > 0 AND len(translate(j, {q("".join(_KANJI_CODES))} || chr(983041), '')) = 0
 """
 
 
@@ -315,6 +399,43 @@ SELECT s_suppkey, x AS s, coalesce(array_to_string(forms, '|'), x) AS candidates
 """
 
 
+def mj_candidates_numbered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers with their nations' names: the candidates numbered 2 to 5 of the
+    text, made from their numbers alone, and how many there are."""
+    own = corpus.customers(spark, sf_dir)
+    nation = spark.read.parquet(f"{sf_dir}/nation.parquet").select("n_nationkey", "n_name")
+    own = own.join(nation, own.c_nationkey == nation.n_nationkey).select("c_custkey", "n_name", "s", J.mj_candidate_count("s", int(C(15))).alias("n"))
+    found = J.candidates_between(own, "s", int(C(15)), 1, 6)
+    return found.select("c_custkey", "n_name", "s", "n", "ord", "candidate")
+
+
+NUMBERED_SQL = f"""
+WITH c AS ({_sql_candidates(C(15), 1 << 40)})
+SELECT c_custkey, n_name, s, count(*) OVER (PARTITION BY c_custkey) AS n, ord, candidate FROM c JOIN customer USING (c_custkey) JOIN nation ON c_nationkey = n_nationkey
+QUALIFY ord BETWEEN 1 AND 5
+"""
+
+
+def mj_shrink(spark: SparkSession) -> DataFrame:
+    """T6 of the table in use."""
+    rows = [(mj, k, n, u) for mj, schemes in seed_mj().shrink.items() for k, us in schemes.items() for n, u in enumerate(us)]
+    return spark.createDataFrame(rows, "mj int, scheme int, ord int, u int")
+
+
+def mj_candidates_joined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The candidates under all schemes, by joins with the tables."""
+    found = relational.with_choices(corpus.customers(spark, sf_dir).select("c_custkey", "s"), "s", mj_map(spark), mj_shrink(spark), int(C(15)))
+    forms = F.array_join(F.transform("choices", lambda x: F.array_join(x, "|")), "/")
+    return found.select("c_custkey", "s", forms.alias("forms"))
+
+
+JOINED_SQL = f"""
+WITH k AS ({_sql_rows(f"{_SQL_PARTS} FROM (SELECT DISTINCT unnest({_SQL_TOKENS}) AS x FROM (VALUES {corpus.values()}) v(i, s))")}), forms AS ({_sql_forms(C(15))}),
+m AS (SELECT map_from_entries(list((x, forms))) AS m FROM forms)
+SELECT c_custkey, s, coalesce(array_to_string(list_transform({_SQL_TOKENS}, lambda x: array_to_string(coalesce(m[x], [x]), '|')), '/'), '') AS forms FROM {corpus.CUSTOMERS}, m
+"""
+
+
 def candidate_count_by_nation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per nation: customers and all their candidates."""
     own = corpus.customers(spark, sf_dir).withColumn("k", F.size(J.mj_shrink_candidates("s", int(UNIFICATION | FAMILY_REGISTER))))
@@ -352,6 +473,47 @@ HISTOGRAM_SQL = (
 )
 
 
+def class_ranges(spark: SparkSession) -> DataFrame:
+    """The table's characters as ranges of code points of one class."""
+    out: list[list[int]] = []
+    for r in sorted(TABLE.singles(), key=lambda r: r.us):
+        if out and out[-1][1] == ord(r.us) - 1 and out[-1][2] == r.cls:
+            out[-1][1] += 1
+        else:
+            out.append([ord(r.us), ord(r.us), r.cls])
+    return spark.createDataFrame(out, "first int, last int, class int")
+
+
+def jis_class_by_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per language and class: characters of all documents, by a join of the
+    distinct characters with ranges of code points."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("lang", F.explode(F.split("text", "")).alias("c"))
+    own = docs.where("c <> ''").groupBy("lang", F.ascii("c").alias("u")).agg(F.count("*").alias("n"))
+    found = relational.range_join(own, "u", class_ranges(spark), "first", "last", 256, "left")
+    return found.groupBy("lang", F.coalesce("class", F.lit(0)).cast("long").alias("class")).agg(F.sum("n").alias("n"))
+
+
+_CLASSES = {c: r.cls for r in TABLE.singles() for c in r.us if ord(c) < 0x2000}
+BY_RANGES_SQL = f"""
+WITH c AS (SELECT lang, unnest(string_split(text, '')) AS c FROM documents), m AS (SELECT * FROM (VALUES {", ".join(f"({q(c)}, {k})" for c, k in _CLASSES.items())}) m(c, k))
+SELECT lang, coalesce(k, 0)::BIGINT AS class, count(*) AS n FROM c LEFT JOIN m USING (c) WHERE c <> '' GROUP BY ALL
+"""
+
+
+def order_key_islands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of the keys of large orders with gaps below 4."""
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").where("o_totalprice > 250000")
+    found = relational.islands(orders, "o_orderkey", 4)
+    return found.select(F.col("first").alias("first_key"), F.col("last").alias("last_key"), "n")
+
+
+ORDER_ISLANDS_SQL = """
+WITH p AS (SELECT DISTINCT o_orderkey AS u FROM orders WHERE o_totalprice > 250000),
+g AS (SELECT u, sum(CASE WHEN u - was < 4 THEN 0 ELSE 1 END) OVER (ORDER BY u) AS k FROM (SELECT u, lag(u) OVER (ORDER BY u) AS was FROM p))
+SELECT min(u) AS first_key, max(u) AS last_key, count(*) AS n FROM g GROUP BY k
+"""
+
+
 def men_ku_ten_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Packed numbers of men-ku-ten texts made of the orders' keys, and back."""
     key = F.col("o_orderkey")
@@ -470,20 +632,25 @@ U_TO_MJ_SQL = (
 )
 
 
-def _write(spark: SparkSession, name: str, data: bytes) -> str:
-    """Puts a small file into the folder that all executors share."""
+def _shared(spark: SparkSession) -> str:
+    """A new folder under the one that all executors share."""
     import uuid
 
-    from pyarrow import fs
-
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not folder:
         import tempfile
 
         if not spark.sparkContext.master.startswith("local["):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        folder = tempfile.mkdtemp()
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/{uuid.uuid4().hex}/{name}")
+        folder = "file://" + tempfile.mkdtemp()
+    return f"{folder}/{uuid.uuid4().hex}"
+
+
+def _write(spark: SparkSession, name: str, data: bytes) -> str:
+    """Puts a small file into the folder that all executors share."""
+    from pyarrow import fs
+
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{_shared(spark)}/{name}")
     uri = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString()
     system, base = fs.FileSystem.from_uri(uri)
     system.create_dir(base.rpartition("/")[0], recursive=True)
@@ -686,6 +853,37 @@ STREAM_SQL = f"""
 SELECT i::BIGINT AS stream_id, coalesce(h, '') AS jis_hex, bad AS errors FROM o
 """
 
+def stream_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations whose turns come in any order, over several micro-batches:
+    each one's bytes, with shifts between the planes, put together again."""
+    from jisfold.streaming import ordered
+
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "text")
+    last = turns.groupBy("conv_id").agg(F.max("turn").alias("last"))
+    parts = turns.join(last, "conv_id").select(F.col("conv_id").cast("string").alias("stream_id"), F.col("turn").alias("seq"), corpus.kanji(F.translate("text", "ez", "xx")).alias("text"), (F.col("turn") == F.col("last")).alias("final"))
+    folder = _shared(spark)
+    parts.repartition(3, F.xxhash64("stream_id", "seq")).write.parquet(f"{folder}/parts")
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key)
+    spark.conf.set(key, ordered.ROCKSDB)
+    try:
+        stream = spark.readStream.schema(parts.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/parts")
+        coded = ordered.encode_ordered_stream(stream, ConversionMode.SISO)
+        coded.writeStream.outputMode("append").format("parquet").option("path", f"{folder}/coded").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set(key, before)
+    found = spark.read.schema(ordered.OUT).parquet(f"{folder}/coded")
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", F.hex("bytes").alias("h")))), lambda x: x["h"]), "")
+    return found.groupBy(F.col("stream_id").cast("long").alias("conv_id")).agg(F.md5(F.unhex(joined)).alias("jis_md5"), F.count("*").alias("parts"), F.count("reason").alias("errors"))
+
+
+STREAM_CONVERSATIONS_SQL = f"""
+WITH t AS (SELECT conv_id, count(*) AS parts, string_agg(translate(text, 'ez', 'xx'), '' ORDER BY turn) AS text FROM conversations GROUP BY conv_id),
+s AS (SELECT conv_id, parts, {corpus.sql_kanji('text')} AS s FROM t),
+b AS (SELECT conv_id, parts, regexp_replace({_JOINED}, '([{_SECOND}]+)', chr(1) || '\\1' || chr(2), 'g') AS b, {_map(_KANJI_CODES | {chr(983041): _PAIR_CODE, chr(1): "0F", chr(2): "0E"})} AS m FROM s)
+SELECT conv_id, md5(unhex(array_to_string(list_transform(string_split(b, ''), lambda c: coalesce(m[c], '')), ''))) AS jis_md5, parts, 0::BIGINT AS errors FROM b
+"""
+
 QUERIES = {
     "encode_pairs": encode_pairs,
     "ingest_jis_rows": ingest_jis_rows,
@@ -724,6 +922,14 @@ QUERIES = {
     "xlsx_scan": xlsx_scan,
     "mj_json_scan": mj_json_scan,
     "stream_encode": stream_encode,
+    "siso_documents": siso_documents,
+    "shrink_documents": shrink_documents,
+    "decode_documents": decode_documents,
+    "mj_candidates_numbered": mj_candidates_numbered,
+    "mj_candidates_joined": mj_candidates_joined,
+    "jis_class_by_ranges": jis_class_by_ranges,
+    "order_key_islands": order_key_islands,
+    "stream_conversations": stream_conversations,
 }
 
 ORACLES = {
@@ -764,4 +970,12 @@ ORACLES = {
     "refdata_u_to_mj": U_TO_MJ_SQL,
     "xlsx_scan": XLSX_SQL,
     "mj_json_scan": MJ_JSON_SQL,
+    "siso_documents": SISO_DOCS_SQL,
+    "shrink_documents": SHRINK_DOCS_SQL,
+    "decode_documents": DECODE_DOCS_SQL,
+    "mj_candidates_numbered": NUMBERED_SQL,
+    "mj_candidates_joined": JOINED_SQL,
+    "jis_class_by_ranges": BY_RANGES_SQL,
+    "order_key_islands": ORDER_ISLANDS_SQL,
+    "stream_conversations": STREAM_CONVERSATIONS_SQL,
 }

@@ -36,3 +36,21 @@ def values(texts: list[str] = TEXTS) -> str:
 
 
 CUSTOMERS = f"(SELECT c_custkey, c_nationkey, i, s FROM customer JOIN (VALUES {values()}) v(i, s) ON c_custkey % {len(TEXTS)} = i)"
+
+#: Letters of the documents for which kanji and kana of all classes stand: rare ones with shrunken forms, ones of plane 2, pairs, and some outside the table.
+LETTERS = {"a": "麴", "e": "髙", "i": "﨑", "o": "㉑", "u": "棃", "n": "𠂉", "r": "か゚", "s": "高", "t": "邉", "z": "✋", "é": "繫", "q": "か"}
+
+
+def kanji(text):
+    """The text in full-width form, with kanji for its letters; line feeds go."""
+    one = {k: v for k, v in LETTERS.items() if len(v) == 1}
+    found = F.replace(F.translate(text, "".join(one) + "\n", "".join(one.values())), F.lit("r"), F.lit(LETTERS["r"]))
+    return F.translate(found, ASCII, FULL_WIDTH)
+
+
+def sql_kanji(text: str) -> str:
+    """The same in SQL."""
+    one = {k: v for k, v in LETTERS.items() if len(v) == 1}
+    ascii_only = "".join(c for c in ASCII if c not in one and c != "r")
+    wide = "".join(FULL_WIDTH[ASCII.index(c)] for c in ascii_only)
+    return f"replace(translate({text}, {quoted(''.join(one) + ascii_only + chr(10))}, {quoted(''.join(one.values()) + wide)}), 'r', {quoted(LETTERS['r'])})"
