@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from jisfold.constants import NOT_CONVERTIBLE, ConversionMode, TransliterationError
+from jisfold.errors import failing, typed_errors
 from jisfold.functions import candidates, kernels, machine
 from jisfold.refdata.tables import JisTable, MjTable
 
@@ -64,14 +65,22 @@ def jnta_encode_with_error(c: Column | str, conv_mode: int, table: JisTable | No
     return F.when(c.isNotNull(), kernels.bound(c, found))
 
 
-def _failing(found: Column) -> Column:
-    message = F.concat(found["reason"], F.lit(" at position "), found["start"].cast("string"))
-    return F.when(found["reason"].isNotNull(), F.raise_error(message).cast(T.BinaryType())).otherwise(found["value"])
+def jnta_encode(c: Column | str, conv_mode: int, table: JisTable | None = None, bug_compat: bool = False) -> Column:
+    """The text's bytes; a text that can't be written fails the job (see
+    ``jisfold.errors`` for the error's type)."""
 
+    def whole(text: Column) -> Column:
+        def of(found: Column) -> Column:
+            failed = failing("encode", found["reason"], found["start"], found["end"], text).cast(T.BinaryType())
+            return F.when(found["reason"].isNotNull(), failed).otherwise(found["value"])
 
-def jnta_encode(c: Column | str, conv_mode: int, table: JisTable | None = None, bug_compat: bool = False) -> Column:
-    """The text's bytes; a text that can't be written fails the job."""
-    return _failing(jnta_encode_with_error(c, conv_mode, table, bug_compat))
+        return kernels.bound(jnta_encode_with_error(text, conv_mode, table, bug_compat), of)
+
+    if bug_compat:  # a UDF can't stand inside a lambda
+        text, found = _column(c), jnta_encode_with_error(c, conv_mode, table, bug_compat)
+        failed = failing("encode", found["reason"], found["start"], found["end"], text).cast(T.BinaryType())
+        return F.when(found["reason"].isNotNull(), failed).otherwise(found["value"])
+    return kernels.bound(_column(c), whole)
 
 
 def try_jnta_encode(c: Column | str, conv_mode: int, table: JisTable | None = None, bug_compat: bool = False) -> Column:
@@ -116,8 +125,15 @@ def jnta_decode_with_error(c: Column | str, table: JisTable | None = None) -> Co
 
 def jnta_decode(c: Column | str, table: JisTable | None = None) -> Column:
     """The text of plane-1 bytes; bad bytes fail the job."""
-    found = jnta_decode_with_error(c, table)
-    return F.when(found["reason"].isNotNull(), F.raise_error(F.concat(found["reason"], F.lit(" at position "), found["start"].cast("string"))).cast("string")).otherwise(found["value"])
+
+    def whole(data: Column) -> Column:
+        def of(found: Column) -> Column:
+            failed = failing("decode", found["reason"], found["start"], found["end"], F.hex(data)).cast("string")
+            return F.when(found["reason"].isNotNull(), failed).otherwise(found["value"])
+
+        return kernels.bound(jnta_decode_with_error(data, table), of)
+
+    return kernels.bound(_column(c), whole)
 
 
 def try_jnta_decode(c: Column | str, table: JisTable | None = None) -> Column:
@@ -143,12 +159,11 @@ def jnta_shrink_translit(c: Column | str, replacement: str = "�", passthrough:
     if passthrough or replacement:
         return kernels.shrink(c, table, replacement, passthrough)
 
-    def failing(text: Column) -> Column:
-        message = lambda at: F.concat(F.lit("transliteration failed at position "), at.cast("string"))
+    def whole(text: Column) -> Column:
         shrunk = kernels.shrink(text, table, "?", False)
-        return kernels.bound(kernels.good_texts(text, table), lambda at: F.when(at.isNotNull(), F.raise_error(message(at)).cast("string")).otherwise(shrunk))
+        return kernels.bound(kernels.good_texts(text, table), lambda at: F.when(at.isNotNull(), failing("translit", F.lit("transliteration failed"), at).cast("string")).otherwise(shrunk))
 
-    return kernels.bound(c, failing)
+    return kernels.bound(c, whole)
 
 
 def try_jnta_shrink_translit(c: Column | str, table: JisTable | None = None) -> Column:
@@ -321,4 +336,5 @@ __all__ = [
     "try_jnta_decode",
     "try_jnta_encode",
     "try_jnta_shrink_translit",
+    "typed_errors",
 ]
