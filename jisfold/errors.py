@@ -17,9 +17,9 @@ import json
 from collections.abc import Iterator
 
 from pyspark.sql import Column
-from pyspark.sql import functions as F
 
 from jisfold.constants import TransliterationError
+from jisfold.expressions import F
 
 _MARK = '{"jisfold":'
 

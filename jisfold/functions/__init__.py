@@ -13,11 +13,12 @@ from __future__ import annotations
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import functions as spark_functions
 from pyspark.sql import types as T
 
 from jisfold.constants import NOT_CONVERTIBLE, ConversionMode, TransliterationError
 from jisfold.errors import failing, typed_errors
+from jisfold.expressions import F
 from jisfold.functions import candidates, kernels, machine
 from jisfold.refdata.tables import JisTable, MjTable
 
@@ -26,11 +27,11 @@ DECODED = T.StructType([T.StructField("value", T.StringType()), *RESULT.fields[1
 
 
 def _column(c: Column | str) -> Column:
-    return F.col(c) if isinstance(c, str) else c
+    return spark_functions.col(c) if isinstance(c, str) else c
 
 
 def _encode_udf(mode: int, table: JisTable | None, bug_compat: bool):
-    @F.pandas_udf(RESULT)
+    @spark_functions.pandas_udf(RESULT)
     def run(texts: pd.Series) -> pd.DataFrame:
         rows = []
         for text in texts:
@@ -150,7 +151,7 @@ def jnta_shrink_translit(c: Column | str, replacement: str = "�", passthrough:
     c = _column(c)
     if bug_compat:
 
-        @F.pandas_udf("string")
+        @spark_functions.pandas_udf("string")
         def run(texts: pd.Series) -> pd.Series:
             return texts.map(lambda x: None if x is None else machine.shrink_translit(x, replacement, passthrough, table, True))
 
@@ -197,7 +198,7 @@ def mj_candidate_count(c: Column | str, combo: Column | int, table: MjTable | No
 def mj_candidate_at(c: Column | str, combo: Column | int, number: Column | int, table: MjTable | None = None) -> Column:
     """The candidate of a number (from 0), without making those before it; NULL
     where there is none."""
-    number = number if isinstance(number, Column) else F.lit(number)
+    number = F.lit(number) if isinstance(number, int) else number
     return candidates.at_column(candidates.choices_column(_column(c), combo, table), number)
 
 

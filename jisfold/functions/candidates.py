@@ -14,8 +14,8 @@ from functools import lru_cache
 from itertools import islice, product, takewhile
 
 from pyspark.sql import Column
-from pyspark.sql import functions as F
 
+from jisfold.expressions import F
 from jisfold.refdata.tables import MjTable, seed_mj
 
 
@@ -113,7 +113,7 @@ def selector_character(number: int) -> str:
 def choices_column(text: Column, combo: Column | int, table: MjTable | None = None) -> Column:
     """array<array<string>>: each token's candidates, as ``choices`` gives them."""
     known, places, listed = _entries(table or seed_mj())
-    combo = combo if isinstance(combo, Column) else F.lit(int(combo))
+    combo = F.lit(int(combo)) if isinstance(combo, int) else combo
     entries = F.from_json(F.lit(listed), _ENTRIES)
 
     def of(token: Column) -> Column:

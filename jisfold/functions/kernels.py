@@ -15,9 +15,9 @@ from collections.abc import Callable
 from functools import lru_cache, reduce
 
 from pyspark.sql import Column
-from pyspark.sql import functions as F
 
 from jisfold.constants import ConversionMode
+from jisfold.expressions import F
 from jisfold.refdata.tables import JisRow, JisTable, seed_jis
 
 #: Private characters: a mark before a pair, and the pairs themselves.

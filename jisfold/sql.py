@@ -1,53 +1,77 @@
-"""SQL names of the functions."""
+"""SQL names of the functions.
+
+They are SQL functions whose bodies are the expressions of the column
+functions, so a query that calls them stays in the JVM, and options that are
+written as constants leave only the part of the body that they ask for.
+"""
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Callable
+
 from pyspark.sql import SparkSession
-from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from jisfold.constants import ConversionMode, TransliterationError
-from jisfold.functions import DECODED, RESULT, candidates, machine
+from jisfold import functions as J
+from jisfold.constants import ConversionMode
+from jisfold.expressions import F, Sql, as_sql
+from jisfold.functions import candidates
 from jisfold.refdata.tables import JisTable, MjTable
 
+_ENCODED = "STRUCT<value: BINARY, reason: STRING, start: INT, `end`: INT>"
+_DECODED = "STRUCT<value: STRING, reason: STRING, start: INT, `end`: INT>"
 
-def _arrow(f, kind):
-    """f by rows of Arrow batches; NULL in the first argument gives NULL."""
 
-    @F.pandas_udf(kind)
-    def run(*columns: pd.Series) -> pd.Series:
-        return pd.Series([None if x[0] is None else f(*x) for x in zip(*columns, strict=True)], dtype=object)
+def _by_mode(make: Callable[[Sql, int], Sql], kind: str) -> Callable[[], Sql]:
+    """A body that depends on the option ``mode``; a mode that there is not fails."""
 
-    return run
+    def body() -> Sql:
+        found = F.when(Sql("mode") == int(ConversionMode.SISO), make(Sql("s"), ConversionMode.SISO))
+        for mode in list(ConversionMode)[1:]:
+            found = found.when(Sql("mode") == int(mode), make(Sql("s"), mode))
+        return found.otherwise(F.raise_error(F.concat(F.lit("there is no mode "), F.coalesce(Sql("CAST(mode AS STRING)"), F.lit("NULL")))).cast(kind))
 
+    return body
 
-def _or_none(f):
-    """f, with None where a text can't be converted."""
 
-    def run(*args):
-        try:
-            return f(*args)
-        except (UnicodeError, TransliterationError):
-            return None
+def _shrunk(jis: JisTable | None) -> Callable[[], Sql]:
+    def body() -> Sql:
+        s, replacement = Sql("s"), Sql("replacement")
+        plain = F.when(replacement == "", J.jnta_shrink_translit(s, "", False, jis)).otherwise(J.jnta_shrink_translit(s, replacement, False, jis))
+        return F.when(Sql("passthrough"), J.jnta_shrink_translit(s, passthrough=True, table=jis)).otherwise(plain)
 
-    return run
+    return body
 
 
-def _with_error(f, kind: T.StructType):
-    """f's value, or what is wrong where, as the struct ``kind``."""
+def _candidates(mj: MjTable | None) -> Callable[[], Sql]:
+    def body() -> Sql:
+        most = Sql("most")
 
-    @F.pandas_udf(kind)
-    def run(*columns: pd.Series) -> pd.DataFrame:
-        rows = []
-        for x in zip(*columns, strict=True):
-            try:
-                rows.append((None if x[0] is None else f(*x), None, None, None))
-            except UnicodeError as e:
-                rows.append((None, e.reason, e.start, e.end))
-        return pd.DataFrame(rows, columns=kind.names).astype({"start": "Int32", "end": "Int32"})
+        def longer(found: Sql, own: Sql) -> Sql:
+            every = F.flatten(F.transform(own, lambda last: F.transform(found, lambda first: F.concat(first, last))))
+            return F.when(most < 0, every).otherwise(F.slice(every, 1, F.greatest(most, F.lit(0))))
 
-    return run
+        start = F.when(most == 0, Sql("CAST(array() AS array<string>)")).otherwise(F.array(F.lit("")))
+        return F.aggregate(candidates.choices_column(Sql("s"), Sql("combo"), mj), start, longer)
+
+    return body
+
+
+def definitions(jis: JisTable | None = None, mj: MjTable | None = None) -> dict[str, tuple[str, str, Callable[[], Sql]]]:
+    """Parameters, result and body of each SQL function."""
+    text, mode, data = "s STRING", "s STRING, mode INT DEFAULT 0", "s BINARY"
+    return {
+        "jnta_encode": (mode, "BINARY", _by_mode(lambda s, m: J.jnta_encode(s, m, jis), "binary")),
+        "try_jnta_encode": (mode, "BINARY", _by_mode(lambda s, m: J.try_jnta_encode(s, m, jis), "binary")),
+        "jnta_encode_with_error": (mode, _ENCODED, _by_mode(lambda s, m: J.jnta_encode_with_error(s, m, jis), _ENCODED)),
+        "jnta_decode": (data, "STRING", lambda: J.jnta_decode(Sql("s"), jis)),
+        "try_jnta_decode": (data, "STRING", lambda: J.try_jnta_decode(Sql("s"), jis)),
+        "jnta_decode_with_error": (data, _DECODED, lambda: J.jnta_decode_with_error(Sql("s"), jis)),
+        "jnta_shrink_translit": (f"{text}, replacement STRING DEFAULT '�', passthrough BOOLEAN DEFAULT false", "STRING", _shrunk(jis)),
+        "try_jnta_shrink_translit": (text, "STRING", lambda: J.try_jnta_shrink_translit(Sql("s"), jis)),
+        "mj_shrink_candidates": (f"{text}, combo INT, most INT DEFAULT 100", "ARRAY<STRING>", _candidates(mj)),
+        "mj_candidate_count": (f"{text}, combo INT", "BIGINT", lambda: J.mj_candidate_count(Sql("s"), Sql("combo"), mj)),
+        "mj_candidate_at": (f"{text}, combo INT, number BIGINT", "STRING", lambda: J.mj_candidate_at(Sql("s"), Sql("combo"), Sql("number"), mj)),
+    }
 
 
 def register(spark: SparkSession, jis: JisTable | None = None, mj: MjTable | None = None) -> None:
@@ -57,36 +81,17 @@ def register(spark: SparkSession, jis: JisTable | None = None, mj: MjTable | Non
     - jnta_decode(bytes), try_jnta_decode and jnta_decode_with_error,
     - jnta_shrink_translit(text [, replacement = U+FFFD [, passthrough = false]])
       and try_jnta_shrink_translit(text),
-    - mj_shrink_candidates(text, combo [, limit = 100]).
+    - mj_shrink_candidates(text, combo [, limit = 100]), mj_candidate_count(text,
+      combo) and mj_candidate_at(text, combo, number).
 
     The plain forms fail the query at a text that can't be converted, the
     ``try_`` forms give NULL there, the others a struct of value, reason, start
-    and end.  These take their options by row, and run in Python by Arrow
-    batches; with options that are known when the query is written, the column
-    functions of ``jisfold.functions`` stay in the JVM.
+    and end.  Options may be columns; constants make smaller plans.
     """
     from jisfold.sources.xlsx import XlsxDataSource
 
-    def encode(text, mode=ConversionMode.SISO):
-        return machine.encode("jis", text, mode, jis)
-
-    def decode(data):
-        return machine.decode("jis", bytes(data), jis)
-
-    def shrink(text, replacement="\ufffd", passthrough=False):
-        return machine.shrink_translit(text, replacement, bool(passthrough), jis)
-
-    functions = {
-        "jnta_encode": _arrow(encode, T.BinaryType()),
-        "try_jnta_encode": _arrow(_or_none(encode), T.BinaryType()),
-        "jnta_encode_with_error": _with_error(encode, RESULT),
-        "jnta_decode": _arrow(decode, T.StringType()),
-        "try_jnta_decode": _arrow(_or_none(decode), T.StringType()),
-        "jnta_decode_with_error": _with_error(decode, DECODED),
-        "jnta_shrink_translit": _arrow(shrink, T.StringType()),
-        "try_jnta_shrink_translit": _arrow(_or_none(lambda text: shrink(text, "")), T.StringType()),
-        "mj_shrink_candidates": _arrow(lambda text, combo, limit=100: candidates.mj_shrink_candidates(text, combo, limit, mj), T.ArrayType(T.StringType())),
-    }
-    for name, function in functions.items():
-        spark.udf.register(name, function)
+    for name, (parameters, result, body) in definitions(jis, mj).items():
+        with as_sql():
+            text = body().text
+        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({parameters}) RETURNS {result} RETURN ({text})")
     spark.dataSource.register(XlsxDataSource)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from jisfold import functions as J
 from jisfold.functions import machine
+from jisfold.functions.candidates import mj_shrink_candidates
 from jisfold.operators import relational
 from jisfold.plans import catalog, corpus
 from jisfold.refdata import ingest
@@ -126,6 +127,42 @@ def test_sql_names(spark):
     assert (row.f, row.g, row.h, row.i) == ("\ufffd", None, ["高", "髙"], None)
 
 
+def test_sql_names_stay_in_the_jvm(spark):
+    from jisfold import sql
+
+    sql.register(spark)
+    spark.createDataFrame([(i, t, i % 4) for i, t in enumerate([*corpus.TEXTS, None])], "i int, s string, m int").createOrReplaceTempView("sql_texts")
+    for mode in range(4):
+        df = spark.sql(f"SELECT i, s, hex(try_jnta_encode(s, {mode})) AS h, jnta_encode_with_error(s, {mode}).start AS e FROM sql_texts")
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "Python" not in plan and "Arrow" not in plan
+        own = spark.table("sql_texts").select("i", "s", F.hex(J.try_jnta_encode("s", mode)).alias("h"), J.jnta_encode_with_error("s", mode)["start"].alias("e"))
+        assert sorted(map(repr, df.collect())) == sorted(map(repr, own.collect()))
+    by_row = spark.sql("SELECT i, hex(try_jnta_encode(s, m)) AS h, try_jnta_decode(try_jnta_encode(s, 1)) AS d, mj_shrink_candidates(s, m * 5, 7) AS c, mj_shrink_candidates(s, 15, -1) AS a, mj_shrink_candidates(s, 15, 0) AS z, mj_candidate_count(s, m) AS n, mj_candidate_at(s, 15, m) AS k FROM sql_texts").collect()
+    texts = [*corpus.TEXTS, None]
+    for r in by_row:
+        t, m = texts[r.i], r.i % 4
+        if t is None:
+            assert tuple(r)[1:] == (None,) * 7
+            continue
+        every = mj_shrink_candidates(t, 15, -1)
+        assert (r.c, r.a, r.z, r.n) == (mj_shrink_candidates(t, m * 5, 7), every, [], len(mj_shrink_candidates(t, m, -1)))
+        assert r.k == (every[m] if m < len(every) else None)
+        try:
+            assert r.h == machine.encode("jis", t, m).hex().upper()
+        except UnicodeEncodeError:
+            assert r.h is None
+    shrunk = spark.sql("SELECT s, jnta_shrink_translit(s, '[?]') AS a, jnta_shrink_translit(s, '', true) AS b, try_jnta_shrink_translit(s) AS c FROM sql_texts WHERE s IS NOT NULL").collect()
+    for r in shrunk:
+        assert (r.a, r.b) == (machine.shrink_translit(r.s, "[?]"), machine.shrink_translit(r.s, "", True))
+        assert r.c == (None if "\x00" in machine.shrink_translit(r.s, "\x00") else machine.shrink_translit(r.s, "?"))
+    for bad in ("jnta_encode('✋', 1)", "jnta_decode(x'21')", "jnta_shrink_translit('✋', '')"):
+        with pytest.raises((UnicodeError, J.TransliterationError)), J.typed_errors():
+            spark.sql(f"SELECT {bad}").collect()
+    with pytest.raises(Exception, match="there is no mode 9"):
+        spark.sql("SELECT jnta_encode('a', 9)").collect()
+
+
 def test_stream_forgets_a_text_at_its_end(spark, tmp_path):
     from jisfold.streaming.encoder import OUT_OF_ORDER, encode_stream
 
