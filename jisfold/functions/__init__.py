@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 from jisfold.constants import NOT_CONVERTIBLE, ConversionMode, TransliterationError
 from jisfold.errors import failing, typed_errors
 from jisfold.expressions import F
-from jisfold.functions import candidates, kernels, machine
+from jisfold.functions import candidates, kernels, transducer
 from jisfold.refdata.tables import JisTable, MjTable
 
 RESULT = T.StructType([T.StructField("value", T.BinaryType()), T.StructField("reason", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])
@@ -30,20 +30,15 @@ def _column(c: Column | str) -> Column:
     return spark_functions.col(c) if isinstance(c, str) else c
 
 
-def _encode_udf(mode: int, table: JisTable | None, bug_compat: bool):
+def _encode_udf(mode: int, table: JisTable | None):
+    """The bug-compatible encoder, an Arrow batch of texts at a time."""
+
     @spark_functions.pandas_udf(RESULT)
     def run(texts: pd.Series) -> pd.DataFrame:
-        rows = []
-        for text in texts:
-            if text is None:
-                rows.append((None, None, None, None))
-                continue
-            try:
-                rows.append((machine.encode("jis", text, mode, table, bug_compat), None, None, None))
-            except UnicodeEncodeError as e:
-                rows.append((None, e.reason, e.start, e.end))
-        found = pd.DataFrame(rows, columns=RESULT.names)
-        return found.astype({"start": "Int32", "end": "Int32"})
+        some, rows = texts.notna(), [(None, None, None, None)] * len(texts)
+        found = iter(transducer.encode(texts[some].tolist(), mode, kernels.default_table(table)))
+        rows = [next(found) if there else row for there, row in zip(some, rows, strict=True)]
+        return pd.DataFrame(rows, columns=RESULT.names).astype({"start": "Int32", "end": "Int32"})
 
     return run
 
@@ -52,7 +47,7 @@ def jnta_encode_with_error(c: Column | str, conv_mode: int, table: JisTable | No
     """struct<value, reason, start, end>: the bytes, or what is wrong where."""
     mode, c = ConversionMode(conv_mode), _column(c)
     if bug_compat:
-        return F.when(c.isNotNull(), _encode_udf(mode, table, bug_compat)(c))
+        return F.when(c.isNotNull(), _encode_udf(mode, table)(c))
     table = kernels.default_table(table)
 
     def found(text: Column) -> Column:
@@ -153,7 +148,13 @@ def jnta_shrink_translit(c: Column | str, replacement: str = "�", passthrough:
 
         @spark_functions.pandas_udf("string")
         def run(texts: pd.Series) -> pd.Series:
-            return texts.map(lambda x: None if x is None else machine.shrink_translit(x, replacement, passthrough, table, True))
+            some = texts.notna()
+            found = iter(transducer.shrink(texts[some].tolist(), kernels.default_table(table), replacement, passthrough))
+            out = [next(found) if there else (None, None) for there in some]
+            for _, at in out:
+                if at is not None:
+                    raise TransliterationError(f"transliteration failed at position {at}")
+            return pd.Series([text for text, _ in out], dtype=object)
 
         return run(c)
     table = kernels.default_table(table)

@@ -35,47 +35,50 @@ def pairs_by_lead(jis_map: DataFrame) -> DataFrame:
     return pairs(jis_map).groupBy("u0").agg(F.transform(F.array_sort(F.collect_list(F.struct("jis", "u1"))), lambda x: F.struct(x["u1"].alias("u1"), x["jis"].alias("jis"))).alias("seconds"))
 
 
-#: Bits of a key that one level of a scan takes: a window holds 2**16 keys at most.
-_LEVEL = 16
+#: Keys that a window of a scan holds at most, and the levels of blocks above the first.
+_BLOCK, _LEVELS = 1 << 16, 3
 
 
-def last_before(df: DataFrame, key: str, value: Column, out: str, inclusive: bool = False) -> DataFrame:
+def last_before(df: DataFrame, key: str, value: Column, out: str, inclusive: bool = False, block: int = _BLOCK) -> DataFrame:
     """df with ``out``: the last non-null value among the rows with smaller keys,
     over the whole table (``inclusive``: or of the row itself).
 
     A scan in parallel: rows look in their own block of keys; each block makes
-    a row of the next level, which is scanned in blocks of blocks, and so on.
+    a row of the next level, which is scanned in blocks of blocks, and so on,
+    until only the signs are left.  ``block`` (at most 65,536) is the first
+    level's; smaller ones reach keys below 2**48 times their size.
     Keys are distinct whole numbers; a row whose key is null finds nothing.
     Input columns named like ``out``, in any letter case, are replaced.
     """
     kept = [c for c in df.columns if c.lower() != out.lower()]
     rows = df.select(F.struct(*kept).alias("row"), F.col(key).cast("long").alias("k"), value.alias("value"))
-    return _scanned(rows, 64 - _LEVEL, inclusive).select("row.*", F.col("found").alias(out))
+    return _scanned(rows, block, _LEVELS, inclusive).select("row.*", F.col("found").alias(out))
 
 
-def _scanned(rows: DataFrame, bits: int, inclusive: bool) -> DataFrame:
-    """rows (k, value) with what is found; ``bits`` of a key lie above those of this level."""
-    rows = rows.withColumn("block", F.shiftright("k", _LEVEL))
+def _scanned(rows: DataFrame, block: int, levels: int, inclusive: bool) -> DataFrame:
+    """rows (k, value) with what is found, by blocks of keys and so many levels above."""
+    size = F.lit(block).cast("long")
+    rows = rows.withColumn("block", F.call_function("div", F.col("k") - F.pmod(F.col("k"), size), size))
     own = Window.partitionBy("block").orderBy("k").rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
     blocks = rows.where("block is not null").groupBy(F.col("block").alias("k")).agg(F.max_by("value", F.when(F.col("value").isNotNull(), F.col("k"))).alias("value"))
-    if bits > 0:
-        above = _scanned(blocks, bits - _LEVEL, False).select(F.col("k").alias("block"), F.col("found").alias("carried"))
+    if levels:
+        above = _scanned(blocks, _BLOCK, levels - 1, False).select(F.col("k").alias("block"), F.col("found").alias("carried"))
     else:  # the signs: what is below zero comes before the rest
         above = blocks.where("k < 0").select((F.col("k") + 1).alias("block"), F.col("value").alias("carried"))
     found = rows.withColumn("near", F.when(F.col("k").isNotNull(), F.last("value", ignorenulls=True).over(own)))
     return found.join(above, "block", "left").withColumn("found", F.coalesce("near", "carried")).drop("block", "near", "carried")
 
 
-def islands(df: DataFrame, key: str, gap: int) -> DataFrame:
+def islands(df: DataFrame, key: str, gap: int, block: int = _BLOCK) -> DataFrame:
     """Runs of numbers with gaps below ``gap``: (first, last, n).
 
     n counts distinct numbers; nulls are left out; an empty table has no runs.
-    No window holds more than a block of 65,536 numbers.
+    No window holds more than a block of numbers.
     """
     rows = df.select(F.col(key).cast("long").alias("u")).where("u is not null").distinct()
-    rows = last_before(rows, "u", F.col("u"), "before")
+    rows = last_before(rows, "u", F.col("u"), "before", block=block)
     first = F.when(F.col("before").isNull() | (F.col("u") - F.col("before") >= gap), F.col("u"))
-    runs = last_before(rows, "u", first, "first", inclusive=True)
+    runs = last_before(rows, "u", first, "first", inclusive=True, block=block)
     return runs.groupBy("first").agg(F.max("u").alias("last"), F.count("*").alias("n"))
 
 

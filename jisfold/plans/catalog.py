@@ -562,9 +562,31 @@ def mj_map(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(mj, i, v) for i, (mj, v) in enumerate(seed_mj().variants.items())], "mj int, ord int, v array<struct<u:int,s:smallint>>")
 
 
+def _characters(df: DataFrame, text: str, *keys: str) -> DataFrame:
+    """The code points of a column's texts, with the given columns."""
+    return df.select(*keys, F.explode(F.split(text, "")).alias("c")).where("c <> ''").select(*keys, F.ascii("c").alias("u"))
+
+
+def _document_characters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _characters(spark.read.parquet(f"{sf_dir}/documents.parquet").select("text"), "text")
+
+
+def _customer_characters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _characters(corpus.customers(spark, sf_dir), "s", "c_custkey").distinct()
+
+
+_SQL_DOC_CHARS = "(SELECT unicode(x) AS u FROM (SELECT unnest(string_split(text, '')) AS x FROM documents) WHERE x <> '')"
+_SQL_CUSTOMER_CHARS = f"(SELECT DISTINCT c_custkey, unicode(x) AS u FROM (SELECT c_custkey, unnest(string_split(s, '')) AS x FROM {corpus.CUSTOMERS}) WHERE x <> '')"
+
+
 def refdata_densify(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All slots of the JIS table with their classes; free ones are reserved."""
-    return relational.densify(jis_map(spark).select("jis", "class"), "jis", {"class": 0}).select(F.col("jis").cast("long").alias("jis"), F.col("class").cast("long").alias("class"))
+    """All slots of the JIS table with their classes and how often the documents
+    have their characters; free slots are reserved."""
+    t1 = jis_map(spark)
+    counts = _document_characters(spark, sf_dir).groupBy("u").agg(F.count("*").alias("n"))
+    counts = relational.singles(t1).join(counts, "u").select("jis", "n")
+    found = relational.densify(t1.select("jis", "class").join(counts, "jis", "left"), "jis", {"class": 0, "n": 0})
+    return found.select(F.col("jis").cast("long").alias("jis"), F.col("class").cast("long").alias("class"), "n")
 
 
 def _runs() -> list[tuple[int, int, int]]:
@@ -578,13 +600,20 @@ def _runs() -> list[tuple[int, int, int]]:
     return [tuple(x) for x in out]
 
 
-DENSIFY_SQL = "SELECT r.i AS jis, coalesce(c, 0)::BIGINT AS class FROM range(17672) r(i) LEFT JOIN (VALUES " + ", ".join(map(str, _runs())) + ") v(a, b, c) ON r.i BETWEEN a AND b"
+_DOC_CODES = ", ".join(f"({ord(r.us)}, {r.jis})" for r in TABLE.singles() if ord(r.us) < 0x2000)
+DENSIFY_SQL = f"""
+WITH c AS (SELECT u, count(*) AS n FROM {_SQL_DOC_CHARS} GROUP BY u), n AS (SELECT j, n FROM c JOIN (VALUES {_DOC_CODES}) k(u, j) USING (u))
+SELECT r.i AS jis, coalesce(c, 0)::BIGINT AS class, coalesce(n.n, 0)::BIGINT AS n
+FROM range(17672) r(i) LEFT JOIN (VALUES {", ".join(map(str, _runs()))}) v(a, b, c) ON r.i BETWEEN a AND b LEFT JOIN n ON n.j = r.i
+"""
 
 
 def refdata_gaps_islands(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ranges of code points in the table, joined over gaps below 256."""
-    found = relational.islands(relational.singles(jis_map(spark)), "u", 256)
-    return found.select(F.col("first").cast("long").alias("first_u"), F.col("last").cast("long").alias("last_u"), F.col("n").alias("n"))
+    """Ranges of those code points of the table that documents and customers'
+    texts have, joined over gaps below 256."""
+    used = _document_characters(spark, sf_dir).unionByName(_customer_characters(spark, sf_dir).select("u"))
+    found = relational.islands(relational.singles(jis_map(spark)).join(used, "u", "left_semi"), "u", 256)
+    return found.select(F.col("first").alias("first_u"), F.col("last").alias("last_u"), "n")
 
 
 def _points() -> str:
@@ -599,37 +628,38 @@ def _points() -> str:
 
 
 ISLANDS_SQL = f"""
-WITH p AS (SELECT unnest(range(a, b + 1)) AS u FROM (VALUES {_points()}) v(a, b)),
+WITH p AS (SELECT u FROM (SELECT unnest(range(a, b + 1)) AS u FROM (VALUES {_points()}) v(a, b)) WHERE u IN (SELECT u FROM {_SQL_DOC_CHARS} UNION SELECT u FROM {_SQL_CUSTOMER_CHARS})),
 g AS (SELECT u, sum(CASE WHEN u - was < 256 THEN 0 ELSE 1 END) OVER (ORDER BY u) AS k FROM (SELECT u, lag(u) OVER (ORDER BY u) AS was FROM p))
 SELECT min(u) AS first_u, max(u) AS last_u, count(*) AS n FROM g GROUP BY k
 """
 
 
 def refdata_reverse_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pair leads with their second characters, in the table's order."""
+    """Pair leads that customers' texts have: their second characters, in the
+    table's order, and the number of customers."""
     found = relational.pairs_by_lead(jis_map(spark))
     listed = F.array_join(F.transform("seconds", lambda x: F.concat_ws(":", x["u1"].cast("string"), x["jis"].cast("string"))), ",")
-    return found.select(F.col("u0").cast("long").alias("u0"), listed.alias("seconds"))
+    used = _customer_characters(spark, sf_dir).groupBy(F.col("u").alias("u0")).agg(F.count("*").alias("customers"))
+    return found.join(used, "u0").select(F.col("u0").cast("long").alias("u0"), listed.alias("seconds"), "customers")
 
 
-REVERSE_SQL = (
-    "SELECT a::BIGINT AS u0, string_agg(b || ':' || j, ',' ORDER BY j) AS seconds FROM (VALUES "
-    + ", ".join(f"({ord(r.us[0])}, {ord(r.us[1])}, {r.jis})" for r in TABLE.pairs)
-    + ") v(a, b, j) GROUP BY a"
-)
+REVERSE_SQL = f"""
+WITH p AS (SELECT a::BIGINT AS u0, string_agg(b || ':' || j, ',' ORDER BY j) AS seconds FROM (VALUES {", ".join(f"({ord(r.us[0])}, {ord(r.us[1])}, {r.jis})" for r in TABLE.pairs)}) v(a, b, j) GROUP BY a)
+SELECT u0, seconds, count(*) AS customers FROM p JOIN {_SQL_CUSTOMER_CHARS} c ON c.u = u0 GROUP BY ALL
+"""
 
 
 def refdata_u_to_mj(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """MJ codes of each code point, each once, in order."""
-    found = relational.by_code_point(mj_map(spark)).groupBy("u").agg(F.array_sort(F.collect_list(F.struct("ord", "mj"))).alias("l"))
+    """MJ codes of each code point of customers' texts, each once, in order."""
+    rows = relational.by_code_point(mj_map(spark)).join(_customer_characters(spark, sf_dir), "u", "left_semi")
+    found = rows.groupBy("u").agg(F.array_sort(F.collect_list(F.struct("ord", "mj"))).alias("l"))
     return found.select(F.col("u").cast("long").alias("u"), F.array_join(F.transform("l", lambda x: x["mj"].cast("string")), ",").alias("mjs"))
 
 
-U_TO_MJ_SQL = (
-    "SELECT u::BIGINT AS u, string_agg(mj, ',' ORDER BY o) AS mjs FROM (SELECT DISTINCT u, o, mj FROM (VALUES "
-    + ", ".join(f"({u}, {i}, {mj})" for i, (mj, v) in enumerate(seed_mj().variants.items()) for u, _ in v)
-    + ") v(u, o, mj)) GROUP BY u"
-)
+U_TO_MJ_SQL = f"""
+SELECT u::BIGINT AS u, string_agg(mj, ',' ORDER BY o) AS mjs FROM (SELECT DISTINCT u, o, mj FROM {_t4()})
+WHERE u IN (SELECT u FROM {_SQL_CUSTOMER_CHARS}) GROUP BY u
+"""
 
 
 def _shared(spark: SparkSession) -> str:
@@ -678,16 +708,19 @@ def workbook(rows: list[list[str | None]]) -> bytes:
     return out.getvalue()
 
 
-SHEET = [["head", None, "x"], ["1-4-84", "U+3094", None, "追加非漢字"], [None, "B3"], ["1-8-33", "U+3251", "㉑", "追加非漢字"]]
-
-
 def xlsx_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rows of a workbook."""
-    rows = ingest.sheet(spark, _write(spark, "book.xlsx", workbook(SHEET)))
-    return rows.select(F.col("row_no").cast("long").alias("row_no"), F.array_join(F.transform("cells", lambda c: F.coalesce(c, F.lit("-"))), "|").alias("cells"))
+    """The rows of a workbook made of the nations, of which there are a few dozen."""
+    nations = spark.read.parquet(f"{sf_dir}/nation.parquet").orderBy("n_nationkey").limit(1000).collect()
+    rows = [["key", "name", None, "region"]] + [[str(r.n_nationkey), r.n_name, None, str(r.n_regionkey) if r.n_regionkey else None] for r in nations]
+    found = ingest.sheet(spark, _write(spark, "book.xlsx", workbook(rows)))
+    return found.select(F.col("row_no").cast("long").alias("row_no"), F.array_join(F.transform("cells", lambda c: F.coalesce(c, F.lit("-"))), "|").alias("cells"))
+
 
+XLSX_SQL = """
+SELECT 1::BIGINT AS row_no, 'key|name|-|region' AS cells
+UNION ALL SELECT row_number() OVER (ORDER BY n_nationkey) + 1, n_nationkey || '|' || n_name || CASE WHEN n_regionkey = 0 THEN '' ELSE '|-|' || n_regionkey END FROM nation
+"""
 
-XLSX_SQL = "SELECT i::BIGINT AS row_no, c AS cells FROM (VALUES " + ", ".join(f"({i}, {q('|'.join('-' if c is None else c for c in r))})" for i, r in enumerate(SHEET, 1)) + ") v(i, c)"
 
 def jis_book(rows: list[dict[int, str]]) -> list[list[str | None]]:
     """The JIS workbook's layout: two rows of headers, then rows by column."""
@@ -797,37 +830,52 @@ SELECT mj, row_number() OVER (PARTITION BY mj ORDER BY u, s) - 1 AS place, u, s,
 
 
 def refdata_mj_islands(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ranges of the MJ table's code points, joined over gaps below 64."""
-    found = relational.islands(relational.by_code_point(mj_map(spark)), "u", 64)
-    return found.select(F.col("first").cast("long").alias("first_u"), F.col("last").cast("long").alias("last_u"), F.col("n").alias("n"))
+    """Ranges of those code points of the MJ table that customers' texts have,
+    joined over gaps below 64."""
+    found = relational.islands(relational.by_code_point(mj_map(spark)).join(_customer_characters(spark, sf_dir), "u", "left_semi"), "u", 64)
+    return found.select(F.col("first").alias("first_u"), F.col("last").alias("last_u"), "n")
 
 
 MJ_ISLANDS_SQL = f"""
 SELECT min(u) AS first_u, max(u) AS last_u, count(*) AS n FROM (
-  SELECT u, sum(CASE WHEN u - was < 64 THEN 0 ELSE 1 END) OVER (ORDER BY u) AS k FROM (SELECT u, lag(u) OVER (ORDER BY u) AS was FROM (SELECT DISTINCT u::BIGINT AS u FROM {_t4()}))) GROUP BY k
+  SELECT u, sum(CASE WHEN u - was < 64 THEN 0 ELSE 1 END) OVER (ORDER BY u) AS k FROM (
+    SELECT u, lag(u) OVER (ORDER BY u) AS was FROM (SELECT DISTINCT u::BIGINT AS u FROM {_t4()} WHERE u IN (SELECT u FROM {_SQL_CUSTOMER_CHARS})))) GROUP BY k
 """
 
 
 def refdata_shrinkable(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All MJ codes up to a number, and whether some scheme shrinks them."""
-    rows = [(mj, k, n, u) for mj, schemes in seed_mj().shrink.items() for k, us in schemes.items() for n, u in enumerate(us)]
-    some = relational.shrinkable(spark.createDataFrame(rows, "mj int, scheme int, ord int, u int")).withColumn("valid", F.lit(1))
-    return relational.densify(some, "mj", {"valid": 0}, 30_000).select(F.col("mj").cast("long").alias("mj"), F.col("valid").cast("long").alias("valid"))
-
+    """All MJ codes up to a number: whether some scheme shrinks them, and the
+    customers whose texts have one of their code points."""
+    used = relational.by_code_point(mj_map(spark)).join(_customer_characters(spark, sf_dir), "u").groupBy("mj").agg(F.countDistinct("c_custkey").alias("customers"))
+    some = relational.shrinkable(mj_shrink(spark)).withColumn("valid", F.lit(1)).join(used, "mj", "full")
+    found = relational.densify(some, "mj", {"valid": 0, "customers": 0}, 30_000)
+    return found.select(F.col("mj").cast("long").alias("mj"), F.col("valid").cast("long").alias("valid"), "customers")
 
-SHRINKABLE_SQL = f"SELECT i AS mj, (i IN (SELECT mj FROM {_t6()}))::BIGINT AS valid FROM range(30000) r(i)"
 
-SHRINK_JSON = [("MJ028902", {0: ["U+9AD8"]}), ("MJ900002", {3: ["U+8FBA", "U+908A"]}), ("MJ900001", {})]
+SHRINKABLE_SQL = f"""
+WITH k AS (SELECT mj, count(DISTINCT c_custkey) AS n FROM {_t4()} JOIN {_SQL_CUSTOMER_CHARS} c ON c.u = t4.u GROUP BY mj)
+SELECT i AS mj, (i IN (SELECT mj FROM {_t6()}))::BIGINT AS valid, coalesce(k.n, 0)::BIGINT AS customers FROM range(30000) r(i) LEFT JOIN k ON k.mj = i
+"""
 
 
 def mj_json_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Shrink targets of a JSON file."""
-    content = [{ingest.MJ_NAME: mj} | {ingest.SCHEME_LABELS[k]: [{"UCS": u} for u in us] for k, us in s.items()} for mj, s in SHRINK_JSON]
-    path = _write(spark, "shrink.json", json.dumps({"content": content}, ensure_ascii=False).encode())
-    return ingest.mj_shrink_rows(spark, path).select(*[F.col(c).cast("long").alias(c) for c in ("mj", "scheme", "ord", "u")])
+    """Shrink targets of JSON files that are made of the suppliers, a thousand a file."""
+    key = F.col("s_suppkey")
+    point = lambda n: F.struct(F.concat(F.lit("U+"), F.hex(n)).alias("UCS"))
+    targets = F.array(point(key % 20_000 + 0x4E00), point(key % 300 + 0x3400))
+    schemes = [F.when((key % 5 != 0) & (key % 4 == k), targets).alias(label) for k, label in enumerate(ingest.SCHEME_LABELS)]
+    entry = F.to_json(F.struct(F.concat(F.lit("MJ"), F.lpad((key + 1).cast("string"), 6, "0")).alias(ingest.MJ_NAME), *schemes))
+    rows = spark.read.parquet(f"{sf_dir}/supplier.parquet").select((key - key % 1000).alias("file"), entry.alias("entry"))
+    texts = rows.groupBy("file").agg(F.concat(F.lit('{"content":['), F.array_join(F.collect_list("entry"), ","), F.lit("]}")).alias("value"))
+    folder = _shared(spark)
+    texts.write.partitionBy("file").text(folder)
+    return ingest.mj_shrink_rows(spark, folder).select(*[F.col(c).cast("long").alias(c) for c in ("mj", "scheme", "ord", "u")])
 
 
-MJ_JSON_SQL = "SELECT m::BIGINT AS mj, s::BIGINT AS scheme, o::BIGINT AS ord, u::BIGINT AS u FROM (VALUES " + ", ".join(f"({int(mj[2:])}, {k}, {o}, {int(u[2:], 16)})" for mj, s in SHRINK_JSON for k, us in s.items() for o, u in enumerate(us)) + ") v(m, s, o, u)"
+MJ_JSON_SQL = """
+SELECT s_suppkey + 1 AS mj, s_suppkey % 4 AS scheme, o::BIGINT AS ord, (CASE WHEN o = 0 THEN s_suppkey % 20000 + 19968 ELSE s_suppkey % 300 + 13312 END)::BIGINT AS u
+FROM supplier, (VALUES (0), (1)) v(o) WHERE s_suppkey % 5 <> 0
+"""
 
 
 def stream_encode(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,6 +8,8 @@ rows) and are written as Parquet by ``build``.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -196,7 +198,11 @@ def mj_table(mj: DataFrame, shrink: DataFrame) -> MjTable:
 
 def build(spark: SparkSession, jis_xlsx: str, mj_xlsx: str, mj_shrink_json: str, dest: str) -> None:
     """Writes T1 to T6 as Parquet tables under dest.  A workbook that is not
-    laid out as expected is an InvalidFormatError."""
+    laid out as expected is an InvalidFormatError.
+
+    The tables are written beside dest and take its place together, so a build
+    that fails leaves those of the one before.
+    """
     jis, mj = sheet(spark, jis_xlsx), sheet(spark, mj_xlsx)
     refuse(jis_problems(jis), jis_xlsx)
     refuse(mj_problems(mj), mj_xlsx)
@@ -210,8 +216,29 @@ def build(spark: SparkSession, jis_xlsx: str, mj_xlsx: str, mj_shrink_json: str,
         "u_to_mj": relational.by_code_point(t4),
         "mj_shrink": frozen_order(mj_shrink_rows(spark, mj_shrink_json)),
     }
+    new = f"{dest.rstrip('/')}-{uuid.uuid4().hex}"
     for name, df in out.items():
-        df.write.mode("overwrite").parquet(f"{dest}/{name}")
+        df.write.parquet(f"{new}/{name}")
+    _replace(spark, new, dest.rstrip("/"))
+
+
+def _replace(spark: SparkSession, new: str, dest: str) -> None:
+    """Gives the folder ``new`` the name ``dest``; what had it before goes."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    system = path(dest).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    old = path(f"{new}-before")
+    had = system.exists(path(dest))
+    if had and not system.rename(path(dest), old):
+        raise OSError(f"{dest} could not be moved away")
+    done = False
+    try:
+        done = system.exists(path(new)) and system.rename(path(new), path(dest))
+    finally:
+        if had and not done:
+            system.rename(old, path(dest))
+    if not done:
+        raise OSError(f"{new} could not be renamed {dest}")
+    system.delete(old, True)
 
 
 def load(spark: SparkSession, dest: str) -> tuple[JisTable, MjTable]:

@@ -80,6 +80,25 @@ def test_ingest_builds_all_tables(tmp_path, spark):
     assert got == ["辺", "邊", "邉"]
 
 
+def test_a_build_takes_the_place_of_the_one_before(tmp_path, spark):
+    for name in ("a", "b"):
+        spark.range(1).write.parquet(f"file://{tmp_path}/{name}/{name}")
+    ingest._replace(spark, f"file://{tmp_path}/a", f"file://{tmp_path}/dest")
+    ingest._replace(spark, f"file://{tmp_path}/b", f"file://{tmp_path}/dest")
+    assert [p.name for p in tmp_path.iterdir()] == ["dest"] and [p.name for p in (tmp_path / "dest").iterdir()] == ["b"]
+    with pytest.raises(OSError, match="could not be renamed"):
+        ingest._replace(spark, f"file://{tmp_path}/none", f"file://{tmp_path}/dest")
+    assert [p.name for p in (tmp_path / "dest").iterdir()] == ["b"]
+
+
+def test_ingest_refuses_bad_hexadecimal(tmp_path, spark):
+    for bad in ("XYZ_E0101", "8FBAQQ_E0101", "FFFFFFFFF_E0101"):
+        rows = [list(ingest.MJ_HEAD), [None, None, "MJ000001", "U+9089", None, f"9089_E010F;{bad}", ""]]
+        (tmp_path / "mj.xlsx").write_bytes(catalog.workbook(rows))
+        found = ingest.mj_problems(ingest.sheet(spark, f"file://{tmp_path}/mj.xlsx")).collect()
+        assert [tuple(r) for r in found] == [(2, "an ideographic variation sequence cannot be read")]
+
+
 def test_ingest_refuses_other_layouts(tmp_path, spark):
     def refused(name, rows, problems):
         (tmp_path / name).write_bytes(catalog.workbook(rows))
@@ -198,7 +217,7 @@ def test_query_equals_its_sql(spark, name):
     import duckdb
 
     con = duckdb.connect()
-    for t in ("customer", "nation", "part", "orders", "supplier", "documents"):
+    for t in ("customer", "nation", "part", "orders", "supplier", "documents", "conversations"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     df = catalog.QUERIES[name](spark, SF)
     columns = sorted(df.columns)
