@@ -35,51 +35,68 @@ def pairs_by_lead(jis_map: DataFrame) -> DataFrame:
     return pairs(jis_map).groupBy("u0").agg(F.transform(F.array_sort(F.collect_list(F.struct("jis", "u1"))), lambda x: F.struct(x["u1"].alias("u1"), x["jis"].alias("jis"))).alias("seconds"))
 
 
-#: Keys that a window of a scan holds at most, and the levels of blocks above the first.
-_BLOCK, _LEVELS = 1 << 16, 3
+#: Keys that a window of a scan holds at most.
+_BLOCK = 1 << 16
 
 
-def last_before(df: DataFrame, key: str, value: Column, out: str, inclusive: bool = False, block: int = _BLOCK) -> DataFrame:
+def _bounds(df: DataFrame, key: str) -> tuple[int, int] | None:
+    """The least and the largest key, None if there is none; one row for the driver."""
+    least, most = df.agg(F.min(F.col(key).cast("long")), F.max(F.col(key).cast("long"))).first()
+    return None if least is None else (least, most)
+
+
+def last_before(df: DataFrame, key: str, value: Column, out: str, inclusive: bool = False, block: int = _BLOCK, bounds: tuple[int, int] | None = None) -> DataFrame:
     """df with ``out``: the last non-null value among the rows with smaller keys,
     over the whole table (``inclusive``: or of the row itself).
 
     A scan in parallel: rows look in their own block of keys; each block makes
     a row of the next level, which is scanned in blocks of blocks, and so on,
-    until only the signs are left.  ``block`` (at most 65,536) is the first
-    level's; smaller ones reach keys below 2**48 times their size.
-    Keys are distinct whole numbers; a row whose key is null finds nothing.
-    Input columns named like ``out``, in any letter case, are replaced.
+    until a block holds them all.  The number of levels comes from the keys'
+    bounds, for which the table is read once more unless they are given.  Keys
+    are distinct whole numbers; a row whose key is null finds nothing.  Input
+    columns named like ``out``, in any letter case, are replaced.
     """
+    least, most = bounds or _bounds(df, key) or (0, 0)
     kept = [c for c in df.columns if c.lower() != out.lower()]
     rows = df.select(F.struct(*kept).alias("row"), F.col(key).cast("long").alias("k"), value.alias("value"))
-    return _scanned(rows, block, _LEVELS, inclusive).select("row.*", F.col("found").alias(out))
+    return _scanned(rows, least, most, block, inclusive).select("row.*", F.col("found").alias(out))
 
 
-def _scanned(rows: DataFrame, block: int, levels: int, inclusive: bool) -> DataFrame:
-    """rows (k, value) with what is found, by blocks of keys and so many levels above."""
+def _scanned(rows: DataFrame, least: int, most: int, block: int, inclusive: bool) -> DataFrame:
+    """rows (k, value) with what is found; keys lie between the bounds."""
     size = F.lit(block).cast("long")
-    rows = rows.withColumn("block", F.call_function("div", F.col("k") - F.pmod(F.col("k"), size), size))
+    number = F.call_function("div", F.col("k") - F.pmod(F.col("k"), size), size) - F.lit(least // block).cast("long")
+    rows = rows.withColumn("block", number)
     own = Window.partitionBy("block").orderBy("k").rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
+    near = F.when(F.col("k").isNotNull(), F.last("value", ignorenulls=True).over(own))
+    last = most // block - least // block
+    if last == 0:
+        return rows.withColumn("found", near).drop("block")
     blocks = rows.where("block is not null").groupBy(F.col("block").alias("k")).agg(F.max_by("value", F.when(F.col("value").isNotNull(), F.col("k"))).alias("value"))
-    if levels:
-        above = _scanned(blocks, _BLOCK, levels - 1, False).select(F.col("k").alias("block"), F.col("found").alias("carried"))
-    else:  # the signs: what is below zero comes before the rest
-        above = blocks.where("k < 0").select((F.col("k") + 1).alias("block"), F.col("value").alias("carried"))
-    found = rows.withColumn("near", F.when(F.col("k").isNotNull(), F.last("value", ignorenulls=True).over(own)))
-    return found.join(above, "block", "left").withColumn("found", F.coalesce("near", "carried")).drop("block", "near", "carried")
+    above = _scanned(blocks, 0, last, _BLOCK, False).select(F.col("k").alias("block"), F.col("found").alias("carried"))
+    return rows.withColumn("near", near).join(above, "block", "left").withColumn("found", F.coalesce("near", "carried")).drop("block", "near", "carried")
 
 
 def islands(df: DataFrame, key: str, gap: int, block: int = _BLOCK) -> DataFrame:
     """Runs of numbers with gaps below ``gap``: (first, last, n).
 
     n counts distinct numbers; nulls are left out; an empty table has no runs.
-    No window holds more than a block of numbers.
+    Runs are found within blocks of numbers first, so what is scanned over all
+    blocks is a row for each run of a block, and no window holds more than a
+    block of numbers.
     """
-    rows = df.select(F.col(key).cast("long").alias("u")).where("u is not null").distinct()
-    rows = last_before(rows, "u", F.col("u"), "before", block=block)
+    rows = df.select(F.col(key).cast("long").alias("u")).where("u is not null")
+    least, most = _bounds(rows, "u") or (0, 0)
+    size = F.lit(block).cast("long")
+    rows = rows.distinct().withColumn("b", F.call_function("div", F.col("u") - F.pmod(F.col("u"), size), size))
+    own = Window.partitionBy("b").orderBy("u")
+    new = F.coalesce((F.col("u") - F.lag("u").over(own) >= gap).cast("int"), F.lit(1))
+    runs = rows.withColumn("new", new).withColumn("run", F.sum("new").over(own))
+    runs = runs.groupBy("b", "run").agg(F.min("u").alias("u"), F.max("u").alias("last"), F.count("*").alias("n")).drop("b", "run")
+    runs = last_before(runs, "u", F.col("last"), "before", block=block, bounds=(least, most))
     first = F.when(F.col("before").isNull() | (F.col("u") - F.col("before") >= gap), F.col("u"))
-    runs = last_before(rows, "u", first, "first", inclusive=True, block=block)
-    return runs.groupBy("first").agg(F.max("u").alias("last"), F.count("*").alias("n"))
+    runs = last_before(runs, "u", first, "first", inclusive=True, block=block, bounds=(least, most))
+    return runs.groupBy("first").agg(F.max("last").alias("last"), F.sum("n").alias("n"))
 
 
 def range_join(df: DataFrame, point: str, ranges: DataFrame, first: str, last: str, width: int, how: str = "inner") -> DataFrame:
