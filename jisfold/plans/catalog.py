@@ -737,10 +737,22 @@ JIS_ROWS: list[dict[int, str]] = [
 ]
 
 
+def _nation_keys(spark: SparkSession, sf_dir: str) -> list[int]:
+    """The nations' keys, of which there are a few dozen."""
+    return [r.n_nationkey for r in spark.read.parquet(f"{sf_dir}/nation.parquet").select("n_nationkey").orderBy("n_nationkey").limit(1000).collect()]
+
+
+def _nation_row(key: int) -> dict[int, str]:
+    """A row of the JIS workbook for a nation, with a target for every second."""
+    row = {0: f"1-{key % 94 + 1}-{key * 7 % 94 + 1}", 1: f"U+{0x4E00 + key * 3:X}", 3: "JIS3水" if key % 2 else "追加非漢字"}
+    return row | ({4: f"1-{key % 94 + 1}-1", 5: f"u+{0x5000 + key:x}"} if key % 2 else {})
+
+
 def ingest_jis_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The JIS table's rows of a workbook, and once more by their secondary
-    code points, with targets in four places."""
-    rows = ingest.jis_rows(ingest.sheet(spark, _write(spark, "jis.xlsx", workbook(jis_book(JIS_ROWS)))))
+    """The JIS table's rows of a workbook made of the nations and of rows of each
+    kind, and once more by their secondary code points, with targets in four places."""
+    book = jis_book([*map(_nation_row, _nation_keys(spark, sf_dir)), *JIS_ROWS])
+    rows = ingest.jis_rows(ingest.sheet(spark, _write(spark, "jis.xlsx", workbook(book))))
     rows = relational.with_secondary(rows)
     text = lambda a: F.array_join(F.transform(a, lambda x: x.cast("string")), ",")
     four = relational.padded("tx_jis", 4, -1)
@@ -761,7 +773,13 @@ def _sql_listed(cells: list[str]) -> str:
 
 
 INGEST_JIS_SQL = f"""
-WITH c AS (SELECT * FROM (VALUES {", ".join("(" + ", ".join([str(n), *(q(r.get(i, "")) for i in range(17))]) + ")" for n, r in enumerate(JIS_ROWS))}) c(n, {", ".join(f"c{i}" for i in range(17))})),
+WITH c AS (
+  SELECT * FROM (VALUES {", ".join("(" + ", ".join([str(n), *(q(r.get(i, "")) for i in range(17))]) + ")" for n, r in enumerate(JIS_ROWS))}) c(n, {", ".join(f"c{i}" for i in range(17))})
+  UNION ALL
+  SELECT n_nationkey - 1000, '1-' || (n_nationkey % 94 + 1) || '-' || (n_nationkey * 7 % 94 + 1), 'U+' || upper(to_hex(19968 + n_nationkey * 3)), '', CASE n_nationkey % 2 WHEN 1 THEN 'JIS3水' ELSE '追加非漢字' END,
+         CASE n_nationkey % 2 WHEN 1 THEN '1-' || (n_nationkey % 94 + 1) || '-1' ELSE '' END, CASE n_nationkey % 2 WHEN 1 THEN 'U+' || upper(to_hex(20480 + n_nationkey)) ELSE '' END, {", ".join(["''"] * 11)}
+  FROM nation
+),
 k AS (SELECT * FROM c WHERE n < coalesce((SELECT min(n) FROM c WHERE c0 = ''), 1000)),
 p AS (
   SELECT {_sql_number("c0")}::BIGINT AS jis, list_transform(string_split(c1, ' '), lambda x: {_sql_point("x")}) AS us, c16,
@@ -794,14 +812,20 @@ BAD_JIS_ROWS: list[tuple[dict[int, str], str | None]] = [
 
 
 def ingest_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What is wrong in a workbook with bad rows and a bad header."""
-    book = jis_book([r for r, _ in BAD_JIS_ROWS])
+    """What is wrong in a workbook with bad rows and a bad header; every third
+    nation's row has a number that there is not."""
+    nations = [_nation_row(k) | ({0: f"1-{k}-95"} if k % 3 == 0 else {}) for k in _nation_keys(spark, sf_dir)]
+    book = jis_book([*nations, *(r for r, _ in BAD_JIS_ROWS)])
     book[1][3] = "区分"
     found = ingest.jis_problems(ingest.sheet(spark, _write(spark, "bad.xlsx", workbook(book))))
     return found.select(F.col("row_no").cast("long").alias("row_no"), "problem")
 
 
-INGEST_PROBLEMS_SQL = "SELECT n::BIGINT AS row_no, p AS problem FROM (VALUES (2, 'column 4 is not headed JIS区分'), " + ", ".join(f"({n}, {q(p)})" for n, (_, p) in enumerate(BAD_JIS_ROWS, 3) if p) + ") v(n, p)"
+INGEST_PROBLEMS_SQL = f"""
+SELECT 2::BIGINT AS row_no, 'column 4 is not headed JIS区分' AS problem
+UNION ALL SELECT k + 2, 'the men-ku-ten number cannot be read' FROM (SELECT n_nationkey, row_number() OVER (ORDER BY n_nationkey) AS k FROM nation) WHERE n_nationkey % 3 = 0
+UNION ALL SELECT n + (SELECT count(*) FROM nation), p FROM (VALUES {", ".join(f"({n}, {q(p)})" for n, (_, p) in enumerate(BAD_JIS_ROWS, 3) if p)}) v(n, p)
+"""
 
 MJ_ROWS: list[list[str | None]] = [
     [None, None, "MJ000002", "U+9089", "U+9089", "9089_E010F", ""],
@@ -812,15 +836,21 @@ MJ_ROWS: list[list[str | None]] = [
 
 
 def ingest_mj_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The MJ table's variants of a workbook, one a row, with the size of the longest list."""
-    rows = ingest.mj_rows(ingest.sheet(spark, _write(spark, "mj.xlsx", workbook([list(ingest.MJ_HEAD), *MJ_ROWS]))))
+    """The MJ table's variants of a workbook made of the nations and of rows of
+    each kind, one a row, with the size of the longest list."""
+    point = lambda k: f"{0x4E00 + k:X}"
+    nations = [[None, None, f"MJ{k + 1000:06}", f"U+{point(k)}", f"U+{point(2 * k)}" if k % 2 else None, ";".join(f"{point(k)}_E01{16 + i:X}" for i in range(k % 4)), f"{point(k)}_FE0{k % 3}"] for k in _nation_keys(spark, sf_dir)]
+    rows = ingest.mj_rows(ingest.sheet(spark, _write(spark, "mj.xlsx", workbook([list(ingest.MJ_HEAD), *nations, *MJ_ROWS]))))
     longest = relational.longest(rows, "v")  # one row
     found = rows.select("mj", F.posexplode("v").alias("place", "x")).join(F.broadcast(longest))
     return found.select(F.col("mj").cast("long").alias("mj"), F.col("place").cast("long").alias("place"), F.col("x.u").cast("long").alias("u"), F.coalesce(F.col("x.s"), F.lit(-1)).cast("long").alias("s"), F.col("longest").cast("long").alias("longest"))
 
 
 INGEST_MJ_SQL = f"""
-WITH c AS (SELECT * FROM (VALUES {", ".join("(" + ", ".join(q((r + [None] * 7)[i] or "") for i in range(2, 7)) + ")" for r in MJ_ROWS)}) c(m, a, b, i, s) WHERE m <> '' AND a <> ''),
+WITH c AS (SELECT * FROM (VALUES {", ".join("(" + ", ".join(q((r + [None] * 7)[i] or "") for i in range(2, 7)) + ")" for r in MJ_ROWS)}) c(m, a, b, i, s) WHERE m <> '' AND a <> ''
+  UNION ALL SELECT 'MJ' || lpad((n_nationkey + 1000)::VARCHAR, 6, '0'), 'U+' || h, CASE n_nationkey % 2 WHEN 1 THEN 'U+' || upper(to_hex(19968 + 2 * n_nationkey)) ELSE '' END,
+         array_to_string(list_transform(range(n_nationkey % 4), lambda i: h || '_E01' || upper(to_hex(16 + i))), ';'), h || '_FE0' || (n_nationkey % 3)
+  FROM (SELECT n_nationkey, upper(to_hex(19968 + n_nationkey)) AS h FROM nation)),
 v AS (
   SELECT m, a[3:] AS u, '' AS s FROM c UNION SELECT m, b[3:], '' FROM c WHERE b <> ''
   UNION SELECT m, split_part(x, '_', 1), split_part(x, '_', 2) FROM (SELECT m, unnest(string_split(i || ';' || s, ';')) AS x FROM c) WHERE x <> ''
@@ -879,28 +909,31 @@ FROM supplier, (VALUES (0), (1)) v(o) WHERE s_suppkey % 5 <> 0
 
 
 def stream_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The example texts as a stream of single characters, by customer nation;
-    what the parts give, joined, is the bytes of the whole."""
+    """Customers' texts as a stream of single characters; what the parts give,
+    joined, is the bytes of the whole."""
     from jisfold.streaming.encoder import encode_stream
 
-    texts = [t for t in corpus.TEXTS if t and all(u in TABLE.by_text for u in t if u not in TABLE.seconds)]
-    rows = [(str(i), n, c, n == len(t) - 1) for i, t in enumerate(texts) for n, c in enumerate(t)]
-    folder = _write(spark, "parts.json", "\n".join(json.dumps(dict(zip(("stream_id", "seq", "text", "final"), r, strict=True))) for r in rows).encode()).rpartition("/")[0]
-    parts = spark.readStream.schema("stream_id string, seq long, text string, final boolean").json(folder)
-    name = "stream_" + folder.rpartition("/")[2]
-    run = encode_stream(parts, ConversionMode.SISO).writeStream.outputMode("append").format("memory").queryName(name).option("checkpointLocation", folder + "-state").trigger(availableNow=True).start()
+    own = corpus.customers(spark, sf_dir).where(F.col("i").isin(_STREAMED_PLACES))
+    parts = own.select("c_custkey", F.length("s").alias("size"), F.posexplode(F.split("s", "")).alias("seq", "text")).where("text <> ''")
+    parts = parts.select(F.col("c_custkey").cast("string").alias("stream_id"), F.col("seq").cast("long").alias("seq"), "text", (F.col("seq") == F.col("size") - 1).alias("final"))
+    folder = _shared(spark)
+    parts.write.parquet(f"{folder}/parts")
+    stream = spark.readStream.schema(parts.schema).parquet(f"{folder}/parts")
+    run = encode_stream(stream, ConversionMode.SISO).writeStream.outputMode("append").format("parquet").option("path", f"{folder}/coded").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
     run.awaitTermination()
-    found = spark.table(name)
+    found = spark.read.schema("stream_id string, seq long, bytes binary, reason string, start int").parquet(f"{folder}/coded")
     hexes = F.transform(F.array_sort(F.collect_list(F.struct("seq", F.hex("bytes").alias("h")))), lambda x: x["h"])
     return found.groupBy(F.col("stream_id").cast("long").alias("stream_id")).agg(F.array_join(hexes, "").alias("jis_hex"), F.count("reason").alias("errors"))
 
 
-_STREAMED = [t for t in corpus.TEXTS if t and all(u in TABLE.by_text for u in t if u not in TABLE.seconds)]
+#: Places of the example texts that can be streamed: those whose characters the table has.
+_STREAMED_PLACES = [i for i, t in enumerate(corpus.TEXTS) if t and all(u in TABLE.by_text for u in t if u not in TABLE.seconds)]
 STREAM_SQL = f"""
-{_SQL_SISO.replace(corpus.values(), corpus.values(_STREAMED))}
-SELECT i::BIGINT AS stream_id, coalesce(h, '') AS jis_hex, bad AS errors FROM o
+{_SQL_SISO}
+SELECT c_custkey AS stream_id, coalesce(h, '') AS jis_hex, bad AS errors FROM {corpus.CUSTOMERS} k JOIN o ON k.i = o.i WHERE k.i IN ({", ".join(map(str, _STREAMED_PLACES))})
 """
 
+
 def stream_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations whose turns come in any order, over several micro-batches:
     each one's bytes, with shifts between the planes, put together again."""
