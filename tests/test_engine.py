@@ -207,7 +207,10 @@ def test_stream_equals_the_whole(spark):
     assert len(streamed) > 100 and len(rows) == len(streamed)
     for r in rows:
         t = streamed[r.stream_id]
-        assert (r.jis_hex, r.errors) == (machine.encode("jis", t, 0).hex().upper(), 0), t
+        try:
+            assert (r.jis_hex, r.errors) == (machine.encode("jis", t, 0).hex().upper(), 0), t
+        except UnicodeEncodeError:
+            assert r.errors > 0, t
 
 
 @pytest.mark.parametrize("name", sorted(catalog.ORACLES))
