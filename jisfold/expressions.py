@@ -181,3 +181,8 @@ class _SqlFunctions(metaclass=_SqlNames):
 
 
 F = _Functions()
+
+
+def bound(value: Any, make: Callable[[Any], Any]) -> Any:
+    """make(value), which evaluates value once however often it is used."""
+    return F.transform(F.array(value), make)[0]

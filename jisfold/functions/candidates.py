@@ -15,7 +15,7 @@ from itertools import islice, product, takewhile
 
 from pyspark.sql import Column
 
-from jisfold.expressions import F
+from jisfold.expressions import F, bound
 from jisfold.refdata.tables import MjTable, seed_mj
 
 
@@ -80,7 +80,7 @@ TOKENS = r"(?s:.)[\x{FE00}-\x{FE0F}\x{E0100}-\x{E01EF}]?"
 _FORMS = "shrunk:array<struct<bit:int,form:string>>,own:array<string>"
 _ENTRIES = f"array<struct<alone:struct<{_FORMS}>,selected:array<struct<token:string,{_FORMS}>>>>"
 #: Characters that stand for the places in the array of entries.
-_PLACES = 0x10000
+_PLACES = 0x100000
 _MOST = (1 << 63) - 1
 
 
@@ -97,6 +97,8 @@ def _entries(table: MjTable) -> tuple[str, str, str]:
         for u, s in variants:
             selectors.setdefault(u, set()).update(() if s is None else (s,))
     known = sorted(selectors)
+    if known and known[-1] >= _PLACES:
+        raise ValueError("a table has no private characters")
     listed = [{"alone": forms(u, None), "selected": [{"token": chr(u) + selector_character(s), **forms(u, s)} for s in sorted(selectors[u])]} for u in known]
     return "".join(map(chr, known)), "".join(chr(_PLACES + i) for i in range(len(known))), json.dumps(listed)
 
@@ -114,17 +116,22 @@ def choices_column(text: Column, combo: Column | int, table: MjTable | None = No
     """array<array<string>>: each token's candidates, as ``choices`` gives them."""
     known, places, listed = _entries(table or seed_mj())
     combo = F.lit(int(combo)) if isinstance(combo, int) else combo
+    # the optimizer makes an array of it, once
     entries = F.from_json(F.lit(listed), _ENTRIES)
 
     def of(token: Column) -> Column:
+        def forms(own: Column) -> Column:
+            shrunk = F.transform(F.filter(own["shrunk"], lambda x: x["bit"].bitwiseAND(combo) != 0), lambda x: x["form"])
+            found = F.array_distinct(F.concat(shrunk, own["own"]))
+            return bound(found, lambda some: F.when(F.size(some) > 0, some).otherwise(F.array(token)))
+
+        def in_entry(found: Column) -> Column:
+            selected = F.get(F.filter(found["selected"], lambda x: x["token"] == token), F.lit(0))
+            return F.when(F.length(token) == 1, bound(found["alone"], forms)).otherwise(bound(selected, forms))
+
         first = F.substring(token, 1, 1)
-        found = F.get(entries, F.ascii(F.translate(first, known, places)) - _PLACES)
-        own = F.when(F.length(token) == 1, found["alone"]).otherwise(
-            F.get(F.transform(F.filter(found["selected"], lambda x: x["token"] == token), lambda x: F.struct(x["shrunk"].alias("shrunk"), x["own"].alias("own"))), F.lit(0))
-        )
-        shrunk = F.transform(F.filter(own["shrunk"], lambda x: x["bit"].bitwiseAND(combo) != 0), lambda x: x["form"])
-        forms = F.array_distinct(F.concat(shrunk, own["own"]))
-        return F.when((F.translate(first, known, "") == "") & (F.size(forms) > 0), forms).otherwise(F.array(token))
+        place = lambda x: F.when(x == first, F.array(token)).otherwise(bound(F.get(entries, F.ascii(x) - _PLACES), in_entry))
+        return bound(F.translate(first, known, places), place)
 
     return F.transform(F.regexp_extract_all(text, F.lit(TOKENS), F.lit(0)), of)
 

@@ -9,7 +9,6 @@ private character first; rows without a pair's second character skip that.
 
 from __future__ import annotations
 
-import json
 import re
 from collections.abc import Callable
 from functools import lru_cache, reduce
@@ -17,7 +16,7 @@ from functools import lru_cache, reduce
 from pyspark.sql import Column
 
 from jisfold.constants import ConversionMode
-from jisfold.expressions import F
+from jisfold.expressions import F, bound
 from jisfold.refdata.tables import JisRow, JisTable, seed_jis
 
 #: Private characters: a mark before a pair, and the pairs themselves.
@@ -37,11 +36,6 @@ def pair_pattern(table: JisTable) -> str:
     return "(" + "|".join(re.escape(r.us) for r in table.pairs) + ")"
 
 
-def bound(value: Column, make: Callable[[Column], Column]) -> Column:
-    """make(value), which evaluates value once however often it is used."""
-    return F.transform(F.array(value), make)[0]
-
-
 def _has_second(text: Column, table: JisTable) -> Column:
     """Whether the text has some pair's second character: few, sought as bytes."""
     return reduce(lambda a, b: a | b, [F.contains(text, F.lit(c)) for c in table.seconds])
@@ -74,7 +68,7 @@ def _expanded(text: Column, forms: list[str]) -> Column:
         return text
     if len(forms) > _MOST_PRIVATE:
         raise ValueError(f"more than {_MOST_PRIVATE} texts of several characters")
-    listed = F.from_json(F.lit(json.dumps(forms)), "array<string>")
+    listed = F.split(F.lit("\x01".join(forms)), "\x01")  # the optimizer splits it, once
     range_of = f"[{chr(_PAIR)}-{chr(_PAIR + len(forms) - 1)}]"
 
     def of(own: Column) -> Column:
