@@ -72,6 +72,14 @@ def discard(*frames: DataFrame) -> None:
             folder.getFileSystem(conf).delete(folder, True)
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """The name, or one made of it that no column of df has in any letter case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def map_batches(df: DataFrame, run: Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType, limit: int = SLICE_BYTES) -> DataFrame:
     """df.mapInArrow, with batches of about ``limit`` bytes (or of one longer row).
 

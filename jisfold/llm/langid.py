@@ -15,8 +15,10 @@ in one task from at most ``TRAIN_ROWS`` documents and sent to all tasks.
 Defined results: text that is null or has no letter is "und" with score 0, and
 so is every text when there is nothing to learn from; with one language to
 learn from, each text with letters has it; ties go to the first language by
-code point; repeated rows give repeated results; an empty table gives an empty
-result; extra columns are ignored, by ``keep`` kept.
+code point; texts of any length are read whole; repeated rows give repeated
+results; an empty table gives an empty result; extra columns are ignored and
+stay, but ``predict`` replaces those of its results' names; ``keep`` keeps all,
+of any name.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -36,6 +38,8 @@ from jisfold.llm import common
 
 #: Documents to train from, at most.
 TRAIN_ROWS = 1_500
+#: Of these, the documents that each language gives first.
+LEAST_EACH = 50
 BITS = 16
 EPOCHS = 3
 #: Documents of one step of the training, words of one batch of the passes,
@@ -199,13 +203,23 @@ def train(rows: list[tuple[str, str]], seed: int = 11, rate: float = 0.5, decay:
 
 
 def fit(docs: DataFrame, learn: Column, lang: str = "lang", doc_id: str = "doc_id", text: str = "text", bound: int = TRAIN_ROWS) -> Crf:
-    """Trains from the documents with the smallest id hashes among those with a
-    language that may be learnt from; their number is bounded, and copies
-    count once."""
+    """Trains from a bounded number of the documents with a language that may be
+    learnt from: copies count once, as the one of the smallest id; each
+    language gives its ``LEAST_EACH`` smallest id hashes first, so that rare
+    ones are learnt too, and the smallest hashes of all the rest fill the bound.
+    (With more than bound / LEAST_EACH languages, the first of each come first,
+    then the second of each, and so on.)"""
     own = docs.where(F.col(lang).isNotNull() & F.col(doc_id).isNotNull()).where(learn)
-    chosen = own.select(F.col(doc_id).alias("__id")).distinct().orderBy(F.xxhash64("__id"), "__id").limit(bound)
-    found = own.join(F.broadcast(chosen), F.col(doc_id) == F.col("__id")).select(F.col(doc_id).alias("id"), F.coalesce(text, F.lit("")).alias("text"), F.col(lang).alias("lang"))
-    found = found.groupBy(F.xxhash64("text").alias("h"), "lang").agg(F.min_by("text", "id").alias("text"), F.min("id").alias("id")).repartition(1)
+    own = own.select(F.col(doc_id).alias("id"), F.coalesce(text, F.lit("")).alias("text"), F.col(lang).alias("lang"))
+    kinds = own.groupBy(F.xxhash64("text").alias("h"), "lang").agg(F.min("id").alias("id"))
+    hashed = kinds.withColumn("order", F.xxhash64("id"))
+    # the limits of ranks and rows are applied before rows are sent, so no language is gathered
+    ranks = F.row_number().over(Window.partitionBy("lang").orderBy("order", "id", "h"))
+    firsts = hashed.withColumn("k", ranks).where(F.col("k") <= LEAST_EACH).select("h", "lang", "id", "order", "k")
+    others = hashed.orderBy("order", "id", "lang", "h").limit(bound).select("h", "lang", "id", "order", F.lit(LEAST_EACH + 1).alias("k"))
+    drawn = firsts.unionByName(others).groupBy("h", "lang", "id", "order").agg(F.min("k").alias("k")).orderBy("k", "order", "id", "lang", "h").limit(bound)
+    found = own.withColumn("h", F.xxhash64("text")).join(F.broadcast(drawn.select("h", "lang", "id")), ["h", "lang", "id"])
+    found = found.groupBy("h", "lang", "id").agg(F.min("text").alias("text")).repartition(1)
 
     def run(batches):
         rows = []
@@ -278,6 +292,8 @@ def predict(docs: DataFrame, model: Crf, text: str = "text", lang_pred: str = "l
 
 
 def keep(docs: DataFrame, model: Crf, least: float = 0.5, text: str = "text") -> DataFrame:
-    """The documents in a known language with at least that score; columns stay."""
-    found = predict(docs, model, text, "__lang", "__score", "__shares")
-    return found.where((F.col("__lang") != UNKNOWN) & (F.col("__score") >= least)).drop("__lang", "__score", "__shares")
+    """The documents in a known language with at least that score; all columns
+    stay, of any name."""
+    lang, score, shares = (common.unused(docs, n) for n in ("lang_pred", "score", "lang_shares"))
+    found = predict(docs, model, text, lang, score, shares)
+    return found.where((F.col(lang) != UNKNOWN) & (F.col(score) >= least)).drop(lang, score, shares)

@@ -15,10 +15,11 @@ that a payload of very many copies is not one key.
 
 Defined results: null text or HTML counts as empty (an empty payload is one
 row of 192 spaces; empty HTML has no items); repeated rows give repeated
-results; a reference without payload keeps its place with nulls; equal
+results; a reference without payload or digest keeps its place with nulls; equal
 payloads have equal stored bytes; texts of any length are one payload each; an
 empty table gives an empty result; extra columns are ignored by write_media and
-kept by sequences, where one of the name of the result is replaced.
+kept by sequences, where one of the name of the result is replaced; resolve and
+aligned keep the page columns that they are told.
 """
 
 from __future__ import annotations
@@ -92,7 +93,7 @@ class _Sequence(HTMLParser):
             source = values.get(MEDIA[tag])
             if source:
                 self._flush()
-                digest = source[6:].lower() if source.startswith("media:") else None
+                digest = (source[6:].lower() or None) if source.startswith("media:") else None
                 if self.figure is not None:
                     self.figure.append(len(self.items))
                 self.items.append({"position": len(self.items), "kind": "media", "text": None, "source": source, "digest": digest, "caption": values.get("alt") or values.get("title")})
@@ -276,3 +277,24 @@ def resolve(pages: DataFrame, payloads: DataFrame, page_columns: list[str], sequ
     own = pages.select(*page_columns, F.explode(sequence).alias("item")).where(F.col("item.kind") == "media")
     own = own.select(*page_columns, "item.position", "item.source", "item.digest", "item.caption")
     return own.join(payloads, list(on), "left")
+
+
+def aligned(pages: DataFrame, payloads: DataFrame, page_columns: list[str], sequence: str = "items", on: Sequence[str] = ("digest",)) -> DataFrame:
+    """One row per page: its columns and ``sequence``, all of its items, texts
+    too, in order, each with ``payload``, what ``payloads`` has of it (null for
+    texts and references without payload).
+
+    ``on``: as for ``resolve``.  The join may bring items in any order; they
+    are put together by their page's row and position.  Items that name no
+    payload have a join key of their own each, so they don't meet in one task.
+    """
+    facts_of = [c for c in payloads.columns if c not in on]
+    rows = pages.select(F.struct(*page_columns).alias("page"), F.monotonically_increasing_id().alias("row"), sequence)
+    rows = rows.select("page", "row", F.explode_outer(sequence).alias("item"))  # after rows have their numbers
+    keyed = rows.withColumn("digest", F.coalesce("item.digest", F.concat(F.lit("none:"), F.col("row").cast("string"))))
+    for name in set(on) - {"digest"}:
+        keyed = keyed.withColumn(name, F.col("page")[name])
+    stored = payloads.select(*on, F.struct(*facts_of).alias("payload"))
+    entry = F.when(F.col("item").isNotNull(), F.struct(*[F.col("item")[f.name].alias(f.name) for f in ITEM.fields], F.col("payload")))
+    found = keyed.join(stored, list(on), "left").groupBy("row", "page").agg(F.sort_array(F.collect_list(entry)).alias(sequence))
+    return found.select("page.*", sequence)

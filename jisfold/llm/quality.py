@@ -13,8 +13,10 @@ trained arrays, whose size is fixed, sent to all tasks.
 Defined results: null text counts as empty; empty text has the bins of an
 empty text and is scored by them; texts of any length are read whole; with no
 labels of both kinds to learn from, every score is the share of label 1
-(0.5 without any label); repeated rows give repeated results; an empty table
-gives an empty result; extra columns are ignored, by ``keep`` kept.
+(0.5 without any label); a score equal to the threshold is kept; an id with as
+many labels 1 as 0 counts as 1; repeated rows give repeated results; an empty
+table gives an empty result; extra columns are ignored and stay, but ``scores``
+replaces one of its result's name; ``keep`` keeps all, of any name.
 """
 
 from __future__ import annotations
@@ -36,7 +38,7 @@ from jisfold.llm.labelled import sample
 TRAIN_ROWS = 6_000
 WORD_BITS = 16
 BINS = 12
-STATISTICS = 18
+STATISTICS = 16
 FACTORS = 8
 EPOCHS = 6
 THRESHOLD = 0.7
@@ -67,7 +69,6 @@ class Features:
         lines = data.split(b"\n")
         letters = max(1e-9, float(shares[0] + shares[1] + shares[2]))
         same = float((ids[1:] == ids[:-1]).sum()) if len(ids) > 1 else 0.0
-        marked = sum(1 for w in words if w[-2:-1] in (b"!", b"$", b"#", b"%", b"&", b"*") or w in (b"|", b"-"))
         return [
             min(1.0, np.log2(1 + len(words)) / 16),
             min(1.0, np.log2(1 + len(data)) / 20),
@@ -84,8 +85,6 @@ class Features:
             float(counts.max()) / n if len(counts) else 0.0,
             1 - len(set(lines)) / len(lines),
             min(1.0, sum(map(len, words)) / n / 20),
-            marked / n,
-            min(1.0, 10 * marked / n),
             min(1.0, n / len(lines) / 64),
         ]
 
@@ -179,5 +178,6 @@ def scores(docs: DataFrame, machine: Machine, text: str = "text", out: str = "sc
 
 
 def keep(docs: DataFrame, machine: Machine, threshold: float = THRESHOLD, text: str = "text") -> DataFrame:
-    """The documents whose score reaches the threshold; columns stay."""
-    return scores(docs, machine, text, "__quality").where(F.col("__quality") >= threshold).drop("__quality")
+    """The documents whose score reaches the threshold; all columns stay, of any name."""
+    score = common.unused(docs, "score")
+    return scores(docs, machine, text, score).where(F.col(score) >= threshold).drop(score)

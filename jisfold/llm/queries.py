@@ -151,7 +151,8 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stores every document as a picture, makes a page that interleaves text
     and two references (the picture as a figure, and one without payload), and
-    resolves the figure's reference to what the stored bytes hold."""
+    resolves the references to what the stored bytes hold; sequence_sha256 is of
+    all items in order: position, kind, text or source, caption, payload."""
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
     store = media.write_media(docs)
     name = F.coalesce(F.col("doc_id").cast("string"), F.lit("without id"))
@@ -159,9 +160,12 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     head, tail = F.lit("<article><p>Document "), F.lit("<p>Source: <img src='media:' alt='none'></p></article>")
     html = F.concat(head, name, F.lit("</p>"), figure, F.lit("<p>"), F.col("n_bytes").cast("string"), F.lit(" bytes</p>"), tail)
     pages = media.sequences(store.select("doc_id", "n_bytes", "part", "digest", html.alias("html")))
-    items = F.filter("items", lambda x: x["digest"] == F.col("digest"))
-    found = media.resolve(pages.select("doc_id", "n_bytes", "part", F.size("items").alias("n_items"), items.alias("items")), media.facts(store), ["doc_id", "n_bytes", "part", "n_items"], on=("digest", "part"))
-    return found.select("doc_id", "n_bytes", *[f.name for f in media.FACTS.fields], "n_items", "position", "caption")
+    found = media.aligned(pages, media.facts(store), ["doc_id", "n_bytes", "part", "digest"], on=("digest", "part"))
+    figure = F.filter("items", lambda x: x["payload"].isNotNull())[0]
+    line = lambda x: F.concat_ws("\t", x["position"].cast("string"), x["kind"], F.coalesce(x["text"], x["source"]), F.coalesce(x["caption"], F.lit("")), F.coalesce(x["payload"]["payload_sha256"], F.lit("")))
+    digest = F.sha2(F.array_join(F.transform("items", line), "\n"), 256).alias("sequence_sha256")
+    found = found.select("doc_id", "n_bytes", F.size("items").alias("n_items"), digest, figure.alias("f"))
+    return found.select("doc_id", "n_bytes", *[F.col(f"f.payload.{f.name}") for f in media.FACTS.fields], "n_items", "f.position", "f.caption", "sequence_sha256")
 
 
 def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,8 +26,8 @@ Defined results: null text counts as empty; a text without words has
 fingerprint zero, which links like any other; a text with fewer words than a
 shingle is one shingle; equal texts have equal fingerprints; a component's id
 is the smallest document id in it, null ids aside (null where all are null);
-an empty table gives an empty result; extra columns are ignored, by
-``dedup`` kept.
+an empty table gives an empty result; texts of any length are read whole;
+extra columns are ignored, by ``dedup`` kept.
 """
 
 from __future__ import annotations
@@ -53,6 +53,8 @@ SHARD = 4096
 #: Up to so many sketches of several words a BK-tree's node keeps its subtree as
 #: a list: their radius is so wide that all edges would be followed.
 LEAF = 24
+#: A fingerprint of more than one in so many rows meets its class by broadcast.
+HOT_SHARE = 4096
 #: Bytes of a sketch's band.
 BAND = 2
 #: Shingles hashed at once of a long text.
@@ -365,26 +367,31 @@ def _shards(radius: int):
 
 
 def classes(fps: DataFrame, linking, doc_id: str = "doc_id") -> DataFrame:
-    """(fp, class_fp, component_id) of every distinct fingerprint.
+    """(fp, rows, class_fp, component_id) of every distinct fingerprint.
 
     fps: the columns fp and the document id; linking: from distinct
     fingerprints to links.
     """
-    nodes = common.stash(fps.groupBy("fp").agg(F.min(doc_id).alias("least")), "fingerprints")
+    nodes = common.stash(fps.groupBy("fp").agg(F.min(doc_id).alias("least"), F.count("*").alias("rows")), "fingerprints")
     # only linked fingerprints are joined by component: the others, most of all, would
     # meet in one task as nulls
     linked = components(linking(nodes)).withColumnRenamed("node", "fp").join(nodes, "fp")
     least = linked.groupBy("component").agg(F.min("least").alias("class_least"))
     members = linked.join(least, "component").select("fp", "component", "class_least")
     return nodes.join(members, "fp", "left").select(
-        "fp", F.coalesce("component", "fp").alias("class_fp"), F.when(F.col("component").isNull(), F.col("least")).otherwise(F.col("class_least")).alias("component_id")
+        "fp", "rows", F.coalesce("component", "fp").alias("class_fp"), F.when(F.col("component").isNull(), F.col("least")).otherwise(F.col("class_least")).alias("component_id")
     )
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, radius: int = 4, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: doc_id, fingerprint (16 hex digits), component_id."""
     fps = common.stash(fingerprints(docs.select(doc_id, text), shingle, text).select(doc_id, "fp"), "simhash")
-    found = fps.join(classes(fps, lambda nodes: links(nodes, radius), doc_id), "fp")
+    own = common.stash(classes(fps, lambda nodes: links(nodes, radius), doc_id).select("fp", "rows", "component_id"), "classes")
+    # fewer than HOT_SHARE fingerprints can have more than that share of the rows; the
+    # rows of each stay where they are, the others meet their class by shuffle
+    hot = F.col("rows") * HOT_SHARE > fps.count()
+    many, few = (F.broadcast(own.where(hot).drop("rows")), own.where(~hot).drop("rows"))
+    found = fps.join(many, "fp").unionByName(fps.join(many.select("fp"), "fp", "left_anti").join(few, "fp"))
     return found.select(doc_id, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 

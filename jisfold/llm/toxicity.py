@@ -14,8 +14,11 @@ that is sent to all tasks holds words of that sample only.
 
 Defined results: null text counts as empty; empty text has no passage; with no
 labels of both kinds to learn from there is no passage, and the score is the
-share of label 1 (0 without any label); repeated rows give repeated results;
-an empty table gives an empty result; texts of any length are read whole.
+share of label 1 (0 without any label); an id with as many labels 1 as 0
+counts as 1; words of equal score extend a segment only if its sum grows;
+repeated rows give repeated results; an empty table gives an empty result;
+texts of any length are read whole; extra columns are ignored and stay, but
+those of the results' names are replaced.
 """
 
 from __future__ import annotations
