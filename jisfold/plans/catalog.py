@@ -9,7 +9,10 @@ from __future__ import annotations
 import io
 import json
 import zipfile
+from collections.abc import Iterable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -568,7 +571,23 @@ def _characters(df: DataFrame, text: str, *keys: str) -> DataFrame:
 
 
 def _document_characters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _characters(spark.read.parquet(f"{sf_dir}/documents.parquet").select("text"), "text")
+    """(u, n): the documents' code points, with partial counts of each task; so
+    a task sends a row for each code point, not for each character."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(0x110000, np.int64)
+        for batch in batches:
+            for text in batch.column(0):
+                some = np.frombuffer((text.as_py() or "").encode("utf-32-le", "surrogatepass"), "<u4")
+                if len(some) < 1 << 16:  # sorted sooner than counted
+                    u, k = np.unique(some, return_counts=True)
+                    n[u] += k
+                else:
+                    n += np.bincount(some, minlength=len(n))
+        u = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(u, pa.int32()), pa.array(n[u])], names=["u", "n"])
+
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("text").mapInArrow(run, "u int, n long")
 
 
 def _customer_characters(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -580,10 +599,17 @@ _SQL_CUSTOMER_CHARS = f"(SELECT DISTINCT c_custkey, unicode(x) AS u FROM (SELECT
 
 
 def refdata_densify(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _kept(df: DataFrame) -> DataFrame:
+    """df written to the shared folder, for what reads it more than once."""
+    path = f"{_shared(df.sparkSession)}/kept"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
     """All slots of the JIS table with their classes and how often the documents
     have their characters; free slots are reserved."""
     t1 = jis_map(spark)
-    counts = _document_characters(spark, sf_dir).groupBy("u").agg(F.count("*").alias("n"))
+    counts = _document_characters(spark, sf_dir).groupBy("u").agg(F.sum("n").alias("n"))
     counts = relational.singles(t1).join(counts, "u").select("jis", "n")
     found = relational.densify(t1.select("jis", "class").join(counts, "jis", "left"), "jis", {"class": 0, "n": 0})
     return found.select(F.col("jis").cast("long").alias("jis"), F.col("class").cast("long").alias("class"), "n")
@@ -611,8 +637,8 @@ FROM range(17672) r(i) LEFT JOIN (VALUES {", ".join(map(str, _runs()))}) v(a, b,
 def refdata_gaps_islands(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ranges of those code points of the table that documents and customers'
     texts have, joined over gaps below 256."""
-    used = _document_characters(spark, sf_dir).unionByName(_customer_characters(spark, sf_dir).select("u"))
-    found = relational.islands(relational.singles(jis_map(spark)).join(used, "u", "left_semi"), "u", 256)
+    used = _document_characters(spark, sf_dir).select("u").unionByName(_characters(corpus.customers(spark, sf_dir), "s"))
+    found = relational.islands(_kept(relational.singles(jis_map(spark)).select("u").join(used.distinct(), "u", "left_semi")), "u", 256)
     return found.select(F.col("first").alias("first_u"), F.col("last").alias("last_u"), "n")
 
 
@@ -862,7 +888,8 @@ SELECT mj, row_number() OVER (PARTITION BY mj ORDER BY u, s) - 1 AS place, u, s,
 def refdata_mj_islands(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ranges of those code points of the MJ table that customers' texts have,
     joined over gaps below 64."""
-    found = relational.islands(relational.by_code_point(mj_map(spark)).join(_customer_characters(spark, sf_dir), "u", "left_semi"), "u", 64)
+    used = _characters(corpus.customers(spark, sf_dir), "s").distinct()
+    found = relational.islands(_kept(relational.by_code_point(mj_map(spark)).select("u").join(used, "u", "left_semi")), "u", 64)
     return found.select(F.col("first").alias("first_u"), F.col("last").alias("last_u"), "n")
 
 
