@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from jisfold import functions as J
 from jisfold.constants import ConversionMode, MJShrinkSchemeCombo
+from jisfold.functions import batches
 from jisfold.operators import relational
 from jisfold.plans import corpus
 from jisfold.refdata import ingest
@@ -247,9 +248,9 @@ def decode_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents from the bytes of those that plane 1 can write: as text, and cut
     after an odd number of bytes, where and why that fails."""
     own = _kanji_documents(spark, sf_dir).select("doc_id", F.translate("s", _NOT_FIRST, "").alias("s"))
-    own = own.withColumn("jis", J.try_jnta_encode("s", ConversionMode.MEN1)).where("octet_length(jis) > 1")
-    cut = J.jnta_decode_with_error(F.substring("jis", F.lit(1), F.octet_length("jis") - 1))
-    return own.select("doc_id", F.md5(J.try_jnta_decode("jis")).alias("text_md5"), cut.alias("e")).select("doc_id", "text_md5", F.col("e.reason").alias("reason"), F.col("e.start").cast("long").alias("start_pos"))
+    own = own.select("doc_id", batches.encode_with_error("s", ConversionMode.MEN1)["value"].alias("jis")).where("octet_length(jis) > 1")
+    cut = batches.decode_with_error(F.substring("jis", F.lit(1), F.octet_length("jis") - 1))
+    return own.select("doc_id", F.md5(batches.decode_with_error("jis")["value"]).alias("text_md5"), cut.alias("e")).select("doc_id", "text_md5", F.col("e.reason").alias("reason"), F.col("e.start").cast("long").alias("start_pos"))
 
 
 DECODE_DOCS_SQL = f"""

@@ -44,8 +44,9 @@ LETTERS = {"a": "麴", "e": "髙", "i": "﨑", "o": "㉑", "u": "棃", "n": "
 def kanji(text):
     """The text in full-width form, with kanji for its letters; line feeds go."""
     one = {k: v for k, v in LETTERS.items() if len(v) == 1}
-    found = F.replace(F.translate(text, "".join(one) + "\n", "".join(one.values())), F.lit("r"), F.lit(LETTERS["r"]))
-    return F.translate(found, ASCII, FULL_WIDTH)
+    wide = [c for c in ASCII if c not in one and c != "r"]
+    found = F.translate(text, "".join([*one, *wide, "\n"]), "".join([*one.values(), *(FULL_WIDTH[ASCII.index(c)] for c in wide)]))
+    return F.replace(found, F.lit("r"), F.lit(LETTERS["r"]))
 
 
 def sql_kanji(text: str) -> str:
