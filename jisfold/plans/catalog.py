@@ -194,7 +194,7 @@ def _kanji_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def siso_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents in full-width form and kanji, with shifts between the planes."""
-    coded = _kanji_documents(spark, sf_dir).select("doc_id", J.jnta_encode_with_error("s", ConversionMode.SISO).alias("e"))
+    coded = _kanji_documents(spark, sf_dir).select("doc_id", batches.encode_with_error("s", ConversionMode.SISO).alias("e"))
     return coded.select("doc_id", F.md5("e.value").alias("jis_md5"), F.octet_length("e.value").cast("long").alias("n_bytes"), F.col("e.start").cast("long").alias("error_at"))
 
 
