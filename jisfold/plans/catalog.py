@@ -222,7 +222,7 @@ def shrink_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents in full-width form and kanji: shrunken, with characters outside
     the table replaced and kept."""
     own = _kanji_documents(spark, sf_dir)
-    return own.select("doc_id", F.md5(J.jnta_shrink_translit("s")).alias("shrunk_md5"), F.md5(J.jnta_shrink_translit("s", passthrough=True)).alias("kept_md5"))
+    return own.select("doc_id", F.md5(batches.shrink_translit("s")).alias("shrunk_md5"), F.md5(batches.shrink_translit("s", passthrough=True)).alias("kept_md5"))
 
 
 _SHRUNK = {c: TABLE.shrunk(TABLE.by_text[c]) for c in _KANJI if c in TABLE.by_text}
