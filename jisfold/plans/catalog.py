@@ -599,7 +599,6 @@ _SQL_DOC_CHARS = "(SELECT unicode(x) AS u FROM (SELECT unnest(string_split(text,
 _SQL_CUSTOMER_CHARS = f"(SELECT DISTINCT c_custkey, unicode(x) AS u FROM (SELECT c_custkey, unnest(string_split(s, '')) AS x FROM {corpus.CUSTOMERS}) WHERE x <> '')"
 
 
-def refdata_densify(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _kept(df: DataFrame) -> DataFrame:
     """df written to the shared folder, for what reads it more than once."""
     path = f"{_shared(df.sparkSession)}/kept"
@@ -607,6 +606,7 @@ def _kept(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def refdata_densify(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All slots of the JIS table with their classes and how often the documents
     have their characters; free slots are reserved."""
     t1 = jis_map(spark)
@@ -971,12 +971,14 @@ def stream_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     last = turns.groupBy("conv_id").agg(F.max("turn").alias("last"))
     parts = turns.join(last, "conv_id").select(F.col("conv_id").cast("string").alias("stream_id"), F.col("turn").alias("seq"), corpus.kanji(F.translate("text", "ez", "xx")).alias("text"), (F.col("turn") == F.col("last")).alias("final"))
     folder = _shared(spark)
-    parts.repartition(3, F.xxhash64("stream_id", "seq")).write.parquet(f"{folder}/parts")
+    # three micro-batches of as many files as there are cores
+    files = spark.sparkContext.defaultParallelism
+    parts.repartition(3 * files, F.xxhash64("stream_id", "seq")).write.parquet(f"{folder}/parts")
     key = "spark.sql.streaming.stateStore.providerClass"
     before = spark.conf.get(key)
     spark.conf.set(key, ordered.ROCKSDB)
     try:
-        stream = spark.readStream.schema(parts.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/parts")
+        stream = spark.readStream.schema(parts.schema).option("maxFilesPerTrigger", files).parquet(f"{folder}/parts")
         coded = ordered.encode_ordered_stream(stream, ConversionMode.SISO)
         coded.writeStream.outputMode("append").format("parquet").option("path", f"{folder}/coded").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
     finally:
