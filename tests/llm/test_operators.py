@@ -450,6 +450,21 @@ def test_scores_equal_counting(spark):
     assert {(r.n_known, r.train_tokens, r.base_score) for r in nothing} == {(0, 0, 0.0)}
 
 
+def test_ids_of_any_type_come_back(spark):
+    docs = odd_documents(spark).withColumn("doc_id", F.concat(F.lit("d"), "doc_id"))
+    held = common.fold_of("doc_id", 7) == 2
+    found = lm.scores(docs, held)
+    assert found.schema["doc_id"].dataType == docs.schema["doc_id"].dataType
+    expected = [(r.doc_id or "", r.h, len(words(r.text)) + 1) for r in docs.withColumn("h", held).collect()]
+    assert sorted((r.doc_id or "", r.held_out, r.n_tokens) for r in found.collect()) == sorted(expected)
+
+
+def test_base_score_keeps_its_digits_near_zero(spark):
+    docs = spark.range(20_000).select(F.col("id").alias("doc_id"), F.lit("").alias("text"))
+    rows = lm.scores(docs, F.lit(False)).select("base_score").distinct().collect()
+    assert len(rows) == 1 and math.isclose(rows[0].base_score, math.log10(20_001 / 20_002), rel_tol=1e-12)
+
+
 @pytest.fixture(scope="module")
 def language_model(spark):
     rnd = random.Random(2)
