@@ -546,6 +546,17 @@ def test_head_is_bounded_and_the_tail_is_joined(spark, monkeypatch):
             assert found[i].n_known == found[i].n_tokens
 
 
+def test_gradients_are_summed_by_row():
+    rng = np.random.default_rng(3)
+    for sizes in ([1], [lm.STEP], [3, 1, 7, 8, 9, 2, 500, 1], list(range(1, 30)), [1] * 700 + [2] * 90 + [40] * 9):
+        own = rng.permutation(np.repeat(rng.permutation(lm.ROWS)[: len(sizes)], sizes)).astype(np.uint16)
+        g = rng.normal(size=(len(own), lm.WAYS)).astype(np.float32)
+        row, many, sums = lm._summed(g, own, *np.full((2, lm.STEP, lm.WAYS), np.nan, np.float32))
+        assert sorted(row) == sorted(set(own.tolist()))
+        for r, n, found in zip(row, many, sums, strict=True):
+            assert n == (own == r).sum() and np.allclose(found, g[own == r].sum(0, dtype=np.float64), atol=1e-3)
+
+
 def test_gradient_steps_learn():
     rng = np.random.default_rng(0)
     tokens = np.tile(np.arange(6), 400)
