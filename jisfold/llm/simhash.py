@@ -50,6 +50,8 @@ from jisfold.llm.components import components
 SEED = 42
 #: Fingerprints of one part of a shard; a task holds two parts at most.
 SHARD = 4096
+#: Bytes of the texts of one part of a component of candidates.
+PART_BYTES = 16 << 20
 #: Up to so many sketches of several words a BK-tree's node keeps its subtree as
 #: a list: their radius is so wide that all edges would be followed.
 LEAF = 24
@@ -308,7 +310,9 @@ def sketch_links(nodes: DataFrame, words: int, radius: int) -> DataFrame:
 def _in_shards(rows: DataFrame, radius: int) -> DataFrame:
     """Brings the rows (band, key, fp) of each shard together and links them."""
     large = rows.groupBy("band", "key").count().where(F.col("count") > SHARD).select("band", "key", F.ceil(F.col("count") / SHARD).cast("int").alias("parts"))
-    rows = rows.join(large, ["band", "key"], "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    # of n values in k bands at most n * k / SHARD shards are large; with them in all
+    # tasks, the fingerprints shuffle once
+    rows = rows.join(F.broadcast(large), ["band", "key"], "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
     rows = rows.withColumn("part", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.expr("sequence(0, parts - 1)")))
     rows = rows.select("band", "key", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "part", "fp")
     shard = ["band", "key", "low", "high"]
@@ -426,18 +430,27 @@ def set_links(sets: list[np.ndarray], similarity: float) -> tuple[list[int], lis
     return out_a, out_b
 
 
+def component_parts(members: DataFrame, text: str = "text") -> DataFrame:
+    """(component, low, high, node, text): a component above ``SHARD`` nodes or
+    ``PART_BYTES`` of texts is split, and every two of its parts meet.
+
+    members: component, node, a text of it and its size in bytes.
+    """
+    wanted = F.greatest(F.ceil(F.count("*") / SHARD), F.ceil(F.sum("size") / PART_BYTES)).cast("int")
+    large = members.groupBy("component").agg(wanted.alias("parts")).where("parts > 1")
+    rows = members.join(F.broadcast(large), "component", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    part = rows.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.expr("sequence(0, parts - 1)")))
+    return part.select("component", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "node", F.col(text).alias("text"))
+
+
 def exact_links(members: DataFrame, shingle: int, similarity: float, text: str = "text") -> DataFrame:
     """Links (a, b) between nodes of one component of candidates, decided by
     the exact Jaccard similarity of their sets.
 
-    members: component, node and a text of it, a row for each node.  Texts are
-    sent, which are shorter than their sets, and become sets where they meet.  A
-    component above ``SHARD`` nodes is split, and its parts meet.
+    members: as for ``component_parts``, a row for each node.  Texts are sent,
+    which are shorter than their sets, and become sets where they meet.
     """
-    large = members.groupBy("component").count().where(F.col("count") > SHARD).select("component", F.ceil(F.col("count") / SHARD).cast("int").alias("parts"))
-    rows = members.join(F.broadcast(large), "component", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
-    part = rows.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.expr("sequence(0, parts - 1)")))
-    part = part.select("component", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "node", F.col(text).alias("text"))
+    part = component_parts(members, text)
     shard = ["component", "low", "high"]
     node_type, arrow_type = members.schema["node"].dataType, to_arrow_type(members.schema["node"].dataType)
 
@@ -513,7 +526,8 @@ def dedup(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, words: int
     nodes = common.stash(nodes.select(F.col("least.row").alias("node"), "fp", "keys", "least"), "nodes", "zstd")
     near = components(candidate_links(nodes, words, radius)).withColumnRenamed("node", "row")
     common.release(docs.sparkSession)
-    members = held.select("row", F.col("doc")[text].alias("text")).join(near, "row").select("component", F.col("row").alias("node"), "text")
+    own = F.col("doc")[text]
+    members = held.select("row", own.alias("text"), F.octet_length(own).alias("size")).join(near, "row").select("component", F.col("row").alias("node"), "text", "size")
     linked = common.stash(components(exact_links(members, shingle, similarity)).join(nodes.select("node", "least"), "node"), "linked")
     common.release(docs.sparkSession)
     alone = nodes.join(linked, "node", "left_anti").select("least.row")

@@ -179,6 +179,34 @@ def test_dedup_decides_at_the_similarity_itself(spark):
     assert {r.doc_id for r in simhash.dedup(df).collect()} == kept
 
 
+def test_sketches_shuffle_once(spark):
+    nodes = spark.createDataFrame([(bytes(80),)], "fp binary")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        plan = simhash.sketch_links(nodes, 10, 100)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    # one for the sizes of shards, one for the fingerprints
+    assert plan.count("Exchange hashpartitioning") == 2 and "SortMergeJoin" not in plan
+
+
+def test_components_are_split_by_bytes(spark, monkeypatch):
+    rnd = random.Random(5)
+    words = [f"w{rnd.randint(0, 10**9)}" for _ in range(400)]
+    rows = [(i, " ".join(words[:i] + ["changed"] + words[i + 1 :])) for i in range(0, 400, 10)]
+    df = spark.createDataFrame([*rows, (1000, "a text of its own with no near one")], "doc_id long, text string")
+    monkeypatch.setattr(simhash, "PART_BYTES", 20_000)
+    members = df.selectExpr("1L as component", "doc_id as node", "text", "octet_length(text) as size")
+    met = {}
+    for r in simhash.component_parts(members).collect():
+        met.setdefault((r.low, r.high), []).append(r)
+    assert max(sum(len(r.text) for r in x) for x in met.values()) < 2 * 2 * 20_000 < sum(len(t) for _, t in rows)
+    pairs = {(a.node, b.node) for x in met.values() for a in x for b in x}
+    assert len(pairs) == 41 * 41
+    assert {r.doc_id for r in simhash.dedup(df).collect()} == {0, 1000}
+
+
 def test_set_links_connect_as_all_pairs_do(spark):
     rnd = random.Random(8)
     for _ in range(50):
