@@ -61,6 +61,8 @@ HOT_SHARE = 4096
 BAND = 2
 #: Shingles hashed at once of a long text.
 BLOCK = 1 << 16
+#: Bitmaps of 32,768 row numbers (4 KB) that are broadcast at most.
+BITMAPS = 8192
 #: Bands of least values of a set, and the values in a band.
 LEAST_BANDS, LEAST_ROWS = 40, 6
 _FACTORS = np.random.default_rng(SEED).integers(1 << 63, size=LEAST_BANDS * LEAST_ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -505,6 +507,24 @@ def candidate_links(nodes: DataFrame, words: int, radius: int) -> DataFrame:
     return near.select(F.col("a_head").alias("a"), F.col("b_head").alias("b")).unionByName(equal.unionByName(keyed, True).select(F.col("node").alias("a"), F.col("head").alias("b")))
 
 
+def rows_numbered(held: DataFrame, numbers: DataFrame) -> DataFrame:
+    """The rows of held whose number, the column row, is among the numbers'.
+
+    The numbers go to all tasks as bitmaps, a bit for each row, so that held's
+    texts stay where they are.  More than ``BITMAPS`` bitmaps are not
+    broadcast; then both sides meet by shuffle.
+    """
+    # dealt by bitmap first: partial bitmaps of every task would be many times as large
+    dealt = numbers.select("row", F.bitmap_bucket_number("row").alias("bucket")).repartition("bucket")
+    maps = common.stash(dealt.groupBy("bucket").agg(F.bitmap_construct_agg(F.bitmap_bit_position("row")).alias("bits")), "bitmaps")
+    if maps.count() > BITMAPS:
+        return held.join(numbers.select("row"), "row", "left_semi").select(*held.columns)
+    at = F.bitmap_bit_position("row")
+    byte = F.conv(F.hex(F.substring("bits", (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    found = held.join(F.broadcast(maps), F.bitmap_bucket_number("row") == F.col("bucket"))
+    return found.where(F.getbit(byte, (at % 8).cast("int")) == 1).select(*held.columns)
+
+
 def dedup(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, words: int = 10, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents with one of each group of near-duplicates: the one with
     the smallest id (of repeated rows of that id, any one).  Columns stay.
@@ -517,20 +537,24 @@ def dedup(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, words: int
     any name stay, since they are kept in a struct meanwhile.
     """
     radius = radius_of(similarity, 64 * words)
-    rows = docs.select(F.struct("*").alias("doc"), F.monotonically_increasing_id().alias("row"))
-    held = common.stash(set_sketches(rows, words, shingle, text), "sketches", "zstd")
+    # texts are written once; sketches are narrow and leave them behind
+    held = common.stash(docs.select(F.struct("*").alias("doc"), F.monotonically_increasing_id().alias("row")), "held", "zstd")
+    own = F.col("doc")[text]
     # the first of equal sets: by id, null last, then by row, which no two share
     first = F.struct(F.col("doc")[doc_id].isNull().alias("none"), F.col("doc")[doc_id].alias("id"), "row")
-    nodes = held.groupBy("node").agg(F.first("fp").alias("fp"), F.first("keys").alias("keys"), F.min(first).alias("least"))
+    sketched = set_sketches(held.select(F.struct(own.alias(text)).alias("doc"), first.alias("first")), words, shingle, text)
+    nodes = sketched.groupBy("node").agg(F.first("fp").alias("fp"), F.first("keys").alias("keys"), F.min("first").alias("least"))
     # from here on, a set goes by its first row's number: shorter than a digest
     nodes = common.stash(nodes.select(F.col("least.row").alias("node"), "fp", "keys", "least"), "nodes", "zstd")
-    near = components(candidate_links(nodes, words, radius)).withColumnRenamed("node", "row")
     common.release(docs.sparkSession)
-    own = F.col("doc")[text]
-    members = held.select("row", own.alias("text"), F.octet_length(own).alias("size")).join(near, "row").select("component", F.col("row").alias("node"), "text", "size")
+    near = common.stash(components(candidate_links(nodes, words, radius)).withColumnRenamed("node", "row"), "near")
+    common.release(docs.sparkSession)
+    members = rows_numbered(held, near).select("row", own.alias("text"), F.octet_length(own).alias("size")).join(near, "row").select("component", F.col("row").alias("node"), "text", "size")
     linked = common.stash(components(exact_links(members, shingle, similarity)).join(nodes.select("node", "least"), "node"), "linked")
     common.release(docs.sparkSession)
     alone = nodes.join(linked, "node", "left_anti").select("least.row")
-    kept = alone.unionByName(linked.groupBy("component").agg(F.min("least").alias("least")).select("least.row"))
-    # the only other time that texts are shuffled; row numbers are no hot keys
-    return held.join(kept, "row", "left_semi").select("doc.*")
+    kept = common.stash(alone.unionByName(linked.groupBy("component").agg(F.min("least").alias("least")).select("least.row")), "kept")
+    found = rows_numbered(held, kept).select("doc.*")
+    common.discard(nodes, near, linked)
+    common.release(docs.sparkSession)
+    return found

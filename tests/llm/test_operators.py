@@ -191,6 +191,32 @@ def test_sketches_shuffle_once(spark):
     assert plan.count("Exchange hashpartitioning") == 2 and "SortMergeJoin" not in plan
 
 
+def test_dedup_leaves_texts_where_they_are(spark):
+    docs = spark.createDataFrame([(i, f"some words of text number {i} and more of them") for i in range(200)], "doc_id long, text string")
+    least = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        kept = simhash.dedup(docs)
+        plan = kept._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastExchange" in plan and "Exchange hashpartitioning" not in plan
+        assert kept.count() == 200
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", least)
+
+
+@pytest.mark.parametrize("most", [8192, 0])
+def test_rows_by_number(spark, monkeypatch, most):
+    monkeypatch.setattr(simhash, "BITMAPS", most)
+    wanted = [0, 1, 7, 8, 9, 32767, 32768, 32769, 65536, 65537, 1 << 33, (1 << 33) + 8, (5 << 33) + 40000]
+    near = sorted({n + d for n in wanted for d in (-9, -8, -1, 0, 1, 8, 9) if n + d >= 0})
+    held = spark.createDataFrame([(f"d{n}", n) for n in near], "doc string, row long")
+    numbers = spark.createDataFrame([(n,) for n in [*wanted, *wanted[:3], 1 << 40]], "row long")
+    found = simhash.rows_numbered(held, numbers)
+    assert found.columns == ["doc", "row"]
+    assert sorted((r.row, r.doc) for r in found.collect()) == [(n, f"d{n}") for n in wanted]
+    assert simhash.rows_numbered(held, numbers.where("row < 0")).count() == 0
+
+
 def test_components_are_split_by_bytes(spark, monkeypatch):
     rnd = random.Random(5)
     words = [f"w{rnd.randint(0, 10**9)}" for _ in range(400)]
